@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import quality_rules
+from surfacelab.llm import chat, quality_rules, warc
 
 QUERIES = {
+    "op3_chat": chat.op3_chat,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE_SQL = {
+    "op3_chat": chat.op3_sql(),
     "op7_quality_rules": quality_rules.op7_sql(),
+    "op9_warc": warc.op9_sql(),
 }
