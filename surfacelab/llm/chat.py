@@ -105,6 +105,14 @@ def _fields(layout: Layout, get) -> Column:
     return F.array(*turns)
 
 
+def _items(items: Column, layout: Layout, role: str, text: str) -> Column:
+    """Turns of an array of variants."""
+    def get(m: Column, name: str) -> Column:
+        return F.try_variant_get(m, "$." + name, "string")
+
+    return F.transform(items, lambda m, i: F.struct(i.cast("long").alias("turn"), _role(get(m, role), layout).alias("role"), _text(get(m, text)).alias("text")))
+
+
 def turn_rows(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text rows of a table in any known layout."""
     layout = layout_of(df)
@@ -132,7 +140,7 @@ def json_turns(df: DataFrame, record: str = "record") -> DataFrame:
         elif x.kind == "list":
             role, text = x.turns[0]
             items = F.try_variant_get("__v", "$." + x.paths[0].split("[")[0], "array<variant>")
-            got = F.transform(items, lambda m, i, x=x, role=role, text=text: F.struct(i.cast("long").alias("turn"), _role(F.try_variant_get(m, "$." + role, "string"), x).alias("role"), _text(F.try_variant_get(m, "$." + text, "string")).alias("text")))
+            got = _items(items, x, role, text)
         else:
             role, text = x.turns[0]
             got = F.array(F.struct(F.try_variant_get("__v", "$.turn", "bigint").alias("turn"), _role(F.try_variant_get("__v", "$." + role, "string"), x).alias("role"), _text(F.try_variant_get("__v", "$." + text, "string")).alias("text")))
