@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import chat, quality_rules, simhash, warc
+from surfacelab.llm import bpe, chat, quality_rules, simhash, warc
 
 QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_simhash": simhash.op4_simhash,
+    "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_warc": warc.op9_warc,
 }
