@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, quality_rules, simhash, warc
+from surfacelab.llm import bpe, chat, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_chat": chat.op3_chat,
     "op4_simhash": simhash.op4_simhash,
     "op6_bpe": bpe.op6_bpe,
