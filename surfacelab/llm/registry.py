@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, quality_classifier, quality_rules, simhash, warc
+from surfacelab.llm import bpe, chat, language, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_chat": chat.op3_chat,
     "op4_simhash": simhash.op4_simhash,
+    "op5_language": language.op5_language,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_warc": warc.op9_warc,
