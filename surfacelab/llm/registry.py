@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, language, quality_classifier, quality_rules, simhash, warc
+from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_warc": warc.op9_warc,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
