@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, simhash, warc
+from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, simhash, vector_join, warc
 
 QUERIES = {
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_vector_join": vector_join.op8_vector_join,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_chat": chat.op3_sql(),
     "op7_quality_rules": quality_rules.op7_sql(),
+    "op8_vector_join": vector_join.op8_sql(),
     "op9_warc": warc.op9_sql(),
 }
