@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, simhash, vector_join, warc
+from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, simhash, token_files, vector_join, warc
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_chat": chat.op3_chat,
     "op4_simhash": simhash.op4_simhash,
