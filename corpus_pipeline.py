@@ -19,7 +19,7 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.7 or more; the model learns from the labels of docs."""
-    model = quality_classifier.train(quality_classifier.labelled_rows(spark, docs, sf_dir))
+    model = quality_classifier.train(docs, quality_classifier.learnable_labels(spark, sf_dir))
     return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 

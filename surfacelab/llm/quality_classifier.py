@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import table
+from surfacelab.llm.shared import labelled_sample, table
 
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 200_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 3
@@ -92,13 +92,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def train(labelled: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from rows (doc_id, text, label)."""
-    rows = labelled.where("doc_id IS NOT NULL AND label IN (0, 1) AND octet_length(text) BETWEEN 1 AND " + str(int(sample_bytes)))
-    got = {}
-    for label in (0, 1):
-        order = [F.xxhash64("doc_id"), F.col("doc_id")]
-        got[label] = [r.text for r in rows.where(F.col("label") == label).orderBy(*order).limit(sample_per_class).select("text").collect()]
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, label)."""
+    got: dict[int, list[str]] = {0: [], 1: []}
+    for label, text in labelled_sample(docs, labels.where("label IN (0, 1)"), sample_per_class, sample_bytes):
+        if text:
+            got[label].append(text)
     n = {k: len(v) for k, v in got.items()}
     if min(n.values()) < 3:
         share = (n[1] + 1) / (n[0] + n[1] + 2)
@@ -129,14 +128,13 @@ def held_out(parts: int, which: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == which
 
 
-def labelled_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text, label of the documents that may be learned from."""
+def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label of the documents that may be learned from."""
     labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
-    labels = labels.where(F.col("label") == F.col("most")).where(~held_out(4, 2)).select("doc_id", "label")
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    return labels.where(F.col("label") == F.col("most")).where(~held_out(4, 2)).select("doc_id", "label")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(labelled_rows(spark, docs, sf_dir))
+    model = train(docs, learnable_labels(spark, sf_dir))
     return score(docs, model).withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "score", "predicted")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> list[tuple]:
+    """(label, text) of at most so many rows of each label, in the order of a hash of the id.
+
+    Ids are chosen first, from labels (doc_id, label) whose document exists, without any text;
+    then the chosen few are looked up, so what is broadcast and collected is bounded by the
+    parameters. Texts above most_bytes bytes and null texts are left out.
+    """
+    ids = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
+    names = sorted(r.label for r in ids.select("label").distinct().collect())
+    chosen = []
+    for name in names:
+        first = ids.where(F.col("label") == F.lit(name)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen += [(r.doc_id, name) for r in first.select("doc_id").collect()]
+    if not chosen:
+        return []
+    few = docs.sparkSession.createDataFrame(chosen, labels.select("doc_id", "label").schema)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(few), "doc_id")
+    return [(r.label, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.text))]

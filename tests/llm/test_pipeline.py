@@ -21,16 +21,12 @@ def test_stages_equal_brute_force(spark, sf_dir):
     assert sum(clean) >= 0.9 * len(clean)
     single = q.near_duplicates(spark, good, sf_dir).cache()
     prints = {r.doc_id: simhash.fingerprint(r.text) & (2**64 - 1) for r in good.collect()}
-    root = {i: i for i in prints}
-    for _ in prints:
-        for a in prints:
-            near = [b for b in prints if (prints[a] ^ prints[b]).bit_count() <= 2]
-            least = min(root[b] for b in near)
-            if least < root[a]:
-                root[a] = least
-                break
-        else:
-            break
+    ids = sorted(prints)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
+    root = {i: i for i in ids}
+    while any(root[a] != root[b] for a, b in near):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
     assert {r.doc_id for r in single.collect()} == {i for i in prints if root[i] == i}
     mixed = q.mixture(spark, single, sf_dir).cache()
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in single.collect()}

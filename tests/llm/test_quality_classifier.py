@@ -15,7 +15,7 @@ def labelled(spark, n=120):
 
 def test_separates_and_handles_odd_texts(spark):
     df = labelled(spark)
-    model = q.train(df)
+    model = q.train(df, df)
     assert all((r.score >= 0.5) == (r.label == 1) for r in q.score(df, model).collect())
     odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "the river", 5), (4, "x" * 300_000, 5)], "doc_id long, text string, score int")
     got = q.score(odd, model).collect()
@@ -25,9 +25,9 @@ def test_separates_and_handles_odd_texts(spark):
 
 def test_one_class_or_no_labels_give_the_share(spark):
     df = labelled(spark)
-    ones = q.score(df, q.train(df.where("label = 1"))).select("score").distinct().collect()
+    ones = q.score(df, q.train(df, df.where("label = 1"))).select("score").distinct().collect()
     assert len(ones) == 1 and ones[0].score > 0.9
-    assert q.score(df, q.train(df.limit(0))).first().score == 0.5
+    assert q.score(df, q.train(df, df.limit(0))).first().score == 0.5
 
 
 def test_held_out_accuracy(spark):
