@@ -8,8 +8,7 @@ the posterior times the domains' residuals, so the rates follow from the residua
 the written (tokens, posterior) table that sends back one total for each domain. Tokens are words
 separated by white space.
 
-Fitting reads a bounded sample: sample_per_domain labelled rows of each domain in expectation, of
-at most sample_bytes bytes. Posteriors, totals and rates cover all documents.
+Fitting reads a bounded sample: sample_per_domain labelled rows of each domain, of at most sample_bytes bytes. Posteriors, totals and rates cover all documents.
 
 Cases: null or empty text has no tokens and the posterior of a text without known words; null ids
 and domains aren't learned from; repeated rows and ties get equal rates, the copies of a row
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import table, written
+from surfacelab.llm.shared import labelled_sample, table, written
 
 SAMPLE_PER_DOMAIN, SAMPLE_BYTES, VOCABULARY = 1500, 100_000, 20_000
 ROUNDS, TOLERANCE = 80, 1e-5
@@ -77,14 +76,10 @@ def fit(rows: list[tuple[str, str]], rounds: int = 80, ridge: float = 1.0) -> Cl
     return Classifier(domains, words, w, b)
 
 
-def train(labelled: DataFrame, sample_per_domain: int = SAMPLE_PER_DOMAIN, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
-    """A classifier from rows (doc_id, text, domain)."""
-    rows = labelled.where(f"doc_id IS NOT NULL AND domain IS NOT NULL AND octet_length(text) <= {int(sample_bytes)}")
-    got = []
-    for d in sorted(r.domain for r in rows.select("domain").distinct().collect()):
-        sample = rows.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_domain)
-        got += [(d, r.text) for r in sample.select("text").collect()]
-    return fit(got)
+def train(docs: DataFrame, labelled: DataFrame, sample_per_domain: int = SAMPLE_PER_DOMAIN, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
+    """A classifier from docs (doc_id, text) and a labelled table (doc_id, domain)."""
+    labels = labelled.select("doc_id", F.col("domain").alias("label"))
+    return fit(labelled_sample(docs, labels, sample_per_domain, sample_bytes))
 
 
 @dataclass(frozen=True)
@@ -195,7 +190,7 @@ FACTORS = {"clean": 1.0, "low": 0.5, "toxic": 0.5}
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.join(domain_labels(spark, sf_dir), "doc_id"))
+    model = train(docs, domain_labels(spark, sf_dir))
     members = written(memberships(docs, model).drop("text"), "memberships")
     rated = with_rates(members, solve(members, model.domains, TARGETS))
     return rated.select("doc_id", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", "copies")
@@ -203,7 +198,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None) -> DataFrame:
     """docs, each row as many times as its copies. Texts are scored twice so as not to be shuffled."""
-    model = train(docs.select("doc_id", "text").join(labelled, "doc_id"))
+    model = train(docs, labelled)
     members = written(memberships(docs.select("doc_id", "text"), model).drop("text"), "memberships")
     plan = solve(members, model.domains, targets, factors)
     rated = with_rates(memberships(docs, model), plan)

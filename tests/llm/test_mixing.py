@@ -16,7 +16,7 @@ def corpus(spark):
 
 def test_totals_match_targets_and_equal_brute_force(spark):
     df = corpus(spark)
-    model = q.train(df)
+    model = q.train(df, df)
     members = q.memberships(df.select("doc_id", "text"), model)
     plan = q.solve(members, model.domains, {"clean": 0.2, "low": 0.2, "toxic": 0.6}, rounds=400, tolerance=1e-7)
     rows = q.with_rates(members, plan).collect()
@@ -33,7 +33,7 @@ def test_totals_match_targets_and_equal_brute_force(spark):
 
 def test_classifier_finds_the_domains(spark):
     df = corpus(spark)
-    model = q.train(df)
+    model = q.train(df, df)
     rows = q.memberships(df, model).collect()
     assert np.mean([model.domains[int(np.argmax(r.posterior))] == r.domain for r in rows]) > 0.95
     assert all(r.n_tokens == len(r.text.split()) for r in rows)
@@ -41,13 +41,13 @@ def test_classifier_finds_the_domains(spark):
 
 def test_odd_rows(spark):
     df = corpus(spark)
-    model = q.train(df)
+    model = q.train(df, df)
     odd = spark.createDataFrame([(1, None, 0), (None, "", 0), (3, "scum " * 50_000, 0), (3, "tree", 0), (3, "tree", 0)], "doc_id long, text string, rate int")
     got = q.with_rates(q.memberships(odd, model), q.solve(q.memberships(odd, model), model.domains, q.TARGETS)).collect()
     assert len(got) == 5 and got[3].rate == got[4].rate and got[0].n_tokens == 0
     empty = odd.limit(0)
     assert q.with_rates(q.memberships(empty, model), q.solve(q.memberships(empty, model), model.domains, q.TARGETS)).count() == 0
-    alone = q.train(df.limit(0))
+    alone = q.train(df, df.limit(0))
     assert alone.domains == ("all",) and q.with_rates(q.memberships(odd, alone), q.solve(q.memberships(odd, alone), alone.domains)).first().rate == 1.0
 
 
