@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.plans import points
+from surfacelab.plans import meshes, points
 
-QUERIES = {**points.QUERIES}
-SQL = {**points.SQL}
+QUERIES = {**points.QUERIES, **meshes.QUERIES}
+SQL = {**points.SQL, **meshes.SQL}
