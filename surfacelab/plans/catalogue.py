@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.plans import meshes, points
+from surfacelab.plans import meshes, points, records, search
 
-QUERIES = {**points.QUERIES, **meshes.QUERIES}
-SQL = {**points.SQL, **meshes.SQL}
+QUERIES = {**points.QUERIES, **meshes.QUERIES, **records.QUERIES, **search.QUERIES}
+SQL = {**points.SQL, **meshes.SQL, **records.SQL}
