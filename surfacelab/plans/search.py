@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,45 @@ from surfacelab.streaming.resume import with_status
 AXES = ["z", "y", "x"]
 
 
-def generate(volume: DataFrame, threshold: float, k: int, radius: int = 1, sigma: float = 0.6, support: DataFrame | None = None, minimum: float = 0.5) -> DataFrame:
+def flat_normals(found: DataFrame, volume: DataFrame, threshold: float, reach: int = 2, least: int = 6) -> DataFrame:
+    """candidate_id, flat: the direction in which the bright voxels around a candidate spread least.
+
+    Fewer than least bright voxels give the z axis. Voxels are met by an equi-join of the cube's
+    offsets and reduced to means and covariances; only the 3x3 eigenvectors need numpy.
+    """
+    side = F.sequence(F.lit(-reach), F.lit(reach))
+    near = found.select("candidate_id", "vol", F.col("p.z").cast("int").alias("z0"), F.col("p.y").cast("int").alias("y0"), F.col("p.x").cast("int").alias("x0"))
+    for k in AXES:
+        near = near.select("*", F.explode(side).alias("d" + k)).withColumn(k, F.col(k + "0") + F.col("d" + k)).drop("d" + k)
+    bright = volume.where(F.col("v") >= threshold).select("vol", *AXES)
+    points = near.join(bright, ["vol", *AXES]).select("candidate_id", V.vec("x", "y", "z").alias("p"))
+    cov = metrics.covariance(points, ["candidate_id"]).where(F.col("n") >= least)
+
+    def axes(batches):
+        for b in batches:
+            m = np.array([[[r.cxx, r.cxy, r.cxz], [r.cxy, r.cyy, r.cyz], [r.cxz, r.cyz, r.czz]] for r in b.itertuples()]).reshape(-1, 3, 3)
+            n = np.linalg.eigh(m)[1][:, :, 0]
+            # A vector's sign is free; its largest part is made positive.
+            n = n * np.sign(n[np.arange(len(n)), np.abs(n).argmax(axis=1)])[:, None]
+            yield pd.DataFrame({"candidate_id": b.candidate_id, "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
+
+    return cov.mapInPandas(axes, "candidate_id long, nx double, ny double, nz double").select("candidate_id", V.vec("nx", "ny", "nz").alias("flat"))
+
+
+def generate(volume: DataFrame, threshold: float, k: int, radius: int = 1, sigma: float = 0.6, support: DataFrame | None = None, minimum: float = 0.5, border: int = 0, extent: int | None = None) -> DataFrame:
     """candidate_id, vol, p, n, score of the k strongest local maxima; the id numbers place and volume."""
     smooth = cut(stencil.gaussian(volume, ["vol"], AXES, sigma))
-    best = stencil.local_maxima(smooth, ["vol"], AXES, radius, threshold)
-    grads = stencil.gradient(smooth, ["vol"], AXES).select("vol", *AXES, V.normalize(V.vec("gx", "gy", "gz")).alias("n"))
+    best = stencil.local_maxima(smooth, ["vol"], AXES, radius, threshold, border, extent)
+    grads = stencil.gradient(smooth, ["vol"], AXES).select("vol", *AXES, V.vec("gx", "gy", "gz").alias("g"))
     place = (F.col("vol") * 1_000_000 + F.col("z") * 10_000 + F.col("y") * 100 + F.col("x")).alias("candidate_id")
-    rows = best.join(grads, ["vol", *AXES]).select(place, "vol", V.vec("x", "y", "z").alias("p"), "n", F.round("v", 9).alias("score"))
+    rows = best.join(grads, ["vol", *AXES]).select(place, "vol", V.vec("x", "y", "z").alias("p"), "g", F.round("v", 9).alias("score"))
     if support is not None:
         rows = sampling.support_filter(rows, support, ["candidate_id"], minimum)
-    return ranking.top(rows, k)
+    rows = cut(ranking.top(rows, k)).withColumn("steep", V.norm("g"))
+    flat = flat_normals(rows.where("steep < 1e-6"), smooth, threshold)
+    up = V.vec(F.lit(0), F.lit(0), F.lit(1))
+    n = F.when(F.col("steep") < 1e-6, F.coalesce("flat", up)).otherwise(V.normalize("g"))
+    return rows.join(flat, "candidate_id", "left").withColumn("n", n).drop("g", "steep", "flat")
 
 
 def score(found: DataFrame, volume: DataFrame, size: int = 3, depth: int = 2, spacing: float = 0.5, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

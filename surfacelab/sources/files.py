@@ -33,7 +33,14 @@ def read_ome_levels(spark: SparkSession, path: str) -> DataFrame:
 
     A translation is divided by the whole scale, whatever the order of the transforms.
     """
-    text = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/.zattrs")
+    # Spark's readers skip names that begin with a dot; the file is small and read on the driver.
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/.zattrs")
+    stream = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(name)
+    try:
+        text = spark.createDataFrame([(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),)], "value string")
+    finally:
+        stream.close()
     schema = "multiscales array<struct<datasets:array<struct<path:string,coordinateTransformations:array<struct<type:string,scale:array<double>,translation:array<double>>>>>>>"
     sets = text.select(F.from_json("value", schema).alias("m")).select(F.posexplode(F.get("m.multiscales", F.lit(0))["datasets"]).alias("level", "d"))
 

@@ -1,0 +1,80 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from surfacelab.functions import vec as V
+from surfacelab.operators import mesh as M
+from surfacelab.operators import metrics, raster
+from surfacelab.sources import files
+
+
+def sheet(spark, n=9, hole=False):
+    i = F.col("id")
+    r, c = F.floor(i / n).cast("int"), (i % n).cast("int")
+    rows = spark.range(n * n).select(F.lit(0).cast("long").alias("grid"), r.alias("r"), c.alias("c"))
+    valid = ~(F.col("r").between(3, 4) & F.col("c").between(3, 4)) if hole else F.lit(True)
+    return rows.select("*", V.vec("c", "r", F.sin(F.col("c") / 3)).alias("p"), valid.alias("valid"))
+
+
+def test_a_sheet_is_a_disk(spark):
+    g = sheet(spark)
+    v, f = M.grid_vertices(g, 9), M.grid_faces(g, 9)
+    t = M.topology(f).first()
+    assert (t.vertices, t.faces, t.euler, t.violations, t.boundary_edges) == (81, 128, 1, 0, 32)
+    loop = M.boundary_loops(f, v).collect()
+    assert len(loop) == 1 and loop[0].simple and loop[0].n == 32
+    assert M.face_components(f).select("label").distinct().count() == 1
+    points, four = M.subdivide(f, v)
+    assert four.count() == 512 and points.count() == 81 + t.edges
+
+
+def test_a_hole_adds_a_loop(spark):
+    g = sheet(spark, hole=True)
+    v, f = M.grid_vertices(g, 9), M.grid_faces(g, 9)
+    assert M.topology(f).first().euler == 0
+    loops = M.boundary_loops(f, v).collect()
+    assert sorted(x.n for x in loops) == [12, 32] and M.centroid_fans(f, v).count() <= 1
+
+
+def test_tutte_has_no_flips(spark):
+    g = sheet(spark, 6)
+    v, f = M.grid_vertices(g, 6), M.grid_faces(g, 6)
+    uv = {r.vid: (r.u, r.v) for r in M.tutte(f, v, 40).collect()}
+    assert len(uv) == 36
+    areas = []
+    for t in f.collect():
+        (ax, ay), (bx, by), (cx, cy) = uv[t.a], uv[t.b], uv[t.c]
+        areas.append((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
+    assert all(a > 0 for a in areas) or all(a < 0 for a in areas)
+
+
+def test_raster_covers_a_square_once(spark):
+    t = spark.createDataFrame([(0, 0, 0.0, 0.0, 4.0, 0.0, 0.0, 4.0, 1.0, 1.0, 1.0), (0, 1, 4.0, 0.0, 4.0, 4.0, 0.0, 4.0, 3.0, 3.0, 3.0)], "mesh int, fid int, ua double, va double, ub double, vb double, uc double, vc double, z_a double, z_b double, z_c double")
+    rows = raster.rasterize(t, ["mesh"], ["z"]).collect()
+    assert len(rows) == 16 and sum(r.coverage for r in rows) == 20 and {r.z for r in rows} == {1.0, 3.0}
+    points = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 0), (0, 1e9, 1e9, 1.0, 1)], "k int, u double, v double, score double, ordinal int").withColumn("p", V.vec("u", "v", "u"))
+    with pytest.raises(Exception, match="too many cells"):
+        raster.splat(points, ["k"]).collect()
+
+
+def test_flat_sheet_has_no_defects(spark):
+    g = sheet(spark).withColumn("p", V.vec("c", "r", F.lit(0)))
+    m = metrics.gates(metrics.geometry(metrics.jump_flags(g))).first()
+    assert (m.coverage, m.jump_fraction, m.folded_fraction, m.passed) == (1.0, 0.0, 0.0, True)
+    n = M.vertex_normals(M.grid_faces(g, 9), M.grid_vertices(g, 9)).collect()
+    assert all(abs(abs(r.normal.z) - 1) < 1e-9 for r in n)
+    assert M.continuity(M.grid_faces(g, 9), M.grid_vertices(g, 9)).first().normal_p01 == pytest.approx(1.0)
+
+
+def test_ply_lines(spark, tmp_path):
+    g = sheet(spark, 3)
+    files.save_ply(M.grid_vertices(g, 3), M.grid_faces(g, 3), str(tmp_path / "ply"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "ply")).collect()]
+    assert len(lines) == 9 + 9 + 8 and lines[0] == "ply" and "element vertex 9" in lines and sum(x.startswith("3 ") for x in lines) == 8
+
+
+def test_auroc_counts_ties_half(spark):
+    rows = [(0, 1, 2.0), (0, 0, 2.0), (0, 1, 3.0), (0, 0, 1.0)]
+    r = metrics.auroc(spark.createDataFrame(rows, "k int, label int, score double"), ["k"]).first()
+    assert r.auroc == pytest.approx(3.5 / 4) and math.isclose(r.mean_pos, 2.5)
