@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.plans import meshes, points, records, search
+from surfacelab.plans import meshes, points, records, search, unwrap
 
-QUERIES = {**points.QUERIES, **meshes.QUERIES, **records.QUERIES, **search.QUERIES}
-SQL = {**points.SQL, **meshes.SQL, **records.SQL}
+QUERIES = {**points.QUERIES, **meshes.QUERIES, **records.QUERIES, **search.QUERIES, **unwrap.QUERIES}
+SQL = {**points.SQL, **meshes.SQL, **records.SQL, **unwrap.SQL}
