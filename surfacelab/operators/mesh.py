@@ -212,3 +212,32 @@ def refine_points(vertices: DataFrame, offsets: DataFrame) -> DataFrame:
     """vertices moved along their normal by the offset (mesh, vid, offset) found on a finer level."""
     moved = vertices.join(offsets, ["mesh", "vid"])
     return moved.withColumn("p", vec(*[F.col("p")[k] + scale("normal", F.col("offset"))[k] for k in "xyz"])).drop("offset")
+
+
+def geodesic_disk(faces: DataFrame, distances: DataFrame, radii: list[float], least: int = 100) -> DataFrame:
+    """mesh, radius, fid of the largest disk around each mesh's seed that is a disk.
+
+    distances: (mesh, vid, distance) from the seed. All radii are tried in one pass: a face belongs
+    to every radius that its furthest vertex allows; a radius passes when its faces are manifold,
+    have Euler number 1, one simple boundary loop and enough vertices.
+    """
+    far = corners(faces).join(distances, ["mesh", "vid"]).groupBy("mesh", "fid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where("n = 3")
+    tried = far.select("mesh", "fid", F.explode(F.filter(F.array(*[F.lit(float(r)) for r in radii]), lambda r: r >= F.col("far"))).alias("radius"))
+    patch = cut(tried.join(faces, ["mesh", "fid"]).select(F.struct("mesh", "radius").alias("mesh"), "fid", "a", "b", "c"))
+    points = corners(patch).select("mesh", "vid").distinct().withColumn("p", vec(F.lit(0), F.lit(0), F.lit(0)))
+    loops = boundary_loops(patch, points).groupBy("mesh").agg(F.count(F.lit(1)).alias("loops"), F.bool_and("simple").alias("simple"))
+    good = topology(patch).join(loops, "mesh").where((F.col("violations") == 0) & (F.col("euler") == 1) & (F.col("loops") == 1) & F.col("simple") & (F.col("vertices") >= least))
+    best = good.groupBy(F.col("mesh.mesh").alias("m")).agg(F.max("mesh.radius").alias("r")).select(F.struct(F.col("m").alias("mesh"), F.col("r").alias("radius")).alias("mesh"))
+    return patch.join(best, "mesh", "left_semi").select("mesh.mesh", "mesh.radius", "fid")
+
+
+def uv_quality(faces: DataFrame, uv: DataFrame) -> DataFrame:
+    """mesh, flipped and collapsed shares of the faces in the plane; the sign of most faces is right."""
+    at = corners(faces).join(uv, ["mesh", "vid"])
+    k = {n: F.max(F.when(F.col("corner") == i, F.struct("u", "v"))).alias(n) for i, n in enumerate("abc")}
+    rows = at.groupBy("mesh", "fid").agg(*k.values())
+    area = ((F.col("b.u") - F.col("a.u")) * (F.col("c.v") - F.col("a.v")) - (F.col("c.u") - F.col("a.u")) * (F.col("b.v") - F.col("a.v"))) / 2
+    rows = rows.select("mesh", area.alias("area"))
+    sign = rows.groupBy("mesh").agg(F.when(F.percentile("area", F.lit(0.5)) < 0, -1.0).otherwise(1.0).alias("sign"))
+    area = F.col("area") * F.col("sign")
+    return rows.join(sign, "mesh").groupBy("mesh").agg(F.avg((area < 0).cast("double")).alias("flipped"), F.avg((F.abs(area) <= 1e-12).cast("double")).alias("collapsed"))

@@ -107,3 +107,13 @@ def rates_above(scored: DataFrame, keys: list[str], thresholds: list[float]) ->
 
 def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def crop_score(cells: DataFrame, keys: list[str], level: float, interior: float) -> DataFrame:
+    """occupancy, interior and contrast of crops in one aggregate, and their sum as score."""
+    v = F.col("v")
+    rows = cells.groupBy(*keys).agg(
+        F.avg((v >= level).cast("double")).alias("occupancy"), F.avg((v >= interior).cast("double")).alias("interior"),
+        (F.percentile("v", F.lit(0.99)) - F.percentile("v", F.lit(0.5))).alias("contrast"),
+    )
+    return rows.withColumn("score", F.col("contrast") + F.col("interior") - F.abs(F.col("occupancy") - 0.3))

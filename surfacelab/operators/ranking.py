@@ -87,3 +87,8 @@ def lookup(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """ids with their record, and error where there is none."""
     found = ids.join(records.withColumn("__found", F.lit(True)), key, "left")
     return found.withColumn("error", F.when(F.col("__found").isNull(), F.concat(F.lit("no record "), F.col(key).cast("string")))).drop("__found")
+
+
+def choose(points: DataFrame, count: int, seed: int, key: str = "candidate_id") -> DataFrame:
+    """count rows without replacement, the same for the same seed: those of least hash of seed and key."""
+    return points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(count)

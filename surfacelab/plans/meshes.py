@@ -91,6 +91,24 @@ def q_tutte(spark, d):
     return M.tutte(f, v, 20).select("mesh", "vid", r6("u", "u"), r6("v", "v"))
 
 
+def q_uv_quality(spark, d):
+    v, f = parts(spark, d)
+    got = M.uv_quality(f, M.tutte(f, v, 10))
+    return got.select("mesh", r6("flipped", "flipped"), r6("collapsed", "collapsed"))
+
+
+def q_geodesic_disk(spark, d):
+    """The largest of four radii around each mesh's vertex nearest the middle that gives a disk."""
+    v, f = parts(spark, d)
+    used = M.referenced(v, f)
+    near = F.round(V.norm(V.sub(F.col("p"), V.vec(F.lit(3.5), F.lit(3.5), F.col("p.z")))), 9)
+    start = used.groupBy("mesh").agg(F.min_by("vid", F.struct(near, "vid")).alias("vid")).select(F.struct("mesh", "vid").alias("node"))
+    e = M.edge_lengths(f, v).select(F.struct("mesh", F.col("lo").alias("vid")).alias("a"), F.struct("mesh", F.col("hi").alias("vid")).alias("b"), "w")
+    distance = G.shortest_paths(start, e).select("node.mesh", "node.vid", "distance")
+    got = M.geodesic_disk(f, distance, [12.0, 9.6, 7.68, 6.144, 4.9152, 3.93216, 3.145728], 8)
+    return got.groupBy("mesh").agg(r6(F.first("radius"), "radius"), F.count(F.lit(1)).alias("faces"))
+
+
 def q_mesh_raster(spark, d):
     """Meshes drawn in the plane of their grid at four pixels a cell, with the height of the first face."""
     v, f = parts(spark, d)

@@ -255,6 +255,15 @@ def q_richness(spark, d):
     return m.select("tile", r6(2.0 * F.col("ct_nonzero") + F.col("ct_std") / 50 + (F.col("hi") - F.col("lo")) / 100, "combined"))
 
 
+def q_crop_score(spark, d):
+    got = metrics.crop_score(voxels(spark, d), ["vol"], 0.5, 0.55)
+    return got.select("vol", *[r6(k, k) for k in ("occupancy", "interior", "contrast", "score")])
+
+
+def q_choose(spark, d):
+    return ranking.choose(candidates(spark, d), 50, 7).select("candidate_id", r6("score", "score"))
+
+
 R3 = lambda v, n: ", ".join(f"round({x}, 6) + 0.0 AS {y}" for x, y in zip(v, n))
 CELL3 = "vol, z::BIGINT AS z, y::BIGINT AS y, x::BIGINT AS x"
 CELL2 = "tile, r::BIGINT AS r, c::BIGINT AS c"
@@ -328,6 +337,7 @@ HESSIAN = (
     "c AS (SELECT *, acos(greatest(-1.0, least(1.0, (bxx * (byy * bzz - byz * byz) - bxy * (bxy * bzz - byz * bxz) + bxz * (bxy * byz - byy * bxz)) / 2))) / 3 AS w FROM b),\n"
     "ev AS (SELECT vol, z, y, x, v, q + 2 * p * cos(w) AS e1, q + 2 * p * cos(w + 2 * pi() / 3) AS e3, 3 * q - (q + 2 * p * cos(w)) - (q + 2 * p * cos(w + 2 * pi() / 3)) AS e2 FROM c)"
 )
+SQL["q_crop_score"] = with_sql("vox") + ", a AS (SELECT vol, avg((v >= 0.5)::INT::DOUBLE) AS o, avg((v >= 0.55)::INT::DOUBLE) AS i, quantile_cont(v, 0.99) - quantile_cont(v, 0.5) AS c FROM vox GROUP BY vol) SELECT vol, round(o, 6) + 0.0 AS occupancy, round(i, 6) + 0.0 AS interior, round(c, 6) + 0.0 AS contrast, round(c + i - abs(o - 0.3), 6) + 0.0 AS score FROM a"
 SQL["q_hessian"] = with_sql("vox") + ",\n" + GRAD + ",\n" + HESSIAN + f" SELECT {CELL3}, round(e1, 5) + 0.0 AS e1, round(e2, 5) + 0.0 AS e2, round(e3, 5) + 0.0 AS e3 FROM ev"
 SQL["q_ridge"] = with_sql("vox") + ",\n" + GRAD + ",\n" + HESSIAN + ", l AS (SELECT vol, quantile_cont(CASE WHEN -e3 > 0 THEN -e3 END, 0.15) AS least FROM ev GROUP BY vol) SELECT ev.vol, count(*) AS n, round(max(-e3), 5) + 0.0 AS most FROM ev JOIN l ON ev.vol = l.vol WHERE v >= 0.15 AND (abs(e3) - abs(e2)) / (abs(e3) + 1e-6) >= 0.25 AND -e3 >= least GROUP BY ev.vol"
 

@@ -78,3 +78,17 @@ def test_auroc_counts_ties_half(spark):
     rows = [(0, 1, 2.0), (0, 0, 2.0), (0, 1, 3.0), (0, 0, 1.0)]
     r = metrics.auroc(spark.createDataFrame(rows, "k int, label int, score double"), ["k"]).first()
     assert r.auroc == pytest.approx(3.5 / 4) and math.isclose(r.mean_pos, 2.5)
+
+
+def test_geodesic_disk_takes_the_largest_radius_that_is_a_disk(spark):
+    from surfacelab.operators import rounds as G
+
+    g = sheet(spark, hole=True).withColumn("p", V.vec("c", "r", F.lit(0)))
+    v, f = M.grid_vertices(g, 9), M.grid_faces(g, 9)
+    e = M.edge_lengths(f, v).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w")
+    d = G.shortest_paths(spark.createDataFrame([(0,)], "node long"), e).select(F.lit(0).cast("long").alias("mesh"), F.col("node").alias("vid"), "distance")
+    got = M.geodesic_disk(f, d, [20.0, 4.2, 2.1], 4).collect()
+    assert {r.radius for r in got} == {4.2}
+    uv = v.select("mesh", "vid", F.col("p.x").alias("u"), F.col("p.y").alias("v"))
+    q = M.uv_quality(f, uv).first()
+    assert (q.flipped, q.collapsed) == (0.0, 0.0)
