@@ -125,7 +125,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     known = {v for vs in STOP_WORDS.values() for v in vs}
     return parts.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.size(w).cast("long").alias("n_words"),
+        # The zero is drawn at random, so that a filter on a measure isn't pushed below this projection,
+        # where the split into words would be worked out anew at each mention of a word.
+        (F.size(w) + F.floor(F.rand(0))).cast("long").alias("n_words"),
         F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size(F.filter(w, lambda v: v.isin(*sorted(known)))).cast("long").alias("n_stop_words"),
