@@ -6,21 +6,35 @@ DataFrame; it is written as Parquet and read again as the next stage's docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surfacelab.llm import bpe, mixing, quality_classifier, quality_rules, simhash
 from surfacelab.llm.shared import table, written
 
 
+#: Columns that an operator adds; a document's own column of such a name is set aside meanwhile.
+ADDED = {"n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept", "score", "predicted", *mixing.ADDED}
+
+
+def with_own_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) with the columns of docs as they were, those that an operator's names clash with too."""
+    name = {c: f"__own_{c}" if c.lower() in ADDED else c for c in docs.columns}
+    out = stage(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()]))
+    return out.select(*[F.col(f"`{n}`").alias(c) for c, n in name.items()])
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return with_own_columns(docs, lambda d: quality_rules.quality_rules(d).where("kept"))
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.7 or more; the model learns from the labels of docs."""
     model = quality_classifier.train(docs, quality_classifier.learnable_labels(spark, sf_dir))
-    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return with_own_columns(docs, lambda d: quality_classifier.score(d, model).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: toxic and low shares halved, the token total kept."""
-    return mixing.mix(docs, mixing.domain_labels(spark, sf_dir), factors=mixing.FACTORS)
+    labels = mixing.domain_labels(spark, sf_dir)
+    return with_own_columns(docs, lambda d: mixing.mix(d, labels, factors=mixing.FACTORS))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,12 @@ def test_run_with_odd_rows(spark, tmp_path, sf_dir):
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/empty/documents.parquet")
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert q.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_own_columns_of_clashing_names_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "concat('own ', doc_id) AS n_words", "doc_id AS Score", "-doc_id AS rate", "'x' AS kept")
+    for stage in (q.by_rules, q.by_classifier, q.near_duplicates, q.mixture):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r.n_words == f"own {r.doc_id}" and r.Score == r.doc_id and r.rate == -r.doc_id and r.kept == "x" for r in rows)
