@@ -4,10 +4,11 @@ Documents are range-partitioned and sorted by doc_id, encoded with a tokenizers
 blocks of whole documents (a longer document spans blocks of its own). Each block is coded with
 fresh statistics and carries its document table, place and checksum, so it can be read alone.
 
-An id is coded as four 4-bit digits. A digit's distribution mixes an adaptive order-0 model (that
-of the digits before it) with two predicted ids: the one that last followed the same two ids
-(order 2) and the same id (order 1). A prediction's share follows its recent success at that digit.
-All blocks of a batch take each digit's step together, in integer numpy arrays; encoder and
+An id is coded as one of 16 choices: the id that last followed the same two ids (order 2), the one
+that last followed the same id (order 1), one of 13 ids often met of late (order 0), or none of
+these, after which the id follows in two adaptive digits and 8 flat bits. The choice's distribution mixes two adaptive
+ones, of how often either prediction held lately together, and of the order-2 prediction alone. All blocks of a
+batch take each step together, in integer numpy arrays whose state stays small; encoder and
 decoder run the same model. The range has 48 bits and is refilled 16 bits at a time.
 
 The files are Parquet rows of (part, block), block being the binary format written by pack().
@@ -35,16 +36,17 @@ from pyspark.sql.window import Window
 from surfacelab.llm.shared import new_path, table, written
 
 MAGIC, HEAD, DOC = b"TCM1", struct.Struct("<4sIIIQQII"), struct.Struct("<qIB")
-BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 8192, 768, 300_000, 4_000_000
+BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 1024, 300_000, 4_000_000
 FIRST, LAST, NULL_ID = 1, 2, 4
 END_ID = 2
-#: Probabilities are of 2**14; shares of the predictions of 2**12; adaption rates are shifts.
-TOTAL_BITS, SHARE_BITS, RATE, TRUST_RATE, LEAST = 14, 12, 4, 4, 8
-TOTAL, SHARE = 1 << TOTAL_BITS, 1 << SHARE_BITS
-MOST_SHARE = SHARE * 7 // 16
-#: Order-0 contexts of the four digits: 1, 16, 256 and 4096, one after the other.
-LEVELS = (0, 1, 17, 273, 4369)
+#: Probabilities are of 2**14; the adaption rate is a shift; LEAST is any choice's share.
+TOTAL_BITS, RATE, LEAST = 14, 5, 8
+TOTAL = 1 << TOTAL_BITS
+ORDER_2, ORDER_1, RECENT, NONE = 0, 1, 2, 15
+PLACES = NONE - RECENT
 SLOTS_1, SLOTS_2, NO_ID = 1 << 11, 1 << 12, 0xFFFF
+#: Trust in a prediction: 0 where there is none, then 1 and up to 4 with each success.
+LEVELS = 5
 #: The byte-level pre-tokenizer's pattern (fixed value), white space written out.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE + r"]+"
@@ -59,68 +61,75 @@ class Mixer:
     """The model of many blocks at once; n falls as shorter blocks end (blocks are sorted by length)."""
 
     def __init__(self, lanes: int):
-        self.order0 = np.tile(_FLAT, (lanes * LEVELS[4], 1))
-        self.order1 = np.full(lanes * SLOTS_1, NO_ID, np.uint16)
-        self.order2 = np.full(lanes * SLOTS_2, NO_ID, np.uint16)
-        self.trust = np.full((4, 2, lanes), SHARE // 4, np.int32)
-        self.base0 = np.arange(lanes) * LEVELS[4]
-        self.base1, self.base2 = np.arange(lanes) * SLOTS_1, np.arange(lanes) * SLOTS_2
+        self.joint = np.tile(_FLAT, (lanes * LEVELS * LEVELS, 1))
+        self.single = np.tile(_FLAT, (lanes * LEVELS, 1))
+        self.seen = [np.full(lanes * k, NO_ID, np.uint16) for k in (SLOTS_1, SLOTS_2)]
+        self.trust = [np.zeros(lanes * k, np.uint8) for k in (SLOTS_1, SLOTS_2)]
+        self.high = np.tile(_FLAT, (lanes * 17, 1))
+        self.recent = np.full((lanes, PLACES), NO_ID, np.uint16)
+        self.lane = np.arange(lanes)
         self.before = np.zeros((2, lanes), np.int64)
 
     def start(self, n: int) -> None:
-        """Predictions for the next id of the first n lanes."""
-        p1, p2 = self.before[0, :n], self.before[1, :n]
-        self.slot1 = self.base1[:n] + ((p1 * 0x9E3B) >> 3 & SLOTS_1 - 1)
-        self.slot2 = self.base2[:n] + ((p1 * 0x9E3B + p2 * 0x1F35D) >> 5 & SLOTS_2 - 1)
-        self.ids = (self.order1[self.slot1].astype(np.int32), self.order2[self.slot2].astype(np.int32))
-        self.live = tuple(x != NO_ID for x in self.ids)
-        self.n, self.prefix = n, np.zeros(n, np.int64)
-
-    def distribution(self, depth: int) -> None:
-        """Row of the order-0 model, the predicted digits and their shares."""
-        n = self.n
-        self.row = self.base0[:n] + (LEVELS[depth] + self.prefix)
-        self.model = self.order0.take(self.row, axis=0)
-        self.digit = tuple((x >> (12 - 4 * depth)) & 15 for x in self.ids)
-        self.share = tuple(np.where(live, self.trust[depth, k, :n] * MOST_SHARE >> SHARE_BITS, 0) for k, live in enumerate(self.live))
-        self.rest = SHARE - self.share[0] - self.share[1]
-
-    def below(self, digit: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Mixed probability of the digits below digit, whose order-0 part is own."""
-        low = own.astype(np.int32) * self.rest >> SHARE_BITS
-        for d, share in zip(self.digit, self.share):
-            low += np.where(d < digit, share << (TOTAL_BITS - SHARE_BITS), 0)
-        return low
-
-    def bounds(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lane = np.arange(self.n)
-        low = self.below(digit, self.model[lane, digit])
-        above = np.where(digit == 15, np.int16(TOTAL), self.model[lane, np.minimum(digit + 1, 15)])
-        return low, self.below(digit + 1, above) - low
+        """Predictions for the next id of the first n lanes, and the choices' mixed distribution."""
+        p1, p2, lane = self.before[0, :n], self.before[1, :n], self.lane[:n]
+        self.n = n
+        self.slot = (lane * SLOTS_1 + ((p1 * 0x9E3B) >> 3 & SLOTS_1 - 1), lane * SLOTS_2 + ((p1 * 0x9E3B + p2 * 0x1F35D) >> 5 & SLOTS_2 - 1))
+        self.guess = [seen.take(slot) for seen, slot in zip(self.seen, self.slot)]
+        self.sure = [trust.take(slot) for trust, slot in zip(self.trust, self.slot)]
+        self.row_single = lane * LEVELS + self.sure[1]
+        self.row_joint = self.row_single * LEVELS + self.sure[0]
+        self.one, self.two = self.joint.take(self.row_joint, axis=0), self.single.take(self.row_single, axis=0)
+        self.mixed = (self.one + self.two) >> 1
+
+    def choose(self, ids: np.ndarray) -> np.ndarray:
+        """The choice that names each id: the first that holds."""
+        met = self.recent[: self.n] == ids[:, None]
+        choice = np.where(met.any(axis=1), RECENT + met.argmax(axis=1), NONE)
+        choice = np.where(self.guess[0] == ids, ORDER_1, choice)
+        return np.where(self.guess[1] == ids, ORDER_2, choice)
+
+    def named(self, choice: np.ndarray) -> np.ndarray:
+        """The id that a choice names; what it gives for NONE is replaced."""
+        place = np.minimum(np.maximum(choice - RECENT, 0), PLACES - 1)
+        ids = self.recent[self.lane[: self.n], place]
+        return np.where(choice == ORDER_2, self.guess[1], np.where(choice == ORDER_1, self.guess[0], ids)).astype(np.int64)
+
+    def digit(self, row: np.ndarray, digit: np.ndarray | None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digit, below, share) of a digit of an unknown id, given or found by at; its row learns it."""
+        model = self.high.take(row, axis=0)
+        if digit is None:
+            digit = (model[:, 1:] <= at[:, None]).sum(axis=1)
+        k = np.arange(len(row))
+        low = model[k, digit].astype(np.int64)
+        above = np.where(digit == 15, TOTAL, model[k, np.minimum(digit + 1, 15)])
+        self.high[row] = model + (_TARGET.take(digit, axis=0) - model >> RATE)
+        return digit, low, above - low
+
+    def bounds(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lane = self.lane[: self.n]
+        low = self.mixed[lane, choice].astype(np.int64)
+        above = np.where(choice == NONE, TOTAL, self.mixed[lane, np.minimum(choice + 1, NONE)])
+        return low, above - low
 
     def find(self, at: np.ndarray) -> np.ndarray:
-        """The digit whose mixed interval holds at."""
-        low = self.model[:, 1:].astype(np.int32) * self.rest[:, None] >> SHARE_BITS
-        steps = _STEPS[None, 1:]
-        for d, share in zip(self.digit, self.share):
-            low += np.where(d[:, None] < steps, (share << (TOTAL_BITS - SHARE_BITS))[:, None], 0)
-        return (low <= at[:, None]).sum(axis=1)
-
-    def learn(self, depth: int, digit: np.ndarray) -> None:
-        self.order0[self.row] = self.model + (_TARGET[digit] - self.model >> RATE)
-        live = []
-        for k, (d, on) in enumerate(zip(self.digit, self.live)):
-            hit = d == digit
-            trust = self.trust[depth, k, : self.n]
-            trust += np.where(on, (np.where(hit, SHARE - 1, 0) - trust) >> TRUST_RATE, 0)
-            live.append(on & hit)
-        self.live = tuple(live)
-        self.prefix = self.prefix << 4 | digit
-
-    def finish(self, ids: np.ndarray) -> None:
-        self.order1[self.slot1] = ids
-        self.order2[self.slot2] = ids
-        n = self.n
+        """The choice whose mixed interval holds at."""
+        return (self.mixed[:, 1:] <= at[:, None]).sum(axis=1)
+
+    def learn(self, choice: np.ndarray, ids: np.ndarray) -> None:
+        n, target = self.n, _TARGET.take(choice, axis=0)
+        self.joint[self.row_joint] = self.one + (target - self.one >> RATE)
+        self.single[self.row_single] = self.two + (target - self.two >> RATE)
+        for seen, trust, slot, guess, sure in zip(self.seen, self.trust, self.slot, self.guess, self.sure):
+            held = guess == ids
+            trust[slot] = np.where(held, np.minimum(sure + 1, LEVELS - 1), 1)
+            seen[slot] = ids
+        # A place that held moves up by one; an unknown id takes the last place.
+        up = np.nonzero((choice > RECENT) & (choice < NONE))[0]
+        k = choice[up] - RECENT
+        self.recent[up, k], self.recent[up, k - 1] = self.recent[up, k - 1], self.recent[up, k]
+        new = np.nonzero(choice == NONE)[0]
+        self.recent[new, PLACES - 1] = ids[new]
         self.before[1, :n] = self.before[0, :n]
         self.before[0, :n] = ids
 
@@ -137,34 +146,48 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
     if not len(sizes) or not sizes[0]:
         return [b""] * len(blocks)
     lanes, steps = len(order), int(sizes[0])
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.uint16)
     for k, i in enumerate(order):
         ids[: sizes[k], k] = blocks[i]
     mixer = Mixer(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    words, used = np.zeros((lanes, 4 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
-    few, low32 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
+    words, used = np.zeros((lanes, steps + 16), np.uint32), np.zeros(lanes, np.int64)
+    few, low32, refill, eight = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(8)
 
     def shift(lane: np.ndarray) -> None:
         words[lane, used[lane]] = low[lane] >> np.uint64(32)
         used[lane] += 1
-        low[lane] = (low[lane] & low32) << np.uint64(16)
+        low[lane] = (low[lane] & low32) << refill
 
     for t, n in enumerate(_active(sizes)):
+        if t % 8 == 0 and used[:n].max() + 32 > words.shape[1]:
+            words = np.concatenate([words, np.zeros((lanes, steps // 4 + 64), np.uint32)], axis=1)
         mixer.start(n)
-        now = ids[t, :n]
-        for depth in range(4):
-            digit = now >> (12 - 4 * depth) & 15
-            mixer.distribution(depth)
-            below, share = mixer.bounds(digit)
-            unit = width[:n] >> np.uint64(TOTAL_BITS)
-            low[:n] += unit * below.astype(np.uint64)
-            width[:n] = unit * share.astype(np.uint64)
-            small = np.nonzero(width[:n] < few)[0]
+        now = ids[t, :n].astype(np.int64)
+        choice = mixer.choose(now)
+        below, share = mixer.bounds(choice)
+        unit = width[:n] >> np.uint64(TOTAL_BITS)
+        low[:n] += unit * below.astype(np.uint64)
+        width[:n] = unit * share.astype(np.uint64)
+        small = np.nonzero(width[:n] < few)[0]
+        shift(small)
+        width[small] <<= refill
+        flat = np.nonzero(choice == NONE)[0]
+        first, row = now[flat] >> 12, flat * 17
+        for digit, at in ((first, row), (now[flat] >> 8 & 15, row + 1 + first)):
+            _, below, share = mixer.digit(at, digit)
+            unit = width[flat] >> np.uint64(TOTAL_BITS)
+            low[flat] += unit * below.astype(np.uint64)
+            width[flat] = unit * share.astype(np.uint64)
+            small = flat[width[flat] < few]
             shift(small)
-            width[small] <<= np.uint64(16)
-            mixer.learn(depth, digit)
-        mixer.finish(now)
+            width[small] <<= refill
+        width[flat] >>= eight
+        low[flat] += width[flat] * (now[flat] & 255).astype(np.uint64)
+        small = flat[width[flat] < few]
+        shift(small)
+        width[small] <<= refill
+        mixer.learn(choice, now)
     for _ in range(3):
         shift(np.arange(lanes))
     # Words hold a carry above 16 bits; it belongs to the word before.
@@ -184,32 +207,47 @@ def expand(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     if not len(count) or not count[0]:
         return [np.zeros(0, np.int64) for _ in coded]
     lanes, steps = len(order), int(count[0])
-    words = np.zeros((lanes, max(len(c) for c in coded) // 2 + 1), np.uint64)
+    words = np.zeros((lanes, max(len(c) for c in coded) // 2 + 4), np.uint16)
     for k, i in enumerate(order):
         w = np.frombuffer(coded[i], "<u2")
         words[k, : len(w)] = w
-    ids, mixer, used = np.zeros((steps, lanes), np.int64), Mixer(lanes), np.full(lanes, 3, np.int64)
-    value = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]
-    width, few = np.full(lanes, 1 << 48, np.uint64), np.uint64(1 << 32)
+    ids, mixer, used = np.zeros((steps, lanes), np.uint16), Mixer(lanes), np.full(lanes, 3, np.int64)
+    value = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64) << np.uint64(16) | words[:, 2]
+    width, few, refill, eight = np.full(lanes, 1 << 48, np.uint64), np.uint64(1 << 32), np.uint64(16), np.uint64(8)
+
+    def fill(lane: np.ndarray) -> None:
+        value[lane] = value[lane] << refill | words[lane, used[lane]]
+        used[lane] += 1
+        width[lane] <<= refill
+
     for t, n in enumerate(_active(count)):
         mixer.start(n)
-        for depth in range(4):
-            mixer.distribution(depth)
-            unit = width[:n] >> np.uint64(TOTAL_BITS)
-            digit = mixer.find((value[:n] // unit).astype(np.int32))
-            below, share = mixer.bounds(digit)
-            value[:n] -= unit * below.astype(np.uint64)
-            width[:n] = unit * share.astype(np.uint64)
-            small = np.nonzero(width[:n] < few)[0]
-            value[small] = value[small] << np.uint64(16) | words[small, used[small]]
-            used[small] += 1
-            width[small] <<= np.uint64(16)
-            mixer.learn(depth, digit)
-        mixer.finish(mixer.prefix)
-        ids[t, :n] = mixer.prefix
+        unit = width[:n] >> np.uint64(TOTAL_BITS)
+        choice = mixer.find((value[:n] // unit).astype(np.int32))
+        below, share = mixer.bounds(choice)
+        value[:n] -= unit * below.astype(np.uint64)
+        width[:n] = unit * share.astype(np.uint64)
+        fill(np.nonzero(width[:n] < few)[0])
+        now = mixer.named(choice)
+        flat = np.nonzero(choice == NONE)[0]
+        top = np.zeros(len(flat), np.int64)
+        for depth in range(2):
+            unit = width[flat] >> np.uint64(TOTAL_BITS)
+            digit, below, share = mixer.digit(flat * 17 + (1 + top if depth else 0), None, (value[flat] // unit).astype(np.int32))
+            value[flat] -= unit * below.astype(np.uint64)
+            width[flat] = unit * share.astype(np.uint64)
+            fill(flat[width[flat] < few])
+            top = top << 4 | digit
+        width[flat] >>= eight
+        got = value[flat] // width[flat]
+        value[flat] -= got * width[flat]
+        now[flat] = top << 8 | got.astype(np.int64)
+        fill(flat[width[flat] < few])
+        mixer.learn(choice, now)
+        ids[t, :n] = now
     out: list = [None] * len(coded)
     for k, i in enumerate(order):
-        out[i] = ids[: count[k], k].copy()
+        out[i] = ids[: count[k], k].astype(np.int64)
     return out
 
 
