@@ -36,7 +36,9 @@ from pyspark.sql.window import Window
 from surfacelab.llm.shared import new_path, table, written
 
 MAGIC, HEAD, DOC = b"TCM1", struct.Struct("<4sIIIQQII"), struct.Struct("<qIB")
-BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 1024, 300_000, 4_000_000
+BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 1024, 150_000, 1_000_000
+#: Rows turned into Python objects and new words given to the library at once.
+ROWS, NEW_WORDS = 256, 20_000
 FIRST, LAST, NULL_ID = 1, 2, 4
 END_ID = 2
 #: Probabilities are of 2**14; the adaption rate is a shift; LEAST is any choice's share.
@@ -299,10 +301,11 @@ class Encoder:
         whole = [any(s in t for s in self.special) for t in texts]
         split = [[] if w else self.split.findall(t) for t, w in zip(texts, whole)]
         new = sorted(set().union(*split).difference(self.codes)) if split else []
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        for k in range(0, len(new), NEW_WORDS):
+            part = new[k : k + NEW_WORDS]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             counts = np.fromiter(map(len, got), np.int64, len(got))
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+            self.codes.update(zip(part, range(len(self.codes), len(self.codes) + len(part))))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum()))])
@@ -349,16 +352,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
         def documents():
             for b in batches:
-                numbers, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-                at = 0
-                while at < len(texts):
-                    stop, size = at, 0
-                    while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK_CHARS):
-                        size += len(texts[stop])
-                        stop += 1
-                    for i, ids in zip(numbers[at:stop], encoder.encode(texts[at:stop])):
-                        yield i, np.append(ids, end_id)
-                    at = stop
+                for first in range(0, b.num_rows, ROWS):
+                    rows = b.slice(first, ROWS)
+                    numbers, texts = rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
+                    at = 0
+                    while at < len(texts):
+                        stop, size = at, 0
+                        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK_CHARS):
+                            size += len(texts[stop])
+                            stop += 1
+                        for i, ids in zip(numbers[at:stop], encoder.encode(texts[at:stop])):
+                            yield i, np.append(ids, np.int32(end_id))
+                        at = stop
 
         def out(held):
             packed = [pack(rows, place, ordinal, len(ids), w) for (rows, place, ordinal, ids), w in zip(held, compress([h[3] for h in held]))]
