@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, quality classifier, SimHash near-duplicates, mixing, BPE.
+"""A corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; it is written as Parquet and read again as the next stage's docs.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacelab.llm import bpe, mixing, quality_classifier, quality_rules, simhash
+from surfacelab.llm import bpe, mixing, quality_classifier, quality_rules, shingle_join, simhash
 from surfacelab.llm.shared import table, written
 
 
@@ -38,10 +38,15 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group."""
+    """The document of smallest doc_id of each group by op4's measure, which holds copies and very near copies alone."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group linked by 0.8 or more of the 5-word shingles."""
+    return shingle_join.keep_one(docs).select(*docs.columns)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: toxic and low shares halved, the token total kept."""
     labels = mixing.domain_labels(spark, sf_dir)
@@ -56,7 +61,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", by_rules),
     ("quality_classifier", by_classifier),
-    ("simhash_near_dedup", near_duplicates),
+    ("simhash_near_dedup", near_copies),
     ("mixing", mixture),
     ("bpe", encoding),
 ]
