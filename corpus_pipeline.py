@@ -26,14 +26,19 @@ def with_own_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -
     return out.select(*[F.col(f"`{n}`").alias(c) for c, n in name.items()])
 
 
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that the stages' models learn from: the whole table, as stages before remove most of one class."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
     return with_own_columns(docs, lambda d: quality_rules.quality_rules(d).where("kept"))
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.7 or more; the model learns from the labels of docs."""
-    model = quality_classifier.train(docs, quality_classifier.learnable_labels(spark, sf_dir))
+    """Documents whose quality score is 0.7 or more; the model learns from all labelled documents, the rejected ones too."""
+    model = quality_classifier.train(labelled_texts(spark, sf_dir), quality_classifier.learnable_labels(spark, sf_dir))
     return with_own_columns(docs, lambda d: quality_classifier.score(d, model).where("predicted = 1"))
 
 
@@ -49,8 +54,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: toxic and low shares halved, the token total kept."""
-    labels = mixing.domain_labels(spark, sf_dir)
-    return with_own_columns(docs, lambda d: mixing.mix(d, labels, factors=mixing.FACTORS))
+    labels, learned = mixing.domain_labels(spark, sf_dir), labelled_texts(spark, sf_dir)
+    return with_own_columns(docs, lambda d: mixing.mix(d, labels, factors=mixing.FACTORS, learned=learned))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

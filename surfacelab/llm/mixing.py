@@ -196,9 +196,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", "copies")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None) -> DataFrame:
-    """docs, each row as many times as its copies. Texts are scored twice so as not to be shuffled."""
-    model = train(docs, labelled)
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """docs, each row as many times as its copies. Texts are scored twice so as not to be shuffled.
+
+    The classifier learns from the texts of learned (doc_id, text), of docs by default.
+    """
+    model = train(docs if learned is None else learned, labelled)
     members = written(memberships(docs.select("doc_id", "text"), model).drop("text"), "memberships")
     plan = solve(members, model.domains, targets, factors)
     rated = with_rates(memberships(docs, model), plan)
