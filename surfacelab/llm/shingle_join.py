@@ -31,6 +31,8 @@ from surfacelab.llm.simhash import SEED, shingle_hashes
 
 WORDS, PERCENT = 5, 80
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 20_000, 200_000
+#: Bits of the bitmap of the nodes to verify.
+SLOTS = 1 << 24
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -72,25 +74,55 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: in
     return hashes[np.argsort(rank, kind="stable")[: n + (-n * percent // 100) + 1]]
 
 
-def sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (digest of the set), n, shingles (the set's bytes), prefix of docs (doc_id, text)."""
+def _node(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, SEED)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, node (digest of the set), n, prefix of docs (doc_id, text)."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches):
         for b in batches:
             found = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            raw = [s.tobytes() for s in found]
-            node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
+            node = np.array([_node(s.tobytes()) for s in found], np.uint64).view(np.int64)
             first = pa.array([prefix(s, often.value, percent).view(np.int64) for s in found], pa.list_(pa.int64()))
             n = pa.array([len(s) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), n, pa.array(raw, pa.binary()), first], ["doc_id", "node", "n", "shingles", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), n, first], ["doc_id", "node", "n", "prefix"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+
+
+def sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """node, shingles (the set's bytes) of nodes and a few more: a bitmap of bounded size says which texts to take."""
+    slots = nodes.select(F.col("node").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    bitmap = np.zeros(SLOTS, bool)
+    bitmap[slots] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def run(batches):
+        for b in batches:
+            node, raw = [], []
+            for t in b.column("text"):
+                r = shingle_set(t.as_py(), words).tobytes()
+                k = _node(r)
+                at = k & (SLOTS - 1)
+                if wanted.value[at >> 3] >> (7 - (at & 7)) & 1:
+                    node.append(k)
+                    raw.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(raw, pa.binary())], ["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n int, shingles binary, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar."""
+    pairs = written(pairs, "shingle-pairs")
+    nodes = written(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), words), "shingle-sets")
 
     def run(batches):
         for b in batches:
@@ -98,32 +130,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array([similar(p, q, percent) for p, q in zip(x, y)], pa.bool_()))
 
     full = pairs.join(nodes.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return written(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "shingle-links")
 
 
-def links(each: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b links among distinct sets whose components are those of "similarity percent or more"."""
     entries = each.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("bucket")).repartition("bucket")
     least = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.min_by("n", "node").alias("least_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(entries.join(least, "bucket"), "shingle-buckets")
-    nodes = written(each.join(shared.select("node").distinct(), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingle-sets")
     stars = shared.where("node <> least").where(f"least(n, least_n) * 100 >= {percent} * greatest(n, least_n)").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = written(_verified(stars, nodes, percent), "shingle-stars")
-    roots = components(first)
-    named = shared.select("bucket", "node", "n").join(roots.distinct(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = _verified(stars, docs, words, percent)
+    named = shared.select("bucket", "node", "n").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_ = written(named.join(mixed, "bucket"), "shingle-open")
-    x, y = (open_.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "xy")
+    still = written(named.join(mixed, "bucket"), "shingle-open")
+    x, y = (still.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "xy")
     met = x.join(y, "bucket").where("nodex < nodey AND rootx <> rooty").where(f"least(nx, ny) * 100 >= {percent} * greatest(nx, ny)")
     pairs = met.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
-    return first.unionByName(_verified(pairs, nodes, percent))
+    return first.unionByName(_verified(pairs, docs, words, percent))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable by links) of docs (doc_id, text)."""
-    each = written(sets(docs, words, percent), "shingles")
+    each = written(prefixes(docs, words, percent), "shingles")
     classes = each.groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = components(links(each, percent))
+    roots = components(links(each, docs, words, percent))
     named = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return each.select("doc_id", "node").join(named.join(best, "root").select("node", "component_id"), "node").drop("node")
