@@ -1,4 +1,4 @@
-"""Operator 1, token ids in files: an adaptive context-mixing range coder over independent blocks.
+"""Operator 1, token ids in files: a range coder of averaged adaptive predictions over independent blocks.
 
 Documents are range-partitioned and sorted by doc_id, encoded with a tokenizers file and cut into
 blocks of whole documents (a longer document spans blocks of its own). Each block is coded with
@@ -6,8 +6,8 @@ fresh statistics and carries its document table, place and checksum, so it can b
 
 An id is coded as one of 16 choices: the id that last followed the same two ids (order 2), the one
 that last followed the same id (order 1), one of 13 ids often met of late (order 0), or none of
-these, after which the id follows in two adaptive digits and 8 flat bits. The choice's distribution mixes two adaptive
-ones, of how often either prediction held lately together, and of the order-2 prediction alone. All blocks of a
+these, after which the id follows in two adaptive digits and 8 flat bits. The choice's distribution is the mean, of fixed
+equal weights that don't adapt, of two adaptive ones, of how often either prediction held lately together, and of the order-2 prediction alone. All blocks of a
 batch take each step together, in integer numpy arrays whose state stays small; encoder and
 decoder run the same model. The range has 48 bits and is refilled 16 bits at a time.
 
