@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import table
+from surfacelab.llm.shared import others, table, with_text
 
 #: White space as the vocabulary's split pattern has it (fixed values).
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -222,8 +222,8 @@ def _chunks(texts: list[str]):
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns of docs (all by default) with ids (array of int) and decoded (string)."""
-    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("ids", "decoded")]
-    rows = docs.select(*[docs[c] for c in carried], docs[text].cast("string").alias("__text"))
+    carried = [c for c in others(docs, ("ids", "decoded")) if carry is None or c in carry]
+    rows, name = with_text(docs, carried, text)
 
     def run(batches):
         model = Bpe(vocabulary)
@@ -237,7 +237,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", carry: l
                 columns = [part.column(i) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, lists, model.decode(ids, ends).cast(pa.string())], [*carried, "ids", "decoded"])
 
-    schema = rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    schema = rows.drop(name).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return rows.mapInArrow(run, schema)
 
 

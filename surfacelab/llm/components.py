@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacelab.llm.shared import written
+from surfacelab.llm.shared import new_path, remove, written_to
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -34,15 +34,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Null ends and links of a node to itself are left out; repeated links count once.
     """
-    now = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
+    spark = links.sparkSession
+    path = new_path(spark, "links")
+    now = written_to(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), path)
 
     def sign(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
     last = sign(now)
     while last[0]:
-        now = written(_small_star(_large_star(now)), "links")
-        new = sign(now)
+        ahead = new_path(spark, "links")
+        now = written_to(_small_star(_large_star(now)), ahead)
+        remove(spark, path)
+        path, new = ahead, sign(now)
         if new == last:
             break
         last = new

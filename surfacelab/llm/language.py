@@ -5,14 +5,14 @@ that script; each of them scores the word by the log frequencies of its letter n
 word itself. The best path over a text's words, at a penalty for each switch of language, labels spans;
 the language with most words is the text's, its share of words the score.
 
-Counts come from a bounded sample: sample_docs texts of at most sample_bytes bytes, shared among the
+Counts come from a bounded sample: sample_docs texts of at most sample_bytes bytes (and total_bytes together), shared among the
 languages, chosen by a hash of the id. Labelling reads every whole text; all texts of a batch
 take their steps together, so a step is one array operation.
 
 Cases: null text, or text without a letter, is und with score 0 and no spans; rows with a null
-language are labelled but not learned from; with no language learned all texts are und; ties go
+language or id are labelled but not learned from, and a repeated id counts once; a very long text is labelled alone, with a few arrays of its number of words; with no language learned all texts are und; ties go
 to the language that sorts first; repeated rows are labelled alike; an empty table gives an empty
-result; columns of the input are carried, except lang_pred, score and spans, which are replaced.
+result; columns of the input are carried under their names, except lang_pred, score and spans, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surfacelab.llm.quality_classifier import held_out
-from surfacelab.llm.shared import table
+from surfacelab.llm.shared import labelled_sample, others, table, with_text
 
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 200_000
+SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES = 4000, 200_000, 48_000_000
 GRAMS, BUCKET_BITS, SWITCH, WORD_LIMIT = (2, 3, 4), 18, 12.0, 6.0
 CHUNK_SCORES, KNOWN_WORDS = 8_000_000, 300_000
 
@@ -177,24 +177,17 @@ class Labeller:
         return [label[a : a + n] for a, n in zip(starts, sizes)]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Model:
     """A model from rows (doc_id, text, lang)."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return fit([])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample_docs / len(counts) / n)).otherwise(share)
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where((place < share) & (F.octet_length("text") <= sample_bytes)).select("lang", "text")
-    return fit([(r.lang, r.text) for r in sample.collect()])
+    rows = docs.select("doc_id", "text", F.col("lang").alias("label"))
+    n = max(1, rows.agg(F.count_distinct("label")).first()[0])
+    return fit(labelled_sample(rows, None, -(-sample_docs // n), sample_bytes, total_bytes // n))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and spans (word counts and languages in order)."""
-    carried = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "spans")]
-    rows = docs.select(*[docs[c] for c in carried], docs[text].cast("string").alias("__text"))
+    carried = others(docs, ("lang_pred", "score", "spans"))
+    rows, name = with_text(docs, carried, text)
     span = pa.list_(pa.struct([("words", pa.int32()), ("lang", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -217,7 +210,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], [*carried, "lang_pred", "score", "spans"])
 
     spans = T.ArrayType(T.StructType([T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    return rows.mapInArrow(run, rows.drop("__text").schema.add("lang_pred", "string").add("score", T.DoubleType()).add("spans", spans))
+    return rows.mapInArrow(run, rows.drop(name).schema.add("lang_pred", "string").add("score", T.DoubleType()).add("spans", spans))
 
 
 def _chunks(texts: list[str | None], most: int):

@@ -7,13 +7,15 @@ for each domain, cut at 0, so a few numbers give the rates wherever they are nee
 the written (tokens, posterior) table that sends back the domains' totals and Gram matrix, and moves
 the weights by the preconditioned residuals. Tokens are words separated by white space.
 
-Fitting reads a bounded sample: sample_per_domain labelled rows of each domain, of at most sample_bytes bytes. Posteriors, totals and rates cover all documents.
+Fitting reads a bounded sample: sample_per_domain labelled documents of each domain, of at most sample_bytes bytes each and
+total_bytes a domain. Posteriors, totals and rates cover all documents. The targets hold for the expected totals, which are
+sums over rates; copies drawn from the rates meet them but for the draw, which a few very long documents can shift by a percent or two.
 
-Cases: null or empty text has no tokens and the posterior of a text without known words; null ids
-and domains aren't learned from; repeated rows and ties get equal rates, the copies of a row
+Cases: null or empty text has no tokens and the posterior of a text without known words; of a very long text its set of
+words is held besides; null ids and domains aren't learned from, and a repeated id counts once; repeated rows and ties get equal rates, the copies of a row
 depend on its id alone; with no labelled row there is one domain, "all"; targets of domains that no
 label has are left out, the others keep their proportions; an empty table gives an empty result;
-columns of the input are carried, except those that the operator adds, which are replaced.
+columns of the input are carried under their names, except those that the operator adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import labelled_sample, table, written
+from surfacelab.llm.shared import column, labelled_sample, others, table, unused, with_text, written
 
-SAMPLE_PER_DOMAIN, SAMPLE_BYTES, VOCABULARY = 1500, 100_000, 20_000
+SAMPLE_PER_DOMAIN, SAMPLE_BYTES, TOTAL_BYTES, VOCABULARY = 1500, 100_000, 24_000_000, 20_000
 ROUNDS, TOLERANCE = 80, 1e-5
 #: Keeps the solver's matrix regular, as a share of the token total.
 PULL = 1e-12
@@ -78,10 +80,10 @@ def fit(rows: list[tuple[str, str]], rounds: int = 80, ridge: float = 1.0) -> Cl
     return Classifier(domains, words, w, b)
 
 
-def train(docs: DataFrame, labelled: DataFrame, sample_per_domain: int = SAMPLE_PER_DOMAIN, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
+def train(docs: DataFrame, labelled: DataFrame, sample_per_domain: int = SAMPLE_PER_DOMAIN, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Classifier:
     """A classifier from docs (doc_id, text) and a labelled table (doc_id, domain)."""
     labels = labelled.select("doc_id", F.col("domain").alias("label"))
-    return fit(labelled_sample(docs, labels, sample_per_domain, sample_bytes))
+    return fit(labelled_sample(docs, labels, sample_per_domain, sample_bytes, total_bytes))
 
 
 @dataclass(frozen=True)
@@ -102,8 +104,8 @@ def _posteriors(column: pa.Array, k: int) -> np.ndarray:
 
 def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """docs with n_tokens and posterior (array in the order of the model's domains)."""
-    carried = [c for c in docs.columns if c.lower() not in ADDED]
-    rows = docs.select(*[docs[c] for c in carried], docs[text].cast("string").alias("__text"))
+    carried = others(docs, ADDED)
+    rows, name = with_text(docs, carried, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -112,7 +114,7 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
             n, p = pa.array([x[0] for x in got], pa.int64()), pa.array([x[1].tolist() for x in got], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, p], [*carried, "n_tokens", "posterior"])
 
-    return rows.mapInArrow(run, rows.drop("__text").schema.add("n_tokens", T.LongType()).add("posterior", T.ArrayType(T.DoubleType())))
+    return rows.mapInArrow(run, rows.drop(name).schema.add("n_tokens", T.LongType()).add("posterior", T.ArrayType(T.DoubleType())))
 
 
 def _totals(members: DataFrame, k: int, weigh) -> np.ndarray:
@@ -233,4 +235,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     members = written(memberships(docs.select("doc_id", "text"), model).drop("text"), "memberships")
     plan = solve(members, model.domains, targets, factors)
     rated = with_rates(memberships(docs, model), plan)
-    return rated.select(*docs.columns, F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END")).alias("__copy")).drop("__copy")
+    copy = unused(docs.columns, "copy_")
+    return rated.select(*map(column, docs.columns), F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END")).alias(copy)).drop(copy)

@@ -5,13 +5,14 @@ dictionary, not the text before, decides the size. The size with the bad one les
 the good one, for each byte of text, becomes a probability by logistic calibration on labelled
 rows that the dictionaries haven't seen.
 
-Fitting reads a bounded sample: at most sample_per_class labelled rows of each class, in the order
-of a hash of their id, of texts of at most sample_bytes bytes. Scoring reads every whole text.
+Fitting reads a bounded sample: at most sample_per_class labelled documents of each class, in the order
+of a hash of their id, of texts of at most sample_bytes bytes and total_bytes bytes a class together. Scoring reads every whole text.
 
-Cases: null or empty text has difference 0 and so one fixed score; labels other than 0 and 1, null
-ids and ids with both labels are not learned from; with one class alone or no labels every score is the
+Cases: null or empty text has difference 0 and so one fixed score; a very long text is scored block by block, so
+only the text itself is held; labels other than 0 and 1, null
+ids and ids with both labels are not learned from, and a repeated id counts once; with one class alone or no labels every score is the
 smoothed share of label 1; ties and repeated rows are scored alike; an empty table gives an empty
-result; columns of the input are carried, except score and predicted, which are replaced.
+result; columns of the input are carried under their names, except score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import labelled_sample, table
+from surfacelab.llm.shared import labelled_sample, others, table, with_text
 
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 200_000
+SAMPLE_PER_CLASS, SAMPLE_BYTES, TOTAL_BYTES = 1500, 200_000, 24_000_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 3
 
 
@@ -92,10 +93,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, label)."""
     got: dict[int, list[str]] = {0: [], 1: []}
-    for label, text in labelled_sample(docs, labels.where("label IN (0, 1)"), sample_per_class, sample_bytes):
+    for label, text in labelled_sample(docs, labels.where("label IN (0, 1)"), sample_per_class, sample_bytes, total_bytes):
         if text:
             got[label].append(text)
     n = {k: len(v) for k, v in got.items()}
@@ -111,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score (probability of label 1) and predicted."""
-    carried = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    rows = docs.select(*[docs[c] for c in carried], docs[text].cast("string").alias("__text"))
+    carried = others(docs, ("score", "predicted"))
+    rows, name = with_text(docs, carried, text)
 
     def run(batches):
         scorer = Scorer(model)
@@ -120,7 +121,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             d = np.array([scorer.difference(t.as_py()) for t in b.column(b.num_columns - 1)], float)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scorer.score(d))], [*carried, "score"])
 
-    schema = rows.drop("__text").schema.add("score", T.DoubleType())
+    schema = rows.drop(name).schema.add("score", T.DoubleType())
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -1,23 +1,23 @@
-"""Where operators put tables that several executors read: the folder in spark.checkpoint.dir."""
+"""What the operators share: the shared folder, names of columns, and bounded samples of labelled texts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder, spark.checkpoint.dir; a local session (tests) that names none gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -27,33 +27,75 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet below the shared folder and read again: lineage ends at the files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_to(df, new_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that no later result reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> list[tuple]:
-    """(label, text) of at most so many rows of each label, in the order of a hash of the id.
+def column(name: str) -> Column:
+    """A top-level column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
-    Ids are chosen first, from labels (doc_id, label) whose document exists, without any text;
-    then the chosen few are looked up, so what is broadcast and collected is bounded by the
-    parameters. Texts above most_bytes bytes and null texts are left out.
+def others(df: DataFrame, names) -> list[str]:
+    """The columns of df but those of the given names (in any case), which an operator replaces."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def unused(columns, name: str) -> str:
+    """name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_text(df: DataFrame, carried: list[str], text: str) -> tuple[DataFrame, str]:
+    """The carried columns and, last, the text as a string under a name that none of them has."""
+    name = unused(carried, "text_")
+    return df.select(*[column(c) for c in carried], column(text).cast("string").alias(name)), name
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, most: int, most_bytes: int, total_bytes: int) -> list[tuple]:
+    """(label, text) of at most `most` rows and total_bytes bytes of each label, in the order of a hash of the id.
+
+    labels has doc_id and label; without it docs has the label itself. Rows are chosen by id and size
+    first, with no text in the shuffle; then the chosen few are looked up. An id counts once however
+    often it is repeated (its shortest text is taken); null ids, labels and texts, and texts above most_bytes, are left out.
     """
-    ids = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
-    names = sorted(r.label for r in ids.select("label").distinct().collect())
-    chosen = []
-    for name in names:
-        first = ids.where(F.col("label") == F.lit(name)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen += [(r.doc_id, name) for r in first.select("doc_id").collect()]
+    own = [] if labels is not None else ["label"]
+    sizes = docs.select("doc_id", *own, F.octet_length("text").alias("bytes")).where(F.col("doc_id").isNotNull() & (F.col("bytes") <= most_bytes))
+    sizes = (sizes if labels is None else sizes.join(labels.select("doc_id", "label").distinct(), "doc_id")).where("label IS NOT NULL")
+    counts = {r.label: r.n for r in sizes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # A draw of about twice as many as wanted, so that no sort sees more than a few times the bound.
+    share = F.coalesce(*[F.when(F.col("label") == F.lit(label), F.lit(min(1.0, (2 * most + 100) / n))) for label, n in counts.items()])
+    drawn = sizes.where(place < share).groupBy("doc_id", "label").agg(F.min("bytes").alias("bytes"))
+    order = Window.partitionBy("label").orderBy(place, "doc_id")
+    ranked = drawn.select("doc_id", "label", "bytes", F.row_number().over(order).alias("k"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    chosen = ranked.where((F.col("k") <= most) & (F.col("so_far") <= total_bytes)).select("doc_id", "label", "bytes", "k").collect()
     if not chosen:
         return []
-    few = docs.sparkSession.createDataFrame(chosen, labels.select("doc_id", "label").schema)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(few), "doc_id")
-    return [(r.label, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.text))]
+    few = docs.sparkSession.createDataFrame(chosen, ranked.select("doc_id", "label", "bytes", "k").schema)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(few), "doc_id").where(F.octet_length("text") == F.col("bytes"))
+    texts = rows.groupBy("doc_id", "label", "k").agg(F.min("text").alias("text")).collect()
+    return [(r.label, r.text) for r in sorted(texts, key=lambda r: (r.k, str(r.label)))]
