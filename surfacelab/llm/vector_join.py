@@ -1,17 +1,22 @@
 """Operator 8, embedding near-duplicates by dual traversal of cover trees.
 
-Equal vectors of a label are one class, joined once. The top of the tree is a bounded set of
-pivots: each class goes to its nearest pivot, a node's covering radius is its furthest member, and
-node pairs whose centres lie further apart than both radii and the threshold allow are never
-dealt. A node of more than node_rows classes is cut by a hash into parts. Each pair of parts is
-a group of at most 2 * node_rows rows in expectation; in it nested levels of halving radii are built and
-traversed together, pruned by the same bound, to the exact cosines of the leaves. Two subtrees
-wholly within the threshold are counted without visiting their pairs. A group returns for each
-class its number of links and one link to the smallest class it reaches there, never the pairs.
+Equal vectors of a label are one class, joined once. The top of the tree is made in Spark: level by
+level a node of more than node_rows classes is dealt to the nearest of some of its own members (drawn by a
+hash, its smallest and its furthest one), in salted groups of bounded size, and a child's covering radius is its
+furthest member. Then all trees are traversed together with themselves, again level by level: a pair
+of nodes whose centres lie further apart than both radii and the threshold allow is pruned, one that
+lies wholly within the threshold is counted by its sizes, any other gives way to the pairs of its
+children. Only pairs of leaves that remain are dealt to tasks, of at most 2 * node_rows rows; there nested levels of
+halving radii are built and traversed together by the same bounds, to the exact cosines at
+the end. A task returns for each class its number of links and one link to the smallest class it
+reaches there, never the pairs.
+
+Directions that hardly differ (multiples of one another) can't be split: such a node links wholly with
+itself, and where it is large it is cut by a hash when it meets another one that neither bound decides.
 
 Cases: a null, empty or zero vector, one with null or non-finite components, and a row of null
 label or null vec_id link with nothing (n_links 0, component_id its vec_id); vectors of a label
-that differ in length don't link; equal vectors link with each other; rows that share a vec_id are
+that differ in length don't link; equal vectors and multiples link with each other; rows that share a vec_id are
 taken as one node; an empty table gives an empty result; further input columns are ignored.
 """
 
@@ -19,16 +24,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surfacelab.llm.components import components
 from surfacelab.llm.shared import table, written
 
-PIVOTS, NODE_ROWS, LEAF = 512, 2048, 128
-SLACK = 1e-6
+#: Members that a node is split by in expectation, classes of a leaf, classes of a group that is dealt to them at once.
+FANOUT, NODE_ROWS, GROUP_ROWS = 32, 4096, 16_384
+#: Rows whose pairs are compared without further levels.
+LEAF = 128
+#: Allowance for rounding in distances, and the radius below which directions count as one.
+SLACK, TIGHT = 1e-6, 1e-6
 
 
 class Tree:
@@ -43,16 +51,23 @@ class Tree:
         return {"rows": rows, "centre": centre, "reach": float(d.max()) if len(rows) > 1 else 0.0, "radius": radius, "children": None}
 
     def children(self, node: dict) -> list[dict]:
-        """Members within half the radius of a centre, the rest to the next centre; made when first asked for."""
+        """Members within a smaller radius of a centre, the rest to the next centre; made when first asked for.
+
+        The radius is halved until it is below the reach, so a level splits; directions that are one don't.
+        """
+        if node["reach"] <= TIGHT:
+            return [node]
         if node["children"] is None:
             left, radius, out = node["rows"], node["radius"] / 2, []
+            while radius >= node["reach"]:
+                radius /= 2
             left = np.concatenate([[node["centre"]], left[left != node["centre"]]])
             while len(left):
                 d = distance(self.unit[left], self.unit[left[0]])
                 own = d <= radius
                 own[0] = True
                 rows = left[own]
-                out.append({"rows": rows, "centre": int(left[0]), "reach": float(d[own].max()), "radius": radius, "children": None})
+                out.append({"rows": rows, "centre": int(left[0]), "reach": float(d[own].max()) if len(rows) > 1 else 0.0, "radius": radius, "children": None})
                 left = left[~own]
             node["children"] = out
         return node["children"]
@@ -74,16 +89,22 @@ def traverse(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, size_a: np.
     while todo:
         x, y = todo.pop()
         own = same and x is y
-        if len(x["rows"]) * len(y["rows"]) <= LEAF * LEAF:
-            linked = (raw_a[x["rows"]] @ raw_b[y["rows"]].T) / norm_a[x["rows"]][:, None] / norm_b[y["rows"]][None, :] >= least
-            if own:
-                np.fill_diagonal(linked, False)
-            if linked.any():
-                links_a[x["rows"]] += linked @ size_b[y["rows"]]
-                if not own:
-                    (links_a if same else links_b)[y["rows"]] += linked.T @ size_a[x["rows"]]
-                i, j = np.nonzero(linked)
-                stars.append(star(x["rows"][i], y["rows"][j] + shift))
+        if own and 2 * x["reach"] <= bound - SLACK:
+            links_a[x["rows"]] += size_a[x["rows"]].sum() - size_a[x["rows"]]
+            stars.append((np.full(len(x["rows"]), x["rows"][0]), x["rows"]))
+            continue
+        if len(x["rows"]) * len(y["rows"]) <= LEAF * LEAF or max(x["reach"], y["reach"]) <= TIGHT:
+            for k in range(0, len(x["rows"]), 1024):
+                part = x["rows"][k : k + 1024]
+                linked = (raw_a[part] @ raw_b[y["rows"]].T) / norm_a[part][:, None] / norm_b[y["rows"]][None, :] >= least
+                if own:
+                    linked[np.arange(len(part)), np.arange(k, k + len(part))] = False
+                if linked.any():
+                    links_a[part] += linked @ size_b[y["rows"]]
+                    if not own:
+                        (links_a if same else links_b)[y["rows"]] += linked.T @ size_a[part]
+                    i, j = np.nonzero(linked)
+                    stars.append(star(part[i], y["rows"][j] + shift))
             continue
         xs, ys = a.children(x), b.children(y)
         d = distance(a.unit[[n["centre"] for n in xs]], b.unit[[n["centre"] for n in ys]])
@@ -159,70 +180,130 @@ def classes(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def _assign(rows: DataFrame, pivots: dict) -> DataFrame:
-    """rows with node (number of the nearest pivot of the label and length) and away (its distance)."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.IntegerType()), T.StructField("away", T.DoubleType())])
-
-    def run(batches):
-        for b in batches:
-            pdf = b.to_pandas()
-            node, away = np.full(len(pdf), -1), np.full(len(pdf), 2.0)
-            for key, part in pdf.groupby(["label", pdf.embedding.map(len)], sort=False):
-                if key in shared.value:
-                    numbers, centres = shared.value[key]
-                    x = np.stack(part.embedding.to_numpy()).astype(float)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    d = distance(x / np.linalg.norm(x, axis=1, keepdims=True), centres)
-                    best = d.argmin(axis=1)
-                    at = pdf.index.get_indexer(part.index)
-                    node[at], away[at] = numbers[best], d[np.arange(len(x)), best]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int32()), pa.array(away)], [*b.schema.names, "node", "away"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def links_and_roots(reps: DataFrame, least: float, pivots: int = PIVOTS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """rep, links, root rows of classes: sums of links and the roots' components give the result."""
-    spark = reps.sparkSession
-    count = reps.count()
-    share = min(1.0, min(pivots, count / node_rows + 1) / max(1, count))
-    draw = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)
-    found: dict = {}
-    for r in reps.where(draw < share).orderBy("rep").limit(2 * pivots).collect():
-        found.setdefault((r.label, len(r.embedding)), []).append(np.array(r.embedding, float))
-    table_, centres = {}, []
-    for key, own in found.items():
-        u = np.stack(own)
-        u /= np.abs(u).max(axis=1, keepdims=True)
-        table_[key] = (np.arange(len(centres), len(centres) + len(own)), u / np.linalg.norm(u, axis=1, keepdims=True))
-        centres += list(table_[key][1])
-    dealt = written(_assign(reps, table_).withColumn("width", F.size("embedding")), "vectors")
-    nodes = dealt.groupBy("label", "width", "node").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach"))
-    # At most 2 * pivots + 1 nodes of a label; their pairs stay in Spark.
-    parts = nodes.withColumn("parts", F.ceil(F.col("n") / node_rows).cast("int")).select("label", "width", "node", "reach", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
-    units = {int(n): c for numbers, cs in table_.values() for n, c in zip(numbers, cs)}
-    place = spark.sparkContext.broadcast(units)
+def to_nearest(pivots: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """rep, embedding, copies, pivot and its distance, of a group's rows."""
+    units = []
+    for part in (rows, pivots):
+        x = np.stack(part.embedding.to_numpy()).astype(float)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        units.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+    best, away = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for k in range(0, len(rows), 2048):
+        d = distance(units[0][k : k + 2048], units[1])
+        best[k : k + 2048] = d.argmin(axis=1)
+        away[k : k + 2048] = d.min(axis=1)
+    return rows[["node", "rep", "embedding", "copies"]].assign(pivot=pivots["pivot"].to_numpy()[best], away=away)
+
+
+def unit(e: Column) -> Column:
+    """A vector's direction in doubles; scaled first, so that squares stay finite."""
+    most = F.array_max(F.transform(e, lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform(e, lambda x: x.cast("double") / most)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(scaled, lambda x: x / norm)
+
+
+def top_levels(reps: DataFrame, node_rows: int, fanout: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(tree, rows): the nodes (node, parent, n, reach, copies, least, far, leaf, centre), and the classes with their leaf."""
+    rows = written(reps.select(F.xxhash64("label", F.size("embedding")).alias("node"), "rep", "embedding", "copies", F.lit(2.0).alias("away")), "vector-level")
+    centres = None
+    tree, closed, level = [], [], 0
+    while True:
+        stats = rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.max("away").alias("reach"), F.sum("copies").alias("copies"), F.min("rep").alias("least"), F.max_by("rep", "away").alias("far")
+        )
+        leaf = (F.col("n") <= node_rows) | (F.col("reach") <= TIGHT)
+        if centres is None:
+            stats = stats.select(F.lit(None).cast("long").alias("parent"), "*", leaf.alias("leaf"), F.lit(None).cast("array<double>").alias("centre"))
+        else:
+            stats = centres.join(stats, "node").select("parent", "node", "n", "reach", "copies", "least", "far", leaf.alias("leaf"), "centre")
+        tree.append(written(stats, "vector-nodes"))
+        wide = tree[-1].where("NOT leaf").select("node", "n", "least", "far")
+        if wide.isEmpty():
+            closed.append(rows)
+            break
+        closed.append(rows.join(wide, "node", "left_anti"))
+        level += 1
+        opened = rows.join(wide, "node")
+        groups = F.ceil(F.col("n") / group_rows)
+        draw = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
+        pivots = written(opened.where((draw < fanout / F.col("n")) | F.col("rep").isin(F.col("least"), F.col("far"))).select("node", F.col("rep").alias("pivot"), "embedding", groups.alias("groups")), "vector-pivots")
+        sent = pivots.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group"), "pivot", "embedding")
+        dealt = opened.select("node", F.pmod(F.xxhash64("rep", F.lit("group")), groups.cast("long")).alias("group"), "rep", "embedding", "copies")
+        schema = T.StructType([T.StructField("node", T.LongType()), *reps.select("rep", "embedding", "copies").schema.fields, T.StructField("pivot", T.LongType()), T.StructField("away", T.DoubleType())])
+        near = sent.groupBy("node", "group").cogroup(dealt.groupBy("node", "group")).applyInPandas(lambda p, r: to_nearest(p, r) if len(r) else r.assign(pivot=0, away=0.0)[[f.name for f in schema]], schema)
+        child = F.xxhash64("node", "pivot")
+        centres = pivots.select(child.alias("node"), F.col("node").alias("parent"), unit(F.col("embedding")).alias("centre"))
+        rows = written(near.select(child.alias("node"), "rep", "embedding", "copies", "away"), "vector-level")
+    whole, leaves = tree[0], closed[0]
+    for more in tree[1:]:
+        whole = whole.unionByName(more)
+    for more in closed[1:]:
+        leaves = leaves.unionByName(more)
+    return whole, leaves.drop("away")
+
+
+def node_pairs(tree: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(leaf pairs to compare, pairs wholly linked) as p, q with p = q for a node and itself, by traversing the tree with itself."""
     bound = float(np.sqrt(2.0 - 2.0 * least))
-
-    def apart(batches):
-        for b in batches:
-            pdf = b.to_pandas()
-            d = [float(distance(place.value[x], place.value[y])) if x in place.value and y in place.value and x != y else 0.0 for x, y in zip(pdf.node, pdf.node2)]
-            yield pa.RecordBatch.from_pandas(pdf[np.array(d) <= bound + SLACK + pdf.reach.to_numpy() + pdf.reach2.to_numpy()], schema=b.schema, preserve_index=False)
-
-    other = parts.select("label", "width", F.col("node").alias("node2"), F.col("reach").alias("reach2"), F.col("part").alias("part2"))
-    both = parts.drop("parts").join(other, ["label", "width"]).where("node < node2 OR (node = node2 AND part <= part2)")
-    pairs = both.mapInArrow(apart, both.schema)
-    name = F.xxhash64("label", "width", "node", "part", "node2", "part2").alias("task")
-    pairs = written(pairs.select("label", "width", "node", "part", "node2", "part2", name), "vector-pairs")
-    is_pair = (F.col("node") != F.col("node2")) | (F.col("part") != F.col("part2"))
-    own = pairs.select("label", "width", "node", "part", "task", F.lit(0).alias("side"), is_pair.alias("is_pair"))
-    far = pairs.where(is_pair).select("label", "width", F.col("node2").alias("node"), F.col("part2").alias("part"), "task", F.lit(1).alias("side"), F.lit(True).alias("is_pair"))
-    sizes = parts.select("label", "width", "node", "parts").distinct()
-    rows = dealt.drop("away").join(F.broadcast(sizes), ["label", "width", "node"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int"))
-    sent = rows.join(own.unionByName(far), ["label", "width", "node", "part"]).select("task", "side", "is_pair", "rep", "embedding", "copies")
-    return sent.groupBy("task").applyInPandas(lambda g: join_parts(g, least), "rep long, links long, root long")
+    info = tree.select("node", "reach", "leaf", "centre")
+    kids = tree.where("parent IS NOT NULL").select(F.col("parent").alias("of"), *info.columns).unionByName(info.where("leaf").select(F.col("node").alias("of"), "*"))
+    x, y = (kids.select(*[F.col(c).alias(c + side) for c in kids.columns]) for side in "xy")
+    roots = tree.where("parent IS NULL").select(F.col("node").alias("p"), F.col("node").alias("q"), F.when(F.col("leaf"), "leaf").otherwise("open").alias("state"))
+    levels = [written(roots, "vector-pairs")]
+    own = F.col("nodex") == F.col("nodey")
+    away = F.when(own, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("centrex", "centrey", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))))
+    while not (wide := levels[-1].where("state = 'open'")).isEmpty():
+        met = wide.join(x, F.col("p") == F.col("ofx")).join(y, F.col("q") == F.col("ofy")).where("p <> q OR nodex <= nodey")
+        met = met.withColumn("away", away).withColumn("radii", F.col("reachx") + F.col("reachy")).where(own | (F.col("away") <= bound + SLACK + F.col("radii")))
+        state = F.when(F.col("away") + F.col("radii") <= bound - SLACK, "within").when(F.col("leafx") & F.col("leafy"), "leaf").otherwise("open")
+        levels.append(written(met.select(F.col("nodex").alias("p"), F.col("nodey").alias("q"), state.alias("state")), "vector-pairs"))
+    pairs = levels[0]
+    for more in levels[1:]:
+        pairs = pairs.unionByName(more)
+    return tuple(pairs.where(F.col("state") == s).select("p", "q") for s in ("leaf", "within"))
+
+
+def whole_links(tree: DataFrame, rows: DataFrame, within: DataFrame) -> DataFrame:
+    """rep, links, root of what the wholly linked pairs of nodes give, by the nodes' sizes."""
+    sizes = tree.select("node", "copies", "least")
+    p, q = (sizes.select(*[F.col(c).alias(c + side) for c in sizes.columns]) for side in "pq")
+    met = within.join(p, F.col("p") == F.col("nodep")).join(q, F.col("q") == F.col("nodeq"))
+    one = met.select(F.col("p").alias("node"), F.col("leastp").alias("root"), F.col("copiesq").alias("more"), (F.col("p") == F.col("q")).cast("long").alias("itself"))
+    two = met.where("p <> q").select(F.col("q").alias("node"), F.col("leastq").alias("root"), F.col("copiesp").alias("more"), F.lit(0).cast("long").alias("itself"))
+    gained = written(one.unionByName(two).groupBy("node").agg(F.min("root").alias("root"), F.sum("more").alias("more"), F.sum("itself").alias("itself")), "vector-whole")
+    # A leaf has what its ancestors gained, too.
+    line = tree.where("leaf").select("node", F.col("node").alias("above"))
+    up = tree.where("parent IS NOT NULL").select(F.col("node").alias("above"), "parent")
+    lines = [line]
+    while not line.isEmpty():
+        line = written(line.join(up, "above").select("node", F.col("parent").alias("above")), "vector-lines")
+        lines.append(line)
+    every = lines[0]
+    for more in lines[1:]:
+        every = every.unionByName(more)
+    leaves = every.join(gained.withColumnRenamed("node", "above"), "above").groupBy("node").agg(F.min("root").alias("root"), F.sum("more").alias("more"), F.sum("itself").alias("itself"))
+    members = rows.join(leaves, "node").select("rep", (F.col("more") - F.col("itself") * F.col("copies")).alias("links"), "root")
+    return members.unionByName(met.where("p <> q").select(F.col("leastp").alias("rep"), F.lit(0).cast("long").alias("links"), F.col("leastq").alias("root")))
+
+
+def links_and_roots(reps: DataFrame, least: float, node_rows: int = NODE_ROWS, fanout: int = FANOUT, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """rep, links, root rows of classes: sums of links and the roots' components give the result."""
+    tree, rows = top_levels(reps, node_rows, fanout, group_rows)
+    pairs, within = node_pairs(tree, least)
+    # Only leaves whose directions are one have several parts.
+    parts = tree.where("leaf").select("node", F.ceil(F.col("n") / node_rows).cast("int").alias("parts"))
+    each = parts.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    p, q = (each.select(F.col("node").alias(side), F.col("part").alias("part" + side)) for side in "pq")
+    tasks = pairs.join(p, "p").join(q, "q").where("p <> q OR partp <= partq")
+    is_pair = (F.col("p") != F.col("q")) | (F.col("partp") != F.col("partq"))
+    tasks = written(tasks.select("*", F.xxhash64("p", "partp", "q", "partq").alias("task"), is_pair.alias("is_pair")), "vector-tasks")
+    one = tasks.select(F.col("p").alias("node"), F.col("partp").alias("part"), "task", F.lit(0).alias("side"), "is_pair")
+    two = tasks.where("is_pair").select(F.col("q").alias("node"), F.col("partq").alias("part"), "task", F.lit(1).alias("side"), "is_pair")
+    placed = rows.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int")).drop("parts")
+    sent = placed.join(one.unionByName(two), ["node", "part"]).select("task", "side", "is_pair", "rep", "embedding", "copies")
+    found = sent.groupBy("task").applyInPandas(lambda g: join_parts(g, least), "rep long, links long, root long")
+    return found if within.isEmpty() else found.unionByName(whole_links(tree, rows, within))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98, **parameters) -> DataFrame:

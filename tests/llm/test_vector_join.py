@@ -37,12 +37,28 @@ def test_equals_brute_force(spark, monkeypatch):
     rows = sample()
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows)
-    for leaf, pivots, size in ((128, 512, 2048), (1, 20, 6)):
+    for leaf, parameters in ((128, {}), (1, {"fanout": 4, "node_rows": 6, "group_rows": 10})):
         monkeypatch.setattr(q, "LEAF", leaf)
-        got = {tuple(r) for r in q.near_vectors(df, pivots=pivots, node_rows=size).collect()}
+        got = {tuple(r) for r in q.near_vectors(df, **parameters).collect()}
         assert got == want
 
 
+def test_multiples_and_tight_groups_end(spark, monkeypatch):
+    monkeypatch.setattr(q, "LEAF", 4)
+    rng = np.random.default_rng(7)
+    base, close, far = rng.normal(size=6), rng.normal(size=6), rng.normal(size=6)
+    rows = [(k, (base * 2.0 ** (k % 40 - 20)).astype(np.float32).tolist(), 1) for k in range(40)]
+    rows += [(100 + k, (base * (1 + k)).astype(np.float32).tolist(), 1) for k in range(160)]
+    rows += [(300 + k, (close + rng.normal(size=6) * 0.02).astype(np.float32).tolist(), 1) for k in range(60)]
+    # As near to the multiples as the threshold, so that neither bound decides.
+    side = far - base * (far @ base) / (base @ base)
+    edge = 0.98 * base / np.linalg.norm(base) + np.sqrt(1 - 0.98**2) * side / np.linalg.norm(side)
+    rows += [(500 + k, ((edge + side * 1e-6 * (k % 3 - 1)) * (1 + k)).astype(np.float32).tolist(), 1) for k in range(30)]
+    df, want = spark.createDataFrame(rows, SCHEMA), brute(rows)
+    for parameters in ({}, {"fanout": 3, "node_rows": 20, "group_rows": 50}):
+        assert {tuple(r) for r in q.near_vectors(df, **parameters).collect()} == want
+
+
 def test_tree_levels_and_traversal(monkeypatch):
     monkeypatch.setattr(q, "LEAF", 2)
     rng = np.random.default_rng(1)
@@ -53,7 +69,7 @@ def test_tree_levels_and_traversal(monkeypatch):
     while len(node["rows"]) > 1:
         below = tree.children(node)
         assert sorted(np.concatenate([c["rows"] for c in below])) == sorted(node["rows"])
-        assert all(c["reach"] <= c["radius"] == node["radius"] / 2 for c in below)
+        assert all(c["reach"] <= c["radius"] <= node["radius"] / 2 for c in below) and len(below) > 1
         node = max(below, key=lambda c: len(c["rows"]))
     ones = np.ones(len(x), np.int64)
     links, _, _ = q.traverse(tree, tree, x, x, ones, ones, 0.98, True)
