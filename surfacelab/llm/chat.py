@@ -8,8 +8,9 @@ and one left-to-right pass restores it. Everything is native Column work.
 
 Cases: null role or text is empty; turns are ordered by turn (null first), then role, then text;
 repeated rows are turns of their own; rows of a null conversation id form one conversation; an
-empty table gives an empty result; columns outside the known layouts are ignored; a JSON record of
-unknown layout, or that isn't JSON, gives a row with layout null and no turns. A conversation is
+empty table gives an empty result; columns outside the layout that is taken are ignored, those of other layouts' names
+too; a JSON record of unknown layout, or that isn't JSON, gives a row with layout null and no turns; an input column named
+fingerprint, layout or turns is replaced. A conversation is
 one record, so it must fit in a task.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from surfacelab.llm.shared import new_path, table
+from surfacelab.llm.shared import column, new_path, table, unused
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 FORMATTED = "conv_id long, formatted string, loss_spans array<struct<start:int,length:int>>"
@@ -45,14 +46,15 @@ class Layout:
     joined: str | None = None
 
 
+#: In order of priority: the first layout whose paths are all there is taken, whatever else there is.
 LAYOUTS = (
     Layout("turn_rows", "rows", ("role", "text", "turn"), (("role", "text"),)),
     Layout("messages", "list", ("messages[].content", "messages[].role"), (("role", "content"),)),
     Layout("from_value", "list", ("conversations[].from", "conversations[].value"), (("from", "value"),), (("human", "user"), ("gpt", "assistant"))),
     Layout("prompt_completion", "fields", ("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", "fields", ("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction", "fields", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Layout("instruction_input", "fields", ("input", "instruction", "output"), (("user", "instruction"), ("assistant", "output")), joined="input"),
+    Layout("instruction", "fields", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
 )
 KNOWN = tuple(sorted({p for x in LAYOUTS for p in x.paths}))
 
@@ -75,12 +77,13 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> Layout:
-    """The mapping that the fingerprint of df's schema selects; other columns play no part."""
-    paths = [p for p in field_paths(df.schema) if p in KNOWN]
-    found = BY_FINGERPRINT.get(fingerprint(paths))
-    if found is None:
-        raise ValueError(f"no mapping for a schema with the paths {paths}")
-    return found
+    """The first mapping whose fingerprint the schema's paths give, of those paths that the mapping names."""
+    paths = set(field_paths(df.schema))
+    for x in LAYOUTS:
+        found = BY_FINGERPRINT.get(fingerprint(paths & set(x.paths)))
+        if found is x:
+            return x
+    raise ValueError(f"no mapping for a schema with the paths {sorted(paths)}")
 
 
 def _role(x: Column, layout: Layout) -> Column:
@@ -129,23 +132,30 @@ def turn_rows(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 def json_turns(df: DataFrame, record: str = "record") -> DataFrame:
     """df with fingerprint, layout and turns of a column of JSON records of mixed layouts."""
-    v = F.try_parse_json(F.col(record))
-    has = [F.when(F.try_variant_get(v, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in KNOWN]
-    df = df.withColumn("__v", v).withColumn("fingerprint", F.sha2(F.array_join(F.array_compact(F.array(*has)), "\n"), 256))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    name = unused([*df.columns, "fingerprint", "layout", "turns"], "variant_")
+    v = F.try_parse_json(column(record))
+    has = {p: F.when(F.try_variant_get(column(name), "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in KNOWN}
+
+    def of(paths) -> Column:
+        return F.sha2(F.array_join(F.array_compact(F.array(*[has[p] for p in sorted(paths)])), "\n"), 256)
+
+    # The fingerprint of the first layout whose paths are all there, or of all known paths that are.
+    first = F.coalesce(*[F.when(of(x.paths) == fingerprint(x.paths), fingerprint(x.paths)) for x in LAYOUTS], of(KNOWN))
+    df = df.withColumn(name, v).withColumn("fingerprint", first)
+    record_of, layout, turns = column(name), F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     for x in LAYOUTS:
         here = F.col("fingerprint") == fingerprint(x.paths)
         if x.kind == "fields":
-            got = _fields(x, lambda p: F.try_variant_get("__v", "$." + p, "string"))
+            got = _fields(x, lambda p: F.try_variant_get(record_of, "$." + p, "string"))
         elif x.kind == "list":
             role, text = x.turns[0]
-            items = F.try_variant_get("__v", "$." + x.paths[0].split("[")[0], "array<variant>")
+            items = F.try_variant_get(record_of, "$." + x.paths[0].split("[")[0], "array<variant>")
             got = _items(items, x, role, text)
         else:
             role, text = x.turns[0]
-            got = F.array(F.struct(F.try_variant_get("__v", "$.turn", "bigint").alias("turn"), _role(F.try_variant_get("__v", "$." + role, "string"), x).alias("role"), _text(F.try_variant_get("__v", "$." + text, "string")).alias("text")))
-        name, turns = F.when(here, x.name).otherwise(name), F.when(here, got).otherwise(turns)
-    return df.withColumns({"layout": name, "turns": turns}).drop("__v")
+            got = F.array(F.struct(F.try_variant_get(record_of, "$.turn", "bigint").alias("turn"), _role(F.try_variant_get(record_of, "$." + role, "string"), x).alias("role"), _text(F.try_variant_get(record_of, "$." + text, "string")).alias("text")))
+        layout, turns = F.when(here, x.name).otherwise(layout), F.when(here, got).otherwise(turns)
+    return df.withColumns({"layout": layout, "turns": turns}).drop(name)
 
 
 def escape(x: Column) -> Column:
