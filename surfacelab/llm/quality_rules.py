@@ -1,12 +1,15 @@
 """Operator 7, quality rules: a table of thresholds compiled into one native Spark projection.
 
 Words are runs of characters other than space and \\x09-\\x0D; lines are split at \\n. Everything is
-a Column expression: no user function, no shuffle, one pass over the text.
+a Column expression: no user function, no shuffle, one pass over the text. Stop words are those of four
+languages (STOP_WORDS), so texts of others need a table of their own.
 
 Cases: a null text counts as an empty one (no words, so the length rule fails it); a null id, ties
 and repeated rows are each judged alone, one row out per row in; an empty table gives an empty
 result; columns of the input are carried under their own names, except that a measure of the same
-name replaces them. A ratio with denominator zero is null and fails no rule.
+name replaces them. A ratio with denominator zero is null and fails no rule. Repeated windows are found by one
+sort of longs that hold a hash and a place; in a text of 2**20 words or more, or one where hashes of different windows
+are equal, by a sort of the windows themselves, with the same result.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacelab.llm.shared import table
+from surfacelab.llm.shared import column, others, table, unused
 
-# Common function words of the four languages (lower case or with a capital).
+# Common function words of four languages; a word counts in lower case, as it is written.
 STOP_WORDS = {
     "en": "the of and to in is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back where much your way well down should because each just those people how too good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split(),
     "fr": "le la les de des du un une et est en que qui dans pour pas sur au avec ce il elle par plus ne se son sa ses on sont mais ou nous vous aux leur cette".split(),
@@ -115,19 +118,19 @@ def _gain(at: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(column(text), F.lit(""))
     names = ["n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"]
-    kept = [c for c in docs.columns if c.lower() not in names]
+    kept = others(docs, names)
+    word_name = unused(kept, "words_")
+    line_name = unused([*kept, word_name], "lines_")
     words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    parts = docs.select(*[docs[c] for c in kept], words.alias("__words"), lines.alias("__lines"))
-    w, x = F.col("__words"), F.col("__lines")
+    body_name = unused([*kept, word_name, line_name], "body_")
+    parts = docs.select(*map(column, kept), words.alias(word_name), lines.alias(line_name), body.alias(body_name))
+    w, x, body = F.col(word_name), F.col(line_name), F.col(body_name)
     known = {v for vs in STOP_WORDS.values() for v in vs}
-    return parts.select(
-        *[F.col(f"`{c}`") for c in kept],
-        # The zero is drawn at random, so that a filter on a measure isn't pushed below this projection,
-        # where the split into words would be worked out anew at each mention of a word.
-        (F.size(w) + F.floor(F.rand(0))).cast("long").alias("n_words"),
+    found = F.struct(
+        F.size(w).cast("long").alias("n_words"),
         F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size(F.filter(w, lambda v: v.isin(*sorted(known)))).cast("long").alias("n_stop_words"),
@@ -135,6 +138,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(w).cast("long").alias("n_repeat_words"),
     )
+    # One struct a row, unfolded: a filter on a measure stays above the measures, which are worked
+    # out once; a filter on a column of docs reaches the scan.
+    return parts.select(*map(column, kept), F.inline(F.array(found)))
 
 
 def verdict(rules=RULES) -> Column:
