@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 from surfacelab.llm.components import components
 from surfacelab.llm.shared import table, written
 
-#: Members that a node is split by in expectation, classes of a leaf, classes of a group that is dealt to them at once.
-FANOUT, NODE_ROWS, GROUP_ROWS = 32, 4096, 16_384
-#: Rows whose pairs are compared without further levels.
-LEAF = 128
+#: Members that a node is split by in expectation, at most (a node of few leaves takes fewer), classes of a leaf, classes of a group that is dealt to them at once.
+FANOUT, NODE_ROWS, GROUP_ROWS = 32, 8192, 16_384
+#: Rows whose pairs are compared without further levels; nodes of a level and pairs of rows that are worked on at once, links held.
+LEAF, BLOCK, PAIRS, HELD = 128, 256, 1 << 15, 1 << 20
 #: Allowance for rounding in distances, and the radius below which directions count as one.
 SLACK, TIGHT = 1e-6, 1e-6
 
@@ -62,13 +62,17 @@ class Tree:
             while radius >= node["reach"]:
                 radius /= 2
             left = np.concatenate([[node["centre"]], left[left != node["centre"]]])
-            while len(left):
-                d = distance(self.unit[left], self.unit[left[0]])
-                own = d <= radius
-                own[0] = True
-                rows = left[own]
-                out.append({"rows": rows, "centre": int(left[0]), "reach": float(d[own].max()) if len(rows) > 1 else 0.0, "radius": radius, "children": None})
-                left = left[~own]
+            taken = np.zeros(len(left), bool)
+            for k in range(0, len(left), BLOCK):
+                free = np.nonzero(~taken[k : k + BLOCK])[0]
+                ahead = distance(self.unit[left[k + free]], self.unit[left[k:]])
+                for i, d in zip(free, ahead):
+                    if not taken[k + i]:
+                        own = (d <= radius) & ~taken[k:]
+                        own[i] = True
+                        taken[k:] |= own
+                        rows = left[k:][own]
+                        out.append({"rows": rows, "centre": int(left[k + i]), "reach": float(d[own].max()) if len(rows) > 1 else 0.0, "radius": radius, "children": None})
             node["children"] = out
         return node["children"]
 
@@ -78,6 +82,11 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def level(nodes: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, reaches and whether there is one row alone, of the nodes of a level."""
+    return np.array([n["centre"] for n in nodes]), np.array([n["reach"] for n in nodes]), np.array([len(n["rows"]) == 1 for n in nodes])
+
+
 def traverse(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: float, same: bool):
     """Links of each row of a and b, and stars (row of a or, from len(a) on, of b) that connect what links."""
     bound = float(np.sqrt(2.0 - 2.0 * least))
@@ -85,13 +94,24 @@ def traverse(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, size_a: np.
     links_a, links_b = np.zeros(len(raw_a), np.int64), np.zeros(len(raw_b), np.int64)
     shift = 0 if same else len(raw_a)
     stars: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def note(i: np.ndarray, j: np.ndarray) -> None:
+        """Remembers links; many become stars, so that what is held stays small."""
+        nonlocal held
+        stars.append((i, j))
+        held += len(i)
+        if held > HELD:
+            stars[:] = [star(*(np.concatenate(c) for c in zip(*stars)))]
+            held = len(stars[0][0])
+
     todo = [(a.root, b.root)]
     while todo:
         x, y = todo.pop()
         own = same and x is y
         if own and 2 * x["reach"] <= bound - SLACK:
             links_a[x["rows"]] += size_a[x["rows"]].sum() - size_a[x["rows"]]
-            stars.append((np.full(len(x["rows"]), x["rows"][0]), x["rows"]))
+            note(np.full(len(x["rows"]), x["rows"][0]), x["rows"])
             continue
         if len(x["rows"]) * len(y["rows"]) <= LEAF * LEAF or max(x["reach"], y["reach"]) <= TIGHT:
             for k in range(0, len(x["rows"]), 1024):
@@ -104,25 +124,42 @@ def traverse(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, size_a: np.
                     if not own:
                         (links_a if same else links_b)[y["rows"]] += linked.T @ size_a[part]
                     i, j = np.nonzero(linked)
-                    stars.append(star(part[i], y["rows"][j] + shift))
+                    note(part[i], y["rows"][j] + shift)
             continue
         xs, ys = a.children(x), b.children(y)
-        d = distance(a.unit[[n["centre"] for n in xs]], b.unit[[n["centre"] for n in ys]])
-        reach = np.array([n["reach"] for n in xs])[:, None] + np.array([n["reach"] for n in ys])[None, :]
-        near = d <= bound + reach + SLACK
-        if own:
-            near &= np.arange(len(xs))[:, None] <= np.arange(len(ys))[None, :]
-        within = near & (d + reach <= bound - SLACK)
-        if own:
-            within &= ~np.eye(len(xs), dtype=bool)
-        for i, j in zip(*np.nonzero(within)):
-            p, q = xs[i], ys[j]
-            links_a[p["rows"]] += size_b[q["rows"]].sum()
-            (links_a if same else links_b)[q["rows"]] += size_a[p["rows"]].sum()
-            one, two = np.full(len(q["rows"]), p["rows"][0]), np.full(len(p["rows"]), q["rows"][0] + shift)
-            stars.append((one, q["rows"] + shift))
-            stars.append((p["rows"], two))
-        todo += [(xs[i], ys[j]) for i, j in zip(*np.nonzero(near & ~within))]
+        (at_x, reach_x, alone_x), (at_y, reach_y, alone_y) = (level(n) for n in (xs, ys))
+        for k in range(0, len(xs), BLOCK):
+            part = slice(k, k + BLOCK)
+            d = distance(a.unit[at_x[part]], b.unit[at_y])
+            reach = reach_x[part, None] + reach_y
+            near = d <= bound + reach + SLACK
+            if own:
+                near &= np.arange(k, k + len(d))[:, None] <= np.arange(len(ys))
+            # Pairs of single rows are compared at once.
+            one = alone_x[part, None] & alone_y
+            i, j = np.nonzero(near & one)
+            i += k
+            if own:
+                i, j = i[i != j], j[i != j]
+            for first in range(0, len(i), PAIRS):
+                p, q = at_x[i[first : first + PAIRS]], at_y[j[first : first + PAIRS]]
+                linked = np.einsum("ij,ij->i", raw_a[p], raw_b[q]) / norm_a[p] / norm_b[q] >= least
+                p, q = p[linked], q[linked]
+                if len(p):
+                    links_a += np.bincount(p, size_b[q], len(links_a)).astype(np.int64)
+                    (links_a if same else links_b)[:] += np.bincount(q, size_a[p], len(links_a if same else links_b)).astype(np.int64)
+                    note(p, q + shift)
+            near &= ~one
+            within = near & (d + reach <= bound - SLACK)
+            if own:
+                within[np.arange(len(d)), np.arange(k, k + len(d))] = False
+            for i, j in zip(*np.nonzero(within)):
+                p, q = xs[k + i], ys[j]
+                links_a[p["rows"]] += size_b[q["rows"]].sum()
+                (links_a if same else links_b)[q["rows"]] += size_a[p["rows"]].sum()
+                note(np.full(len(q["rows"]), p["rows"][0]), q["rows"] + shift)
+                note(p["rows"], np.full(len(p["rows"]), q["rows"][0] + shift))
+            todo += [(xs[k + i], ys[j]) for i, j in zip(*np.nonzero(near & ~within))]
     return links_a, links_b, stars
 
 
@@ -227,7 +264,7 @@ def top_levels(reps: DataFrame, node_rows: int, fanout: int, group_rows: int) ->
         opened = rows.join(wide, "node")
         groups = F.ceil(F.col("n") / group_rows)
         draw = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
-        pivots = written(opened.where((draw < fanout / F.col("n")) | F.col("rep").isin(F.col("least"), F.col("far"))).select("node", F.col("rep").alias("pivot"), "embedding", groups.alias("groups")), "vector-pivots")
+        pivots = written(opened.where((draw < F.least(F.lit(fanout), 2 * F.col("n") / node_rows) / F.col("n")) | F.col("rep").isin(F.col("least"), F.col("far"))).select("node", F.col("rep").alias("pivot"), "embedding", groups.alias("groups")), "vector-pivots")
         sent = pivots.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group"), "pivot", "embedding")
         dealt = opened.select("node", F.pmod(F.xxhash64("rep", F.lit("group")), groups.cast("long")).alias("group"), "rep", "embedding", "copies")
         schema = T.StructType([T.StructField("node", T.LongType()), *reps.select("rep", "embedding", "copies").schema.fields, T.StructField("pivot", T.LongType()), T.StructField("away", T.DoubleType())])
