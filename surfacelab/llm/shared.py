@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: White space of the vocabulary files' split patterns, as part of a character class (fixed value).
+WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir; a local session (tests) that names none gets one of its own."""
@@ -67,10 +70,16 @@ def unused(columns, name: str) -> str:
     return name
 
 
-def with_text(df: DataFrame, carried: list[str], text: str) -> tuple[DataFrame, str]:
-    """The carried columns and, last, the text as a string under a name that none of them has."""
-    name = unused(carried, "text_")
-    return df.select(*[column(c) for c in carried], column(text).cast("string").alias(name)), name
+def plain(df: DataFrame, carried: list[str], **more: Column) -> tuple[DataFrame, list[str]]:
+    """The carried columns under plain names (also returned), then more: Spark's Arrow functions take no dotted names."""
+    names = [f"c{i}_" for i in range(len(carried))]
+    return df.select(*[column(c).alias(n) for c, n in zip(carried, names)], *[c.alias(n) for n, c in more.items()]), names
+
+
+def renamed(df: DataFrame, carried: list[str]) -> DataFrame:
+    """df, whose first columns are plain()'s, with the carried columns' own names."""
+    rest = df.columns[len(carried) :]
+    return df.select(*[F.col(n).alias(c) for c, n in zip(carried, df.columns)], *rest)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame | None, most: int, most_bytes: int, total_bytes: int) -> list[tuple]:

@@ -1,25 +1,28 @@
-"""Operator 1, token ids in files: a range coder of averaged adaptive predictions over independent blocks.
+"""Operator 1, token ids in files: an adaptive context-mixing range coder over independent blocks.
 
 Documents are range-partitioned and sorted by doc_id, encoded with a tokenizers file and cut into
 blocks of whole documents (a longer document spans blocks of its own). Each block is coded with
 fresh statistics and carries its document table, place and checksum, so it can be read alone.
 
-An id is coded as one of 16 choices: the id that last followed the same two ids (order 2), the one
-that last followed the same id (order 1), one of 13 ids often met of late (order 0), or none of
-these, after which the id follows in two adaptive digits and 8 flat bits. The choice's distribution is the mean, of fixed
-equal weights that don't adapt, of two adaptive ones, of how often either prediction held lately together, and of the order-2 prediction alone. All blocks of a
-batch take each step together, in integer numpy arrays whose state stays small; encoder and
+Two ids are candidates for the next one: what last followed the same two ids, and what last followed the same id. How likely a
+candidate is right is said by order 2 (how often its own context held), by order 1 (the same, and whether
+both agree) and by order 0 (how often the candidate occurred in the block), each as an adaptive probability. The three are mixed in the
+logistic domain with weights that every block learns from the coding error. An id that is no candidate follows by
+order 0 alone: three adaptive digits of its number, each in the context of those before, and four flat bits. All blocks of a
+batch take each step together, in numpy arrays whose state stays small; encoder and
 decoder run the same model. The range has 48 bits and is refilled 16 bits at a time.
 
 The files are Parquet rows of (part, block), block being the binary format written by pack().
 
-Cases: null text counts as empty, an empty document is its end id alone; null doc_ids come first;
+Cases: null text counts as empty, an empty document is its end id alone; a very long text is encoded alone and
+spans many blocks; null doc_ids come first;
 rows of equal doc_id are ordered by text; an empty table gives no block; further input columns are
-ignored; a damaged block raises an error when it is read.
+ignored; an id of 65535 or more raises an error, as does a vocabulary file of another pre-tokenizer; a damaged block raises an error when it is read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,26 +36,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surfacelab.llm.shared import new_path, table, written
+from surfacelab.llm.shared import WHITE, new_path, table, written
 
-MAGIC, HEAD, DOC = b"TCM1", struct.Struct("<4sIIIQQII"), struct.Struct("<qIB")
-BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 1024, 150_000, 1_000_000
+MAGIC, HEAD, DOC = b"TCM2", struct.Struct("<4sIIIQQII"), struct.Struct("<qIB")
+BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 2048, 150_000, 1_000_000
 #: Rows turned into Python objects and new words given to the library at once.
 ROWS, NEW_WORDS = 256, 20_000
 FIRST, LAST, NULL_ID = 1, 2, 4
 END_ID = 2
-#: Probabilities are of 2**14; the adaption rate is a shift; LEAST is any choice's share.
-TOTAL_BITS, RATE, LEAST = 14, 5, 8
-TOTAL = 1 << TOTAL_BITS
-ORDER_2, ORDER_1, RECENT, NONE = 0, 1, 2, 15
-PLACES = NONE - RECENT
-SLOTS_1, SLOTS_2, NO_ID = 1 << 11, 1 << 12, 0xFFFF
-#: Trust in a prediction: 0 where there is none, then 1 and up to 4 with each success.
-LEVELS = 5
 #: The byte-level pre-tokenizer's pattern (fixed value), white space written out.
-WHITE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE + r"]+"
 
+#: Slots of a block's tables of orders 0, 1 and 2; an id that is none; the most that a count or a trust can be.
+SLOTS_0, SLOTS_1, SLOTS_2, NO_ID, MOST = 1 << 11, 1 << 10, 1 << 11, 0xFFFF, 7
+HIT_2, HIT_1, MISS = 0, 1, 2
+#: A candidate's probability is of 2**12; the inputs' are of 2**16 and adapt by a shift; STEP is the weights' rate.
+HIT_BITS, INPUT_RATE, STEP = 12, 5, np.float32(6e-9)
+_HALF = 1 << HIT_BITS - 1
+STRETCH = np.clip(np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.float32)
+SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 16, 4080).astype(np.int32)
+#: Digits' probabilities are of 2**14; LEAST is any digit's share.
+TOTAL_BITS, RATE, LEAST = 14, 4, 8
+TOTAL = 1 << TOTAL_BITS
+#: Rows of a block's digits: the first, the second for each first, the third for each of both.
+ROWS_0 = 1 + 16 + 256
+
 _STEPS = np.arange(16)
 _FLAT = (_STEPS * (TOTAL // 16)).astype(np.int16)
 #: _TARGET[s]: the distribution that leaves LEAST to each digit but s.
@@ -63,78 +71,70 @@ class Mixer:
     """The model of many blocks at once; n falls as shorter blocks end (blocks are sorted by length)."""
 
     def __init__(self, lanes: int):
-        self.joint = np.tile(_FLAT, (lanes * LEVELS * LEVELS, 1))
-        self.single = np.tile(_FLAT, (lanes * LEVELS, 1))
-        self.seen = [np.full(lanes * k, NO_ID, np.uint16) for k in (SLOTS_1, SLOTS_2)]
-        self.trust = [np.zeros(lanes * k, np.uint8) for k in (SLOTS_1, SLOTS_2)]
-        self.high = np.tile(_FLAT, (lanes * 17, 1))
-        self.recent = np.full((lanes, PLACES), NO_ID, np.uint16)
-        self.lane = np.arange(lanes)
+        lane, two = np.arange(lanes), np.arange(2)[:, None]
+        self.bases = [lane * k for k in (SLOTS_0, SLOTS_1, SLOTS_2)]
+        self.seen = [np.full(lanes * k, NO_ID << 3, np.uint32) for k in (SLOTS_1, SLOTS_2)]
+        self.often = np.zeros(lanes * SLOTS_0, np.uint8)
+        # For both candidates: what the states of order 2, 1 and 0 have told, and the weights of the three.
+        self.states = [(two * lanes + lane) * k for k in (MOST + 1, 2 * MOST + 2, MOST + 1)]
+        self.told = [np.full(2 * lanes * k, 1 << 14, np.int32) for k in (MOST + 1, 2 * MOST + 2, MOST + 1)]
+        self.weights = np.full((3, 2, lanes), 0.4, np.float32)
+        self.digits = np.tile(_FLAT, (lanes * ROWS_0, 1))
         self.before = np.zeros((2, lanes), np.int64)
 
-    def start(self, n: int) -> None:
-        """Predictions for the next id of the first n lanes, and the choices' mixed distribution."""
-        p1, p2, lane = self.before[0, :n], self.before[1, :n], self.lane[:n]
-        self.n = n
-        self.slot = (lane * SLOTS_1 + ((p1 * 0x9E3B) >> 3 & SLOTS_1 - 1), lane * SLOTS_2 + ((p1 * 0x9E3B + p2 * 0x1F35D) >> 5 & SLOTS_2 - 1))
-        self.guess = [seen.take(slot) for seen, slot in zip(self.seen, self.slot)]
-        self.sure = [trust.take(slot) for trust, slot in zip(self.trust, self.slot)]
-        self.row_single = lane * LEVELS + self.sure[1]
-        self.row_joint = self.row_single * LEVELS + self.sure[0]
-        self.one, self.two = self.joint.take(self.row_joint, axis=0), self.single.take(self.row_single, axis=0)
-        self.mixed = (self.one + self.two) >> 1
-
-    def choose(self, ids: np.ndarray) -> np.ndarray:
-        """The choice that names each id: the first that holds."""
-        met = self.recent[: self.n] == ids[:, None]
-        choice = np.where(met.any(axis=1), RECENT + met.argmax(axis=1), NONE)
-        choice = np.where(self.guess[0] == ids, ORDER_1, choice)
-        return np.where(self.guess[1] == ids, ORDER_2, choice)
-
-    def named(self, choice: np.ndarray) -> np.ndarray:
-        """The id that a choice names; what it gives for NONE is replaced."""
-        place = np.minimum(np.maximum(choice - RECENT, 0), PLACES - 1)
-        ids = self.recent[self.lane[: self.n], place]
-        return np.where(choice == ORDER_2, self.guess[1], np.where(choice == ORDER_1, self.guess[0], ids)).astype(np.int64)
-
-    def digit(self, row: np.ndarray, digit: np.ndarray | None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(digit, below, share) of a digit of an unknown id, given or found by at; its row learns it."""
-        model = self.high.take(row, axis=0)
-        if digit is None:
-            digit = (model[:, 1:] <= at[:, None]).sum(axis=1)
-        k = np.arange(len(row))
-        low = model[k, digit].astype(np.int64)
-        above = np.where(digit == 15, TOTAL, model[k, np.minimum(digit + 1, 15)])
-        self.high[row] = model + (_TARGET.take(digit, axis=0) - model >> RATE)
-        return digit, low, above - low
-
-    def bounds(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lane = self.lane[: self.n]
-        low = self.mixed[lane, choice].astype(np.int64)
-        above = np.where(choice == NONE, TOTAL, self.mixed[lane, np.minimum(choice + 1, NONE)])
-        return low, above - low
-
-    def find(self, at: np.ndarray) -> np.ndarray:
-        """The choice whose mixed interval holds at."""
-        return (self.mixed[:, 1:] <= at[:, None]).sum(axis=1)
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of 2**12 of either candidate for the next id of the first n lanes."""
+        last, past = self.before[:, :n]
+        mixed = last * 0x9E3B
+        self.slots = self.bases[1][:n] + (mixed >> 3 & SLOTS_1 - 1), self.bases[2][:n] + (mixed + past * 0x1F35D >> 5 & SLOTS_2 - 1)
+        one, two = (seen.take(at) for seen, at in zip(self.seen, self.slots))
+        self.entries = one, two
+        self.candidates = np.stack([two >> 3, one >> 3])
+        agree = self.candidates[0] == self.candidates[1]
+        counts = self.often.take(self.bases[0][:n] + (self.candidates * np.uint32(0x9E3B) >> np.uint32(4) & np.uint32(SLOTS_0 - 1)))
+        states = (two & 7, (one & 7) * 2 + agree, counts)
+        self.at = [base[:, :n] + s for base, s in zip(self.states, states)]
+        self.now = [told.take(at) for told, at in zip(self.told, self.at)]
+        self.inputs = [STRETCH.take(p >> 4) for p in self.now]
+        w = self.weights[:, :, :n]
+        dot = w[0] * self.inputs[0] + w[1] * self.inputs[1] + w[2] * self.inputs[2]
+        self.shares = SQUASH.take(np.clip(dot, -2047, 2047).astype(np.int32) + 2048)
+        first = self.shares[0]
+        return first, np.maximum((4096 - first) * self.shares[1] >> 12, 1)
 
     def learn(self, choice: np.ndarray, ids: np.ndarray) -> None:
-        n, target = self.n, _TARGET.take(choice, axis=0)
-        self.joint[self.row_joint] = self.one + (target - self.one >> RATE)
-        self.single[self.row_single] = self.two + (target - self.two >> RATE)
-        for seen, trust, slot, guess, sure in zip(self.seen, self.trust, self.slot, self.guess, self.sure):
-            held = guess == ids
-            trust[slot] = np.where(held, np.minimum(sure + 1, LEVELS - 1), 1)
-            seen[slot] = ids
-        # A place that held moves up by one; an unknown id takes the last place.
-        up = np.nonzero((choice > RECENT) & (choice < NONE))[0]
-        k = choice[up] - RECENT
-        self.recent[up, k], self.recent[up, k - 1] = self.recent[up, k - 1], self.recent[up, k]
-        new = np.nonzero(choice == NONE)[0]
-        self.recent[new, PLACES - 1] = ids[new]
+        n = len(ids)
+        right = np.stack([choice == HIT_2, choice == HIT_1])
+        asked = choice != HIT_2
+        error = ((right << 12) - self.shares).astype(np.float32) * STEP
+        error[1] *= asked
+        w = self.weights[:, :, :n]
+        full = right * 65535
+        for k in range(3):
+            w[k] += self.inputs[k] * error
+            move = full - self.now[k] >> INPUT_RATE
+            move[1] *= asked
+            self.told[k][self.at[k]] = self.now[k] + move
+        for seen, slot, entry in zip(self.seen, self.slots, self.entries):
+            trust, held = entry & 7, entry >> 3 == ids
+            fresh = ~held & (trust < 2)
+            seen[slot] = np.where(fresh, ids << 3 | 1, entry - trust + np.where(held, np.minimum(trust + 1, MOST), trust >> 1))
+        place = self.bases[0][:n] + (ids * np.uint32(0x9E3B) >> np.uint32(4) & np.uint32(SLOTS_0 - 1))
+        self.often[place] = np.minimum(self.often.take(place) + 1, MOST)
         self.before[1, :n] = self.before[0, :n]
         self.before[0, :n] = ids
 
+    def digit(self, row: np.ndarray, digit: np.ndarray | None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digit, below, share) of a digit, given or found by at; its row learns it."""
+        model = self.digits.take(row, axis=0)
+        if digit is None:
+            digit = np.bitwise_count((model <= at[:, None]).view(np.uint64)).sum(axis=1, dtype=np.int64) - 1
+        flat = np.arange(0, 16 * len(row), 16) + digit
+        low = model.ravel().take(flat).astype(np.int64)
+        above = np.where(digit == 15, TOTAL, model.ravel().take(np.minimum(flat + 1, model.size - 1)))
+        self.digits[row] = model + (_TARGET.take(digit, axis=0) - model >> RATE)
+        return digit, low, above - low
+
 
 def _active(sizes: np.ndarray) -> np.ndarray:
     """How many of the blocks, longest first, have an id at each step."""
@@ -150,45 +150,52 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, steps = len(order), int(sizes[0])
     ids = np.zeros((steps, lanes), np.uint16)
     for k, i in enumerate(order):
+        if len(blocks[i]) and not 0 <= int(blocks[i].min()) <= int(blocks[i].max()) < NO_ID:
+            raise ValueError(f"ids must be from 0 to {NO_ID - 1}")
         ids[: sizes[k], k] = blocks[i]
     mixer = Mixer(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    words, used = np.zeros((lanes, steps + 16), np.uint32), np.zeros(lanes, np.int64)
-    few, low32, refill, eight = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(8)
+    words, used = np.zeros((lanes, steps + 32), np.uint32), np.zeros(lanes, np.int64)
+    few, low32, refill = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(16)
 
     def shift(lane: np.ndarray) -> None:
         words[lane, used[lane]] = low[lane] >> np.uint64(32)
         used[lane] += 1
         low[lane] = (low[lane] & low32) << refill
 
+    def narrow(lane: np.ndarray) -> None:
+        while len(lane := lane[width[lane] < few]):
+            shift(lane)
+            width[lane] <<= refill
+
     for t, n in enumerate(_active(sizes)):
-        if t % 8 == 0 and used[:n].max() + 32 > words.shape[1]:
+        if t % 8 == 0 and used[:n].max() + 64 > words.shape[1]:
             words = np.concatenate([words, np.zeros((lanes, steps // 4 + 64), np.uint32)], axis=1)
-        mixer.start(n)
-        now = ids[t, :n].astype(np.int64)
-        choice = mixer.choose(now)
-        below, share = mixer.bounds(choice)
-        unit = width[:n] >> np.uint64(TOTAL_BITS)
-        low[:n] += unit * below.astype(np.uint64)
-        width[:n] = unit * share.astype(np.uint64)
-        small = np.nonzero(width[:n] < few)[0]
-        shift(small)
-        width[small] <<= refill
-        flat = np.nonzero(choice == NONE)[0]
-        first, row = now[flat] >> 12, flat * 17
-        for digit, at in ((first, row), (now[flat] >> 8 & 15, row + 1 + first)):
-            _, below, share = mixer.digit(at, digit)
-            unit = width[flat] >> np.uint64(TOTAL_BITS)
-            low[flat] += unit * below.astype(np.uint64)
-            width[flat] = unit * share.astype(np.uint64)
-            small = flat[width[flat] < few]
-            shift(small)
-            width[small] <<= refill
-        width[flat] >>= eight
-        low[flat] += width[flat] * (now[flat] & 255).astype(np.uint64)
-        small = flat[width[flat] < few]
-        shift(small)
-        width[small] <<= refill
+        first, second = mixer.predict(n)
+        now = ids[t, :n].astype(np.uint32)
+        choice = np.where(mixer.candidates[0] == now, HIT_2, np.where(mixer.candidates[1] == now, HIT_1, MISS))
+        unit = width[:n] >> np.uint64(HIT_BITS)
+        to_first, to_second = unit * first.astype(np.uint64), unit * second.astype(np.uint64)
+        both = to_first + to_second
+        low[:n] += np.where(choice == HIT_2, np.uint64(0), np.where(choice == HIT_1, to_first, both))
+        width[:n] = np.where(choice == HIT_2, to_first, np.where(choice == HIT_1, to_second, width[:n] - both))
+        narrow(np.nonzero(width[:n] < few)[0])
+        new = np.nonzero(choice == MISS)[0]
+        x, m = now[new].astype(np.int64), len(new)
+        row = new * ROWS_0
+        # The encoder knows all three digits, so their rows are looked up together.
+        _, below, share = mixer.digit(np.concatenate([row, row + 1 + (x >> 12), row + 17 + (x >> 8)]), np.concatenate([x >> 12, x >> 8 & 15, x >> 4 & 15]))
+        below, share = below.astype(np.uint64), share.astype(np.uint64)
+        for k in range(3):
+            unit = width[new] >> np.uint64(TOTAL_BITS)
+            low[new] += unit * below[k * m : k * m + m]
+            width[new] = unit * share[k * m : k * m + m]
+            if k:
+                narrow(new)
+        rest = width[new] >> np.uint64(4)
+        low[new] += rest * (x & 15).astype(np.uint64)
+        width[new] = rest
+        narrow(new)
         mixer.learn(choice, now)
     for _ in range(3):
         shift(np.arange(lanes))
@@ -207,49 +214,53 @@ def expand(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     count = np.array([sizes[i] for i in order])
     if not len(count) or not count[0]:
-        return [np.zeros(0, np.int64) for _ in coded]
+        return [np.zeros(0, np.uint16) for _ in coded]
     lanes, steps = len(order), int(count[0])
     words = np.zeros((lanes, max(len(c) for c in coded) // 2 + 4), np.uint16)
     for k, i in enumerate(order):
         w = np.frombuffer(coded[i], "<u2")
         words[k, : len(w)] = w
-    ids, mixer, used = np.zeros((steps, lanes), np.uint16), Mixer(lanes), np.full(lanes, 3, np.int64)
+    ids, mixer, used = np.zeros((lanes, steps), np.uint16), Mixer(lanes), np.full(lanes, 3, np.int64)
     value = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64) << np.uint64(16) | words[:, 2]
-    width, few, refill, eight = np.full(lanes, 1 << 48, np.uint64), np.uint64(1 << 32), np.uint64(16), np.uint64(8)
+    width, few, refill = np.full(lanes, 1 << 48, np.uint64), np.uint64(1 << 32), np.uint64(16)
 
-    def fill(lane: np.ndarray) -> None:
-        value[lane] = value[lane] << refill | words[lane, used[lane]]
-        used[lane] += 1
-        width[lane] <<= refill
+    def narrow(lane: np.ndarray) -> None:
+        while len(lane := lane[width[lane] < few]):
+            value[lane] = value[lane] << refill | words[lane, used[lane]]
+            used[lane] += 1
+            width[lane] <<= refill
 
     for t, n in enumerate(_active(count)):
-        mixer.start(n)
-        unit = width[:n] >> np.uint64(TOTAL_BITS)
-        choice = mixer.find((value[:n] // unit).astype(np.int32))
-        below, share = mixer.bounds(choice)
-        value[:n] -= unit * below.astype(np.uint64)
-        width[:n] = unit * share.astype(np.uint64)
-        fill(np.nonzero(width[:n] < few)[0])
-        now = mixer.named(choice)
-        flat = np.nonzero(choice == NONE)[0]
-        top = np.zeros(len(flat), np.int64)
-        for depth in range(2):
-            unit = width[flat] >> np.uint64(TOTAL_BITS)
-            digit, below, share = mixer.digit(flat * 17 + (1 + top if depth else 0), None, (value[flat] // unit).astype(np.int32))
-            value[flat] -= unit * below.astype(np.uint64)
-            width[flat] = unit * share.astype(np.uint64)
-            fill(flat[width[flat] < few])
-            top = top << 4 | digit
-        width[flat] >>= eight
-        got = value[flat] // width[flat]
-        value[flat] -= got * width[flat]
-        now[flat] = top << 8 | got.astype(np.int64)
-        fill(flat[width[flat] < few])
+        first, second = mixer.predict(n)
+        unit = width[:n] >> np.uint64(HIT_BITS)
+        to_first, to_second = unit * first.astype(np.uint64), unit * second.astype(np.uint64)
+        both, here = to_first + to_second, value[:n]
+        choice = (here >= to_first).astype(np.int64) + (here >= both)
+        value[:n] -= np.where(choice == HIT_2, np.uint64(0), np.where(choice == HIT_1, to_first, both))
+        width[:n] = np.where(choice == HIT_2, to_first, np.where(choice == HIT_1, to_second, width[:n] - both))
+        narrow(np.nonzero(width[:n] < few)[0])
+        now = np.where(choice == HIT_2, mixer.candidates[0], mixer.candidates[1])
+        new = np.nonzero(choice == MISS)[0]
+        row, x = new * ROWS_0, np.zeros(len(new), np.int64)
+        for k in range(3):
+            unit = width[new] >> np.uint64(TOTAL_BITS)
+            digit, below, share = mixer.digit(row + (0, 1, 17)[k] + x, None, np.minimum(value[new] // unit, np.uint64(TOTAL - 1)).astype(np.int16))
+            value[new] -= unit * below.astype(np.uint64)
+            width[new] = unit * share.astype(np.uint64)
+            x = x << 4 | digit
+            if k:
+                narrow(new)
+        rest = width[new] >> np.uint64(4)
+        got = np.minimum(value[new] // rest, np.uint64(15))
+        value[new] -= got * rest
+        width[new] = rest
+        narrow(new)
+        now[new] = x << 4 | got.astype(np.int64)
         mixer.learn(choice, now)
-        ids[t, :n] = now
+        ids[:n, t] = now
     out: list = [None] * len(coded)
     for k, i in enumerate(order):
-        out[i] = ids[: count[k], k].astype(np.int64)
+        out[i] = ids[k, : count[k]]
     return out
 
 
@@ -286,6 +297,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            raise ValueError("the vocabulary must be byte-level, with that pre-tokenizer's own pattern and no normalizer")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(PATTERN)
         self.forget()
@@ -318,13 +333,21 @@ class Encoder:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if w else p for t, w, p in zip(texts, whole, parts)]
 
 
+def _small(held: list[np.ndarray]) -> np.ndarray:
+    """A block's ids in 16 bits."""
+    ids = np.concatenate(held)
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < NO_ID:
+        raise ValueError(f"ids must be from 0 to {NO_ID - 1}")
+    return ids.astype(np.uint16)
+
+
 def _blocks(docs: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[tuple]:
     """(docs, place, ordinal, ids) of the blocks of a partition's documents, in order."""
     held, rows, size, place, ordinal = [], [], 0, 0, 0
     number = 0
     for doc_id, ids in docs:
         if size and size + len(ids) > BLOCK_IDS:
-            yield rows, place, ordinal, np.concatenate(held)
+            yield rows, place, ordinal, _small(held)
             place, held, rows, size = place + size, [], [], 0
         if not size:
             ordinal = number
@@ -337,10 +360,10 @@ def _blocks(docs: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[tuple]:
         for at in range(0, len(ids), BLOCK_IDS):
             part = ids[at : at + BLOCK_IDS]
             flags = (FIRST if at == 0 else 0) | (LAST if at + BLOCK_IDS >= len(ids) else 0)
-            yield [(doc_id, len(part), flags)], place, number - 1, part
+            yield [(doc_id, len(part), flags)], place, number - 1, _small([part])
             place += len(part)
     if size:
-        yield rows, place, ordinal, np.concatenate(held)
+        yield rows, place, ordinal, _small(held)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:

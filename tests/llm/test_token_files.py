@@ -65,3 +65,27 @@ def test_crc_join():
     a, b, c = b"abc" * 50, b"", bytes(range(256)) * 40
     j = q.CrcJoin()
     assert j.join(j.join(zlib.crc32(a), zlib.crc32(b), len(b)), zlib.crc32(c), len(c)) == zlib.crc32(a + b + c)
+
+
+def test_ids_that_do_not_fit_are_refused():
+    for x in (65535, 70000, -1):
+        with pytest.raises(ValueError):
+            q.compress([np.array([1, x])])
+
+
+def test_weights_learn_which_order_to_trust():
+    """In a block that repeats, order 2 is right; where only the last id tells, order 1 is: the mix follows either."""
+    rng = np.random.default_rng(2)
+    follows = rng.permutation(2000)
+    chain = [0]
+    for _ in range(4000):
+        chain.append(int(follows[chain[-1]]) if rng.random() < 0.9 else int(rng.integers(2000)))
+    noise = rng.integers(0, 2000, 4000)
+    coded = q.compress([np.array(chain), noise])
+    assert len(coded[0]) < 0.8 * len(coded[1])
+    assert all(np.array_equal(a, b) for a, b in zip([chain, noise], q.expand(coded, [len(chain), len(noise)])))
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        q.Encoder(public_tokenizers.path("word_bpe_49k.json"))
