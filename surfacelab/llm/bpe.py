@@ -4,18 +4,16 @@ A vocabulary file (JSON, BPE with word ends) is read in each task from a path pa
 cut at special tokens, composed (NFC), lower-cased and split into words; the words of a batch that
 the task hasn't met are merged together: their byte symbols lie in one flat array, each round looks
 all neighbour pairs up by binary search over the sorted pair keys, and merges each word's pair of
-lowest rank, left to right. Words of very many symbols are merged with a heap instead, which gives
-the same result. Decoding joins the ids' token strings by a space, as the file names no decoder.
+lowest rank, left to right. A very long word takes its rounds alone, so that a round looks up changed pairs only. Decoding joins the ids' token strings by a space, as the file names no decoder.
 
 Cases: a null text is an empty one (no ids, empty decoded text); texts are processed in chunks of a
 bounded number of characters, a long text alone; the memory of known words is bounded; null ids,
 ties and repeated rows pass through; an empty table gives an empty result; other columns of the
-input are carried, except ids and decoded, which are replaced.
+input are carried under their names, except ids and decoded, which are replaced; a vocabulary file of another split pattern raises an error.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from itertools import chain
@@ -28,14 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import others, table, with_text
+from surfacelab.llm.shared import WHITE, column, others, plain, renamed, table
 
-#: White space as the vocabulary's split pattern has it (fixed values).
-WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary file's split pattern (fixed value), with white space written out.
+#: The vocabulary file's split pattern (fixed value), and the same with white space written out.
+FILE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
-#: Characters of text worked on at once, known words kept, symbols above which a word uses the heap.
-CHUNK_CHARS, KNOWN_WORDS, HEAP_SYMBOLS = 4_000_000, 300_000, 4096
+#: Characters of text worked on at once, known words kept, characters above which a word takes its rounds alone.
+CHUNK_CHARS, KNOWN_WORDS, LONG_WORD = 4_000_000, 300_000, 1024
 
 
 def byte_letters() -> list[str]:
@@ -57,6 +54,10 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        if cuts[0].get("pattern") != {"Regex": FILE_SPLIT} or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"]:
+            raise ValueError("the vocabulary must have the word pattern and the normalizers that this encoder knows, and no decoder")
         vocab, end = dict(model["vocab"]), model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in (vocab | self.special).items()}
@@ -148,43 +149,45 @@ class Bpe:
         order = np.argsort(words_of, kind="stable")
         return ids[order], np.bincount(words_of, minlength=len(words))
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """One word's ids with a heap of (rank, place)."""
-        sym = [int(self.first[b]) for b in word]
-        sym[-1] = int(self.last[word[-1]])
-        n = len(sym)
-        ranks = self.lookup(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
-        heap = [(int(r), i, sym[i], sym[i + 1]) for i, r in enumerate(ranks) if r < len(self.keys)]
-        heapq.heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def push(i: int, j: int) -> None:
-            want = sym[i] * self.size + sym[j]
-            k = int(np.searchsorted(self.keys, want))
-            if k < len(self.keys) and self.keys[k] == want:
-                heapq.heappush(heap, (int(self.ranks[k]), i, sym[i], sym[j]))
-
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if sym[i] == a else n
-            if j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = int(self.by_rank[rank]), -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                push(i, after[i])
-            if before[i] >= 0:
-                push(before[i], i)
-        return [s for s in sym if s >= 0]
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """One word's ids by the same rounds; a round looks up only the pairs that the one before has changed."""
+        none = len(self.keys)
+        sym = self.first[np.frombuffer(word, np.uint8)]
+        sym[-1] = self.last[word[-1]]
+        rank = np.append(self.lookup(sym[:-1], sym[1:]), none)
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        alive = len(sym)
+        while (least := rank.min()) < none:
+            hit = np.nonzero(rank == least)[0]
+            # Of neighbouring hits (a pair of equal symbols in a row) every second one merges.
+            fresh = np.concatenate([[True], after[hit[:-1]] != hit[1:]])
+            run = np.arange(len(hit)) - np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+            hit = hit[run % 2 == 0]
+            gone = after[hit]
+            sym[hit], sym[gone], rank[gone] = self.by_rank[least], -1, none
+            after[hit] = after[gone]
+            follow = after[hit] < len(sym)
+            before[after[hit][follow]] = hit[follow]
+            left = before[hit]
+            changed = np.unique(np.concatenate([hit, left[left >= 0]]))
+            inside = after[changed] < len(sym)
+            rank[changed] = none
+            rank[changed[inside]] = self.lookup(sym[changed[inside]], sym[after[changed[inside]]])
+            alive -= len(hit)
+            if 2 * alive < len(sym):
+                keep = sym >= 0
+                sym, rank = sym[keep], rank[keep]
+                after, before = np.arange(1, alive + 1), np.arange(-1, alive - 1)
+        return sym[sym >= 0]
 
     def learn(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) <= HEAP_SYMBOLS // 4]
+        short = [w for w in words if len(w) <= LONG_WORD]
         if short:
             self._remember(short, *self.merge([w.encode() for w in short]))
         for w in words:
-            if len(w) > HEAP_SYMBOLS // 4:
+            if len(w) > LONG_WORD:
                 ids = self.merge_long(w.encode())
-                self._remember([w], np.array(ids, np.int32), np.array([len(ids)], np.int64))
+                self._remember([w], ids, np.array([len(ids)], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of texts and the end of each text in them."""
@@ -223,7 +226,7 @@ def _chunks(texts: list[str]):
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns of docs (all by default) with ids (array of int) and decoded (string)."""
     carried = [c for c in others(docs, ("ids", "decoded")) if carry is None or c in carry]
-    rows, name = with_text(docs, carried, text)
+    rows, names = plain(docs, carried, text=column(text).cast("string"))
 
     def run(batches):
         model = Bpe(vocabulary)
@@ -235,10 +238,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", carry: l
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 part = b.slice(start, stop - start)
                 columns = [part.column(i) for i in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, lists, model.decode(ids, ends).cast(pa.string())], [*carried, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*columns, lists, model.decode(ids, ends).cast(pa.string())], [*names, "ids", "decoded"])
 
-    schema = rows.drop(name).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return rows.mapInArrow(run, schema)
+    schema = rows.drop("text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return renamed(rows.mapInArrow(run, schema), carried)
 
 
 def vocabulary_path(name: str) -> str:

@@ -36,14 +36,33 @@ def test_digests_and_carried_columns(spark, path):
     assert q.encode_decode(df.limit(0), path).count() == 0
 
 
-def test_rounds_heap_and_small_memory_agree(path, monkeypatch):
+def test_rounds_alone_and_small_memory_agree(path, monkeypatch):
     model = q.Bpe(path)
-    words = [w.encode() for w in ["aaaa", "aaaaa", "thethethe", "mississippi", "z", "ééé"]]
+    rng = np.random.default_rng(3)
+    words = [w.encode() for w in ["aaaa", "aaaaa", "thethethe", "mississippi", "z", "ééé", *("".join(rng.choice(list("aaethinrs"), n)) for n in (20, 300, 3000))]]
     ids, counts = model.merge(words)
-    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [model.merge_long(w) for w in words]
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [list(model.merge_long(w)) for w in words]
     monkeypatch.setattr(q, "KNOWN_WORDS", 1)
     monkeypatch.setattr(q, "CHUNK_CHARS", 3)
     texts = ["one two", "", "two three", "four"]
     want, ends = model.encode(texts)
     parts = [model.encode(texts[a:b])[0] for a, b in q._chunks(texts)]
     assert np.array_equal(want, np.concatenate(parts)) and list(ends) == list(np.cumsum([len(model.encode([t])[0]) for t in texts]))
+
+
+def test_registered_query_equals_the_library(spark, path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    tok = Tokenizer.from_file(path)
+    want = {}
+    for r in docs:
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in q.op6_bpe(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
+def test_other_pattern_is_refused(path, tmp_path):
+    text = open(path, encoding="utf-8").read()
+    (tmp_path / "other.json").write_text(text.replace("'s|'t|", "'s|"), encoding="utf-8")
+    with pytest.raises(ValueError):
+        q.Bpe(str(tmp_path / "other.json"))
