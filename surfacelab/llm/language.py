@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surfacelab.llm.quality_classifier import held_out
-from surfacelab.llm.shared import labelled_sample, others, table, with_text
+from surfacelab.llm.shared import column, labelled_sample, others, plain, renamed, table
 
 SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES = 4000, 200_000, 48_000_000
 GRAMS, BUCKET_BITS, SWITCH, WORD_LIMIT = (2, 3, 4), 18, 12.0, 6.0
@@ -187,7 +187,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and spans (word counts and languages in order)."""
     carried = others(docs, ("lang_pred", "score", "spans"))
-    rows, name = with_text(docs, carried, text)
+    rows, names = plain(docs, carried, text=column(text).cast("string"))
     span = pa.list_(pa.struct([("words", pa.int32()), ("lang", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -207,10 +207,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     cut = np.concatenate([[0], np.nonzero(np.diff(path))[0] + 1, [len(path)]])
                     pred.append(langs[best]), score.append(float(n[best] / len(path)))
                     spans.append([{"words": int(z - a), "lang": langs[path[a]]} for a, z in zip(cut, cut[1:])])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], [*carried, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], [*names, "lang_pred", "score", "spans"])
 
     spans = T.ArrayType(T.StructType([T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    return rows.mapInArrow(run, rows.drop(name).schema.add("lang_pred", "string").add("score", T.DoubleType()).add("spans", spans))
+    return renamed(rows.mapInArrow(run, rows.drop("text").schema.add("lang_pred", "string").add("score", T.DoubleType()).add("spans", spans)), carried)
 
 
 def _chunks(texts: list[str | None], most: int):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import column, labelled_sample, others, table, unused, with_text, written
+from surfacelab.llm.shared import column, labelled_sample, others, plain, renamed, table, unused, written
 
 SAMPLE_PER_DOMAIN, SAMPLE_BYTES, TOTAL_BYTES, VOCABULARY = 1500, 100_000, 24_000_000, 20_000
 ROUNDS, TOLERANCE = 80, 1e-5
@@ -105,16 +105,16 @@ def _posteriors(column: pa.Array, k: int) -> np.ndarray:
 def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """docs with n_tokens and posterior (array in the order of the model's domains)."""
     carried = others(docs, ADDED)
-    rows, name = with_text(docs, carried, text)
+    rows, names = plain(docs, carried, text=column(text).cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
             got = [shared.value.tokens_and_posterior(t.as_py()) for t in b.column(b.num_columns - 1)]
             n, p = pa.array([x[0] for x in got], pa.int64()), pa.array([x[1].tolist() for x in got], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, p], [*carried, "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, p], [*names, "n_tokens", "posterior"])
 
-    return rows.mapInArrow(run, rows.drop(name).schema.add("n_tokens", T.LongType()).add("posterior", T.ArrayType(T.DoubleType())))
+    return renamed(rows.mapInArrow(run, rows.drop("text").schema.add("n_tokens", T.LongType()).add("posterior", T.ArrayType(T.DoubleType()))), carried)
 
 
 def _totals(members: DataFrame, k: int, weigh) -> np.ndarray:
@@ -195,14 +195,15 @@ def solve(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float
 
 def with_rates(members: DataFrame, plan: Plan) -> DataFrame:
     """members with rate, and copies: its whole part, and one more for that share of the ids."""
-    k = len(plan.targets)
+    k, carried = len(plan.targets), others(members, ("posterior", "rate", "copies"))
+    rows, names = plain(members, carried, posterior=F.col("posterior"))
 
     def run(batches):
         for b in batches:
             rates = plan.rates(_posteriors(b.column("posterior"), k))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates)], [*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates)], [*names, "posterior", "rate"])
 
-    rated = members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
+    rated = renamed(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("rate", T.DoubleType())])), carried)
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 

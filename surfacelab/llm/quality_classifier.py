@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import labelled_sample, others, table, with_text
+from surfacelab.llm.shared import column, labelled_sample, others, plain, renamed, table
 
 SAMPLE_PER_CLASS, SAMPLE_BYTES, TOTAL_BYTES = 1500, 200_000, 24_000_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 3
@@ -113,16 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score (probability of label 1) and predicted."""
     carried = others(docs, ("score", "predicted"))
-    rows, name = with_text(docs, carried, text)
+    rows, names = plain(docs, carried, text=column(text).cast("string"))
 
     def run(batches):
         scorer = Scorer(model)
         for b in batches:
             d = np.array([scorer.difference(t.as_py()) for t in b.column(b.num_columns - 1)], float)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scorer.score(d))], [*carried, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scorer.score(d))], [*names, "score"])
 
-    schema = rows.drop(name).schema.add("score", T.DoubleType())
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = rows.drop("text").schema.add("score", T.DoubleType())
+    return renamed(rows.mapInArrow(run, schema), carried).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out(parts: int, which: int) -> Column:

@@ -1,20 +1,25 @@
 """Near copies by exact Jaccard similarity of word-shingle sets, for the pipeline's stage.
 
+First the operator's own method: fingerprints of the 5-word shingles are linked by deletion variants at 2 or
+fewer bits (simhash.links) and each link is verified on the shingle sets. Near 0.8, fingerprints can't do the rest:
+such pairs differ in some 15 of 100 bits, which leaves segments too short to select anything. So an exact join follows.
+
 Two sets of similarity t or more share at least t of the larger one, so under any one order of all
-shingles they share a shingle among the first n - ceil(t n) + 1 of each (the prefix). Each distinct
-set is indexed under its prefix, members of a bucket are equality-joined and verified on their
-whole sets: no pair is missed and none is linked by chance. Near 0.8, fingerprints can't do this:
-pairs differ in some 15 of 100 bits, which leaves segments too short to select anything.
+shingles they share a shingle among the first n - ceil(t n) + 1 of each (the prefix), and of prefixes of such lengths a
+number that grows with the sizes. Each distinct set is indexed under its prefix, members of a bucket are
+equality-joined, pairs that share too few are left out, and the others are verified on their whole sets:
+no pair is missed and none is linked by chance.
 
-The order puts shingles that are frequent in a bounded sample last, so that shared passages
-(licenses, repeated lines) hardly get into prefixes. Any sample gives the same result.
+The order puts shingles that are frequent in a sample last (a fixed share of the table, 5000 texts at least), so that
+shared passages (licenses, repeated lines) hardly get into prefixes. Any sample gives the same result.
 
-Large groups aren't expanded into pairs: first each bucket's members are verified against its
-smallest one, then only members of buckets that still hold several components meet, across components.
+Large groups aren't expanded into pairs: links and then stars (each set with the one set, smallest of a bucket, that it
+shares most with) are verified first, and only members of buckets that still hold several components meet, across components.
 
 Cases: null text counts as empty, all empty texts are copies of each other; texts of fewer words than a
-shingle are one shingle; null ids keep their rows; repeated rows and equal sets are one node; an empty
-table gives an empty result.
+shingle are one shingle; a very long text's shingle hashes are held by one task; repeated rows, rows that share an id and equal sets are judged by their
+texts, so a text is never lost with another's id; of a group the row of smallest id stays (null ids last), of equal rows one; an empty
+table gives an empty result; other columns are carried under their names.
 """
 
 from __future__ import annotations
@@ -25,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surfacelab.llm import simhash
 from surfacelab.llm.components import components
-from surfacelab.llm.shared import written
-from surfacelab.llm.simhash import SEED, shingle_hashes
+from surfacelab.llm.shared import new_path, remove, written, written_to
+from surfacelab.llm.simhash import SEED, majority, shingle_hashes
+from surfacelab.llm.survivors import bitmap, has, keep_first, slot
 
 WORDS, PERCENT = 5, 80
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 20_000, 200_000
-#: Bits of the bitmap of the nodes to verify.
-SLOTS = 1 << 24
+#: The sample for the order: so many rows or so large a share, their first bytes, and the shingles kept.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 0.02, 20_000, 200_000
+STARS = 2
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -49,7 +56,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that several texts of a bounded sample have, with their numbers of texts."""
     rows = docs.select(F.col("text").cast("string").substr(1, SAMPLE_BYTES).alias("text")).where("text IS NOT NULL")
     n = rows.count()
-    some = rows.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), 1).limit(SAMPLE_ROWS)
+    some = rows.sample(min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(n, 1))), 1)
 
     def run(batches):
         for b in batches:
@@ -74,8 +81,14 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: in
     return hashes[np.argsort(rank, kind="stable")[: n + (-n * percent // 100) + 1]]
 
 
-def _node(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw, SEED)
+def node_of(text: str | None, words: int = WORDS) -> int:
+    """Digest of a text's shingle set, as a signed long."""
+    return _digest(shingle_set(text, words).tobytes())
+
+
+def _digest(raw: bytes) -> int:
+    k = xxhash.xxh64_intdigest(raw, SEED)
+    return k - (1 << 64) if k >> 63 else k
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -83,83 +96,119 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (digest of the set), n, prefix of docs (doc_id, text)."""
+    """doc_id, node (digest of the set), n, fp (fingerprint) and prefix of docs (doc_id, text)."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches):
         for b in batches:
-            found = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            node = np.array([_node(s.tobytes()) for s in found], np.uint64).view(np.int64)
+            hashes = [shingle_hashes(t.as_py(), words) for t in b.column("text")]
+            found = [np.unique(h) for h in hashes]
             first = pa.array([prefix(s, often.value, percent).view(np.int64) for s in found], pa.list_(pa.int64()))
-            n = pa.array([len(s) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), n, first], ["doc_id", "node", "n", "prefix"])
+            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), first]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, prefix array<long>")
 
 
-def sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """node, shingles (the set's bytes) of nodes and a few more: a bitmap of bounded size says which texts to take."""
-    slots = nodes.select(F.col("node").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[slots] = True
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+def sets(docs: DataFrame, each: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """node, shingles (the set's bytes) of nodes, from one row each; a bitmap says which texts to cut into shingles."""
+    reps = each.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(reps.select(slot("doc_id").alias("slot"))))
 
     def run(batches):
         for b in batches:
-            node, raw = [], []
-            for t in b.column("text"):
-                r = shingle_set(t.as_py(), words).tobytes()
-                k = _node(r)
-                at = k & (SLOTS - 1)
-                if wanted.value[at >> 3] >> (7 - (at & 7)) & 1:
-                    node.append(k)
-                    raw.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(raw, pa.binary())], ["node", "shingles"])
+            raw = [shingle_set(b.column("text")[int(k)].as_py(), words).tobytes() for k in np.nonzero(has(wanted.value, b.column("slot").to_numpy()))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["node", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    rows = _texts(docs).select("text", slot("doc_id").alias("slot")).mapInArrow(run, "node long, shingles binary")
+    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, each: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar."""
-    pairs = written(pairs, "shingle-pairs")
-    nodes = written(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), words), "shingle-sets")
+    spark = docs.sparkSession
+    paths = [new_path(spark, name) for name in ("shingle-pairs", "shingle-sets")]
+    pairs = written_to(pairs, paths[0])
+    if pairs.isEmpty():
+        return pairs
+    found = written_to(sets(docs, each, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), paths[1])
 
     def run(batches):
         for b in batches:
-            x, y = ([np.frombuffer(s.as_py(), np.uint64) for s in b.column(c)] for c in ("x", "y"))
+            x, y = ([np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(c)] for c in ("x", "y"))
             yield b.select(["a", "b"]).filter(pa.array([similar(p, q, percent) for p, q in zip(x, y)], pa.bool_()))
 
-    full = pairs.join(nodes.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "shingle-links")
+    # The sets of the larger numbers come to the pairs first, so what is moved twice is one set a pair.
+    full = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links = written(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "shingle-links")
+    remove(spark, *paths)
+    return links
+
+
+def _may_reach(x: str, y: str, percent: int) -> str:
+    """SQL: sets of sizes x and y can be similar at all."""
+    return f"least({x}, {y}) * 100 >= {percent} * greatest({x}, {y})"
+
+
+def _enough(x: str, y: str, shared: str, percent: int) -> str:
+    """SQL: prefixes that share so many shingles leave room for a similar pair.
+
+    The set whose prefix ends first has all that its prefix shares counted, so the overlap is at most
+    shared more than the rest of that set, and the rest of the larger set is the longer one.
+    """
+    need = f"ceil({percent} * ({x} + {y}) / (100.0 + {percent}))"
+    return f"{shared} >= {need} - (ceil({percent} * greatest({x}, {y}) / 100.0) - 1)"
 
 
 def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b links among distinct sets whose components are those of "similarity percent or more"."""
-    entries = each.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("bucket")).repartition("bucket")
-    least = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.min_by("n", "node").alias("least_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(entries.join(least, "bucket"), "shingle-buckets")
-    stars = shared.where("node <> least").where(f"least(n, least_n) * 100 >= {percent} * greatest(n, least_n)").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = _verified(stars, docs, words, percent)
-    named = shared.select("bucket", "node", "n").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    still = written(named.join(mixed, "bucket"), "shingle-open")
-    x, y = (still.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "xy")
-    met = x.join(y, "bucket").where("nodex < nodey AND rootx <> rooty").where(f"least(nx, ny) * 100 >= {percent} * greatest(nx, ny)")
-    pairs = met.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
-    return first.unionByName(_verified(pairs, docs, words, percent))
+    nodes = each.select("node", "n", "fp", "prefix").dropDuplicates(["node"])
+    # The dealt method: fingerprints linked by deletion variants, and sets of one fingerprint.
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "shingle-prints")
+    near = simhash.links(reps.select("fp"))
+    a, b = (reps.select(F.col("fp").alias(x), F.col("node").alias("node" + x)) for x in "ab")
+    same = nodes.join(reps.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    found = [verified(near.join(a, "a").join(b, "b").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).unionByName(same), docs, each, words, percent)]
+
+    entries = nodes.select("node", "n", F.explode("prefix").alias("bucket"))
+    many = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    path = new_path(docs.sparkSession, "shingle-buckets")
+    still = written_to(entries.repartition("bucket").join(many, "bucket"), path)
+    for round_ in range(STARS + 1):
+        so_far = found[0]
+        for more in found[1:]:
+            so_far = so_far.unionByName(more)
+        named = still.select("bucket", "node", "n").join(components(so_far), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rank = F.struct("root", "node")
+        low = named.groupBy("bucket").agg(F.min(rank).alias("low"), F.max("root").alias("high"), F.min_by("n", rank).alias("low_n")).where("low.root < high")
+        ahead = new_path(docs.sparkSession, "shingle-buckets")
+        still = written_to(named.join(low.select("bucket", "low", "low_n"), "bucket"), ahead)
+        remove(docs.sparkSession, path)
+        path = ahead
+        if still.isEmpty():
+            break
+        if round_ < STARS:
+            stars = still.where("root <> low.root").where(_may_reach("n", "low_n", percent)).groupBy("node", F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+            pairs = stars.groupBy("node").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select(F.col("node").alias("a"), "b")
+        else:
+            x, y = (still.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "xy")
+            met = x.join(y, "bucket").where("nodex < nodey AND rootx <> rooty").where(_may_reach("nx", "ny", percent))
+            pairs = met.groupBy("nodex", "nodey", "nx", "ny").agg(F.count(F.lit(1)).alias("shared")).where(_enough("nx", "ny", "shared", percent)).select(F.col("nodex").alias("a"), F.col("nodey").alias("b"))
+        found.append(verified(pairs, docs, each, words, percent))
+    remove(docs.sparkSession, path)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, component_id (smallest doc_id reachable by links) of docs (doc_id, text)."""
+    """doc_id, node, root of each row of docs (doc_id, text): the digest of its set, and its component's smallest one."""
     each = written(prefixes(docs, words, percent), "shingles")
-    classes = each.groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = components(links(each, docs, words, percent))
-    named = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.select("doc_id", "node").join(named.join(best, "root").select("node", "component_id"), "node").drop("node")
+    return each.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; rows of null id stay."""
-    later = groups(docs, **parameters).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The row of smallest doc_id of each group of near copies, with all its columns."""
+    return keep_first(docs, groups(docs, words, percent), lambda text: node_of(text, words))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from surfacelab.llm.components import components
 from surfacelab.llm.shared import table, written
+from surfacelab.llm.survivors import keep_first
 
 SEED = 42
 #: Hashes whose bits are counted at once.
@@ -48,7 +49,11 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit majority of the shingle hashes, as a signed long."""
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), BLOCK):
         bits = np.unpackbits(h[k : k + BLOCK].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -113,19 +118,19 @@ def links(fps: DataFrame, bits: int = 2, pair_limit: int = 64) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2, pair_limit: int = 64) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links) of docs (doc_id, text)."""
+    """doc_id, fp, root (the component's smallest fingerprint) and component_id (smallest doc_id reachable by links) of docs (doc_id, text)."""
     each = written(fingerprints(docs, words), "simhash")
     classes = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), bits, pair_limit))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(named.join(best, "root").select("fp", "component_id"), "fp")
+    return each.join(named.join(best, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; rows of null id stay."""
-    groups = simhash_groups(docs, **parameters).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, words: int = 3, **parameters) -> DataFrame:
+    """The row of smallest doc_id (null ids last) of each component, of equal rows one, with all columns of docs."""
+    grouped = simhash_groups(docs, words, **parameters).select("doc_id", F.col("fp").alias("node"), F.col("root"))
+    return keep_first(docs, grouped, lambda text: fingerprint(text, words))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,31 @@ def test_mixed_rows_follow_the_factors(spark):
     assert out.columns == ["doc_id", "text"]
     left = {r.doc_id for r in out.collect()}
     assert len([i for i in left if i % 5 == 4]) < 20 and len([i for i in left if i % 5 < 3]) >= 165
+
+
+def test_registered_query_equals_brute_force(spark):
+    """Posteriors from the whole weight table, rates by plain projected gradient on all rows at once."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = q.train(docs.select("doc_id", "text"), q.domain_labels(spark, sf_dir))
+    got = {r.doc_id: r for r in q.op10_mixing(spark, sf_dir).collect()}
+    ids, n, p = [], [], []
+    for r in docs.select("doc_id", "text").collect():
+        words = (r.text or "").lower().split()
+        z = model.bias.copy()
+        for w in set(words):
+            if w in model.words:
+                z = z + model.weights[model.words[w]]
+        e = np.exp(z - z.max())
+        ids.append(r.doc_id), n.append(len(words)), p.append(e / e.sum())
+    n, p = np.array(n, float), np.array(p)
+    assert all(got[i].n_tokens == k for i, k in zip(ids, n)) and np.allclose([[got[i][f"p_{d}"] for d in model.domains] for i in ids], p, atol=1e-9)
+    want = n.sum() * np.array([q.TARGETS[d] for d in model.domains])
+    rate = np.array([got[i].rate for i in ids])
+    assert np.abs((rate * n) @ p - want).max() <= 2e-5 * n.sum()
+    plain = np.ones(len(n))
+    for _ in range(40_000):
+        plain = np.maximum(0, plain - p @ ((plain * n) @ p - want) / n.sum())
+    assert np.abs((plain * n) @ p - want).max() <= 1e-4 * n.sum()
+    assert np.abs(plain - rate).max() < 0.05
+    assert all(got[i].copies in (int(r), int(r) + 1) for i, r in zip(ids, rate))

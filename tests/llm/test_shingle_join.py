@@ -54,5 +54,32 @@ def test_stage_on_the_table_equals_brute_force(spark, sf_dir):
 
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "A b  c"), (2, None), (3, ""), (None, None), (4, "A b  c")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0) for r in q.keep_one(df).collect()) == [0, 0, 2, 4, 4]
+    assert [(r.doc_id, (r.text or "").lower().split()) for r in q.keep_one(df).orderBy("doc_id").collect()] == [(2, []), (4, ["a", "b", "c"])]
     assert q.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_text_is_not_lost_with_its_id(spark):
+    """Rows that share an id are judged by their texts; columns of clashing and dotted names are carried."""
+    one, two, three = ("x1 x2 x3 x4 x5 x6 x7", "y1 y2 y3 y4 y5 y6 y7", "z1 z2 z3 z4 z5 z6 z7")
+    rows = [(3, one), (5, one), (5, two), (7, three), (7, three), (None, three), (None, "only here"), (None, "only here")]
+    df = spark.createDataFrame([(i, t, k, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node_ int, maybe_ int, `a.b` int")
+    want = sorted([(3, one), (5, two), (7, three), (None, "only here")], key=str)
+    for keep in (q.keep_one, simhash.keep_one):
+        out = keep(df)
+        assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+
+
+def test_prefix_bound_leaves_no_similar_pair_out():
+    rng = np.random.default_rng(9)
+    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    met = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 10**6, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.8, 0.9, 1])], rng.integers(0, 10**6, rng.integers(0, 1 + n // 4)).astype(np.uint64)]))
+        if len(y) and q.similar(x, y):
+            shared = len(np.intersect1d(q.prefix(x, often), q.prefix(y, often)))
+            need = -(-80 * (len(x) + len(y)) // 180) - (-(-80 * max(len(x), len(y)) // 100) - 1)
+            assert shared >= max(1, need)
+            met += 1
+    assert met > 500
