@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surfacelab.functions.vec import cross, dot, norm, sub
+from surfacelab.functions.vec import cross, norm, sub
+from surfacelab.operators.ranking import running_sums
+from surfacelab.operators.rounds import label_cells
 
 
 def texture(cells: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -50,48 +54,69 @@ def widening_slab(points: DataFrame, keys: list[str], depth: str, widths: tuple[
 
 
 def jump_flags(grid: DataFrame, factor: float = 3.0) -> DataFrame:
-    """grid cells with right, down (steps to the neighbours), median and jump, folded flags."""
+    """Grid cells with right, down (edges to valid neighbours), bad_right, bad_down, quad, folded and defect.
+
+    An edge is bad beyond factor times its grid's median edge. The square to the lower right of a cell is a quad if its four
+    corners are valid, and folded if its area vector doesn't point the way of the grid's mean one. A cell is a defect at either end
+    of a bad edge or at any corner of a folded quad.
+    """
     across, along = Window.partitionBy("grid", "r").orderBy("c"), Window.partitionBy("grid", "c").orderBy("r")
 
-    def step(w: Window, axis: str):
-        near = (F.lead(axis).over(w) == F.col(axis) + 1) & F.lead("valid").over(w) & F.col("valid")
-        return F.when(near, norm(sub(F.lead("p").over(w), "p"))), F.when(near, sub(F.lead("p").over(w), "p"))
+    def ahead(x, w: Window, axis: str):
+        return F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(x).over(w))
+
+    def behind(x: str, w: Window, axis: str):
+        return F.coalesce(F.when(F.lag(axis).over(w) == F.col(axis) - 1, F.lag(x).over(w)), F.lit(False))
+
+    def both(x):
+        return F.col("valid") & F.coalesce(x, F.lit(False))
+
+    rows = grid.select("*", ahead("p", across, "c").alias("p_right"), ahead("p", along, "r").alias("p_down"), both(ahead("valid", across, "c")).alias("has_right"), both(ahead("valid", along, "r")).alias("has_down"))
+    du, dv = sub("p_right", "p"), sub("p_down", "p")
+    rows = rows.withColumn("quad", F.col("has_right") & F.col("has_down") & F.coalesce(ahead("has_right", along, "r"), F.lit(False)))
+    rows = rows.select("*", F.when(F.col("has_right"), norm(du)).alias("right"), F.when(F.col("has_down"), norm(dv)).alias("down"), F.when(F.col("quad"), cross(du, dv)).alias("area"))
+    edges = rows.select("grid", F.explode(F.array("right", "down")).alias("s")).where("s IS NOT NULL").groupBy("grid").agg(F.percentile("s", F.lit(0.5)).alias("median"))
+    means = rows.groupBy("grid").agg(*[F.avg(F.col("area")[k]).alias("m" + k) for k in "xyz"])
+    rows = rows.join(edges, "grid", "left").join(means, "grid", "left")
+    turn = sum((F.col("area")[k] * F.col("m" + k) for k in "xyz"), F.lit(0.0))
 
-    rows = grid.withColumn("right", step(across, "c")[0]).withColumn("du", step(across, "c")[1]).withColumn("down", step(along, "r")[0]).withColumn("dv", step(along, "r")[1])
-    steps = rows.select("grid", F.explode(F.array("right", "down")).alias("s")).where("s IS NOT NULL")
-    rows = rows.join(steps.groupBy("grid").agg(F.percentile("s", F.lit(0.5)).alias("median")), "grid", "left")
-    normal = cross("du", "dv")
-    rows = rows.withColumn("normal", F.when(F.col("du").isNotNull() & F.col("dv").isNotNull(), normal))
-    turned = F.coalesce(dot("normal", F.lag("normal").over(across)) < 0, F.lit(False))
-    limit = factor * F.col("median")
-    return rows.withColumn("jump", F.coalesce(F.greatest("right", "down") > limit, F.lit(False))).withColumn("folded", turned).drop("du", "dv", "normal")
+    def bad(x: str):
+        return F.coalesce((F.col("median") > 0) & (F.col(x) > factor * F.col("median")), F.lit(False))
+
+    rows = rows.select("*", bad("right").alias("bad_right"), bad("down").alias("bad_down"), (F.col("quad") & F.coalesce(turn <= 0, F.lit(False))).alias("folded"))
+    rows = rows.withColumn("side", F.col("folded") | behind("folded", across, "c"))
+    defect = F.col("bad_right") | F.col("bad_down") | behind("bad_right", across, "c") | behind("bad_down", along, "r") | F.col("side") | behind("side", along, "r")
+    return rows.withColumn("defect", defect).drop("p_right", "p_down", "has_right", "has_down", "area", "mx", "my", "mz", "side")
 
 
 def geometry(flags: DataFrame) -> DataFrame:
-    """grid, coverage, jump_fraction, folded_fraction."""
-    v = F.col("valid")
+    """grid, coverage (valid cells of the sheet), jump_fraction (of edges) and folded_fraction (of quads).
+
+    The sheet is where the column sheet holds; without one it is every cell of the grid.
+    """
+    sheet = F.count_if("sheet") if "sheet" in flags.columns else F.count(F.lit(1))
+    edges = F.count("right") + F.count("down")
     return flags.groupBy("grid").agg(
-        F.avg(v.cast("double")).alias("coverage"),
-        (F.count_if(v & F.col("jump")) / F.greatest(F.count_if(v), F.lit(1))).alias("jump_fraction"),
-        (F.count_if(v & F.col("folded")) / F.greatest(F.count_if(v), F.lit(1))).alias("folded_fraction"),
+        (F.count_if("valid") / F.greatest(sheet, F.lit(1))).alias("coverage"),
+        ((F.count_if("bad_right") + F.count_if("bad_down")) / F.greatest(edges, F.lit(1))).alias("jump_fraction"),
+        (F.count_if("folded") / F.greatest(F.count_if("quad"), F.lit(1))).alias("folded_fraction"),
     )
 
 
 def gates(metrics: DataFrame) -> DataFrame:
     """metrics with passed: coverage, adherence, folds and jumps within their limits."""
     c = F.col
-    return metrics.withColumn("passed", (c("coverage") >= 0.99) & (c("folded_fraction") < 0.001) & (c("jump_fraction") < 0.01))
+    return metrics.withColumn("passed", (c("coverage") >= 0.99) & (c("adherence") >= 0.95) & (c("folded_fraction") < 0.001) & (c("jump_fraction") < 0.01))
 
 
 def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """positives, negatives, auroc and means of scores (label 0 or 1), by average ranks.
 
     Ranks come from counts of each distinct score, so ties are one row and no group of equal
-    scores is sorted.
+    scores is sorted; what lies below a score is summed over ranges of scores, so that one key's scores are many tasks' work.
     """
     counts = scored.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
-    before = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("q").over(before), F.lit(0)))
+    ranked = running_sums(counts, keys, ["score"], "q", "below")
     sums = ranked.groupBy(*keys).agg(
         F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"),
         (F.sum(F.col("p") * F.col("score")) / F.nullif(F.sum("p"), F.lit(0))).alias("mean_pos"), (F.sum(F.col("q") * F.col("score")) / F.nullif(F.sum("q"), F.lit(0))).alias("mean_neg"),
@@ -109,11 +134,22 @@ def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def crop_score(cells: DataFrame, keys: list[str], level: float, interior: float) -> DataFrame:
-    """occupancy, interior and contrast of crops in one aggregate, and their sum as score."""
-    v = F.col("v")
-    rows = cells.groupBy(*keys).agg(
-        F.avg((v >= level).cast("double")).alias("occupancy"), F.avg((v >= interior).cast("double")).alias("interior"),
-        (F.percentile("v", F.lit(0.99)) - F.percentile("v", F.lit(0.5))).alias("contrast"),
+def crop_score(cells: DataFrame, keys: list[str], level: float, edge: int, margin: int = 10) -> DataFrame:
+    """occupancy, largest (cells of the largest component), interior_fraction, boundary_fraction and score of crops.
+
+    cells: (keys, z, y, x, v) with indices from 0 to edge - 1; a cell is occupied above level. The boundary is
+    what lies within margin of a face, its fraction is of the whole crop.
+    """
+    axes = ["z", "y", "x"]
+    rows = cells.withColumn("on", F.col("v") > level)
+    inner = reduce(lambda a, b: a & b, [F.col(k).between(margin, edge - 1 - margin) for k in axes])
+    on = F.col("on").cast("double")
+    sums = rows.groupBy(*keys).agg(
+        F.avg(on).alias("occupancy"), F.coalesce(F.avg(F.when(inner, on)), F.lit(0.0)).alias("interior_fraction"), F.avg(F.when(inner, 0.0).otherwise(on)).alias("boundary_fraction"),
+        (F.percentile("v", F.lit(0.99)) - F.percentile("v", F.lit(0.5))).alias("contrast"), F.count(F.lit(1)).alias("cells"),
     )
-    return rows.withColumn("score", F.col("contrast") + F.col("interior") - F.abs(F.col("occupancy") - 0.3))
+    sizes = label_cells(rows.where("on").select(*keys, *axes), keys, axes, 1).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    got = sums.join(sizes.groupBy(*keys).agg(F.max("n").alias("largest")), keys, "left").withColumn("largest", F.coalesce("largest", F.lit(0)))
+    c = F.col
+    score = 4 * F.least(c("interior_fraction"), F.lit(0.2)) + 2 * F.least(c("largest") / c("cells"), F.lit(0.2)) + c("contrast") - 1.5 * c("boundary_fraction") - 2 * F.greatest(F.lit(0.0), c("occupancy") - 0.35)
+    return got.withColumn("score", score)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from surfacelab.functions import vec as V
@@ -28,9 +30,9 @@ def q_prune_faces(spark, d):
 
 def q_nonmanifold(spark, d):
     """Faces of order lines as triangles of keys: an edge of more than two faces removes them."""
-    f = table(spark, d, "lineitem").where("l_linenumber <= 2").select(
-        F.col("l_suppkey").alias("mesh"), (F.col("l_orderkey") % 13).alias("a"), (F.col("l_partkey") % 13 + 13).alias("b"), (F.col("l_orderkey") % 7 + 26).alias("c"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("key"))
-    f = f.groupBy("mesh", "a", "b", "c").agg(F.min("key.l_orderkey").alias("fid")).select("mesh", (F.col("a") * 10000 + F.col("b") * 100 + F.col("c")).alias("fid"), "a", "b", "c")
+    f = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("mesh"), (F.col("l_orderkey") % 5).alias("a"), (F.col("l_suppkey") % 5 + 5).alias("b"), (F.col("l_linenumber") % 4 + 10).cast("long").alias("c"))
+    f = f.distinct().select("mesh", (F.col("a") * 10000 + F.col("b") * 100 + F.col("c")).alias("fid"), "a", "b", "c")
     return M.remove_nonmanifold(f, 2)
 
 
@@ -139,12 +141,15 @@ def q_atlas(spark, d):
 
 def q_jump_flags(spark, d):
     got = metrics.jump_flags(grids(spark, d), 1.5)
-    return got.where("valid").select("grid", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "jump", "folded")
+    return got.select("grid", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "bad_right", "bad_down", "folded", "defect")
 
 
 def q_geometry(spark, d):
-    got = metrics.gates(metrics.geometry(metrics.jump_flags(grids(spark, d), 1.5)))
-    return got.select("grid", r6("coverage", "coverage"), r6("jump_fraction", "jump_fraction"), r6("folded_fraction", "folded_fraction"), "passed")
+    """Geometry of the height grids; adherence is the share of valid cells that are higher than the holes' limit by a little."""
+    g = grids(spark, d)
+    adherence = g.where("valid").groupBy("grid").agg(F.avg((F.col("p.z") > -1.1).cast("double")).alias("adherence"))
+    got = metrics.gates(metrics.geometry(metrics.jump_flags(g, 1.5)).join(adherence, "grid", "left"))
+    return got.select("grid", *[r6(k, k) for k in ("coverage", "adherence", "jump_fraction", "folded_fraction")], F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
 V_ = "v AS (SELECT grid AS mesh, r * 8 + c AS vid, px, py, pz FROM grid WHERE valid)"
@@ -161,27 +166,39 @@ fc AS (SELECT mesh, fid, a, b, c, uy * wz - uz * wy AS x, uz * wx - ux * wz AS y
 fnr AS (SELECT mesh, fid, a, b, c, x / l AS x, y / l AS y, z / l AS z FROM (SELECT *, greatest(sqrt(x * x + y * y + z * z), 1e-6) AS l FROM fc)),
 vs AS (SELECT mesh, vid, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM (SELECT mesh, a AS vid, x, y, z FROM fnr UNION ALL SELECT mesh, b, x, y, z FROM fnr UNION ALL SELECT mesh, c, x, y, z FROM fnr) GROUP BY ALL),
 vn AS (SELECT mesh, vid, x / l AS x, y / l AS y, z / l AS z FROM (SELECT *, greatest(sqrt(x * x + y * y + z * z), 1e-6) AS l FROM vs))"""
-FLAGS = """s AS (SELECT g.grid, g.r, g.c, g.valid, CASE WHEN g.valid AND a.valid THEN a.px - g.px END AS ux, CASE WHEN g.valid AND a.valid THEN a.py - g.py END AS uy, CASE WHEN g.valid AND a.valid THEN a.pz - g.pz END AS uz,
-  CASE WHEN g.valid AND b.valid THEN b.px - g.px END AS wx, CASE WHEN g.valid AND b.valid THEN b.py - g.py END AS wy, CASE WHEN g.valid AND b.valid THEN b.pz - g.pz END AS wz
-  FROM grid g LEFT JOIN grid a ON a.grid = g.grid AND a.r = g.r AND a.c = g.c + 1 LEFT JOIN grid b ON b.grid = g.grid AND b.r = g.r + 1 AND b.c = g.c),
-l AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS lr, sqrt(wx * wx + wy * wy + wz * wz) AS ld, uy * wz - uz * wy AS x, uz * wx - ux * wz AS y, ux * wy - uy * wx AS z FROM s),
+FLAGS = """e AS (SELECT g.grid, g.r, g.c, g.valid AND a.valid AS hr, g.valid AND b.valid AS hd, g.valid AND a.valid AND b.valid AND o.valid AS quad,
+  a.px - g.px AS ux, a.py - g.py AS uy, a.pz - g.pz AS uz, b.px - g.px AS wx, b.py - g.py AS wy, b.pz - g.pz AS wz
+  FROM grid g LEFT JOIN grid a ON a.grid = g.grid AND a.r = g.r AND a.c = g.c + 1 LEFT JOIN grid b ON b.grid = g.grid AND b.r = g.r + 1 AND b.c = g.c LEFT JOIN grid o ON o.grid = g.grid AND o.r = g.r + 1 AND o.c = g.c + 1),
+l AS (SELECT grid, r, c, coalesce(quad, false) AS quad, CASE WHEN hr THEN sqrt(ux * ux + uy * uy + uz * uz) END AS lr, CASE WHEN hd THEN sqrt(wx * wx + wy * wy + wz * wz) END AS ld,
+  CASE WHEN quad THEN uy * wz - uz * wy END AS x, CASE WHEN quad THEN uz * wx - ux * wz END AS y, CASE WHEN quad THEN ux * wy - uy * wx END AS z FROM e),
 m AS (SELECT grid, quantile_cont(w, 0.5) AS med FROM (SELECT grid, lr AS w FROM l UNION ALL SELECT grid, ld FROM l) WHERE w IS NOT NULL GROUP BY grid),
-fl AS (SELECT l.grid, l.r, l.c, l.valid, coalesce(greatest(l.lr, l.ld) > 1.5 * med, false) AS jump, coalesce(l.x * p.x + l.y * p.y + l.z * p.z < 0, false) AS folded FROM l LEFT JOIN m ON l.grid = m.grid LEFT JOIN l p ON p.grid = l.grid AND p.r = l.r AND p.c = l.c - 1)"""
+rf AS (SELECT grid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM l WHERE quad GROUP BY grid),
+fl AS (SELECT l.grid, l.r, l.c, quad, lr, ld, coalesce(med > 0 AND lr > 1.5 * med, false) AS bad_right, coalesce(med > 0 AND ld > 1.5 * med, false) AS bad_down,
+  coalesce(quad AND l.x * rf.x + l.y * rf.y + l.z * rf.z <= 0, false) AS folded FROM l LEFT JOIN m ON m.grid = l.grid LEFT JOIN rf ON rf.grid = l.grid),
+mk AS (SELECT grid, r, c FROM fl WHERE bad_right UNION SELECT grid, r, c + 1 FROM fl WHERE bad_right UNION SELECT grid, r, c FROM fl WHERE bad_down UNION SELECT grid, r + 1, c FROM fl WHERE bad_down
+  UNION SELECT grid, r + i, c + j FROM fl, range(2) s(i), range(2) t(j) WHERE folded)"""
 LABELS = "nb AS (SELECT DISTINCT s.mesh, s.fid AS s, t.fid AS t FROM fe s JOIN fe t ON s.mesh = t.mesh AND s.lo = t.lo AND s.hi = t.hi), rr(mesh, fid, m) AS (SELECT mesh, fid, fid FROM f UNION SELECT rr.mesh, rr.fid, nb.t FROM rr JOIN nb ON rr.mesh = nb.mesh AND rr.m = nb.s), lb AS (SELECT mesh, fid, min(m) AS label FROM rr GROUP BY mesh, fid)"
 
+
+
+def materialised(sql: str) -> str:
+    """The statement with each of its common tables worked out once."""
+    return re.sub(r"(\b\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", sql)
+
+
 SQL = {
     "q_grid_faces": MESH + " SELECT mesh, fid, a, b, c FROM f",
     "q_prune_faces": MESH + ", lim AS (SELECT mesh, quantile_cont(w, 0.5) * 1.5 AS lim FROM el GROUP BY mesh), bad AS (SELECT DISTINCT fe.mesh, fid FROM fe JOIN el ON fe.mesh = el.mesh AND fe.lo = el.lo AND fe.hi = el.hi JOIN lim ON lim.mesh = el.mesh WHERE w >= lim) SELECT f.mesh, f.fid, a, b, c FROM f WHERE (mesh, fid) NOT IN (SELECT mesh, fid FROM bad)",
-    "q_nonmanifold": "WITH f0 AS (SELECT DISTINCT l_suppkey AS mesh, l_orderkey % 13 AS a, l_partkey % 13 + 13 AS b, l_orderkey % 7 + 26 AS c FROM lineitem WHERE l_linenumber <= 2)" + "".join(f""",
+    "q_nonmanifold": "WITH f0 AS (SELECT DISTINCT l_partkey AS mesh, l_orderkey % 5 AS a, l_suppkey % 5 + 5 AS b, (l_linenumber % 4 + 10)::BIGINT AS c FROM lineitem)" + "".join(f""",
 e{i} AS (SELECT mesh, x, y FROM (SELECT mesh, a AS x, b AS y FROM f{i} UNION ALL SELECT mesh, b, c FROM f{i} UNION ALL SELECT mesh, a, c FROM f{i}) GROUP BY ALL HAVING count(*) > 2),
 f{i + 1} AS (SELECT * FROM f{i} WHERE (mesh, a, b) NOT IN (SELECT mesh, x, y FROM e{i}) AND (mesh, b, c) NOT IN (SELECT mesh, x, y FROM e{i}) AND (mesh, a, c) NOT IN (SELECT mesh, x, y FROM e{i}))""" for i in range(2)) + " SELECT mesh, a * 10000 + b * 100 + c AS fid, a, b, c FROM f2",
     "q_euler": MESH + ", vx AS (SELECT mesh, count(DISTINCT x) AS vertices, count(DISTINCT fid) AS faces FROM (SELECT mesh, fid, unnest([a, b, c]) AS x FROM f) GROUP BY mesh), ex AS (SELECT mesh, count(*) AS edges, count(*) FILTER (n = 1) AS boundary_edges, count(*) FILTER (n > 2) AS violations FROM ec GROUP BY mesh) SELECT vx.mesh, vertices, faces, edges, boundary_edges, violations, vertices - edges + faces AS euler FROM vx JOIN ex ON vx.mesh = ex.mesh",
     "q_subdivide": MESH + ", pts AS (SELECT mesh, px, py, pz FROM v UNION ALL SELECT el.mesh, (p.px + q.px) / 2, (p.py + q.py) / 2, (p.pz + q.pz) / 2 FROM el JOIN v p ON p.mesh = el.mesh AND p.vid = lo JOIN v q ON q.mesh = el.mesh AND q.vid = hi), nf AS (SELECT mesh, count(*) * 4 AS n FROM f GROUP BY mesh) SELECT pts.mesh, count(*) AS n_vertices, round(sum(px), 6) + 0.0 AS sx, round(sum(py), 6) + 0.0 AS sy, round(sum(pz), 6) + 0.0 AS sz, coalesce(any_value(nf.n), 0)::BIGINT AS n_faces FROM pts LEFT JOIN nf ON nf.mesh = pts.mesh GROUP BY pts.mesh",
     "q_vertex_normals": MESH + ",\n" + N_ + " SELECT mesh, vid, round(x, 6) + 0.0 AS nx, round(y, 6) + 0.0 AS ny, round(z, 6) + 0.0 AS nz FROM vn",
-    "q_bridges": MESH + ",\n" + N_ + """, lim AS (SELECT mesh, quantile_cont(w, 0.5) * 2.5 AS lim FROM (SELECT el.* FROM el) GROUP BY mesh),
+    "q_bridges": materialised(MESH + ",\n" + N_) + """, lim AS (SELECT mesh, quantile_cont(w, 0.5) * 2.5 AS lim FROM (SELECT el.* FROM el) GROUP BY mesh),
 be AS (SELECT el.mesh, el.lo, el.hi FROM el JOIN lim ON lim.mesh = el.mesh JOIN v p ON p.mesh = el.mesh AND p.vid = lo JOIN v q ON q.mesh = el.mesh AND q.vid = hi JOIN vn n ON n.mesh = el.mesh AND n.vid = lo JOIN vn o ON o.mesh = el.mesh AND o.vid = hi
   WHERE w > lim OR abs(n.x * o.x + n.y * o.y + n.z * o.z) < 0.6427876096865394 OR greatest(abs((q.px - p.px) * n.x + (q.py - p.py) * n.y + (q.pz - p.pz) * n.z), abs((q.px - p.px) * o.x + (q.py - p.py) * o.y + (q.pz - p.pz) * o.z)) / greatest(w, 1e-6) > 0.9)
-SELECT mesh, fid FROM f WHERE (mesh, fid) NOT IN (SELECT fe.mesh, fid FROM fe JOIN be ON fe.mesh = be.mesh AND fe.lo = be.lo AND fe.hi = be.hi)""",
+SELECT mesh, fid FROM f WHERE NOT EXISTS (SELECT 1 FROM fe JOIN be ON fe.mesh = be.mesh AND fe.lo = be.lo AND fe.hi = be.hi WHERE fe.mesh = f.mesh AND fe.fid = f.fid)""",
     "q_continuity": MESH + ",\n" + N_ + ", ag AS (SELECT s.mesh, quantile_cont(abs(n.x * o.x + n.y * o.y + n.z * o.z), 0.01) AS q FROM fe s JOIN fe t ON s.mesh = t.mesh AND s.lo = t.lo AND s.hi = t.hi AND s.fid < t.fid JOIN fnr n ON n.mesh = s.mesh AND n.fid = s.fid JOIN fnr o ON o.mesh = t.mesh AND o.fid = t.fid GROUP BY s.mesh), lim AS (SELECT mesh, 2.5 * quantile_cont(w, 0.5) AS lim FROM el GROUP BY mesh), ou AS (SELECT el.mesh, avg((w > lim)::INT::DOUBLE) AS o FROM el JOIN lim ON el.mesh = lim.mesh GROUP BY el.mesh) SELECT ou.mesh, round(q, 6) + 0.0 AS normal_p01, round(o, 6) + 0.0 AS edge_outliers FROM ou LEFT JOIN ag ON ou.mesh = ag.mesh",
     "q_face_components": MESH_R + ", " + LABELS + " SELECT mesh, label, count(*) AS n FROM lb GROUP BY mesh, label",
     "q_boundary_loops": MESH_R + ", be AS (SELECT mesh, lo, hi FROM ec WHERE n = 1), bb AS (SELECT mesh, lo AS s, hi AS t FROM be UNION ALL SELECT mesh, hi, lo FROM be), r(mesh, s, m) AS (SELECT DISTINCT mesh, s, s FROM bb UNION SELECT r.mesh, r.s, bb.t FROM r JOIN bb ON bb.mesh = r.mesh AND bb.s = r.m), l AS (SELECT mesh, s, min(m) AS loop FROM r GROUP BY mesh, s), dg AS (SELECT mesh, s, count(*) AS d FROM bb GROUP BY mesh, s), pr AS (SELECT l.mesh, loop, sum(w) AS p FROM be JOIN el ON be.mesh = el.mesh AND be.lo = el.lo AND be.hi = el.hi JOIN l ON l.mesh = be.mesh AND l.s = be.lo GROUP BY ALL) SELECT l.mesh, l.loop, count(*) AS n, round(any_value(p), 6) + 0.0 AS perimeter, bool_and(d = 2) AS simple FROM l JOIN dg ON dg.mesh = l.mesh AND dg.s = l.s JOIN pr ON pr.mesh = l.mesh AND pr.loop = l.loop GROUP BY l.mesh, l.loop",
@@ -198,8 +215,10 @@ k AS (SELECT *, (row_number() OVER (PARTITION BY sheet ORDER BY chart) - 1) AS k
 x AS (SELECT sheet, colm, coalesce(sum(w + 32) OVER (PARTITION BY sheet ORDER BY colm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x0 FROM (SELECT sheet, colm, max(w) AS w FROM s GROUP BY ALL)),
 y AS (SELECT sheet, shelf, coalesce(sum(h + 32) OVER (PARTITION BY sheet ORDER BY shelf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y0 FROM (SELECT sheet, shelf, max(h) AS h FROM s GROUP BY ALL))
 SELECT s.sheet, s.chart, s.h, s.w, x0, y0 FROM s JOIN x ON x.sheet = s.sheet AND x.colm = s.colm JOIN y ON y.sheet = s.sheet AND y.shelf = s.shelf""",
-    "q_jump_flags": with_sql("grid") + ",\n" + FLAGS + " SELECT grid, r::BIGINT AS r, c::BIGINT AS c, jump, folded FROM fl WHERE valid",
-    "q_geometry": with_sql("grid") + ",\n" + FLAGS + ", o AS (SELECT grid, avg(valid::INT::DOUBLE) AS a, count(*) FILTER (valid AND jump) / greatest(count(*) FILTER (valid), 1) AS j, count(*) FILTER (valid AND folded) / greatest(count(*) FILTER (valid), 1) AS k FROM fl GROUP BY grid) SELECT grid, round(a, 6) + 0.0 AS coverage, round(j, 6) + 0.0 AS jump_fraction, round(k, 6) + 0.0 AS folded_fraction, a >= 0.99 AND k < 0.001 AND j < 0.01 AS passed FROM o",
+    "q_jump_flags": with_sql("grid") + ",\n" + FLAGS + " SELECT fl.grid, fl.r::BIGINT AS r, fl.c::BIGINT AS c, bad_right, bad_down, folded, mk.r IS NOT NULL AS defect FROM fl LEFT JOIN mk ON mk.grid = fl.grid AND mk.r = fl.r AND mk.c = fl.c",
+    "q_geometry": with_sql("grid") + ",\n" + FLAGS + """, o AS (SELECT grid, (count(*) FILTER (bad_right) + count(*) FILTER (bad_down)) / greatest(count(lr) + count(ld), 1) AS j, count(*) FILTER (folded) / greatest(count(*) FILTER (quad), 1) AS k FROM fl GROUP BY grid),
+v AS (SELECT grid, count(*) FILTER (valid) / count(*) AS a, avg(CASE WHEN valid THEN (pz > -1.1)::INT::DOUBLE END) AS h FROM grid GROUP BY grid)
+SELECT o.grid, round(a, 6) + 0.0 AS coverage, round(h, 6) + 0.0 AS adherence, round(j, 6) + 0.0 AS jump_fraction, round(k, 6) + 0.0 AS folded_fraction, coalesce(a >= 0.99 AND h >= 0.95 AND k < 0.001 AND j < 0.01, false) AS passed FROM o JOIN v ON v.grid = o.grid""",
 }
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

@@ -256,8 +256,8 @@ def q_richness(spark, d):
 
 
 def q_crop_score(spark, d):
-    got = metrics.crop_score(voxels(spark, d), ["vol"], 0.5, 0.55)
-    return got.select("vol", *[r6(k, k) for k in ("occupancy", "interior", "contrast", "score")])
+    got = metrics.crop_score(voxels(spark, d), ["vol"], 0.5, 4, 1)
+    return got.select("vol", *[r6(k, k) for k in ("occupancy", "interior_fraction", "boundary_fraction", "score")], F.col("largest").cast("long").alias("largest"))
 
 
 def q_choose(spark, d):
@@ -291,8 +291,8 @@ c AS (SELECT candidate_id, greatest(0, least(3, floor(pz)::INT + b // 4)) AS z,
 s AS (SELECT candidate_id, sum(w * gx) AS sx, sum(w * gy) AS sy, sum(w * gz) AS sz FROM c JOIN g ON g.vol = c.candidate_id AND g.z = c.z AND g.y = c.y AND g.x = c.x GROUP BY ALL)
 SELECT candidate_id, """ + R3([f"s{k} / greatest(sqrt(sx * sx + sy * sy + sz * sz), 1e-6)" for k in "xyz"], ["nx", "ny", "nz"]) + " FROM s",
     "q_tile_texture": with_sql("cand", "vox") + ",\n" + LOCAL + ",\n" + FRAME + """,
-pts AS (SELECT l.candidate_id, l.candidate_id AS vol, d, r, c, l.px + fr.ux * (c - 1) * 0.5 + fr.vx * (r - 1) * 0.5 + l.nx * (d - 1) AS qx,
-  l.py + fr.uy * (c - 1) * 0.5 + fr.vy * (r - 1) * 0.5 + l.ny * (d - 1) AS qy, l.pz + fr.uz * (c - 1) * 0.5 + fr.vz * (r - 1) * 0.5 + l.nz * (d - 1) AS qz
+pts AS (SELECT l.candidate_id, l.candidate_id AS vol, d, r, c, l.px + fr.ux * (c - 1) * 0.5 + fr.vx * (r - 1) * 0.5 + l.nx * (d - 0.5) AS qx,
+  l.py + fr.uy * (c - 1) * 0.5 + fr.vy * (r - 1) * 0.5 + l.ny * (d - 0.5) AS qy, l.pz + fr.uz * (c - 1) * 0.5 + fr.vz * (r - 1) * 0.5 + l.nz * (d - 0.5) AS qz
   FROM loc l JOIN fr ON l.candidate_id = fr.candidate_id, range(2) a(d), range(3) b(r), range(3) e(c)),\n""" + sampled("pts", "s", "candidate_id, d, r, c") + """,
 v AS (SELECT candidate_id, CASE WHEN s > 0.5 THEN round(s, 9) ELSE 0.0 END AS v FROM s),
 t AS (SELECT candidate_id, count(*) AS n, avg((v > 0)::INT::DOUBLE) AS a, coalesce(stddev_pop(CASE WHEN v > 0 THEN v END), 0.0) AS b FROM v GROUP BY ALL)
@@ -337,7 +337,14 @@ HESSIAN = (
     "c AS (SELECT *, acos(greatest(-1.0, least(1.0, (bxx * (byy * bzz - byz * byz) - bxy * (bxy * bzz - byz * bxz) + bxz * (bxy * byz - byy * bxz)) / 2))) / 3 AS w FROM b),\n"
     "ev AS (SELECT vol, z, y, x, v, q + 2 * p * cos(w) AS e1, q + 2 * p * cos(w + 2 * pi() / 3) AS e3, 3 * q - (q + 2 * p * cos(w)) - (q + 2 * p * cos(w + 2 * pi() / 3)) AS e2 FROM c)"
 )
-SQL["q_crop_score"] = with_sql("vox") + ", a AS (SELECT vol, avg((v >= 0.5)::INT::DOUBLE) AS o, avg((v >= 0.55)::INT::DOUBLE) AS i, quantile_cont(v, 0.99) - quantile_cont(v, 0.5) AS c FROM vox GROUP BY vol) SELECT vol, round(o, 6) + 0.0 AS occupancy, round(i, 6) + 0.0 AS interior, round(c, 6) + 0.0 AS contrast, round(c + i - abs(o - 0.3), 6) + 0.0 AS score FROM a"
+SQL["q_crop_score"] = with_sql("vox").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT vol, z, y, x, z * 16 + y * 4 + x AS o FROM vox WHERE v > 0.5),
+e AS (SELECT s.vol, s.o AS s, t.o AS t FROM b s JOIN b t ON s.vol = t.vol AND abs(s.z - t.z) + abs(s.y - t.y) + abs(s.x - t.x) = 1),
+r(vol, o, m) AS (SELECT vol, o, o FROM b UNION SELECT r.vol, r.o, e.t FROM r JOIN e ON r.vol = e.vol AND r.m = e.s),
+l AS (SELECT vol, max(n) AS largest FROM (SELECT vol, label, count(*) AS n FROM (SELECT vol, o, min(m) AS label FROM r GROUP BY vol, o) GROUP BY vol, label) GROUP BY vol),
+a AS (SELECT vol, avg((v > 0.5)::INT::DOUBLE) AS o, avg(CASE WHEN z IN (1, 2) AND y IN (1, 2) AND x IN (1, 2) THEN (v > 0.5)::INT::DOUBLE END) AS i,
+  avg(CASE WHEN z IN (1, 2) AND y IN (1, 2) AND x IN (1, 2) THEN 0.0::DOUBLE ELSE (v > 0.5)::INT::DOUBLE END) AS e, quantile_cont(v, 0.99) - quantile_cont(v, 0.5) AS c FROM vox GROUP BY vol)
+SELECT a.vol, round(o, 6) + 0.0 AS occupancy, round(i, 6) + 0.0 AS interior_fraction, round(e, 6) + 0.0 AS boundary_fraction,
+  round(4 * least(i, 0.2) + 2 * least(coalesce(largest, 0) / 64, 0.2) + c - 1.5 * e - 2 * greatest(0, o - 0.35), 6) + 0.0 AS score, coalesce(largest, 0)::BIGINT AS largest FROM a LEFT JOIN l ON a.vol = l.vol"""
 SQL["q_hessian"] = with_sql("vox") + ",\n" + GRAD + ",\n" + HESSIAN + f" SELECT {CELL3}, round(e1, 5) + 0.0 AS e1, round(e2, 5) + 0.0 AS e2, round(e3, 5) + 0.0 AS e3 FROM ev"
 SQL["q_ridge"] = with_sql("vox") + ",\n" + GRAD + ",\n" + HESSIAN + ", l AS (SELECT vol, quantile_cont(CASE WHEN -e3 > 0 THEN -e3 END, 0.15) AS least FROM ev GROUP BY vol) SELECT ev.vol, count(*) AS n, round(max(-e3), 5) + 0.0 AS most FROM ev JOIN l ON ev.vol = l.vol WHERE v >= 0.15 AND (abs(e3) - abs(e2)) / (abs(e3) + 1e-6) >= 0.25 AND -e3 >= least GROUP BY ev.vol"
 
