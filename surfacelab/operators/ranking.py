@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surfacelab.functions.vec import dot, norm, normalize, sub
-from surfacelab.operators.rounds import greedy_rounds
+from surfacelab.operators.rounds import cut, greedy_rounds
 
 
-def conflicts(points: DataFrame, distance: float, similarity: float, node: str = "candidate_id") -> DataFrame:
+def conflicts(points: DataFrame, distance: float, similarity: float, node: str = "candidate_id", within: str | None = None) -> DataFrame:
     """a, b (a < b) of candidates nearer than distance whose normals agree: a range self-join.
 
     Cells of the distance's size are the join key; a point meets its own and half of the
-    neighbouring cells, so each pair of cells meets once.
+    neighbouring cells, so each pair of cells meets once. Only candidates of equal within (a volume) meet, if it is named.
     """
     cell = [F.floor(F.col("p")[k] / distance).cast("long").alias("c" + k) for k in "xyz"]
-    rows = points.select(F.col(node).alias("id"), "p", normalize("n").alias("n"), *cell)
+    rows = points.select((F.col(within) if within else F.lit(0)).alias("w"), F.col(node).alias("id"), "p", normalize("n").alias("n"), *cell)
     ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
     steps = F.array(*[F.struct((F.col("cx") + i).alias("jx"), (F.col("cy") + j).alias("jy"), (F.col("cz") + k).alias("jz"), F.lit((i, j, k) == (0, 0, 0)).alias("own")) for i, j, k in ahead])
-    near = rows.select(F.col("id").alias("s"), F.col("p").alias("ps"), F.col("n").alias("ns"), F.inline(steps))
-    there = rows.select(F.col("id").alias("t"), F.col("p").alias("pt"), F.col("n").alias("nt"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("cz").alias("jz"))
-    met = near.join(there, ["jx", "jy", "jz"]).where((~F.col("own")) | (F.col("s") < F.col("t")))
+    near = rows.select("w", F.col("id").alias("s"), F.col("p").alias("ps"), F.col("n").alias("ns"), F.inline(steps))
+    there = rows.select("w", F.col("id").alias("t"), F.col("p").alias("pt"), F.col("n").alias("nt"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("cz").alias("jz"))
+    met = near.join(there, ["w", "jx", "jy", "jz"]).where((~F.col("own")) | (F.col("s") < F.col("t")))
     close = met.where((norm(sub("ps", "pt")) < distance) & (F.abs(dot("ns", "nt")) >= similarity))
     return close.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
 
 
-def suppress(points: DataFrame, distance: float, similarity: float = 0.8, limit: int | None = None) -> DataFrame:
+def suppress(points: DataFrame, distance: float, similarity: float = 0.8, limit: int | None = None, within: str | None = None) -> DataFrame:
     """Candidates that a greedy pass by falling score keeps; ties by candidate_id.
 
     The rank is (score, id) itself, so no row number over all rows is needed.
     """
     rank = F.struct((-F.col("score")).alias("s"), F.col("candidate_id").alias("i"))
-    kept = greedy_rounds(points.select(F.col("candidate_id").alias("node"), rank.alias("rank")), conflicts(points, distance, similarity))
+    kept = greedy_rounds(points.select(F.col("candidate_id").alias("node"), rank.alias("rank")), conflicts(points, distance, similarity, within=within))
     out = points.join(kept.select(F.col("node").alias("candidate_id")), "candidate_id", "left_semi")
     return out.orderBy(F.desc("score"), "candidate_id").limit(limit) if limit else out
 
@@ -47,17 +47,36 @@ def select_candidates(points: DataFrame, min_score: float = 0.0, top_n: int = 0)
     return points.where(F.col("score") >= min_score) if min_score > 0 else top(points, top_n or 50)
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str | None, name: str) -> DataFrame:
+    """rows with name: the sum of value (of 1 if it is None) over the rows before, in the order of each key.
+
+    Rows are dealt by ranges of (keys, order); a range's own sums are a window, and what lies before a range comes from one row
+    for each key and range. So a key of any size is as many tasks as its share of the ranges. Rows of equal order must not fall into
+    two ranges, so the order should be unique or its ties summed.
+    """
+    v = F.lit(1) if value is None else F.col(value)
+    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("part_", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "part_").agg(F.sum(v).alias("sum_"))
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "part_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("offset_"))
+    own = Window.partitionBy(*keys, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = dealt.withColumn(name, F.coalesce(F.sum(v).over(own), F.lit(0)))
+    return here.join(offsets, [*keys, "part_"]).withColumn(name, F.col(name) + F.col("offset_")).drop("part_", "offset_")
+
+
 def sheets(points: DataFrame, group: str, axis: str, count: int) -> DataFrame:
-    """points with sheet: equal-count parts of each group along an axis."""
-    return points.withColumn("sheet", F.ntile(count).over(Window.partitionBy(group).orderBy(axis, "candidate_id")) - 1)
+    """points with sheet: equal-count parts of each group along an axis; the first parts have one more where it doesn't divide."""
+    placed = running_sums(points, [group], [axis, "candidate_id"], None, "at_").join(points.groupBy(group).agg(F.count(F.lit(1)).alias("n_")), group)
+    small, more = F.floor(F.col("n_") / count), F.col("n_") % count
+    after = more + F.floor((F.col("at_") - more * (small + 1)) / F.greatest(small, F.lit(1)))
+    return placed.withColumn("sheet", F.when(F.col("at_") < more * (small + 1), F.floor(F.col("at_") / (small + 1))).otherwise(after).cast("int")).drop("at_", "n_")
 
 
 def evenly(points: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
     """count rows of each key at evenly spaced places, ends included (fewer rows: places repeat once)."""
-    w = Window.partitionBy(*keys)
-    rows = points.withColumn("at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.floor(k * (F.col("n") - 1) / (count - 1)))
-    return rows.where(F.array_contains(places, F.col("at"))).drop("at", "n")
+    rows = running_sums(points, keys, order, None, "at_").join(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")), keys)
+    places = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.floor(k * (F.col("n_") - 1) / (count - 1)))
+    return rows.where(F.array_contains(places, F.col("at_"))).drop("at_", "n_")
 
 
 def chunk_order(points: DataFrame, chunk: int) -> DataFrame:

@@ -27,18 +27,24 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def gaussian(field: DataFrame, keys: list[str], axes: list[str], sigma: float, value: str = "v") -> DataFrame:
-    """Separable Gaussian with mirrored edges (the edge cell is repeated): one pass for each axis."""
+    """Separable Gaussian with mirrored edges (the edge cell is repeated): for each axis a line is one row, and its cells again."""
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
+    columns = field.columns
     for axis in axes:
-        # The line as an array in axis order; every index reflected into it.
-        rows = field.withColumn("__line", F.array_sort(F.collect_list(F.struct(axis, value)).over(line(keys, axes, axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        n, i = F.size("__line"), F.col(axis)
-        terms = []
-        for k, w in zip(range(-r, r + 1), weights):
-            m = F.pmod(i + k, 2 * n)
-            terms.append(F.lit(w) * F.get("__line", F.when(m < n, m).otherwise(2 * n - 1 - m))[value])
-        field = rows.withColumn(value, reduce(lambda a, b: a + b, terms)).drop("__line")
+        fixed = [*keys, *[a for a in axes if a != axis]]
+        rest = [c for c in columns if c not in fixed]
+        lines = field.groupBy(*fixed).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis]))).alias("line_"))
+        n = F.size("line_")
+
+        def blurred(x: Column, i: Column) -> Column:
+            terms = []
+            for k, w in zip(range(-r, r + 1), weights):
+                m = F.pmod(i + k, 2 * n)
+                terms.append(F.lit(w) * F.get("line_", F.when(m < n, m).otherwise(2 * n - 1 - m))[value])
+            return F.struct(*[reduce(lambda a, b: a + b, terms).alias(c) if c == value else x[c].alias(c) for c in rest])
+
+        field = lines.select(*fixed, F.inline(F.transform("line_", blurred))).select(*columns)
     return field
 
 
