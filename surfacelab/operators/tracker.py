@@ -1,7 +1,7 @@
 """Recurrent tracking: a two-layer GRU over observations, free runs, and tiled model inference.
 
-Weights are a dictionary of arrays given by the user. A trajectory's steps depend on one another,
-so it is one group; a layer's arithmetic is the only numpy helper.
+Weights are a dictionary of arrays given by the user. Steps depend on one another, so a round is one step
+of all trajectories; the net's arithmetic is the only numpy helper.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfacelab.operators.raster import overlap_average
+from surfacelab.functions.vec import add, cross, dot, is_finite, norm, normalize, scale, sub, vec
+from surfacelab.operators.rounds import cut
+from surfacelab.operators.trajectory import Field, along, facing
 
 OBSERVED, HIDDEN = 13, 128
 
@@ -45,19 +47,116 @@ def gru_step(weights: dict, obs: np.ndarray, state: np.ndarray) -> tuple[np.ndar
     return x @ weights["delta"], float(confidence), np.clip(x @ weights["logvar"], -6, 4), np.stack(new)
 
 
-def predict(observations: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """traj, step, dx, dy, dz, confidence for observations (traj, step, obs); confidence falls with variance."""
-    shared = observations.sparkSession.sparkContext.broadcast(weights)
+def gru_steps(weights: dict, obs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """gru_step of many rows at once: obs [n, 13], state [n, 2, hidden]."""
+    x = obs @ weights["in_w"] + weights["in_b"]
+    x = x / (1 + np.exp(-x))
+    x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5) * weights["ln_g"] + weights["ln_b"]
+    new, k = np.empty_like(state), state.shape[2]
+    for layer in (0, 1):
+        h = state[:, layer]
+        a, b = x @ weights[f"w{layer}"] + weights[f"bw{layer}"], h @ weights[f"u{layer}"] + weights[f"bu{layer}"]
+        r, z = (1 / (1 + np.exp(-(a[:, i * k : i * k + k] + b[:, i * k : i * k + k]))) for i in (0, 1))
+        x = (1 - z) * np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :]) + z * h
+        new[:, layer] = x
+    return x @ weights["delta"], 1 / (1 + np.exp(-(x @ weights["confidence"])[:, 0])), np.clip(x @ weights["logvar"], -6, 4), new
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        w, out = shared.value, []
-        state = np.zeros((2, len(w["in_b"])))
-        for r in rows.sort_values("step").itertuples():
-            delta, c, logvar, state = gru_step(w, np.asarray(r.obs, float), state)
-            out.append((r.traj, r.step, *delta, c / (1 + float(np.exp(logvar / 2).mean()))))
-        return pd.DataFrame(out, columns=["traj", "step", "dx", "dy", "dz", "confidence"])
+def predict(observations: DataFrame, weights: dict[str, np.ndarray], length: int | None = None) -> DataFrame:
+    """traj, step, dx, dy, dz, confidence for observations (traj, step, obs); confidence falls with variance.
 
-    return observations.groupBy("traj").applyInPandas(run, "traj long, step int, dx double, dy double, dz double, confidence double")
+    A round is one step of all trajectories (up to length, by default the longest one), so trajectories of any number spread over the
+    cluster; a task's rows go through the net together.
+    """
+    shared, hidden = observations.sparkSession.sparkContext.broadcast(weights), len(weights["in_b"])
+    rows = cut(observations.select("traj", "step", "obs"))
+    steps = [r.step for r in rows.select("step").distinct().orderBy("step").collect()][:length]
+    state, out = None, None
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                before = np.zeros((len(b), 2 * hidden)) if "state" not in b else np.stack([np.zeros(2 * hidden) if x is None else x for x in b.state])
+                delta, c, logvar, new = gru_steps(shared.value, np.stack(b.obs.to_numpy()).astype(float), before.reshape(-1, 2, hidden))
+                spread = np.sqrt(np.exp(logvar).mean(axis=1))
+                yield b[["traj", "step"]].assign(dx=delta[:, 0], dy=delta[:, 1], dz=delta[:, 2], confidence=c / (1 + spread), state=list(new.reshape(len(b), -1)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"traj {kinds['traj']}, step {kinds['step']}, dx double, dy double, dz double, confidence double, state array<double>"
+    for k in steps:
+        here = rows.where(F.col("step") == k)
+        here = here if state is None else here.join(state, "traj", "left")
+        got = cut(here.mapInPandas(run, schema))
+        state = got.select("traj", "state")
+        out = got.drop("state") if out is None else out.unionByName(got.drop("state"))
+    return out if out is not None else rows.mapInPandas(run, schema).drop("state")
+
+
+def trace_model(volume: DataFrame | Field, seeds: DataFrame, weights: dict[str, np.ndarray], steps: int, reverse: bool = False, stride: float = 1.5, radius: float = 3.0, samples: int = 9) -> DataFrame:
+    """vol, seed, step, p, confidence, valid: free runs of the tracker from seeds (vol, seed, p, t), all together.
+
+    A step that isn't finite or is shorter than 0.05 is replaced by stride along the tangent, one that goes back is turned round; the place
+    is moved along the normal to the ridge, and a run ends where the ridge is below 0.1 (that last point isn't valid).
+    """
+    field, keys = volume if isinstance(volume, Field) else Field(volume), ["vol", "seed"]
+    hidden = len(weights["in_b"])
+    shared = field.volume.sparkSession.sparkContext.broadcast(weights)
+    begun = field.normal(seeds.select(*keys, "p", "t"), keys)
+    t = along("t", "normal")
+    now = begun.select(*keys, "p", (scale(t, F.lit(-1.0)) if reverse else t).alias("t"), F.col("normal").alias("n"), F.lit(0.0).alias("bend"), F.array_repeat(F.lit(0.0), 2 * hidden).alias("state"))
+    now = cut(now.withColumn("previous", scale("t", F.lit(stride))))
+    kinds = {f.name: f.dataType.simpleString() for f in now.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", dx double, dy double, dz double, confidence double, spread double, state array<double>"
+    out = None
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                delta, c, logvar, new = gru_steps(shared.value, np.stack(b.obs.to_numpy()).astype(float), np.stack(b.state.to_numpy()).reshape(-1, 2, hidden))
+                yield b[keys].assign(dx=delta[:, 0], dy=delta[:, 1], dz=delta[:, 2], confidence=c, spread=np.sqrt(np.exp(logvar).mean(axis=1)), state=list(new.reshape(len(b), -1)))
+
+    for k in range(steps):
+        here = field.sample(now, keys)
+        parts = [F.col(v)[x] for v in ("previous", "t", "n") for x in "xyz"]
+        told = here.select(*keys, F.array(*parts, "probability", "bend", F.lit(0.0), F.lit(1.0)).alias("obs"), "state").mapInPandas(run, schema)
+        rows = now.drop("state").join(told, keys).withColumn("side", normalize(cross("n", "t")))
+        d = vec(*[F.col("t")[x] * F.col("dx") + F.col("side")[x] * F.col("dy") + F.col("n")[x] * F.col("dz") for x in "xyz"])
+        rows = rows.withColumn("d", d).withColumn("d", F.when(is_finite("d") & (norm("d") >= 0.05), F.col("d")).otherwise(scale("t", F.lit(stride))))
+        rows = cut(rows.withColumn("d", scale("d", F.when(dot("d", "t") < 0, -1.0).otherwise(1.0))).withColumn("from", F.col("p")).withColumn("p", add("p", "d")))
+        moved = cut(field.project(rows, keys, radius, samples))
+        step = moved.select(*keys, F.lit(k).alias("step"), F.col("from").alias("p"), (F.col("confidence") * F.col("probability") / (1 + F.col("spread"))).alias("confidence"), (F.col("probability") >= 0.1).alias("valid"))
+        out = step if out is None else out.unionByName(step)
+        live = field.normal(moved.where(F.col("probability") >= 0.1), keys).withColumn("new", facing("normal", "n")).withColumn("previous", sub("p", "from"))
+        now = cut(live.select(*keys, "p", along("previous", "new").alias("t"), F.col("new").alias("n"), norm(sub("new", "n")).alias("bend"), "state", "previous"))
+        if now.isEmpty():
+            break
+    return out
+
+
+def rollout_surface(volume: DataFrame | Field, seeds: DataFrame, weights: dict[str, np.ndarray], height: int, width: int) -> DataFrame:
+    """grid (vol, seed), r, c, p, confidence, valid of a surface rolled out from each seed (vol, seed, p, t).
+
+    A column of centres is traced both ways across t, then from each valid centre a row both ways along t. All seeds' columns and
+    then all rows are traced together.
+    """
+    field = volume if isinstance(volume, Field) else Field(volume)
+    keys = ["vol", "seed"]
+    begun = cut(field.normal(seeds.select(*keys, "p", "t"), keys))
+
+    def both(start: DataFrame, ahead: int, back: int, at: str) -> DataFrame:
+        """Runs from start, numbered from the far end of the way back to the end of the way ahead."""
+        one = trace_model(field, start, weights, ahead).withColumn(at, F.col("step") + back)
+        two = trace_model(field, start, weights, back + 1, reverse=True).where("step > 0").withColumn(at, back - F.col("step"))
+        return one.unionByName(two)
+
+    upper = height // 2 + 1
+    across = begun.select(*keys, "p", normalize(cross("normal", "t")).alias("t"))
+    column = cut(both(across, upper, height - upper, "r").where(F.col("r") < height))
+    middle = width // 2
+    starts = column.where("valid").join(seeds.select(*keys, "t"), keys).select("vol", F.struct(F.col("seed"), "r").alias("seed"), "p", "t")
+    rows = both(cut(starts), width - middle, middle, "c").where(F.col("c") < width)
+    scored = rows.select("vol", "seed.seed", "seed.r", "c", "p", "confidence", "valid").join(column.select(*keys, "r", F.col("confidence").alias("whole")), [*keys, "r"])
+    return scored.select(F.struct("vol", "seed").alias("grid"), "r", "c", "p", (F.col("confidence") * F.col("whole")).alias("confidence"), "valid")
 
 
 def training_loss(batch: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -70,27 +169,49 @@ def training_loss(batch: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.agg((F.sum(m * smooth) / F.sum(m)).alias("smooth_l1"), (F.sum(-(m * F.log(p))) / F.sum(m)).alias("confidence"))
 
 
-def infer_tiles(pixels: DataFrame, keys: list[str], size: int, stride: int, model: Callable[[np.ndarray], np.ndarray], clip: float = 200.0, divisor: float = 255.0, reverse_depth: bool = False) -> DataFrame:
-    """keys, row, col, v: a model's probabilities over overlapping tiles of a depth stack, averaged.
+def upsampled(logits: np.ndarray, size: int) -> np.ndarray:
+    """Bilinear enlargement of a square to size * size, pixel centres aligned, edges held."""
+    n = len(logits)
+    if n == size:
+        return logits
+    at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+    low = np.minimum(at.astype(int), max(n - 2, 0))
+    weights = np.zeros((size, n))
+    weights[np.arange(size), low] += 1 - (at - low)
+    weights[np.arange(size), np.minimum(low + 1, n - 1)] += at - low
+    return weights @ logits @ weights.T
+
+
+def infer_tiles(pixels: DataFrame, keys: list[str], size: int, stride: int, model: Callable[[np.ndarray], np.ndarray], clip: float = 200.0, divisor: float = 255.0, reverse_depth: bool = False, align: bool = False) -> DataFrame:
+    """keys, row, col, v, n: a model's probabilities over overlapping tiles of a depth stack, averaged over the n tiles of a pixel.
 
-    pixels: keys, k (layer), row, col, v. A tile is one group of size * size * layers values; the
-    model maps an array [layers, size, size] to [size, size].
+    pixels: keys, k (layer), row, col, v, from row and col 0. A tile is one group of size * size * layers values; the
+    model maps an array [layers, size, size] to a square of logits of any size up to the tile's, which is enlarged. Only whole tiles
+    count; with align a last one ends at the far edge, without it pixels that no whole tile covers are 0 (n 0).
     """
-    firsts = [F.floor((F.col(a) - size + stride) / stride) for a in ("row", "col")]
-    i = F.explode(F.sequence(F.greatest(F.lit(0), firsts[0]), F.floor(F.col("row") / stride))).alias("i")
-    j = F.explode(F.sequence(F.greatest(F.lit(0), firsts[1]), F.floor(F.col("col") / stride))).alias("j")
-    dealt = pixels.select("*", i).select("*", j).withColumn("r", F.col("row") - F.col("i") * stride).withColumn("c", F.col("col") - F.col("j") * stride)
+    ends = pixels.groupBy(*keys).agg(F.max("row").alias("row_end"), F.max("col").alias("col_end"))
+
+    def starts(axis: str) -> Column:
+        x, last = F.col(axis), F.col(axis + "_end") + 1 - size
+        first, most = F.greatest(F.lit(0), F.ceil((x - size + 1) / stride)), F.least(F.floor(x / stride), F.floor(last / stride))
+        whole = F.when((last >= 0) & (first <= most), F.transform(F.sequence(first, most), lambda i: i * stride)).otherwise(F.array().cast("array<bigint>"))
+        if not align:
+            return whole
+        return F.when((last >= 0) & (x >= last), F.array_union(whole, F.array(last.cast("long")))).otherwise(whole)
+
+    placed = pixels.join(ends, keys)
+    dealt = placed.select("*", F.explode(starts("row")).alias("i")).select("*", F.explode(starts("col")).alias("j"))
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         layers = np.sort(tile.k.unique())
         stack = np.zeros((len(layers), size, size))
-        stack[np.searchsorted(layers, tile.k), tile.r, tile.c] = np.clip(tile.v, 0, clip) / divisor
-        got = model(stack[::-1] if reverse_depth else stack)
-        spots = tile[["r", "c"]].drop_duplicates()
-        out = pd.DataFrame({k: tile[k].iloc[0] for k in [*keys, "i", "j"]}, index=spots.index)
-        return out.assign(r=spots.r, c=spots.c, v=got[spots.r, spots.c])
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i long, j long, r long, c long, v double"
-    tiles = dealt.groupBy(*keys, "i", "j").applyInPandas(run, schema)
-    return overlap_average(tiles, size, stride, keys)
+        stack[np.searchsorted(layers, tile.k), tile.row - tile.i, tile.col - tile.j] = np.clip(tile.v, 0, clip) / divisor
+        got = 1 / (1 + np.exp(-upsampled(model(stack[::-1] if reverse_depth else stack), size)))
+        spots = tile[[*keys, "i", "j", "row", "col"]].drop_duplicates(["row", "col"])
+        return spots[[*keys, "row", "col"]].assign(p=got[spots.row - spots.i, spots.col - spots.j])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", row {kinds['row']}, col {kinds['col']}, p double"
+    seen = dealt.groupBy(*keys, "i", "j").applyInPandas(run, schema).groupBy(*keys, "row", "col").agg(F.avg("p").alias("v"), F.count(F.lit(1)).alias("n"))
+    every = pixels.select(*keys, "row", "col").distinct()
+    return every.join(seen, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

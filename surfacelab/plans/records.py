@@ -39,11 +39,21 @@ def q_gap_summary(spark, d):
     return got.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("error"), "mean_error"), r6(F.avg((F.col("error") < 100).cast("double")), "recovered"))
 
 
+def volume_seeds(spark, d):
+    """One seed in the middle of each embedding's volume, towards its candidate's normal."""
+    return candidates(spark, d).select(F.col("candidate_id").alias("vol"), F.lit(0).cast("long").alias("seed"), V.vec(F.lit(1.5), F.lit(1.5), F.lit(1.5)).alias("p"), V.normalize("n").alias("t"))
+
+
 def q_trace(spark, d):
-    """Marches through each embedding's volume from its middle, towards its candidate's normal."""
-    c = candidates(spark, d)
-    seeds = c.select(F.col("candidate_id").alias("vol"), *[F.lit(1.5).alias("p" + k) for k in "xyz"], *[F.col("n")[k].alias("t" + k) for k in "xyz"])
-    return T.trace(voxels(spark, d), seeds, 4, 8, 0.5, 0.2).select("vol", F.col("step").cast("long").alias("step"), r6("x", "x"), r6("y", "y"), r6("z", "z"), r6("probability", "probability"))
+    """Marches of four steps through each embedding's volume."""
+    got = T.trace(voxels(spark, d), volume_seeds(spark, d), 4, 0.5, 0.2, 1.0, 5)
+    return got.select("vol", F.col("step").cast("long").alias("step"), *xyz("p", ["x", "y", "z"]), r6("probability", "probability"))
+
+
+def q_generate(spark, d):
+    """The lengths of up to three marches of each volume from bright voxels in random directions."""
+    got = T.generate(voxels(spark, d), 3, 3, 0.5, 7, step=0.25, radius=0.5, samples=3)
+    return got.groupBy("vol", "seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("probability"), "probability"))
 
 
 def q_auroc(spark, d):
