@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from surfacelab.functions import vec as V
 from surfacelab.operators import metrics, ranking, sampling, stencil
@@ -25,18 +26,19 @@ AXES = ["z", "y", "x"]
 
 
 def flat_normals(found: DataFrame, volume: DataFrame, threshold: float, reach: int = 2, least: int = 6) -> DataFrame:
-    """candidate_id, flat: the direction in which the bright voxels around a candidate spread least.
+    """vol, z, y, x, flat: the direction in which the bright voxels around a candidate spread least.
 
     Fewer than least bright voxels give the z axis. Voxels are met by an equi-join of the cube's
     offsets and reduced to means and covariances; only the 3x3 eigenvectors need numpy.
     """
     side = F.sequence(F.lit(-reach), F.lit(reach))
-    near = found.select("candidate_id", "vol", F.col("p.z").cast("int").alias("z0"), F.col("p.y").cast("int").alias("y0"), F.col("p.x").cast("int").alias("x0"))
+    near = found.select("vol", *[F.col("p")[k].cast("int").alias(k + "0") for k in AXES])
+    place = ["vol", *[k + "0" for k in AXES]]
     for k in AXES:
         near = near.select("*", F.explode(side).alias("d" + k)).withColumn(k, F.col(k + "0") + F.col("d" + k)).drop("d" + k)
     bright = volume.where(F.col("v") >= threshold).select("vol", *AXES)
-    points = near.join(bright, ["vol", *AXES]).select("candidate_id", V.vec("x", "y", "z").alias("p"))
-    cov = metrics.covariance(points, ["candidate_id"]).where(F.col("n") >= least)
+    points = near.join(bright, ["vol", *AXES]).select(*place, V.vec("x", "y", "z").alias("p"))
+    cov = metrics.covariance(points, place).where(F.col("n") >= least)
 
     def axes(batches):
         for b in batches:
@@ -44,21 +46,22 @@ def flat_normals(found: DataFrame, volume: DataFrame, threshold: float, reach: i
             n = np.linalg.eigh(m)[1][:, :, 0]
             # A vector's sign is free; its largest part is made positive.
             n = n * np.sign(n[np.arange(len(n)), np.abs(n).argmax(axis=1)])[:, None]
-            yield pd.DataFrame({"candidate_id": b.candidate_id, "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
+            yield b[place].assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
 
-    return cov.mapInPandas(axes, "candidate_id long, nx double, ny double, nz double").select("candidate_id", V.vec("nx", "ny", "nz").alias("flat"))
+    return cov.mapInPandas(axes, "vol long, z0 int, y0 int, x0 int, nx double, ny double, nz double").select(F.struct("vol", *[F.col(k + "0").alias(k) for k in AXES]).alias("candidate_id"), V.vec("nx", "ny", "nz").alias("flat"))
 
 
 def generate(volume: DataFrame, threshold: float, k: int, radius: int = 1, sigma: float = 0.6, support: DataFrame | None = None, minimum: float = 0.5, border: int = 0, extent: int | None = None) -> DataFrame:
-    """candidate_id, vol, p, n, score of the k strongest local maxima; the id numbers place and volume."""
+    """candidate_id, vol, p, n, score of the k strongest local maxima of each volume; the id is (vol, z, y, x)."""
     smooth = cut(stencil.gaussian(volume, ["vol"], AXES, sigma))
     best = stencil.local_maxima(smooth, ["vol"], AXES, radius, threshold, border, extent)
     grads = stencil.gradient(smooth, ["vol"], AXES).select("vol", *AXES, V.vec("gx", "gy", "gz").alias("g"))
-    place = (F.col("vol") * 1_000_000 + F.col("z") * 10_000 + F.col("y") * 100 + F.col("x")).alias("candidate_id")
+    place = F.struct("vol", *AXES).alias("candidate_id")
     rows = best.join(grads, ["vol", *AXES]).select(place, "vol", V.vec("x", "y", "z").alias("p"), "g", F.round("v", 9).alias("score"))
     if support is not None:
         rows = sampling.support_filter(rows, support, ["candidate_id"], minimum)
-    rows = cut(ranking.top(rows, k)).withColumn("steep", V.norm("g"))
+    first = F.row_number().over(Window.partitionBy("vol").orderBy(F.desc("score"), "candidate_id"))
+    rows = cut(rows.withColumn("rank", first).where(F.col("rank") <= k).drop("rank")).withColumn("steep", V.norm("g"))
     flat = flat_normals(rows.where("steep < 1e-6"), smooth, threshold)
     up = V.vec(F.lit(0), F.lit(0), F.lit(1))
     n = F.when(F.col("steep") < 1e-6, F.coalesce("flat", up)).otherwise(V.normalize("g"))
@@ -66,29 +69,35 @@ def generate(volume: DataFrame, threshold: float, k: int, radius: int = 1, sigma
 
 
 def score(found: DataFrame, volume: DataFrame, size: int = 3, depth: int = 2, spacing: float = 0.5, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """found with texture metrics, score and status; scorer may add ink metrics from the samples."""
+    """found with texture metrics, score and status; scorer may add ink metrics from the samples.
+
+    Beside the share and spread of what is there: of the layer furthest from its own blur at each place, the spread (focus) and the mean
+    coherence of its smoothed structure tensor.
+    """
+    keys, axes = ["candidate_id"], ["r", "c"]
     lattice = sampling.tile_lattice(found, size, depth, spacing)
-    got = sampling.sample(lattice, volume, ["candidate_id", "d", "r", "c"], "q").withColumn("v", F.round("sample", 9))
-    rows = found.withColumnRenamed("score", "surface_score").join(metrics.texture(got, ["candidate_id"]).drop("n"), "candidate_id")
-    value = 1.5 * F.col("surface_score") + 2.0 * F.col("ct_nonzero") + 0.02 * F.col("ct_std")
-    if scorer is not None:
-        rows = rows.join(scorer(got), "candidate_id")
-        value = value + 8.0 * F.col("ink_std") + F.greatest(F.lit(0.0), F.col("ink_p99") - F.col("ink_mean"))
-    return with_status(rows, value, "score", F.col("ct_nonzero") < 0.05)
+    got = cut(sampling.sample(lattice, volume, [*keys, "d", *axes], "q").select(*keys, "d", *axes, F.round("sample", 9).alias("v")))
+    blurred = stencil.gaussian(got, [*keys, "d"], axes, 1.2).withColumnRenamed("v", "blur")
+    best = cut(metrics.best_focus(got, blurred, keys, axes, "d").select(*keys, *axes, "v"))
+    there = F.col("v") > 0
+    sharp = stencil.coherence(best, keys, axes, 2.0).groupBy(*keys).agg(
+        F.coalesce(F.stddev_pop(F.when(there, F.col("v"))), F.lit(0.0)).alias("focus_std"), F.coalesce(F.avg(F.when(there, F.col("coherence"))), F.lit(0.0)).alias("fiber_coherence")
+    )
+    rows = found.withColumnRenamed("score", "surface_score").join(metrics.texture(got, keys).drop("n"), "candidate_id").join(sharp, "candidate_id")
+    rows = rows.join(scorer(got), "candidate_id") if scorer is not None else rows.withColumns({c: F.lit(0.0) for c in ("ink_mean", "ink_std", "ink_p99")})
+    return with_status(rows, V.combined_score(), "score", F.col("ct_nonzero") < 0.05)
 
 
 def search(volume: DataFrame, threshold: float, k: int, distance: float, similarity: float = 0.8) -> DataFrame:
-    """The kept candidates of the whole search."""
+    """The kept candidates of the whole search; only candidates of one volume suppress each other."""
     found = cut(generate(volume, threshold, k))
     scored = cut(score(found, volume))
-    # Volumes lie far apart in the space of the suppression, so only candidates of one volume meet.
-    apart = scored.where("status = 'scored'").withColumn("p", V.add("p", V.vec(F.col("vol") * 1000, F.lit(0), F.lit(0))))
-    return ranking.suppress(apart, distance, similarity)
+    return ranking.suppress(scored.where("status = 'scored'"), distance, similarity, within="vol")
 
 
 def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = search(voxels(spark, sf_dir), 0.52, 2000, 2.5)
-    return got.select("candidate_id", "vol", r6("score", "score"), "status")
+    return got.select("vol", *[F.col("candidate_id")[k].cast("long").alias(k) for k in AXES], r6("score", "score"), "status")
 
 
 QUERIES = {"q_search": q_search}

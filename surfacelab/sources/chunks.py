@@ -55,38 +55,44 @@ def unpack(chunks: DataFrame, edge: int, bounds: dict[str, tuple[int, int]] | No
     return out
 
 
+#: Points of a chunk that a task takes at once; a chunk of more is sent to several.
+GROUP_POINTS = 100_000
+
+
 def sample_chunks(points: DataFrame, chunks: DataFrame, edge: int, keys: list[str]) -> DataFrame:
-    """keys and trilinear sample of points (vol, p): corners meet their chunk, not single voxels.
+    """keys and trilinear sample of points (vol, p): points meet the chunks that their corners lie in, not single voxels.
 
-    Points are grouped by the chunk of each corner; a task reads one chunk at a time, so dense
-    tiles don't become a row for each corner and voxel. Null, NaN and outside give zero.
+    A group is a chunk and its points (a share of them, where there are many): the chunk is sent and decoded once, and all points are
+    sampled by array operations. Null, NaN and outside give zero.
     """
     low = [F.floor(F.col("p")[k]) for k in "zyx"]
     made = []
     for i in range(8):
         bits = (i >> 2 & 1, i >> 1 & 1, i & 1)
         made.append(F.struct(*[F.floor((f + b) / edge).cast("int").alias("c" + k) for k, f, b in zip("zyx", low, bits)]))
-    near = points.where("p.x + p.y + p.z < 1e300").select(*keys, "vol", "p", F.explode(F.array_distinct(F.array(*made))).alias("c")).select(*keys, "vol", "p", "c.*")
-    met = near.join(chunks.select("vol", "cz", "cy", "cx", "data"), ["vol", "cz", "cy", "cx"])
+    place = ["vol", "cz", "cy", "cx"]
     fields = [f for f in points.schema.fields if f.name in keys]
-
-    def part(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                cube = np.nan_to_num(np.frombuffer(r.data, "<f8")).reshape((edge,) * 3)
-                q = np.array([r.p["z"], r.p["y"], r.p["x"]]) - np.array([r.cz, r.cy, r.cx]) * edge
-                lo = np.floor(q).astype(int)
-                total = 0.0
-                for i in np.ndindex(2, 2, 2):
-                    at = lo + i
-                    if (at >= 0).all() and (at < edge).all():
-                        total += float(np.prod(np.where(i, q - lo, 1 - (q - lo)))) * cube[tuple(at)]
-                out.append(total)
-            got = b[keys].copy()
-            got["part"] = out
-            yield got
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", part double"
-    sums = met.mapInPandas(part, schema).groupBy(*keys).agg(F.sum("part").alias("sample"))
-    return points.select(*keys).join(sums, keys, "left").withColumn("sample", F.coalesce("sample", F.lit(0.0)))
+    near = points.where("p.x + p.y + p.z < 1e300").select(F.struct(*keys).alias("key"), "vol", F.col("p.z").alias("pz"), F.col("p.y").alias("py"), F.col("p.x").alias("px"), F.explode(F.array_distinct(F.array(*made))).alias("c")).select("key", "vol", "pz", "py", "px", "c.*")
+    near = near.withColumn("key", F.to_json("key"))
+    shares = near.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / GROUP_POINTS).cast("int").alias("shares"))
+    dealt = near.join(shares, place).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares").cast("long")).cast("int")).drop("shares")
+    sent = chunks.select(*place, "data").join(shares, place).select(*place, "data", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+
+    def part(chunk: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(chunk) or not len(rows):
+            return pd.DataFrame({"key": pd.Series([], dtype=object), "part": pd.Series([], dtype=float)})
+        own = chunk.iloc[0]
+        cube = np.nan_to_num(np.frombuffer(own.data, "<f8"))
+        q = rows[["pz", "py", "px"]].to_numpy() - np.array([own.cz, own.cy, own.cx]) * edge
+        lo = np.floor(q).astype(np.int64)
+        total = np.zeros(len(rows))
+        for i in np.ndindex(2, 2, 2):
+            at = lo + i
+            inside = ((at >= 0) & (at < edge)).all(axis=1)
+            weight = np.where(np.array(i) == 1, q - lo, 1 - (q - lo)).prod(axis=1)
+            total[inside] += weight[inside] * cube[(at[inside] @ np.array([edge * edge, edge, 1]))]
+        return pd.DataFrame({"key": pd.Series(rows.key.to_numpy(object), dtype=object), "part": total})
+
+    sums = sent.groupBy(*place, "share").cogroup(dealt.groupBy(*place, "share")).applyInPandas(part, "key string, part double").groupBy("key").agg(F.sum("part").alias("sample"))
+    asked = points.select(*keys, F.to_json(F.struct(*keys)).alias("key"))
+    return asked.join(sums, "key", "left").select(*[F.col(f.name) for f in fields], F.coalesce("sample", F.lit(0.0)).alias("sample"))
