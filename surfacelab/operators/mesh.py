@@ -171,28 +171,6 @@ def boundary_loops(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return loops.join(perimeter, "label").select(F.col("label.mesh").alias("mesh"), F.col("label.vid").alias("loop"), "n", "perimeter", "simple")
 
 
-def tutte(faces: DataFrame, vertices: DataFrame, rounds: int = 30) -> DataFrame:
-    """mesh, vid, u, v: interior vertices at the mean of their neighbours, the boundary on a circle.
-
-    Boundary vertices lie by their angle around the mesh's centre; Jacobi rounds, so the result is
-    as near the solution as the rounds make it.
-    """
-    bound = edge_counts(faces).where("n = 1").select("mesh", F.explode(F.array("lo", "hi")).alias("vid")).distinct().withColumn("fixed", F.lit(True))
-    used = referenced(vertices, faces)
-    centre = used.groupBy("mesh").agg(F.avg("p.x").alias("cx"), F.avg("p.y").alias("cy"))
-    angle = F.atan2(F.col("p.y") - F.col("cy"), F.col("p.x") - F.col("cx"))
-    rows = used.join(centre, "mesh").join(bound, ["mesh", "vid"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
-    now = cut(rows.select("mesh", "vid", "fixed", F.when(F.col("fixed"), 0.5 + 0.5 * F.cos(angle)).otherwise(0.5).alias("u"), F.when(F.col("fixed"), 0.5 + 0.5 * F.sin(angle)).otherwise(0.5).alias("v")))
-    e = face_edges(faces).select("mesh", "lo", "hi").distinct()
-    links = cut(e.select("mesh", F.col("lo").alias("vid"), F.col("hi").alias("other")).unionByName(e.select("mesh", F.col("hi").alias("vid"), F.col("lo").alias("other"))))
-    for k in range(rounds):
-        mean = links.join(now.select("mesh", F.col("vid").alias("other"), "u", "v"), ["mesh", "other"]).groupBy("mesh", "vid").agg(F.avg("u").alias("mu"), F.avg("v").alias("mv"))
-        now = now.join(mean, ["mesh", "vid"]).select("mesh", "vid", "fixed", F.when(F.col("fixed"), F.col("u")).otherwise(F.col("mu")).alias("u"), F.when(F.col("fixed"), F.col("v")).otherwise(F.col("mv")).alias("v"))
-        if k % 5 == 4:
-            now = cut(now)
-    return now.select("mesh", "vid", "u", "v")
-
-
 def seed_component(faces: DataFrame, vertices: DataFrame, seeds: DataFrame) -> DataFrame:
     """The faces of the component nearest to each mesh's seed (mesh, seed)."""
     labels = face_components(faces)
@@ -201,13 +179,6 @@ def seed_component(faces: DataFrame, vertices: DataFrame, seeds: DataFrame) -> D
     return faces.join(labels.join(best, ["mesh", "label"], "left_semi"), ["mesh", "fid"], "left_semi")
 
 
-def centroid_fans(faces: DataFrame, vertices: DataFrame, most: float = 0.35) -> DataFrame:
-    """mesh, loop, centre of the inner loops to fill: all but the longest, at most its perimeter times most."""
-    loops = boundary_loops(faces, vertices)
-    outer = loops.groupBy("mesh").agg(F.max("perimeter").alias("outer"))
-    return loops.join(outer, "mesh").where((F.col("perimeter") < F.col("outer")) & (F.col("perimeter") <= most * F.col("outer")))
-
-
 def refine_points(vertices: DataFrame, offsets: DataFrame) -> DataFrame:
     """vertices moved along their normal by the offset (mesh, vid, offset) found on a finer level."""
     moved = vertices.join(offsets, ["mesh", "vid"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from surfacelab.functions import vec as V
 from surfacelab.operators import mesh as M
 from surfacelab.operators import metrics, raster
+from surfacelab.operators import parameterise as P
 from surfacelab.operators import rounds as G
 from surfacelab.plans.points import r6, xyz
 from surfacelab.sources.derived import SIDE, candidates, grids, table, tiles, with_sql
@@ -89,14 +90,14 @@ def q_geodesic(spark, d):
 
 
 def q_tutte(spark, d):
-    v, f = parts(spark, d)
-    return M.tutte(f, v, 20).select("mesh", "vid", r6("u", "u"), r6("v", "v"))
+    """The solved map of each mesh's largest component, its small holes filled."""
+    _, _, uv = P.parameterised(*reversed(parts(spark, d)))
+    return uv.select("mesh", "vid", r6("u", "u"), r6("v", "v"))
 
 
 def q_uv_quality(spark, d):
-    v, f = parts(spark, d)
-    got = M.uv_quality(f, M.tutte(f, v, 10))
-    return got.select("mesh", r6("flipped", "flipped"), r6("collapsed", "collapsed"))
+    faces, _, uv = P.parameterised(*reversed(parts(spark, d)))
+    return M.uv_quality(faces, uv).select("mesh", r6("flipped", "flipped"), r6("collapsed", "collapsed"))
 
 
 def q_geodesic_disk(spark, d):
