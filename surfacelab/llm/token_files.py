@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from surfacelab.llm.shared import WHITE, new_path, table, written
 
 MAGIC, HEAD, DOC = b"TCM2", struct.Struct("<4sIIIQQII"), struct.Struct("<qIB")
-BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 2048, 150_000, 1_000_000
+BLOCK_IDS, LANES, KNOWN_WORDS, CHUNK_CHARS = 4096, 1024, 100_000, 500_000
 #: Rows turned into Python objects and new words given to the library at once.
 ROWS, NEW_WORDS = 256, 20_000
 FIRST, LAST, NULL_ID = 1, 2, 4
@@ -97,8 +97,11 @@ class Mixer:
         self.now = [told.take(at) for told, at in zip(self.told, self.at)]
         self.inputs = [STRETCH.take(p >> 4) for p in self.now]
         w = self.weights[:, :, :n]
-        dot = w[0] * self.inputs[0] + w[1] * self.inputs[1] + w[2] * self.inputs[2]
-        self.shares = SQUASH.take(np.clip(dot, -2047, 2047).astype(np.int32) + 2048)
+        dot = w[0] * self.inputs[0]
+        dot += w[1] * self.inputs[1]
+        dot += w[2] * self.inputs[2]
+        # Beyond the table's ends its ends hold.
+        self.shares = SQUASH.take(dot.astype(np.int32) + 2048, mode="clip")
         first = self.shares[0]
         return first, np.maximum((4096 - first) * self.shares[1] >> 12, 1)
 
@@ -109,12 +112,16 @@ class Mixer:
         error = ((right << 12) - self.shares).astype(np.float32) * STEP
         error[1] *= asked
         w = self.weights[:, :, :n]
-        full = right * 65535
+        full = right * np.int32(65535)
         for k in range(3):
-            w[k] += self.inputs[k] * error
-            move = full - self.now[k] >> INPUT_RATE
+            pull = self.inputs[k]
+            pull *= error
+            w[k] += pull
+            move = full - self.now[k]
+            move >>= INPUT_RATE
             move[1] *= asked
-            self.told[k][self.at[k]] = self.now[k] + move
+            move += self.now[k]
+            self.told[k][self.at[k]] = move
         for seen, slot, entry in zip(self.seen, self.slots, self.entries):
             trust, held = entry & 7, entry >> 3 == ids
             fresh = ~held & (trust < 2)
@@ -132,7 +139,11 @@ class Mixer:
         flat = np.arange(0, 16 * len(row), 16) + digit
         low = model.ravel().take(flat).astype(np.int64)
         above = np.where(digit == 15, TOTAL, model.ravel().take(np.minimum(flat + 1, model.size - 1)))
-        self.digits[row] = model + (_TARGET.take(digit, axis=0) - model >> RATE)
+        move = _TARGET.take(digit, axis=0)
+        move -= model
+        move >>= RATE
+        move += model
+        self.digits[row] = move
         return digit, low, above - low
 
 
@@ -155,7 +166,7 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
         ids[: sizes[k], k] = blocks[i]
     mixer = Mixer(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    words, used = np.zeros((lanes, steps + 32), np.uint32), np.zeros(lanes, np.int64)
+    words, used = np.zeros((lanes, steps * 3 // 4 + 128), np.uint32), np.zeros(lanes, np.int64)
     few, low32, refill = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(16)
 
     def shift(lane: np.ndarray) -> None:
@@ -190,7 +201,7 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
             unit = width[new] >> np.uint64(TOTAL_BITS)
             low[new] += unit * below[k * m : k * m + m]
             width[new] = unit * share[k * m : k * m + m]
-            if k:
+            if k == 1:
                 narrow(new)
         rest = width[new] >> np.uint64(4)
         low[new] += rest * (x & 15).astype(np.uint64)
@@ -248,7 +259,7 @@ def expand(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             value[new] -= unit * below.astype(np.uint64)
             width[new] = unit * share.astype(np.uint64)
             x = x << 4 | digit
-            if k:
+            if k == 1:
                 narrow(new)
         rest = width[new] >> np.uint64(4)
         got = np.minimum(value[new] // rest, np.uint64(15))
