@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacelab.llm.shared import WHITE, column, others, plain, renamed, table
+from surfacelab.llm.shared import WHITE, column, others, plain, renamed, slices, table
 
 #: The vocabulary file's split pattern (fixed value), and the same with white space written out.
 FILE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 #: Characters of text worked on at once, known words kept, characters above which a word takes its rounds alone.
-CHUNK_CHARS, KNOWN_WORDS, LONG_WORD = 4_000_000, 300_000, 1024
+CHUNK_CHARS, KNOWN_WORDS, LONG_WORD = 1_000_000, 200_000, 1024
 
 
 def byte_letters() -> list[str]:
@@ -230,7 +230,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", carry: l
 
     def run(batches):
         model = Bpe(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             for start, stop in _chunks(texts):
                 ids, ends = model.encode(texts[start:stop])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surfacelab.llm.quality_classifier import held_out
-from surfacelab.llm.shared import column, labelled_sample, others, plain, renamed, table
+from surfacelab.llm.shared import column, labelled_sample, others, plain, renamed, slices, table
 
 SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES = 4000, 200_000, 48_000_000
 GRAMS, BUCKET_BITS, SWITCH, WORD_LIMIT = (2, 3, 4), 18, 12.0, 6.0
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         labeller = Labeller(shared.value)
         langs = shared.value.langs
-        for b in batches:
+        for b in slices(batches, 1024):
             texts = b.column(b.num_columns - 1).to_pylist()
             pred, score, spans = [], [], []
             for start, stop in _chunks(texts, CHUNK_SCORES // max(1, len(langs)) * 4):

@@ -82,6 +82,13 @@ def renamed(df: DataFrame, carried: list[str]) -> DataFrame:
     return df.select(*[F.col(n).alias(c) for c, n in zip(carried, df.columns)], *rest)
 
 
+def slices(batches, rows: int = 256):
+    """Short runs of rows of Arrow batches, so that what Python makes of texts at once stays small."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame | None, most: int, most_bytes: int, total_bytes: int) -> list[tuple]:
     """(label, text) of at most `most` rows and total_bytes bytes of each label, in the order of a hash of the id.
 
