@@ -7,7 +7,8 @@ such pairs differ in some 15 of 100 bits, which leaves segments too short to sel
 Two sets of similarity t or more share at least t of the larger one, so under any one order of all
 shingles they share a shingle among the first n - ceil(t n) + 1 of each (the prefix), and of prefixes of such lengths a
 number that grows with the sizes. Each distinct set is indexed under its prefix, members of a bucket are
-equality-joined, pairs that share too few are left out, and the others are verified on their whole sets:
+equality-joined, pairs that share too few are left out, then those of which the parities of two slots an element show that they
+differ too much (a bound, so none is lost), and the others are verified on their whole sets:
 no pair is missed and none is linked by chance.
 
 The order puts shingles that are frequent in a sample last (a fixed share of the table, 5000 texts at least), so that
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 
 from surfacelab.llm import simhash
 from surfacelab.llm.components import components
-from surfacelab.llm.shared import new_path, remove, written, written_to
+from surfacelab.llm.shared import new_path, remove, slices, written, written_to
 from surfacelab.llm.simhash import SEED, majority, shingle_hashes
 from surfacelab.llm.survivors import bitmap, has, keep_first, slot
 
 WORDS, PERCENT = 5, 80
 #: The sample for the order: so many rows or so large a share, their first bytes, and the shingles kept.
-SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 0.02, 20_000, 200_000
-STARS = 2
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 0.1, 20_000, 1_000_000
+#: Rounds of one candidate a set before all that is left meets.
+STARS = 1
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -56,10 +58,10 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that several texts of a bounded sample have, with their numbers of texts."""
     rows = docs.select(F.col("text").cast("string").substr(1, SAMPLE_BYTES).alias("text")).where("text IS NOT NULL")
     n = rows.count()
-    some = rows.sample(min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(n, 1))), 1)
+    some = rows.sample(min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(n, 1))), 1).dropDuplicates(["text"])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             h = [shingle_set(t.as_py(), words) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
 
@@ -81,6 +83,24 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: in
     return hashes[np.argsort(rank, kind="stable")[: n + (-n * percent // 100) + 1]]
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of about two slots an element, whether an odd number of the set's hashes falls in it; the slots are a power of two, 256 at least."""
+    slots = max(256, 1 << (2 * len(hashes)).bit_length())
+    counts = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int = PERCENT) -> bool:
+    """False where parities show that two sets differ too much: every slot of different parity holds an element of one set alone."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        # Half as many slots: the parities of the two halves add up.
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    differ = int(np.bitwise_count(a ^ b).sum())
+    both = (nx + ny - differ) // 2
+    return both * 100 >= percent * (nx + ny - both)
+
+
 def node_of(text: str | None, words: int = WORDS) -> int:
     """Digest of a text's shingle set, as a signed long."""
     return _digest(shingle_set(text, words).tobytes())
@@ -96,18 +116,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (digest of the set), n, fp (fingerprint) and prefix of docs (doc_id, text)."""
+    """doc_id, node (digest of the set), n, fp (fingerprint), parities and prefix of docs (doc_id, text)."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             hashes = [shingle_hashes(t.as_py(), words) for t in b.column("text")]
             found = [np.unique(h) for h in hashes]
             first = pa.array([prefix(s, often.value, percent).view(np.int64) for s in found], pa.list_(pa.int64()))
-            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), first]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "prefix"])
+            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), pa.array([parities(s) for s in found], pa.binary()), first]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "parities", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, parities binary, prefix array<long>")
 
 
 def sets(docs: DataFrame, each: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -116,7 +136,7 @@ def sets(docs: DataFrame, each: DataFrame, nodes: DataFrame, words: int = WORDS)
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(reps.select(slot("doc_id").alias("slot"))))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             raw = [shingle_set(b.column("text")[int(k)].as_py(), words).tobytes() for k in np.nonzero(has(wanted.value, b.column("slot").to_numpy()))[0]]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["node", "shingles"])
 
@@ -160,46 +180,63 @@ def _enough(x: str, y: str, shared: str, percent: int) -> str:
     return f"{shared} >= {need} - (ceil({percent} * greatest({x}, {y}) / 100.0) - 1)"
 
 
+def mixed(entries: DataFrame, path: str) -> DataFrame:
+    """bucket, node, root, low (the smallest root and node there) of the buckets that hold several roots, written to path."""
+    dealt = entries.repartition("bucket")
+    low = dealt.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("low"), F.max("root").alias("high")).where("low.root < high").select("bucket", "low")
+    return written_to(dealt.join(low, "bucket"), path)
+
+
+def undecided(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """a, b of those pairs (a, b, na, nb) that their parities don't rule out; whole sets are moved for these alone."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("x", "y", "na", "nb")))
+            yield b.select(["a", "b"]).filter(pa.array([may_be_similar(*r, percent) for r in rows], pa.bool_()))
+
+    full = pairs.join(marks.select(F.col("node").alias("a"), F.col("parities").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("parities").alias("y")), "b")
+    return full.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b links among distinct sets whose components are those of "similarity percent or more"."""
-    nodes = each.select("node", "n", "fp", "prefix").dropDuplicates(["node"])
-    # The dealt method: fingerprints linked by deletion variants, and sets of one fingerprint.
+    spark = docs.sparkSession
+    nodes = each.dropDuplicates(["node"])
+    sizes = nodes.select("node", "n")
+    marks = nodes.select("node", "parities")
+    # The dealt method: each fingerprint with the smallest one that its deletion variants link it to, and sets of one fingerprint.
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "shingle-prints")
-    near = simhash.links(reps.select("fp"))
+    near = simhash.links(reps.select("fp")).groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
     a, b = (reps.select(F.col("fp").alias(x), F.col("node").alias("node" + x)) for x in "ab")
-    same = nodes.join(reps.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    found = [verified(near.join(a, "a").join(b, "b").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).unionByName(same), docs, each, words, percent)]
-
-    entries = nodes.select("node", "n", F.explode("prefix").alias("bucket"))
-    many = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    path = new_path(docs.sparkSession, "shingle-buckets")
-    still = written_to(entries.repartition("bucket").join(many, "bucket"), path)
+    same = nodes.select("node", "fp").join(reps.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    found = verified(near.join(a, "a").join(b, "b").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).unionByName(same), docs, each, words, percent)
+    still, path = None, new_path(spark, "shingle-buckets")
     for round_ in range(STARS + 1):
-        so_far = found[0]
-        for more in found[1:]:
-            so_far = so_far.unionByName(more)
-        named = still.select("bucket", "node", "n").join(components(so_far), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rank = F.struct("root", "node")
-        low = named.groupBy("bucket").agg(F.min(rank).alias("low"), F.max("root").alias("high"), F.min_by("n", rank).alias("low_n")).where("low.root < high")
-        ahead = new_path(docs.sparkSession, "shingle-buckets")
-        still = written_to(named.join(low.select("bucket", "low", "low_n"), "bucket"), ahead)
-        remove(docs.sparkSession, path)
+        roots = components(found)
+        if still is None:
+            named = nodes.select("node", "prefix").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("bucket"))
+        else:
+            named = still.select("bucket", "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bucket")
+        ahead = new_path(spark, "shingle-buckets")
+        still = mixed(named, ahead)
+        remove(spark, path)
         path = ahead
         if still.isEmpty():
             break
         if round_ < STARS:
-            stars = still.where("root <> low.root").where(_may_reach("n", "low_n", percent)).groupBy("node", F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-            pairs = stars.groupBy("node").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select(F.col("node").alias("a"), "b")
+            pairs = still.where("root <> low.root").groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        else:
+            x, y = (still.select("bucket", F.col("node").alias(side), F.col("root").alias("root" + side)) for side in "ab")
+            pairs = x.join(y, "bucket").where("a < b AND roota <> rootb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
+        if round_ < STARS:
+            chosen = sized.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         else:
-            x, y = (still.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "xy")
-            met = x.join(y, "bucket").where("nodex < nodey AND rootx <> rooty").where(_may_reach("nx", "ny", percent))
-            pairs = met.groupBy("nodex", "nodey", "nx", "ny").agg(F.count(F.lit(1)).alias("shared")).where(_enough("nx", "ny", "shared", percent)).select(F.col("nodex").alias("a"), F.col("nodey").alias("b"))
-        found.append(verified(pairs, docs, each, words, percent))
-    remove(docs.sparkSession, path)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            chosen = undecided(sized.where(_enough("na", "nb", "shared", percent)), marks, percent)
+        found = found.unionByName(verified(chosen, docs, each, words, percent))
+    remove(spark, path)
+    return found
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

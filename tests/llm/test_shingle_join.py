@@ -81,5 +81,14 @@ def test_prefix_bound_leaves_no_similar_pair_out():
             shared = len(np.intersect1d(q.prefix(x, often), q.prefix(y, often)))
             need = -(-80 * (len(x) + len(y)) // 180) - (-(-80 * max(len(x), len(y)) // 100) - 1)
             assert shared >= max(1, need)
+            assert q.may_be_similar(q.parities(x), q.parities(y), len(x), len(y))
             met += 1
     assert met > 500
+    # Sets that differ by a third are mostly ruled out by their parities alone.
+    out = 0
+    for n in (100, 300, 2000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[: int(0.8 * len(x))], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
+            out += not q.may_be_similar(q.parities(x), q.parities(y), len(x), len(y))
+    assert out > 50
