@@ -72,6 +72,13 @@ def prune_long_faces(faces: DataFrame, vertices: DataFrame, factor: float) -> Da
     return faces.join(bad, ["mesh", "fid"], "left_anti")
 
 
+def prune_dim_faces(faces: DataFrame, vertices: DataFrame, minimum: float, attribute: str = "probability") -> DataFrame:
+    """Faces all of whose vertices reach the minimum of an attribute."""
+    dim = vertices.where(~F.coalesce(F.col(attribute) >= minimum, F.lit(False))).select("mesh", "vid")
+    bad = corners(faces).join(dim, ["mesh", "vid"]).select("mesh", "fid").distinct()
+    return faces.join(bad, ["mesh", "fid"], "left_anti")
+
+
 def prune_bridges(faces: DataFrame, vertices: DataFrame, edge_factor: float = 2.5, angle_cosine: float = 0.6427876096865394, step: float = 0.55) -> DataFrame:
     """Faces whose edges are short, join normals that agree, and don't leave the normals' plane.
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surfacelab.functions.vec import cross, norm, sub
+from surfacelab.functions.vec import cross, norm, normalize, sub, vec
 from surfacelab.operators.ranking import running_sums
 from surfacelab.operators.rounds import label_cells
+from surfacelab.operators.stencil import gradient
 
 
 def texture(cells: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -153,3 +156,45 @@ def crop_score(cells: DataFrame, keys: list[str], level: float, edge: int, margi
     c = F.col
     score = 4 * F.least(c("interior_fraction"), F.lit(0.2)) + 2 * F.least(c("largest") / c("cells"), F.lit(0.2)) + c("contrast") - 1.5 * c("boundary_fraction") - 2 * F.greatest(F.lit(0.0), c("occupancy") - 0.35)
     return got.withColumn("score", score)
+
+
+def sheet_normals(grid: DataFrame) -> DataFrame:
+    """grid, r, c, normal of grids (grid, r, c, p, valid): across the differences of p, each turned to the side of the cell above or else of the one before.
+
+    The differences are window frames. Sides depend on one another from cell to cell, so they are set in one group a grid; a grid is a surface
+    of given height and width, whose normals fit a task. Cells that aren't valid have a zero normal; missing places count as zero.
+    """
+    axes = ["r", "c"]
+    rows = grid.select("grid", *axes, "valid", *[F.coalesce(F.nanvl(F.col("p")[k], F.lit(0.0)), F.lit(0.0)).alias(k) for k in "xyz"])
+    for k in "xyz":
+        rows = gradient(rows, ["grid"], axes, k, "d" + k)
+    n = normalize(cross(vec("dxc", "dyc", "dzc"), vec("dxr", "dyr", "dzr")))
+    rows = rows.select("grid", *axes, "valid", n.alias("n")).select("grid", *axes, "valid", *[F.col("n")[k].alias(k) for k in "xyz"])
+
+    def turn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.reset_index(drop=True)
+        normal = np.zeros((int(part.r.max()) + 1, int(part.c.max()) + 1, 3))
+        valid = np.zeros(normal.shape[:2], bool)
+        valid[part.r, part.c] = part.valid
+        normal[part.r, part.c] = part[["x", "y", "z"]].to_numpy() * part.valid.to_numpy(bool)[:, None]
+        for i in range(len(normal)):
+            above = valid[i] & valid[i - 1] & ((normal[i] * normal[i - 1]).sum(axis=1) < 0) if i else np.zeros(normal.shape[1], bool)
+            normal[i][above] *= -1
+            for j in range(1, normal.shape[1]):
+                if not above[j] and valid[i, j] and valid[i, j - 1] and normal[i, j] @ normal[i, j - 1] < 0:
+                    normal[i, j] *= -1
+        got = normal[part.r, part.c]
+        return part[["grid", "r", "c"]].assign(x=got[:, 0], y=got[:, 1], z=got[:, 2])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ("grid", "r", "c")) + ", x double, y double, z double"
+    return rows.groupBy("grid").applyInPandas(turn, schema).select("grid", "r", "c", vec("x", "y", "z").alias("normal"))
+
+
+def gap_summary(errors: DataFrame, recovered: float = 3.0) -> DataFrame:
+    """Means and recovered shares (errors below a limit) of straight and, where there is a column model, of model errors, and how often the model wins."""
+    c = F.col
+    out = [F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"), F.avg((c("error") < recovered).cast("double")).alias("recovered")]
+    if "model" in errors.columns:
+        out += [F.avg("model").alias("model_error"), F.avg((c("model") < recovered).cast("double")).alias("model_recovered"), F.avg((c("model") < c("error")).cast("double")).alias("model_wins")]
+    return errors.agg(*out)

@@ -109,5 +109,5 @@ def lookup(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 
 def choose(points: DataFrame, count: int, seed: int, key: str = "candidate_id") -> DataFrame:
-    """count rows without replacement, the same for the same seed: those of least hash of seed and key."""
-    return points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(count)
+    """count rows without replacement, the same for the same seed: those of least MD5 of seed and key."""
+    return points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(count)

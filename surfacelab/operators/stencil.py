@@ -48,6 +48,20 @@ def gaussian(field: DataFrame, keys: list[str], axes: list[str], sigma: float, v
     return field
 
 
+def strided_bands(volume: DataFrame, stride: int, band: int, pad: int) -> DataFrame:
+    """vol, band, z, y, x, v, core: every stride-th voxel, renumbered, in bands of z with pad layers of their neighbours around.
+
+    A voxel is core in its own band alone, so what is worked out in bands with their halo is kept once. The voxels that are left out are filtered in
+    the scan; a halo costs 2 * pad / band copies.
+    """
+    on = [F.col(k) % stride == 0 for k in ("z", "y", "x")]
+    rows = volume.where(on[0] & on[1] & on[2]).select("vol", *[F.floor(F.col(k) / stride).cast("int").alias(k) for k in ("z", "y", "x")], "v")
+    most = rows.groupBy("vol").agg(F.floor(F.max("z") / band).alias("last"))
+    low, high = F.greatest(F.lit(0), F.floor((F.col("z") - pad) / band)), F.least(F.col("last"), F.floor((F.col("z") + pad) / band))
+    out = rows.join(most, "vol").select("*", F.explode(F.sequence(low, high)).alias("band"))
+    return out.select("vol", "band", "z", "y", "x", "v", (F.floor(F.col("z") / band) == F.col("band")).alias("core"))
+
+
 def gradient(field: DataFrame, keys: list[str], axes: list[str], value: str = "v", prefix: str = "g") -> DataFrame:
     """Central differences, one-sided at the ends; zero on a line of one cell."""
     out = field

@@ -204,6 +204,10 @@ SELECT mesh, fid FROM f WHERE NOT EXISTS (SELECT 1 FROM fe JOIN be ON fe.mesh =
     "q_face_components": MESH_R + ", " + LABELS + " SELECT mesh, label, count(*) AS n FROM lb GROUP BY mesh, label",
     "q_boundary_loops": MESH_R + ", be AS (SELECT mesh, lo, hi FROM ec WHERE n = 1), bb AS (SELECT mesh, lo AS s, hi AS t FROM be UNION ALL SELECT mesh, hi, lo FROM be), r(mesh, s, m) AS (SELECT DISTINCT mesh, s, s FROM bb UNION SELECT r.mesh, r.s, bb.t FROM r JOIN bb ON bb.mesh = r.mesh AND bb.s = r.m), l AS (SELECT mesh, s, min(m) AS loop FROM r GROUP BY mesh, s), dg AS (SELECT mesh, s, count(*) AS d FROM bb GROUP BY mesh, s), pr AS (SELECT l.mesh, loop, sum(w) AS p FROM be JOIN el ON be.mesh = el.mesh AND be.lo = el.lo AND be.hi = el.hi JOIN l ON l.mesh = be.mesh AND l.s = be.lo GROUP BY ALL) SELECT l.mesh, l.loop, count(*) AS n, round(any_value(p), 6) + 0.0 AS perimeter, bool_and(d = 2) AS simple FROM l JOIN dg ON dg.mesh = l.mesh AND dg.s = l.s JOIN pr ON pr.mesh = l.mesh AND pr.loop = l.loop GROUP BY l.mesh, l.loop",
     "q_seed_component": MESH_R + ", " + LABELS + ", aw AS (SELECT lb.mesh, label, round(sqrt((px - 3.5) * (px - 3.5) + (py - 3.5) * (py - 3.5) + pz * pz), 9) AS w FROM lb JOIN (SELECT mesh, fid, unnest([a, b, c]) AS vid FROM f) k ON k.mesh = lb.mesh AND k.fid = lb.fid JOIN v ON v.mesh = k.mesh AND v.vid = k.vid), be AS (SELECT mesh, label FROM (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY w, label) AS i FROM aw) WHERE i = 1) SELECT lb.mesh, count(*) AS n FROM lb JOIN be ON lb.mesh = be.mesh AND lb.label = be.label GROUP BY lb.mesh",
+    "q_geodesic": MESH_R + """, g AS MATERIALIZED (SELECT mesh, lo AS s, hi AS t, w FROM el UNION ALL SELECT mesh, hi, lo, w FROM el),
+r(mesh, vid, d) USING KEY (mesh, vid) AS (SELECT mesh, min(x) AS vid, 0.0::DOUBLE AS d FROM (SELECT mesh, unnest([a, b, c]) AS x FROM f) GROUP BY mesh
+  UNION SELECT r.mesh, g.t, min(r.d + g.w) FROM r JOIN g ON g.mesh = r.mesh AND g.s = r.vid LEFT JOIN recurring.r AS k ON k.mesh = r.mesh AND k.vid = g.t WHERE k.d IS NULL OR r.d + g.w < k.d - 1e-12 GROUP BY r.mesh, g.t)
+SELECT mesh, count(*) AS n, round(max(d), 6) + 0.0 AS furthest, round(sum(d), 6) + 0.0 AS total FROM r GROUP BY mesh""",
     "q_mesh_raster": MESH + """, t AS (SELECT f.mesh, fid, A.px * 4 AS ua, A.py * 4 AS va, A.pz AS za, B.px * 4 AS ub, B.py * 4 AS vb, B.pz AS zb, C.px * 4 AS uc, C.py * 4 AS vc, C.pz AS zc FROM f JOIN v A ON A.mesh = f.mesh AND A.vid = f.a JOIN v B ON B.mesh = f.mesh AND B.vid = f.b JOIN v C ON C.mesh = f.mesh AND C.vid = f.c),
 px AS (SELECT *, (ub - ua) * (vc - va) - (uc - ua) * (vb - va) AS ar FROM (SELECT *, unnest(range(floor(least(ua, ub, uc))::INT, ceil(greatest(ua, ub, uc))::INT + 1)) AS col FROM (SELECT *, unnest(range(floor(least(va, vb, vc))::INT, ceil(greatest(va, vb, vc))::INT + 1)) AS row FROM t))),
 w AS (SELECT *, ((uc - ub) * (row + 0.5 - vb) - (col + 0.5 - ub) * (vc - vb)) / ar AS w0, ((ua - uc) * (row + 0.5 - vc) - (col + 0.5 - uc) * (va - vc)) / ar AS w1 FROM px WHERE abs(ar) > 1e-12),

@@ -120,6 +120,12 @@ def gaussian_sql(src: str, out: str, keys: str, axes: list[str], sigma: float, v
     return ",\n".join(ctes)
 
 
+def q_strided(spark, d):
+    """Every second voxel of each volume in bands of one layer with a layer around: sizes and sums of the bands."""
+    got = stencil.strided_bands(voxels(spark, d), 2, 1, 1)
+    return got.groupBy("vol", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("core"), r6(F.sum("v"), "total"))
+
+
 def q_gradient(spark, d):
     got = stencil.gradient(voxels(spark, d), ["vol"], AXES)
     return got.select("vol", *[F.col(k).cast("long").alias(k) for k in AXES], *[r6("g" + k, "g" + k) for k in AXES])
@@ -345,6 +351,10 @@ a AS (SELECT vol, avg((v > 0.5)::INT::DOUBLE) AS o, avg(CASE WHEN z IN (1, 2) AN
   avg(CASE WHEN z IN (1, 2) AND y IN (1, 2) AND x IN (1, 2) THEN 0.0::DOUBLE ELSE (v > 0.5)::INT::DOUBLE END) AS e, quantile_cont(v, 0.99) - quantile_cont(v, 0.5) AS c FROM vox GROUP BY vol)
 SELECT a.vol, round(o, 6) + 0.0 AS occupancy, round(i, 6) + 0.0 AS interior_fraction, round(e, 6) + 0.0 AS boundary_fraction,
   round(4 * least(i, 0.2) + 2 * least(coalesce(largest, 0) / 64, 0.2) + c - 1.5 * e - 2 * greatest(0, o - 0.35), 6) + 0.0 AS score, coalesce(largest, 0)::BIGINT AS largest FROM a LEFT JOIN l ON a.vol = l.vol"""
+SQL["q_choose"] = with_sql("cand") + " SELECT candidate_id, round(score, 6) + 0.0 AS score FROM cand ORDER BY md5('7:' || candidate_id), candidate_id LIMIT 50"
+SQL["q_strided"] = with_sql("vox") + """, s AS (SELECT vol, z // 2 AS z, y // 2 AS y, x // 2 AS x, v FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0),
+b AS (SELECT *, z AS own FROM s), k AS (SELECT b.*, o.band FROM b, (SELECT unnest([0, 1]) AS band) o WHERE abs(b.own - o.band) <= 1)
+SELECT vol, band::BIGINT AS band, count(*) AS n, count(*) FILTER (own = band) AS core, round(sum(v), 6) + 0.0 AS total FROM k GROUP BY vol, band"""
 SQL["q_hessian"] = with_sql("vox") + ",\n" + GRAD + ",\n" + HESSIAN + f" SELECT {CELL3}, round(e1, 5) + 0.0 AS e1, round(e2, 5) + 0.0 AS e2, round(e3, 5) + 0.0 AS e3 FROM ev"
 SQL["q_ridge"] = with_sql("vox") + ",\n" + GRAD + ",\n" + HESSIAN + ", l AS (SELECT vol, quantile_cont(CASE WHEN -e3 > 0 THEN -e3 END, 0.15) AS least FROM ev GROUP BY vol) SELECT ev.vol, count(*) AS n, round(max(-e3), 5) + 0.0 AS most FROM ev JOIN l ON ev.vol = l.vol WHERE v >= 0.15 AND (abs(e3) - abs(e2)) / (abs(e3) + 1e-6) >= 0.25 AND -e3 >= least GROUP BY ev.vol"
 

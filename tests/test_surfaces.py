@@ -115,3 +115,13 @@ def test_free_runs_and_surface_rollout(spark):
     at = {(r.r, r.c): r for r in grid}
     assert set(at) == {(i, j) for i in range(3) for j in range(3)} and all(abs(r.p.z - 4) < 0.5 for r in grid)
     assert abs(at[1, 2].p.x - at[1, 0].p.x) > 2.5 and abs(at[2, 1].p.y - at[0, 1].p.y) > 2.5
+
+
+def test_bands_give_the_vertices_of_the_whole(spark):
+    c = [F.pow(F.col(k) - 8.0, 2) for k in "zyx"]
+    field = volume(spark, (17, 17, 17), 6.2 - F.sqrt(c[0] + c[1] + c[2])).cache()
+    banded = isosurface.banded_vertices(field, 0.0, 2, 3, 1, 9).collect()
+    thin = field.where("z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0").select("vol", *[F.floor(F.col(k) / 2).cast("int").alias(k) for k in "zyx"], "v")
+    whole = isosurface.mesh(isosurface.triangles(thin, 0.0, 9))[0].collect()
+    assert sorted((round(r.p.x, 6), round(r.p.y, 6), round(r.p.z, 6)) for r in banded) == sorted((round(2 * r.p.x, 6), round(2 * r.p.y, 6), round(2 * r.p.z, 6)) for r in whole)
+    assert all(r.value is not None for r in banded)
