@@ -91,12 +91,12 @@ def q_geodesic(spark, d):
 
 def q_tutte(spark, d):
     """The solved map of each mesh's largest component, its small holes filled."""
-    _, _, uv = P.parameterised(*reversed(parts(spark, d)))
+    _, _, uv = P.parameterised(*reversed(parts(spark, d)), 1e-8)
     return uv.select("mesh", "vid", r6("u", "u"), r6("v", "v"))
 
 
 def q_uv_quality(spark, d):
-    faces, _, uv = P.parameterised(*reversed(parts(spark, d)))
+    faces, _, uv = P.parameterised(*reversed(parts(spark, d)), 1e-8)
     return M.uv_quality(faces, uv).select("mesh", r6("flipped", "flipped"), r6("collapsed", "collapsed"))
 
 
