@@ -99,13 +99,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, most: int, most_b
     own = [] if labels is not None else ["label"]
     sizes = docs.select("doc_id", *own, F.octet_length("text").alias("bytes")).where(F.col("doc_id").isNotNull() & (F.col("bytes") <= most_bytes))
     sizes = (sizes if labels is None else sizes.join(labels.select("doc_id", "label").distinct(), "doc_id")).where("label IS NOT NULL")
+    sizes = sizes.groupBy("doc_id", "label").agg(F.min("bytes").alias("bytes"))
     counts = {r.label: r.n for r in sizes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     # A draw of about twice as many as wanted, so that no sort sees more than a few times the bound.
     share = F.coalesce(*[F.when(F.col("label") == F.lit(label), F.lit(min(1.0, (2 * most + 100) / n))) for label, n in counts.items()])
-    drawn = sizes.where(place < share).groupBy("doc_id", "label").agg(F.min("bytes").alias("bytes"))
+    drawn = sizes.where(place < share)
     order = Window.partitionBy("label").orderBy(place, "doc_id")
     ranked = drawn.select("doc_id", "label", "bytes", F.row_number().over(order).alias("k"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
     chosen = ranked.where((F.col("k") <= most) & (F.col("so_far") <= total_bytes)).select("doc_id", "label", "bytes", "k").collect()
