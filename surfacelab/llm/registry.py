@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, simhash, token_files, vector_join, warc
+from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, resampling, simhash, token_files, vector_join, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_vector_join": vector_join.op8_vector_join,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_resampling": resampling.op11_resampling,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_quality_rules": quality_rules.op7_sql(),
     "op8_vector_join": vector_join.op8_sql(),
     "op9_warc": warc.op9_sql(),
+    "op11_resampling": resampling.op11_sql(),
 }
