@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.llm import bpe, chat, language, mixing, quality_classifier, quality_rules, repair, resampling, simhash, token_files, vector_join, warc
+from surfacelab.llm import bpe, chat, language, lattice, mixing, quality_classifier, quality_rules, repair, resampling, simhash, token_files, vector_join, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
     "op11_resampling": resampling.op11_resampling,
+    "op12_lattice": lattice.op12_lattice,
     "op13_repair": repair.op13_repair,
 }
 
