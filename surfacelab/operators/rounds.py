@@ -15,14 +15,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-rounds-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def advance(old: DataFrame, df: DataFrame) -> DataFrame:
+    """df written and read again in the place of old, which it is made of and whose table is removed: an iteration keeps one round."""
+    new = cut(df)
+    discard(old)
+    return new
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the tables of frames that cut has returned and that no later result reads."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,27 +62,10 @@ def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least(both).select("a", F.least("a", "m").alias("m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         roots = least(down)
-        now = cut(down.join(roots, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(roots.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        now = advance(now, down.join(roots, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(roots.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, label of nodes (node) and edges (a, b): the least node of each component.
-
-    Labels take the least of the neighbours' labels, then of their label's label (halving chains).
-    """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    now = cut(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = now.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = least.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        step = cut(least.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new")))
-        if step.where("label <> new").limit(1).count() == 0:
-            return step.select("node", F.col("new").alias("label"))
-        now = step.select("node", F.col("new").alias("label"))
-
-
 def grid_edges(cells: DataFrame, keys: list[str], axes: list[str], reach: int) -> DataFrame:
     """a, b of neighbouring cells: offsets of -1, 0, 1 whose absolute values sum to reach at most.
 
@@ -110,15 +110,15 @@ def fill_holes(field: DataFrame, keys: list[str], axes: list[str], name: str) ->
     return rows.join(holes, [*keys, *axes], "left").withColumn(name, F.col(name) | F.coalesce("__hole", F.lit(False))).drop("__hole")
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, distance from the sources (node) over edges (a, b, w): minimum rounds until none falls."""
-    both = cut(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+def shortest_paths(sources: DataFrame, edges: DataFrame, most: float = float("inf")) -> DataFrame:
+    """node, distance from the sources (node) over edges (a, b, w), up to the distance most: minimum rounds until none falls."""
+    both = cut(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where(F.col("w") <= most))
     now = cut(sources.select("node", F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")))
     while now.where("fresh").limit(1).count():
-        moved = now.where("fresh").join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("new"))
+        moved = now.where("fresh").join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("new")).where(F.col("new") <= most)
         found = now.select("node", F.col("distance").alias("new"), F.col("distance").alias("old")).unionByName(moved.withColumn("old", F.lit(None).cast("double")))
         least = found.groupBy("node").agg(F.min("new").alias("distance"), F.min("old").alias("old"))
-        now = cut(least.select("node", "distance", (F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("fresh")))
+        now = advance(now, least.select("node", "distance", (F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("fresh")))
     return now.select("node", "distance")
 
 
@@ -136,5 +136,5 @@ def greedy_rounds(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
         accepted = live.join(near, "node", "left").where("other IS NULL OR rank < other").select("node")
         hit = both.join(accepted.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node")).distinct()
         marks = accepted.select("node", F.lit(1).alias("mark")).unionByName(hit.select("node", F.lit(2).alias("mark"))).groupBy("node").agg(F.min("mark").alias("mark"))
-        state = cut(state.join(marks, "node", "left").select("node", "rank", F.when(F.col("state") == 0, F.coalesce("mark", F.lit(0))).otherwise(F.col("state")).alias("state")))
+        state = advance(state, state.join(marks, "node", "left").select("node", "rank", F.when(F.col("state") == 0, F.coalesce("mark", F.lit(0))).otherwise(F.col("state")).alias("state")))
     return state.where("state = 1").select("node", "rank")
