@@ -64,6 +64,20 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str
     return here.join(offsets, [*keys, "part_"]).withColumn(name, F.col(name) + F.col("offset_")).drop("part_", "offset_")
 
 
+def exact_quantile(rows: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """keys with name: the linearly interpolated quantile of value over the rows of each key, nulls left out.
+
+    Ranks come from running sums by ranges, so no task or buffer holds a key's values.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x_"))
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    place = (F.col("n_") - 1) * F.lit(float(q))
+    ranked = running_sums(known, keys, ["x_"], None, "at_").join(counts, keys).withColumn("place_", place)
+    low, high = (F.max(F.when(F.col("at_") == f("place_"), F.col("x_"))).alias(n) for f, n in ((F.floor, "low_"), (F.ceil, "high_")))
+    got = ranked.where(F.abs(F.col("at_") - F.col("place_")) < 1).groupBy(*keys, "place_").agg(low, high)
+    return got.select(*keys, (F.col("low_") + (F.col("high_") - F.col("low_")) * (F.col("place_") - F.floor("place_"))).alias(name))
+
+
 def sheets(points: DataFrame, group: str, axis: str, count: int) -> DataFrame:
     """points with sheet: equal-count parts of each group along an axis; the first parts have one more where it doesn't divide."""
     placed = running_sums(points, [group], [axis, "candidate_id"], None, "at_").join(points.groupBy(group).agg(F.count(F.lit(1)).alias("n_")), group)

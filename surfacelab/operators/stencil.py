@@ -20,6 +20,12 @@ def line(keys: list[str], axes: list[str], axis: str) -> WindowSpec:
     return Window.partitionBy(*keys, *[a for a in axes if a != axis]).orderBy(axis)
 
 
+def beside(w: WindowSpec, axis: str, value: str) -> tuple[Column, Column]:
+    """The values at axis - 1 and axis + 1 of a line; null where no such cell exists, whatever the rows' neighbours are."""
+    before = F.when(F.lag(axis).over(w) == F.col(axis) - 1, F.lag(value).over(w))
+    return before, F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(value).over(w))
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     r = int(truncate * sigma + 0.5)
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
@@ -27,14 +33,18 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def gaussian(field: DataFrame, keys: list[str], axes: list[str], sigma: float, value: str = "v") -> DataFrame:
-    """Separable Gaussian with mirrored edges (the edge cell is repeated): for each axis a line is one row, and its cells again."""
+    """Separable Gaussian with mirrored edges (the edge cell is repeated): for each axis a line is one row, and its cells again.
+
+    A line with gaps is blurred by runs: a missing cell is an edge, as the volume's end is.
+    """
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
     columns = field.columns
     for axis in axes:
         fixed = [*keys, *[a for a in axes if a != axis]]
         rest = [c for c in columns if c not in fixed]
-        lines = field.groupBy(*fixed).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis]))).alias("line_"))
+        run = F.col(axis) - F.row_number().over(line(keys, axes, axis))
+        lines = field.withColumn("run_", run).groupBy(*fixed, "run_").agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis]))).alias("line_"))
         n = F.size("line_")
 
         def blurred(x: Column, i: Column) -> Column:
@@ -62,22 +72,22 @@ def strided_bands(volume: DataFrame, stride: int, band: int, pad: int) -> DataFr
     return out.select("vol", "band", "z", "y", "x", "v", (F.floor(F.col("z") / band) == F.col("band")).alias("core"))
 
 
-def gradient(field: DataFrame, keys: list[str], axes: list[str], value: str = "v", prefix: str = "g") -> DataFrame:
-    """Central differences, one-sided at the ends; zero on a line of one cell."""
+def gradient(field: DataFrame, keys: list[str], axes: list[str], value: str = "v", prefix: str = "g", spacing: dict[str, float] | None = None) -> DataFrame:
+    """Central differences over the spacing, one-sided where a neighbour is missing; zero where both are."""
     out = field
     for axis in axes:
-        w = line(keys, axes, axis)
-        before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        both = (after - before) / 2
-        out = out.withColumn(prefix + axis, F.coalesce(both, after - here, here - before, F.lit(0.0)))
+        before, after = beside(line(keys, axes, axis), axis, value)
+        here, h = F.col(value), (spacing or {}).get(axis, 1)
+        both = (after - before) / (2 * h)
+        one = [after - here, here - before] if h == 1 else [(after - here) / h, (here - before) / h]
+        out = out.withColumn(prefix + axis, F.coalesce(both, *one, F.lit(0.0)))
     return out
 
 
 def _weighed(field: DataFrame, keys: list[str], axes: list[str], axis: str, weights: tuple, value: str, name: str) -> DataFrame:
-    """Three-cell weighted sum along an axis, the edge cell repeated."""
-    w = line(keys, axes, axis)
+    """Three-cell weighted sum along an axis; the cell itself stands for a missing neighbour."""
     here = F.col(value)
-    before, after = F.coalesce(F.lag(value).over(w), here), F.coalesce(F.lead(value).over(w), here)
+    before, after = (F.coalesce(x, here) for x in beside(line(keys, axes, axis), axis, value))
     return field.withColumn(name, weights[0] * before + weights[1] * here + weights[2] * after)
 
 
@@ -97,7 +107,7 @@ def local_maxima(field: DataFrame, keys: list[str], axes: list[str], radius: int
     """
     out = field.withColumn("__r", F.round(value, 9)).withColumn("__m", F.col("__r"))
     for axis in axes:
-        out = out.withColumn("__m", F.max("__m").over(line(keys, axes, axis).rowsBetween(-radius, radius)))
+        out = out.withColumn("__m", F.max("__m").over(line(keys, axes, axis).rangeBetween(-radius, radius)))
     keep = (F.col("__r") == F.col("__m")) & (F.col(value) >= threshold)
     if border and extent is not None:
         for axis in axes:
@@ -123,9 +133,14 @@ def hessian_eigenvalues(field: DataFrame, keys: list[str]) -> DataFrame:
     for a in axes:
         g = gradient(g, keys, axes, "g" + a, "h" + a)
     h = {(a, b): (F.col("h" + a + b) + F.col("h" + b + a)) / 2 for a in axes for b in axes}
-    q = (h["x", "x"] + h["y", "y"] + h["z", "z"]) / 3
-    g = g.select(*keys, *axes, q.alias("q"), *[h[a, b].alias("a" + a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
-    c = F.col
+    g = g.select(*keys, *axes, *[h[a, b].alias("a" + a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
+    return symmetric_eigenvalues(g).select(*keys, *axes, "e1", "e2", "e3")
+
+
+def symmetric_eigenvalues(rows: DataFrame) -> DataFrame:
+    """rows with e1 >= e2 >= e3 of the matrices axx, ayy, azz, axy, axz, ayz."""
+    c, columns = F.col, rows.columns
+    g = rows.withColumn("q", (c("axx") + c("ayy") + c("azz")) / 3)
 
     def square(x: Column) -> Column:
         return x * x
@@ -136,11 +151,10 @@ def hessian_eigenvalues(field: DataFrame, keys: list[str]) -> DataFrame:
         g = g.withColumn("b" + k, (c("a" + k) - (c("q") if k[0] == k[1] else F.lit(0.0))) / F.greatest(c("p"), F.lit(1e-300)))
     b = {k: c("b" + k) for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
     det = b["xx"] * (b["yy"] * b["zz"] - b["yz"] * b["yz"]) - b["xy"] * (b["xy"] * b["zz"] - b["yz"] * b["xz"]) + b["xz"] * (b["xy"] * b["yz"] - b["yy"] * b["xz"])
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
-    g = g.withColumn("t", angle)
+    g = g.withColumn("t", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3)
     e1 = c("q") + 2 * c("p") * F.cos("t")
     e3 = c("q") + 2 * c("p") * F.cos(c("t") + 2 * math.pi / 3)
-    return g.select(*keys, *axes, e1.alias("e1"), (3 * c("q") - e1 - e3).alias("e2"), e3.alias("e3"))
+    return g.select(*columns, e1.alias("e1"), (3 * c("q") - e1 - e3).alias("e2"), e3.alias("e3"))
 
 
 def ridge_mask(eigen: DataFrame, field: DataFrame, keys: list[str], floor: float = 0.15, anisotropy_floor: float = 0.25) -> DataFrame:
@@ -160,9 +174,9 @@ def neighbour_mean(field: DataFrame, keys: list[str], axes: list[str], mask: Col
     out = field.withColumn("__in", mask.cast("int"))
     for axis in axes:
         w = line(keys, axes, axis)
-        for f in (F.lag, F.lead):
-            total = total + F.coalesce(f(value).over(w), F.lit(0.0))
-            count = count + F.coalesce(f("__in").over(w), F.lit(0))
+        for v, inside in zip(beside(w, axis, value), beside(w, axis, "__in")):
+            total = total + F.coalesce(v, F.lit(0.0))
+            count = count + F.coalesce(inside, F.lit(0))
     return out.withColumn("mean4", F.when(count > 0, total / count)).drop("__in")
 
 
@@ -171,7 +185,7 @@ def _spread(field: DataFrame, keys: list[str], axes: list[str], name: str, grow:
     for axis in axes:
         w = line(keys, axes, axis)
         here, edge = F.col(name), F.lit(False)
-        near = [F.coalesce(f(name).over(w), edge) for f in (F.lag, F.lead)]
+        near = [F.coalesce(x, edge) for x in beside(w, axis, name)]
         field = field.withColumn(name, here | near[0] | near[1] if grow else here & near[0] & near[1])
     return field
 
@@ -187,9 +201,8 @@ def dilate_cross(field: DataFrame, keys: list[str], axes: list[str], name: str)
     """One dilation by the neighbours along the axes (4 in a tile, 6 in a volume)."""
     near = F.col(name)
     for axis in axes:
-        w = line(keys, axes, axis)
-        for f in (F.lag, F.lead):
-            near = near | F.coalesce(f(name).over(w), F.lit(False))
+        for x in beside(line(keys, axes, axis), axis, name):
+            near = near | F.coalesce(x, F.lit(False))
     return field.withColumn(name, near)
 
 
