@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surfacelab.functions.vec import dot, face_normal, norm, normalize, scale, sub, vec
+from surfacelab.operators.ranking import exact_quantile
 from surfacelab.operators.rounds import component_labels, cut
 
 
@@ -51,6 +52,12 @@ def with_points(faces: DataFrame, vertices: DataFrame, attribute: str = "p") ->
     return faces.join(got.groupBy("mesh", "fid").agg(*at), ["mesh", "fid"])
 
 
+def plane_corners(faces: DataFrame, uv: DataFrame) -> DataFrame:
+    """mesh, fid, ua, va .. vc: each face's corners in the plane (mesh, vid, u, v)."""
+    at = corners(faces).join(uv.select("mesh", "vid", "u", "v"), ["mesh", "vid"]).groupBy("mesh", "fid")
+    return at.agg(*[F.max(F.when(F.col("corner") == k, F.col(x))).alias(x + "abc"[k]) for k in range(3) for x in "uv"])
+
+
 def edge_lengths(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """mesh, lo, hi, w of the distinct edges."""
     edges = face_edges(faces).select("mesh", "lo", "hi").distinct()
@@ -66,7 +73,7 @@ def edge_counts(faces: DataFrame) -> DataFrame:
 def prune_long_faces(faces: DataFrame, vertices: DataFrame, factor: float) -> DataFrame:
     """Faces all of whose edges are shorter than factor times the mesh's median edge."""
     lengths = edge_lengths(faces, vertices)
-    limit = lengths.groupBy("mesh").agg((F.percentile("w", F.lit(0.5)) * factor).alias("limit"))
+    limit = exact_quantile(lengths, ["mesh"], "w", 0.5, "median").select("mesh", (F.col("median") * factor).alias("limit"))
     long_ = lengths.join(limit, "mesh").where("w >= limit").select("mesh", "lo", "hi")
     bad = face_edges(faces).join(long_, ["mesh", "lo", "hi"]).select("mesh", "fid").distinct()
     return faces.join(bad, ["mesh", "fid"], "left_anti")
@@ -85,7 +92,7 @@ def prune_bridges(faces: DataFrame, vertices: DataFrame, edge_factor: float = 2.
     vertices carry a unit normal; the step is the edge along the mean normal over its length.
     """
     e = edge_lengths(faces, vertices)
-    limit = e.groupBy("mesh").agg((F.percentile("w", F.lit(0.5)) * edge_factor).alias("limit"))
+    limit = exact_quantile(e, ["mesh"], "w", 0.5, "median").select("mesh", (F.col("median") * edge_factor).alias("limit"))
     ends = [vertices.select("mesh", F.col("vid").alias(k), F.col("p").alias("p" + k), F.col("normal").alias("n" + k)) for k in ("lo", "hi")]
     e = e.join(ends[0], ["mesh", "lo"]).join(ends[1], ["mesh", "hi"]).join(limit, "mesh")
     way = sub("phi", "plo")
@@ -127,9 +134,9 @@ def continuity(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     n = with_points(faces, vertices).select("mesh", "fid", normalize(face_normal("pa", "pb", "pc")).alias("n"))
     e = face_edges(faces).join(n, ["mesh", "fid"])
     two = e.alias("s").join(e.alias("t"), (F.col("s.mesh") == F.col("t.mesh")) & (F.col("s.lo") == F.col("t.lo")) & (F.col("s.hi") == F.col("t.hi")) & (F.col("s.fid") < F.col("t.fid")))
-    agree = two.groupBy(F.col("s.mesh").alias("mesh")).agg(F.percentile(F.abs(dot(F.col("s.n"), F.col("t.n"))), F.lit(0.01)).alias("normal_p01"))
+    agree = exact_quantile(two.select(F.col("s.mesh").alias("mesh"), F.abs(dot(F.col("s.n"), F.col("t.n"))).alias("agree")), ["mesh"], "agree", 0.01, "normal_p01")
     lengths = edge_lengths(faces, vertices)
-    limit = lengths.groupBy("mesh").agg((2.5 * F.percentile("w", F.lit(0.5))).alias("limit"))
+    limit = exact_quantile(lengths, ["mesh"], "w", 0.5, "median").select("mesh", (2.5 * F.col("median")).alias("limit"))
     out = lengths.join(limit, "mesh").groupBy("mesh").agg(F.avg((F.col("w") > F.col("limit")).cast("double")).alias("edge_outliers"))
     return out.join(agree, "mesh", "left")
 
@@ -186,29 +193,26 @@ def seed_component(faces: DataFrame, vertices: DataFrame, seeds: DataFrame) -> D
     return faces.join(labels.join(best, ["mesh", "label"], "left_semi"), ["mesh", "fid"], "left_semi")
 
 
+def near_component(faces: DataFrame, vertices: DataFrame, seeds: DataFrame, within: float = 20.0) -> DataFrame:
+    """mesh, fid, a, b, c of one component of each mesh with a seed (mesh, seed): the one of most faces among those with a vertex within reach of it.
+
+    Where there is none within reach it is the nearest one; of equal ones the first. A nearest component alone is often a fragment.
+    """
+    labels = cut(face_components(faces))
+    away = corners(faces).join(vertices, ["mesh", "vid"]).join(seeds, "mesh").select("mesh", "fid", norm(sub("p", "seed")).alias("away"))
+    each = labels.join(away, ["mesh", "fid"]).groupBy("mesh", "label").agg(F.min("away").alias("away"), F.countDistinct("fid").alias("n"))
+    near = F.col("away") <= within
+    rank = F.struct(near.alias("near"), F.when(near, F.col("n")).alias("n"), F.when(~near, -F.col("away")).alias("closer"), (-F.col("label")).alias("first"))
+    best = each.groupBy("mesh").agg(F.max_by("label", rank).alias("label"))
+    return faces.join(labels.join(best, ["mesh", "label"], "left_semi"), ["mesh", "fid"], "left_semi")
+
+
 def refine_points(vertices: DataFrame, offsets: DataFrame) -> DataFrame:
     """vertices moved along their normal by the offset (mesh, vid, offset) found on a finer level."""
     moved = vertices.join(offsets, ["mesh", "vid"])
     return moved.withColumn("p", vec(*[F.col("p")[k] + scale("normal", F.col("offset"))[k] for k in "xyz"])).drop("offset")
 
 
-def geodesic_disk(faces: DataFrame, distances: DataFrame, radii: list[float], least: int = 100) -> DataFrame:
-    """mesh, radius, fid of the largest disk around each mesh's seed that is a disk.
-
-    distances: (mesh, vid, distance) from the seed. All radii are tried in one pass: a face belongs
-    to every radius that its furthest vertex allows; a radius passes when its faces are manifold,
-    have Euler number 1, one simple boundary loop and enough vertices.
-    """
-    far = corners(faces).join(distances, ["mesh", "vid"]).groupBy("mesh", "fid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where("n = 3")
-    tried = far.select("mesh", "fid", F.explode(F.filter(F.array(*[F.lit(float(r)) for r in radii]), lambda r: r >= F.col("far"))).alias("radius"))
-    patch = cut(tried.join(faces, ["mesh", "fid"]).select(F.struct("mesh", "radius").alias("mesh"), "fid", "a", "b", "c"))
-    points = corners(patch).select("mesh", "vid").distinct().withColumn("p", vec(F.lit(0), F.lit(0), F.lit(0)))
-    loops = boundary_loops(patch, points).groupBy("mesh").agg(F.count(F.lit(1)).alias("loops"), F.bool_and("simple").alias("simple"))
-    good = topology(patch).join(loops, "mesh").where((F.col("violations") == 0) & (F.col("euler") == 1) & (F.col("loops") == 1) & F.col("simple") & (F.col("vertices") >= least))
-    best = good.groupBy(F.col("mesh.mesh").alias("m")).agg(F.max("mesh.radius").alias("r")).select(F.struct(F.col("m").alias("mesh"), F.col("r").alias("radius")).alias("mesh"))
-    return patch.join(best, "mesh", "left_semi").select("mesh.mesh", "mesh.radius", "fid")
-
-
 def uv_quality(faces: DataFrame, uv: DataFrame) -> DataFrame:
     """mesh, flipped and collapsed shares of the faces in the plane; the sign of most faces is right."""
     at = corners(faces).join(uv, ["mesh", "vid"])
@@ -216,6 +220,6 @@ def uv_quality(faces: DataFrame, uv: DataFrame) -> DataFrame:
     rows = at.groupBy("mesh", "fid").agg(*k.values())
     area = ((F.col("b.u") - F.col("a.u")) * (F.col("c.v") - F.col("a.v")) - (F.col("c.u") - F.col("a.u")) * (F.col("b.v") - F.col("a.v"))) / 2
     rows = rows.select("mesh", area.alias("area"))
-    sign = rows.groupBy("mesh").agg(F.when(F.percentile("area", F.lit(0.5)) < 0, -1.0).otherwise(1.0).alias("sign"))
+    sign = rows.groupBy("mesh").agg(F.when(F.count_if(F.col("area") < 0) * 2 > F.count(F.lit(1)), -1.0).otherwise(1.0).alias("sign"))
     area = F.col("area") * F.col("sign")
     return rows.join(sign, "mesh").groupBy("mesh").agg(F.avg((area < 0).cast("double")).alias("flipped"), F.avg((F.abs(area) <= 1e-12).cast("double")).alias("collapsed"))

@@ -100,16 +100,20 @@ def q_uv_quality(spark, d):
     return M.uv_quality(faces, uv).select("mesh", r6("flipped", "flipped"), r6("collapsed", "collapsed"))
 
 
+RADII = [12.0, 9.6, 7.68, 6.144, 4.9152, 3.93216, 3.145728]
+
+
 def q_geodesic_disk(spark, d):
-    """The largest of four radii around each mesh's vertex nearest the middle that gives a disk."""
+    """The largest of seven radii around each mesh's vertex nearest the middle that gives a disk once its small holes are filled."""
     v, f = parts(spark, d)
     used = M.referenced(v, f)
     near = F.round(V.norm(V.sub(F.col("p"), V.vec(F.lit(3.5), F.lit(3.5), F.col("p.z")))), 9)
     start = used.groupBy("mesh").agg(F.min_by("vid", F.struct(near, "vid")).alias("vid")).select(F.struct("mesh", "vid").alias("node"))
     e = M.edge_lengths(f, v).select(F.struct("mesh", F.col("lo").alias("vid")).alias("a"), F.struct("mesh", F.col("hi").alias("vid")).alias("b"), "w")
-    distance = G.shortest_paths(start, e).select("node.mesh", "node.vid", "distance")
-    got = M.geodesic_disk(f, distance, [12.0, 9.6, 7.68, 6.144, 4.9152, 3.93216, 3.145728], 8)
-    return got.groupBy("mesh").agg(r6(F.first("radius"), "radius"), F.count(F.lit(1)).alias("faces"))
+    distance = G.shortest_paths(start, e, RADII[0]).select("node.mesh", "node.vid", "distance")
+    faces, points, told = P.disks(f, v, distance, RADII, 8)
+    n = faces.groupBy("mesh").agg(F.count(F.lit(1)).alias("faces")).join(points.groupBy("mesh").agg(F.count(F.lit(1)).alias("vertices")), "mesh")
+    return told.join(n, "mesh").select("mesh", r6("radius", "radius"), "filled", "faces", "vertices")
 
 
 def q_mesh_raster(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from surfacelab.functions.vec import vec
 
-EDGE, SIDE = 4, 8
+EDGE, SIDE, SHEET = 4, 8, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select(F.col("vec_id").alias("grid"), r.alias("r"), c.alias("c"), vec(c, r, 10 * e).alias("p"), (e > -0.12).alias("valid"))
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vol, z, y, x, v of 8x8x8 volumes with a bright sheet, whose height above (y, x) is 3.5 and eight times the embedding's number."""
+    i, e = F.col("i"), F.col("e")
+    rows = _cells(spark, sf_dir).select(F.col("vec_id").alias("vol"), F.explode(F.sequence(F.lit(0), F.lit(SHEET - 1))).alias("z"), F.floor(i / SHEET).cast("int").alias("y"), (i % SHEET).cast("int").alias("x"), (3.5 + 8 * e).alias("h"))
+    off = (F.col("z") - F.col("h")) / 1.2
+    return rows.select("vol", "z", "y", "x", F.exp(-0.5 * off * off).alias("v"))
+
+
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """traj, ord (timestamp), tie, p, probability of the users' events."""
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -76,6 +84,8 @@ SQL = {
       embedding[7]::DOUBLE AS score FROM embeddings)""",
     "vox": """vox AS (SELECT vec_id AS vol, (i // 16)::INT AS z, ((i // 4) % 4)::INT AS y, (i % 4)::INT AS x, (embedding[i + 1]::DOUBLE + 1) / 2 AS v
       FROM embeddings, range(64) t(i))""",
+    "sheet": """sheet AS (SELECT vec_id AS vol, z::INT AS z, (i // 8)::INT AS y, (i % 8)::INT AS x, exp(-0.5::DOUBLE * ((z - (3.5::DOUBLE + 8 * embedding[i + 1]::DOUBLE)) / 1.2::DOUBLE) * ((z - (3.5::DOUBLE + 8 * embedding[i + 1]::DOUBLE)) / 1.2::DOUBLE)) AS v
+      FROM embeddings, range(64) t(i), range(8) s(z))""",
     "tile": """tile AS (SELECT vec_id AS tile, label, (i // 8)::INT AS r, (i % 8)::INT AS c, greatest(0.0::DOUBLE, embedding[i + 1]::DOUBLE * 200) AS v
       FROM embeddings, range(64) t(i))""",
     "grid": """grid AS (SELECT vec_id AS grid, (i // 8)::INT AS r, (i % 8)::INT AS c, (i % 8)::DOUBLE AS px, (i // 8)::DOUBLE AS py,
