@@ -212,6 +212,25 @@ SELECT mesh, fid FROM f WHERE NOT EXISTS (SELECT 1 FROM fe JOIN be ON fe.mesh =
 r(mesh, vid, d) USING KEY (mesh, vid) AS (SELECT mesh, min(x) AS vid, 0.0::DOUBLE AS d FROM (SELECT mesh, unnest([a, b, c]) AS x FROM f) GROUP BY mesh
   UNION SELECT r.mesh, g.t, min(r.d + g.w) FROM r JOIN g ON g.mesh = r.mesh AND g.s = r.vid LEFT JOIN recurring.r AS k ON k.mesh = r.mesh AND k.vid = g.t WHERE k.d IS NULL OR r.d + g.w < k.d - 1e-12 GROUP BY r.mesh, g.t)
 SELECT mesh, count(*) AS n, round(max(d), 6) + 0.0 AS furthest, round(sum(d), 6) + 0.0 AS total FROM r GROUP BY mesh""",
+    "q_geodesic_disk": MESH_R + """, g AS MATERIALIZED (SELECT mesh, lo AS s, hi AS t, w FROM el UNION ALL SELECT mesh, hi, lo, w FROM el),
+u AS (SELECT DISTINCT k.mesh, k.x AS vid, px, py, pz FROM (SELECT mesh, unnest([a, b, c]) AS x FROM f) k JOIN v ON v.mesh = k.mesh AND v.vid = k.x),
+st AS (SELECT mesh, arg_min(vid, (round(sqrt((px - 3.5) * (px - 3.5) + (py - 3.5) * (py - 3.5)), 9), vid)) AS vid FROM u GROUP BY mesh),
+r(mesh, vid, d) USING KEY (mesh, vid) AS (SELECT mesh, vid, 0.0::DOUBLE AS d FROM st
+  UNION SELECT r.mesh, g.t, min(r.d + g.w) FROM r JOIN g ON g.mesh = r.mesh AND g.s = r.vid LEFT JOIN recurring.r AS k ON k.mesh = r.mesh AND k.vid = g.t WHERE r.d + g.w <= 12 AND (k.d IS NULL OR r.d + g.w < k.d - 1e-12) GROUP BY r.mesh, g.t),
+fr AS (SELECT f.mesh, f.fid, f.a, f.b, f.c, greatest(x.d, y.d, z.d) AS far FROM f JOIN r x ON x.mesh = f.mesh AND x.vid = f.a JOIN r y ON y.mesh = f.mesh AND y.vid = f.b JOIN r z ON z.mesh = f.mesh AND z.vid = f.c),
+pt AS MATERIALIZED (SELECT mesh, radius, fid, a, b, c FROM fr, (SELECT unnest(%s::DOUBLE[]) AS radius) WHERE radius >= far),
+pe AS MATERIALIZED (SELECT mesh, radius, least(x, y) AS lo, greatest(x, y) AS hi, count(*) AS n FROM (SELECT mesh, radius, a AS x, b AS y FROM pt UNION ALL SELECT mesh, radius, b, c FROM pt UNION ALL SELECT mesh, radius, c, a FROM pt) GROUP BY ALL),
+pv AS (SELECT mesh, radius, count(DISTINCT x) AS vertices, count(DISTINCT fid) AS faces FROM (SELECT mesh, radius, fid, unnest([a, b, c]) AS x FROM pt) GROUP BY ALL),
+pc AS (SELECT mesh, radius, count(*) AS edges, count(*) FILTER (n > 2) AS bad FROM pe GROUP BY ALL),
+bb AS MATERIALIZED (SELECT mesh, radius, lo AS s, hi AS t FROM pe WHERE n = 1 UNION ALL SELECT mesh, radius, hi, lo FROM pe WHERE n = 1),
+q(mesh, radius, s, m) AS (SELECT DISTINCT mesh, radius, s, s FROM bb UNION SELECT q.mesh, q.radius, q.s, bb.t FROM q JOIN bb ON bb.mesh = q.mesh AND bb.radius = q.radius AND bb.s = q.m),
+lp AS MATERIALIZED (SELECT mesh, radius, s, min(m) AS loop FROM q GROUP BY ALL),
+sz AS (SELECT lp.mesh, lp.radius, loop, sum(w) / 2 AS len, count(*) / 2 AS n, count(DISTINCT lp.s) AS k, max(d) AS most FROM lp JOIN (SELECT *, count(*) OVER (PARTITION BY mesh, radius, s) AS d FROM bb) bb ON bb.mesh = lp.mesh AND bb.radius = lp.radius AND bb.s = lp.s
+  JOIN g ON g.mesh = lp.mesh AND g.s = bb.s AND g.t = bb.t GROUP BY lp.mesh, lp.radius, loop),
+ls AS (SELECT mesh, radius, count(*) AS loops, max(most) = 2 AS simple, (SELECT count(*) FROM sz i WHERE i.mesh = sz.mesh AND i.radius = sz.radius AND i.loop <> arg_max(sz.loop, (sz.len, -sz.loop)) AND i.len > 0.35 * max(sz.len)) AS torn, sum(k) - arg_max(k, (len, -loop)) AS fans FROM sz GROUP BY mesh, radius),
+ok AS (SELECT pv.mesh, pv.radius, loops - 1 AS filled, faces + fans AS faces, vertices + loops - 1 AS vertices FROM pv JOIN pc ON pc.mesh = pv.mesh AND pc.radius = pv.radius JOIN ls ON ls.mesh = pv.mesh AND ls.radius = pv.radius
+  WHERE vertices >= 8 AND bad = 0 AND simple AND torn = 0 AND vertices - edges + faces + loops - 1 = 1)
+SELECT mesh, round(radius, 6) + 0.0 AS radius, filled, faces::BIGINT AS faces, vertices FROM (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY radius DESC) AS i FROM ok) WHERE i = 1""" % RADII,
     "q_mesh_raster": MESH + """, t AS (SELECT f.mesh, fid, A.px * 4 AS ua, A.py * 4 AS va, A.pz AS za, B.px * 4 AS ub, B.py * 4 AS vb, B.pz AS zb, C.px * 4 AS uc, C.py * 4 AS vc, C.pz AS zc FROM f JOIN v A ON A.mesh = f.mesh AND A.vid = f.a JOIN v B ON B.mesh = f.mesh AND B.vid = f.b JOIN v C ON C.mesh = f.mesh AND C.vid = f.c),
 px AS (SELECT *, (ub - ua) * (vc - va) - (uc - ua) * (vb - va) AS ar FROM (SELECT *, unnest(range(floor(least(ua, ub, uc))::INT, ceil(greatest(ua, ub, uc))::INT + 1)) AS col FROM (SELECT *, unnest(range(floor(least(va, vb, vc))::INT, ceil(greatest(va, vb, vc))::INT + 1)) AS row FROM t))),
 w AS (SELECT *, ((uc - ub) * (row + 0.5 - vb) - (col + 0.5 - ub) * (vc - vb)) / ar AS w0, ((ua - uc) * (row + 0.5 - vc) - (col + 0.5 - uc) * (va - vc)) / ar AS w1 FROM px WHERE abs(ar) > 1e-12),
