@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again, so that lineage doesn't grow."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below spark.checkpoint.dir, the folder that all executors share, that no other run uses."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
@@ -20,7 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-rounds-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read again, so that lineage doesn't grow."""
+    spark = df.sparkSession
+    path = new_path(spark, "round")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path

@@ -63,33 +63,82 @@ def gru_steps(weights: dict, obs: np.ndarray, state: np.ndarray) -> tuple[np.nda
 
 
 def predict(observations: DataFrame, weights: dict[str, np.ndarray], length: int | None = None) -> DataFrame:
-    """traj, step, dx, dy, dz, confidence for observations (traj, step, obs); confidence falls with variance.
+    """traj, step, dx, dy, dz, confidence for observations (traj, step, obs), and the net's logit and log variances lx, ly, lz; confidence falls with variance.
 
-    A round is one step of all trajectories (up to length, by default the longest one), so trajectories of any number spread over the
-    cluster; a task's rows go through the net together.
+    One stage: rows stream by trajectory and step, and the state of the last trajectory of a batch goes over to the next batch. The
+    trajectories of a batch take each step together. length leaves out later steps.
     """
     shared, hidden = observations.sparkSession.sparkContext.broadcast(weights), len(weights["in_b"])
-    rows = cut(observations.select("traj", "step", "obs"))
-    steps = [r.step for r in rows.select("step").distinct().orderBy("step").collect()][:length]
-    state, out = None, None
+    rows = observations.select("traj", "step", "obs")
+    rows = rows if length is None else rows.where(F.col("step") < length)
 
     def run(batches):
+        last, carried = None, None
         for b in batches:
-            if len(b):
-                before = np.zeros((len(b), 2 * hidden)) if "state" not in b else np.stack([np.zeros(2 * hidden) if x is None else x for x in b.state])
-                delta, c, logvar, new = gru_steps(shared.value, np.stack(b.obs.to_numpy()).astype(float), before.reshape(-1, 2, hidden))
-                spread = np.sqrt(np.exp(logvar).mean(axis=1))
-                yield b[["traj", "step"]].assign(dx=delta[:, 0], dy=delta[:, 1], dz=delta[:, 2], confidence=c / (1 + spread), state=list(new.reshape(len(b), -1)))
+            if not len(b):
+                continue
+            traj, obs = b.traj.to_numpy(), np.stack(b.obs.to_numpy()).astype(float)
+            start = np.nonzero(np.append(True, traj[1:] != traj[:-1]))[0]
+            size = np.diff(np.append(start, len(b)))
+            state = np.zeros((len(start), 2, hidden))
+            if carried is not None and traj[0] == last:
+                state[0] = carried
+            delta, logvar, c = np.empty((len(b), 3)), np.empty((len(b), 3)), np.empty(len(b))
+            for k in range(int(size.max())):
+                on = np.nonzero(size > k)[0]
+                at = start[on] + k
+                delta[at], c[at], logvar[at], state[on] = gru_steps(shared.value, obs[at], state[on])
+            last, carried = traj[-1], state[-1].copy()
+            spread = np.sqrt(np.exp(logvar).mean(axis=1))
+            yield b[["traj", "step"]].assign(dx=delta[:, 0], dy=delta[:, 1], dz=delta[:, 2], confidence=c / (1 + spread), logit=np.log(c / (1 - c)), lx=logvar[:, 0], ly=logvar[:, 1], lz=logvar[:, 2])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"traj {kinds['traj']}, step {kinds['step']}, dx double, dy double, dz double, confidence double, state array<double>"
-    for k in steps:
-        here = rows.where(F.col("step") == k)
-        here = here if state is None else here.join(state, "traj", "left")
-        got = cut(here.mapInPandas(run, schema))
-        state = got.select("traj", "state")
-        out = got.drop("state") if out is None else out.unionByName(got.drop("state"))
-    return out if out is not None else rows.mapInPandas(run, schema).drop("state")
+    schema = f"traj {kinds['traj']}, step {kinds['step']}, " + ", ".join(f"{k} double" for k in ("dx", "dy", "dz", "confidence", "logit", "lx", "ly", "lz"))
+    return rows.repartition("traj").sortWithinPartitions("traj", "step").mapInPandas(run, schema)
+
+
+def gap_benchmark(rows: DataFrame, weights: dict[str, np.ndarray], start: int = 8, length: int = 8) -> DataFrame:
+    """traj, model_mean, model_end, straight_mean, straight_end: errors over a hidden gap of trajectories (traj, step, p, normal, probability).
+
+    The net sees the first start steps, then runs freely from the place of step start, each step fed with its own last one and the gap
+    flag set; the straight line goes on from there by the last seen step. The normal is that of the trajectory's first place. Trajectories without
+    start + length + 1 places are left out. A trajectory is one row of that many places, so a batch of them takes each step together.
+    """
+    shared, hidden = rows.sparkSession.sparkContext.broadcast(weights), len(weights["in_b"])
+    need = start + length + 1
+    seen = rows.where(F.col("step") < need).groupBy("traj").agg(F.sort_array(F.collect_list(F.struct("step", F.array("p.x", "p.y", "p.z").alias("p"), "probability"))).alias("s"), F.min_by(F.array("normal.x", "normal.y", "normal.z"), "step").alias("n"))
+    packed = seen.where(F.size("s") == need).select("traj", F.flatten(F.transform("s", lambda x: x["p"])).alias("p"), F.transform("s", lambda x: x["probability"].cast("double")).alias("q"), "n")
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            truth, seen, normal = np.stack(b.p.to_numpy()).reshape(len(b), need, 3), np.stack(b.q.to_numpy()), np.stack(b.n.to_numpy())
+            state, flags = np.zeros((len(b), 2, hidden)), np.tile([0.0, 0.0, 1.0], (len(b), 1))
+            previous = truth[:, 1] - truth[:, 0]
+            for k in range(start):
+                previous = truth[:, k] - truth[:, k - 1] if k else previous
+                state = gru_steps(shared.value, np.hstack([previous, unit(previous), normal, seen[:, k : k + 1], flags]), state)[3]
+            point, flags = truth[:, start].copy(), np.tile([0.0, 0.0, 1.0, 1.0], (len(b), 1))
+            model = np.empty((len(b), length))
+            for k in range(length):
+                tangent = unit(previous)
+                side = unit(np.cross(normal, tangent))
+                local, _, _, state = gru_steps(shared.value, np.hstack([previous, tangent, normal, flags]), state)
+                delta = tangent * local[:, :1] + side * local[:, 1:2] + normal * local[:, 2:]
+                delta = delta * np.where((delta * tangent).sum(1) < 0, -1.0, 1.0)[:, None]
+                delta = unit(delta) * np.clip(np.linalg.norm(delta, axis=1), 0.5, 1.5)[:, None]
+                point, previous = point + delta, delta
+                model[:, k] = np.linalg.norm(point - truth[:, start + 1 + k], axis=1)
+            ahead = truth[:, start, None] + np.arange(1, length + 1)[:, None] * (truth[:, start] - truth[:, start - 1])[:, None]
+            straight = np.linalg.norm(ahead - truth[:, start + 1 :], axis=2)
+            yield b[["traj"]].assign(model_mean=model.mean(1), model_end=model[:, -1], straight_mean=straight.mean(1), straight_end=straight[:, -1])
+
+    kind = packed.schema["traj"].dataType.simpleString()
+    return packed.mapInPandas(run, f"traj {kind}, model_mean double, model_end double, straight_mean double, straight_end double")
 
 
 def trace_model(volume: DataFrame | Field, seeds: DataFrame, weights: dict[str, np.ndarray], steps: int, reverse: bool = False, stride: float = 1.5, radius: float = 3.0, samples: int = 9) -> DataFrame:
@@ -160,13 +209,19 @@ def rollout_surface(volume: DataFrame | Field, seeds: DataFrame, weights: dict[s
 
 
 def training_loss(batch: DataFrame, predictions: DataFrame) -> DataFrame:
-    """loss terms of predictions against targets (traj, step, target, mask): smooth L1 and confidence, masked means."""
-    rows = batch.join(predictions, ["traj", "step"])
-    terms = [F.abs(F.col("target")[k] - F.col("d" + k)) for k in "xyz"]
-    smooth = sum((F.when(t < 1, 0.5 * t * t).otherwise(t - 0.5) for t in terms), F.lit(0.0)) / 3
-    p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("confidence")))
-    m = F.col("mask").cast("double")
-    return rows.agg((F.sum(m * smooth) / F.sum(m)).alias("smooth_l1"), (F.sum(-(m * F.log(p))) / F.sum(m)).alias("confidence"))
+    """displacement, confidence, variance and loss of predictions (predict) against batch (traj, step, target, mask, confidence), as one row.
+
+    displacement is the smooth L1 distance over the predicted variance, a mean over the three parts and then over the steps of the mask; confidence the binary
+    cross entropy of the logit with the clipped confidence over all steps, padding included; variance the mean log variance. The loss is displacement + 0.1 * confidence + 0.005 * variance.
+    """
+    rows = batch.withColumnRenamed("confidence", "seen").join(predictions, ["traj", "step"])
+    parts = [(F.abs(F.col("target")[k] - F.col("d" + k)), F.col("l" + k)) for k in "xyz"]
+    far = sum((F.when(t < 1, 0.5 * t * t).otherwise(t - 0.5) / F.exp(v) for t, v in parts), F.lit(0.0)) / 3
+    goal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("seen")))
+    x, m = F.col("logit"), F.col("mask").cast("double")
+    entropy = F.greatest(x, F.lit(0.0)) - x * goal + F.log1p(F.exp(-F.abs(x)))
+    got = rows.agg((F.sum(m * far) / F.greatest(F.sum(m), F.lit(1.0))).alias("displacement"), F.avg(entropy).alias("confidence"), F.avg((F.col("lx") + F.col("ly") + F.col("lz")) / 3).alias("variance"))
+    return got.withColumn("loss", F.col("displacement") + 0.1 * F.col("confidence") + 0.005 * F.col("variance"))
 
 
 def upsampled(logits: np.ndarray, size: int) -> np.ndarray:

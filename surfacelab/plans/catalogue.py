@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfacelab.plans import meshes, points, records, search, topology, unwrap
+from surfacelab.plans import meshes, points, records, search, surfaces, topology, unwrap
 
-QUERIES = {**points.QUERIES, **meshes.QUERIES, **records.QUERIES, **search.QUERIES, **unwrap.QUERIES, **topology.QUERIES}
-SQL = {**points.SQL, **meshes.SQL, **records.SQL, **unwrap.SQL, **topology.SQL}
+QUERIES = {**points.QUERIES, **meshes.QUERIES, **records.QUERIES, **search.QUERIES, **unwrap.QUERIES, **topology.QUERIES, **surfaces.QUERIES}
+SQL = {**points.SQL, **meshes.SQL, **records.SQL, **unwrap.SQL, **topology.SQL, **surfaces.SQL}

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surfacelab.functions import vec as V
-from surfacelab.operators import metrics, ranking
+from surfacelab.operators import metrics, ranking, tracker
 from surfacelab.operators import trajectory as T
 from surfacelab.plans.points import r6, xyz
-from surfacelab.sources.derived import candidates, scored_labels, table, tiles, trajectories, voxels, with_sql
+from surfacelab.sources.derived import candidates, scored_labels, sheets, table, tiles, trajectories, voxels, with_sql
 
 
 def steps(spark, d):
@@ -51,11 +51,27 @@ def q_trace(spark, d):
 
 
 def q_generate(spark, d):
-    """The lengths of up to three marches of each volume from bright voxels in random directions."""
-    got = T.generate(voxels(spark, d), 3, 3, 0.5, 7, step=0.25, radius=0.5, samples=3)
+    """The lengths of up to three marches of each sheet from bright voxels in random directions, of eight steps."""
+    got = T.generate(sheets(spark, d), 3, 8, 0.5, 7, step=0.5, radius=1.0, samples=5)
     return got.groupBy("vol", "seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("probability"), "probability"))
 
 
+def q_gap_benchmark(spark, d):
+    """A plain tracker against a straight line over gaps of four steps in the users' events."""
+    got = tracker.gap_benchmark(T.with_frame(steps(spark, d)), tracker.plain_weights(7, 16), 4, 4)
+    out = [r6(F.avg(k), k) for k in ("model_mean", "straight_mean", "model_end", "straight_end")]
+    near = [r6(F.avg((F.col(k + "_end") < 3).cast("double")), k + "_recovered") for k in ("model", "straight")]
+    return got.agg(F.count(F.lit(1)).alias("n"), *out, *near, r6(F.avg((F.col("model_end") < F.col("straight_end")).cast("double")), "model_wins"))
+
+
+def q_training_loss(spark, d):
+    """The loss of a plain tracker on the users' events; the confidence to learn is the events' probability."""
+    rows = T.with_frame(steps(spark, d))
+    batch = T.targets(rows).join(T.padded(rows, 32), ["traj", "step"]).join(rows.select("traj", "step", F.col("probability").alias("confidence")), ["traj", "step"])
+    got = tracker.training_loss(batch, tracker.predict(T.observations(rows), tracker.plain_weights(7, 16), 32))
+    return got.select(*[r6(k, k) for k in ("displacement", "confidence", "variance", "loss")])
+
+
 def q_auroc(spark, d):
     got = metrics.auroc(scored_labels(spark, d), ["region"])
     return got.select("region", "positives", "negatives", *[r6(k, k) for k in ("auroc", "mean_pos", "mean_neg")])
