@@ -116,6 +116,18 @@ def texture_score() -> Column:
     return 2.0 * c("ct_nonzero") + 0.025 * c("ct_std") + 0.8 * c("fiber_coherence") + 0.01 * c("focus_mean") + 0.5 * c("surface_probability")
 
 
+def screening_score() -> Column:
+    """Score of a search's first phase, before any ink is looked at."""
+    c = F.col
+    return 1.5 * c("surface_score") + 2.0 * c("ct_nonzero") + 0.02 * c("ct_std") + 0.5 * c("fiber_coherence")
+
+
+def final_score() -> Column:
+    """combined_score and the spread and excess of ink."""
+    c = F.col
+    return c("combined_score") + 8.0 * c("ink_std") + F.greatest(F.lit(0.0), c("ink_p99") - c("ink_mean"))
+
+
 def parse_numbers(text, count: int, kind: str = "double") -> Column:
     """"a,b,c" as an array of count numbers, null where the count differs or a part is no number."""
     parts = F.transform(F.split(col(text), ","), lambda p: F.trim(p).try_cast(kind))

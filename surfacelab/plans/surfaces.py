@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surfacelab.functions import vec as V
-from surfacelab.operators import isosurface, metrics, scattered, tracker
+from surfacelab.operators import isosurface, metrics, raster, ridge, scattered, tracker
 from surfacelab.operators import mesh as M
 from surfacelab.operators import parameterise as P
 from surfacelab.operators.rounds import cut, new_path
 from surfacelab.plans.meshes import LABELS, MESH, MESH_R, parts
-from surfacelab.plans.points import r6, xyz
+from surfacelab.plans.points import HESSIAN, r6, xyz
 from surfacelab.plans.topology import centres
 from surfacelab.plans.unwrap import unwrap_winners
 from surfacelab.sources import chunks, zarr
-from surfacelab.sources.derived import EDGE, SHEET, candidates, grids, sheets, voxels, with_sql
+from surfacelab.sources.derived import EDGE, SHEET, candidates, grids, sheets, tiles, voxels, with_sql
 
 
 def q_zarr_box(spark, d):
@@ -106,6 +106,32 @@ def q_rollout(spark, d):
     return got.groupBy("grid.vol").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"), *[r6(F.sum(F.col("p")[k]), "s" + k) for k in "xyz"])
 
 
+def q_estimate_frame(spark, d):
+    """Normals of the bright voxels around the middle of each sheet."""
+    volume = sheets(spark, d)
+    seeds = centres(volume).select("vol", F.lit(0).alias("seed"), F.col("seed").alias("p"))
+    got = ridge.estimate_frame(volume, seeds, 3)
+    return got.select("vol", "n", "error", *[(F.round(F.col("normal")[k], 5) + 0.0).alias("n" + k) for k in "xyz"])
+
+
+def q_final_score(spark, d):
+    """First-phase and final scores of each tile, its own pixels taken for the surface and (over 255) for ink."""
+    t = tiles(spark, d)
+    rows = metrics.texture(t, ["tile"]).join(metrics.ink(t.withColumn("v", F.col("v") / 255), ["tile"]), "tile")
+    rows = rows.withColumns({"surface_score": F.col("ct_nonzero") / 2, "fiber_coherence": F.col("ct_nonzero") / 3}).withColumn("combined_score", V.screening_score())
+    return rows.select("tile", r6("combined_score", "combined_score"), r6(V.final_score(), "final_score"))
+
+
+def q_packed_atlas(spark, d):
+    """The valid cells of the height grids as charts of ten sheets, packed, stored in chunks and read back: pixels and sums of each chart."""
+    g = grids(spark, d).where("valid").select((F.col("grid") % 10).alias("sheet"), F.col("grid").alias("chart"), F.col("r").alias("row"), F.col("c").alias("col"), "p")
+    places = raster.atlas(g.select("sheet", "chart").distinct().select("sheet", "chart", F.lit(SHEET).alias("h"), F.lit(SHEET).alias("w")))
+    path = new_path(spark, "atlas")
+    raster.write_atlas(raster.packed(g.withColumn("normal", V.vec(F.lit(0), F.lit(0), F.lit(1))), places), path)
+    got = raster.read_atlas(spark, path)
+    return got.groupBy("sheet", "chart").agg(F.count(F.lit(1)).alias("n"), F.min("row").cast("long").alias("first_row"), F.min("col").cast("long").alias("first_col"), (F.round(F.sum("p.x"), 3) + 0.0).alias("sx"), (F.round(F.sum("p.y"), 3) + 0.0).alias("sy"))
+
+
 def q_winners(spark, d):
     """The best candidate of each label, its crop unwrapped: quality and status."""
     best = candidates(spark, d).groupBy("label").agg(F.max_by("candidate_id", F.struct("score", "candidate_id")).alias("candidate_id"))
@@ -125,6 +151,22 @@ SELECT candidate_id, site, round(d, 6) + 0.0 AS distance FROM (SELECT *, row_num
     "q_dim_faces": MESH + " SELECT f.mesh, f.fid, f.a, f.b, f.c FROM f WHERE (SELECT min(pz) FROM v WHERE v.mesh = f.mesh AND v.vid IN (f.a, f.b, f.c)) >= 0",
     "q_reindexed": MESH + ", n AS (SELECT mesh, vid, row_number() OVER (PARTITION BY mesh ORDER BY vid) - 1 AS i FROM (SELECT DISTINCT mesh, unnest([a, b, c]) AS vid FROM f)) SELECT f.mesh, f.fid, x.i AS a, y.i AS b, z.i AS c FROM f JOIN n x ON x.mesh = f.mesh AND x.vid = f.a JOIN n y ON y.mesh = f.mesh AND y.vid = f.b JOIN n z ON z.mesh = f.mesh AND z.vid = f.c",
     "q_orient": MESH_R + ", " + LABELS + " SELECT f.mesh, f.fid, a, CASE WHEN label % 3 = 0 THEN c ELSE b END AS b, CASE WHEN label % 3 = 0 THEN b ELSE c END AS c FROM f JOIN lb ON lb.mesh = f.mesh AND lb.fid = f.fid",
+    "q_estimate_frame": with_sql("sheet") + """, q AS (SELECT vol, greatest(0.35, max(v) * 0.55) AS lim FROM sheet WHERE z BETWEEN 1 AND 7 AND y BETWEEN 1 AND 7 AND x BETWEEN 1 AND 7 GROUP BY vol),
+near AS (SELECT s.* FROM sheet s JOIN q ON q.vol = s.vol WHERE v > lim AND sqrt((z - 4) * (z - 4) + (y - 4) * (y - 4) + (x - 4) * (x - 4)) <= 3),
+s AS (SELECT vol, 0 AS z, 0 AS y, 0 AS x, count(*) AS v, """ + ", ".join(f"covar_pop({a}, {b}) AS a{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + """, (axx + ayy + azz) / 3 AS q FROM near GROUP BY vol HAVING count(*) >= 12),
+t AS""" + HESSIAN.split("t AS", 1)[1].replace("ev AS (SELECT vol, z, y, x, v,", "ev AS (SELECT *,") + """,
+m AS (SELECT vol, v AS n, axx - e3 AS r00, axy AS r01, axz AS r02, ayy - e3 AS r11, ayz AS r12, azz - e3 AS r22 FROM ev),
+k AS (SELECT *, r01 * r12 - r02 * r11 AS a_x, r02 * r01 - r00 * r12 AS a_y, r00 * r11 - r01 * r01 AS a_z, r01 * r22 - r02 * r12 AS b_x, r02 * r02 - r00 * r22 AS b_y, r00 * r12 - r01 * r02 AS b_z,
+  r11 * r22 - r12 * r12 AS c_x, r12 * r02 - r01 * r22 AS c_y, r01 * r12 - r11 * r02 AS c_z FROM m),
+l AS (SELECT *, sqrt(a_x * a_x + a_y * a_y + a_z * a_z) AS la, sqrt(b_x * b_x + b_y * b_y + b_z * b_z) AS lb, sqrt(c_x * c_x + c_y * c_y + c_z * c_z) AS lc FROM k),
+w AS (SELECT vol, n, """ + ", ".join(f"CASE WHEN la >= lb AND la >= lc THEN a_{x} / la WHEN lb >= lc THEN b_{x} / lb ELSE c_{x} / lc END AS n{x}" for x in "xyz") + """ FROM l)
+SELECT i.vol, n, CASE WHEN n IS NULL THEN 'not enough local surface support' END AS error, """ + ", ".join(f"round(n{x} * CASE WHEN nx <> 0 THEN sign(nx) WHEN ny <> 0 THEN sign(ny) ELSE sign(nz) END, 5) + 0.0 AS n{x}" for x in "xyz") + """
+FROM (SELECT vec_id AS vol FROM embeddings) i LEFT JOIN w ON w.vol = i.vol""",
+    "q_final_score": with_sql("tile") + """, m AS (SELECT tile, avg((v > 0)::INT::DOUBLE) AS nz, coalesce(stddev_pop(CASE WHEN v > 0 THEN v END), 0.0) AS sd, stddev_pop(v / 255) AS ik, avg(v / 255) AS mean, quantile_cont(v / 255, 0.99) AS p FROM tile GROUP BY tile),
+c AS (SELECT *, 1.5 * (nz / 2) + 2 * nz + 0.02 * sd + 0.5 * (nz / 3) AS s FROM m) SELECT tile, round(s, 6) + 0.0 AS combined_score, round(s + 8 * ik + greatest(0, p - mean), 6) + 0.0 AS final_score FROM c""",
+    "q_packed_atlas": with_sql("grid") + """, g AS (SELECT grid % 10 AS sheet, grid AS chart, r, c, px, py FROM grid WHERE valid),
+k AS (SELECT sheet, chart, row_number() OVER (PARTITION BY sheet ORDER BY chart) - 1 AS k FROM (SELECT DISTINCT sheet, chart FROM g))
+SELECT g.sheet, g.chart, count(*) AS n, min(r) + 32 + (any_value(k) // 3) * 40 AS first_row, min(c) + 32 + (any_value(k) % 3) * 40 AS first_col, round(sum(px), 3) + 0.0 AS sx, round(sum(py), 3) + 0.0 AS sy FROM g JOIN k ON k.chart = g.chart GROUP BY g.sheet, g.chart""",
     "q_bands": with_sql("sheet").replace("sheet AS (", "vox AS MATERIALIZED (", 1) + ",\n" + isosurface.triangles_sql(0.5, SHEET) + """,
 v AS (SELECT vol, q.lo AS lo, q.hi AS hi, any_value(q.px) AS px, any_value(q.py) AS py, any_value(q.pz) AS pz FROM (SELECT vol, unnest([a, b, c]) AS q FROM mface) GROUP BY ALL)
 SELECT vol, count(*) AS n, round(sum(px), 6) + 0.0 AS sx, round(sum(py), 6) + 0.0 AS sy, round(sum(pz), 6) + 0.0 AS sz FROM v GROUP BY vol""",
