@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfacelab.functions.vec import dot, face_normal, norm, normalize, scale, sub, vec
+from surfacelab.functions.vec import add, dot, face_normal, norm, normalize, scale, sub, vec
 from surfacelab.operators.ranking import exact_quantile
 from surfacelab.operators.rounds import component_labels, cut
+from surfacelab.operators.sampling import project
 
 
 def grid_vertices(grid: DataFrame, width: int) -> DataFrame:
@@ -207,10 +208,16 @@ def near_component(faces: DataFrame, vertices: DataFrame, seeds: DataFrame, with
     return faces.join(labels.join(best, ["mesh", "label"], "left_semi"), ["mesh", "fid"], "left_semi")
 
 
-def refine_points(vertices: DataFrame, offsets: DataFrame) -> DataFrame:
-    """vertices moved along their normal by the offset (mesh, vid, offset) found on a finer level."""
-    moved = vertices.join(offsets, ["mesh", "vid"])
-    return moved.withColumn("p", vec(*[F.col("p")[k] + scale("normal", F.col("offset"))[k] for k in "xyz"])).drop("offset")
+def refine(faces: DataFrame, vertices: DataFrame, volume: DataFrame, level: int = 0, radius: float = 4.0, samples: int = 17) -> DataFrame:
+    """mesh, vid, p, value: vertices moved along their normals to the brightest of the places within radius, on a pyramid level of volume (vol: the mesh).
+
+    Places and radius count in voxels of that level, of which one is 2 ** level of the vertices' own.
+    """
+    scaled = vertices.select("mesh", "vid", scale("p", F.lit(1 / 2**level)).alias("p"))
+    points = scaled.join(vertex_normals(faces, scaled), ["mesh", "vid"]).select(F.col("mesh").alias("vol"), "vid", "p", F.col("normal").alias("n"))
+    best = project(points, volume, ["vol", "vid"], radius, samples)
+    moved = points.join(best, ["vol", "vid"]).withColumn("q", add("p", scale("n", F.col("offset"))))
+    return moved.select(F.col("vol").alias("mesh"), "vid", scale("q", F.lit(float(2**level))).alias("p"), F.col("sample").alias("value"))
 
 
 def uv_quality(faces: DataFrame, uv: DataFrame) -> DataFrame:

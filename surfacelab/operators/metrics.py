@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 import numpy as np
@@ -112,6 +114,13 @@ def gates(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("passed", (c("coverage") >= 0.99) & (c("adherence") >= 0.95) & (c("folded_fraction") < 0.001) & (c("jump_fraction") < 0.01))
 
 
+def ridge_gates(metrics: DataFrame, least: int = 100) -> DataFrame:
+    """metrics (seed_distance, normal_p01, edge_outliers, loops, euler, vertices) of ridge patches with passed: near the seed, smooth, a disk and large enough."""
+    c = F.col
+    smooth = (c("normal_p01") >= math.cos(math.radians(50))) & (c("edge_outliers") <= 0.01)
+    return metrics.withColumn("passed", F.coalesce((c("seed_distance") <= 5) & smooth & (c("loops") == 1) & (c("euler") == 1) & (c("vertices") >= least), F.lit(False)))
+
+
 def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """positives, negatives, auroc and means of scores (label 0 or 1), by average ranks.
 

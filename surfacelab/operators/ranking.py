@@ -64,6 +64,11 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str
     return here.join(offsets, [*keys, "part_"]).withColumn(name, F.col(name) + F.col("offset_")).drop("part_", "offset_")
 
 
+def numbered(points: DataFrame, keys: list[str], name: str = "number") -> DataFrame:
+    """points with a number 0, 1, ... by falling score within keys, ties by candidate_id; counted by ranges."""
+    return running_sums(points.withColumn("fall_", -F.col("score")), keys, ["fall_", "candidate_id"], None, name).drop("fall_")
+
+
 def exact_quantile(rows: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     """keys with name: the linearly interpolated quantile of value over the rows of each key, nulls left out.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from surfacelab.operators.ranking import exact_quantile
 from surfacelab.operators.rounds import cut
 
 
@@ -164,7 +165,7 @@ def ridge_mask(eigen: DataFrame, field: DataFrame, keys: list[str], floor: float
     # Written first: a filter on an eigenvalue would otherwise work its whole expression out again.
     rows = cut(eigen).join(field, [*keys, *axes]).withColumn("curvature", -c("e3"))
     rows = rows.withColumn("anisotropy", (F.abs("e3") - F.abs("e2")) / (F.abs("e3") + 1e-6))
-    least = rows.groupBy(*keys).agg(F.percentile(F.when(c("curvature") > 0, c("curvature")), F.lit(0.15)).alias("least"))
+    least = exact_quantile(rows.where("curvature > 0"), keys, "curvature", 0.15, "least")
     return rows.join(least, keys).where((c("v") >= floor) & (c("anisotropy") >= anisotropy_floor) & (c("curvature") >= c("least")))
 
 

@@ -25,6 +25,10 @@ from surfacelab.streaming.resume import with_status
 AXES = ["z", "y", "x"]
 
 
+#: Layers of z whose maxima are ranked together first.
+SLAB = 64
+
+
 def flat_normals(found: DataFrame, volume: DataFrame, threshold: float, reach: int = 2, least: int = 6) -> DataFrame:
     """vol, z, y, x, flat: the direction in which the bright voxels around a candidate spread least.
 
@@ -60,8 +64,11 @@ def generate(volume: DataFrame, threshold: float, k: int, radius: int = 1, sigma
     rows = best.join(grads, ["vol", *AXES]).select(place, "vol", V.vec("x", "y", "z").alias("p"), "g", F.round("v", 9).alias("score"))
     if support is not None:
         rows = sampling.support_filter(rows, support, ["candidate_id"], minimum)
-    first = F.row_number().over(Window.partitionBy("vol").orderBy(F.desc("score"), "candidate_id"))
-    rows = cut(rows.withColumn("rank", first).where(F.col("rank") <= k).drop("rank")).withColumn("steep", V.norm("g"))
+    # The best k of each slab first, so that one large volume's maxima are many tasks' work.
+    for part in (["vol", F.floor(F.col("p.z") / SLAB)], ["vol"]):
+        first = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("score"), "candidate_id"))
+        rows = rows.withColumn("rank", first).where(F.col("rank") <= k).drop("rank")
+    rows = cut(rows).withColumn("steep", V.norm("g"))
     flat = flat_normals(rows.where("steep < 1e-6"), smooth, threshold)
     up = V.vec(F.lit(0), F.lit(0), F.lit(1))
     n = F.when(F.col("steep") < 1e-6, F.coalesce("flat", up)).otherwise(V.normalize("g"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surfacelab.functions import vec as V
-from surfacelab.operators import isosurface, metrics, raster, ridge, scattered, tracker
+from surfacelab.operators import isosurface, metrics, ranking, raster, ridge, scattered, tracker
 from surfacelab.operators import mesh as M
 from surfacelab.operators import parameterise as P
 from surfacelab.operators.rounds import cut, new_path
-from surfacelab.plans.meshes import LABELS, MESH, MESH_R, parts
+from surfacelab.plans.meshes import LABELS, MESH, MESH_R, N_, parts
 from surfacelab.plans.points import HESSIAN, r6, xyz
 from surfacelab.plans.topology import centres
 from surfacelab.plans.unwrap import unwrap_winners
@@ -122,6 +122,36 @@ def q_final_score(spark, d):
     return rows.select("tile", r6("combined_score", "combined_score"), r6(V.final_score(), "final_score"))
 
 
+def q_rank_ids(spark, d):
+    """Candidates numbered by falling score within their label."""
+    return ranking.numbered(candidates(spark, d), ["label"]).select("candidate_id", F.col("number").cast("long").alias("number"))
+
+
+def q_seed_layer(spark, d):
+    """The bright voxels of each sheet within one voxel of the middle's depth."""
+    volume = sheets(spark, d)
+    points = volume.where("v > 0.5").select("vol", V.vec("x", "y", "z").alias("p"))
+    near, told = ridge.seed_layer(points, centres(volume), 1.0, 48)
+    sums = near.groupBy("vol").agg(*[r6(F.sum(F.col("p")[k]), "s" + k) for k in "xyz"])
+    return told.join(sums, "vol", "left")
+
+
+def q_ridge_gates(spark, d):
+    """Gates of the grid meshes, of eight vertices at least, around the middle of their plane."""
+    v, f = parts(spark, d)
+    away = M.referenced(v, f).groupBy("mesh").agg(F.min(V.norm(V.sub("p", V.vec(F.lit(3.5), F.lit(3.5), F.lit(0))))).alias("seed_distance"))
+    loops = M.boundary_loops(f, v).groupBy("mesh").agg(F.count(F.lit(1)).alias("loops"))
+    rows = M.topology(f).select("mesh", "vertices", "euler").join(away, "mesh").join(loops, "mesh").join(M.continuity(f, v), "mesh")
+    return metrics.ridge_gates(rows, 8).select("mesh", "vertices", "euler", "loops", *[r6(k, k) for k in ("seed_distance", "normal_p01", "edge_outliers")], "passed")
+
+
+def q_refine(spark, d):
+    """Flat grids moved to the sheets' brightest places."""
+    flat = grids(spark, d).withColumn("p", V.vec("c", "r", F.lit(4.0)))
+    got = M.refine(M.grid_faces(flat, SHEET), M.grid_vertices(flat, SHEET), sheets(spark, d))
+    return got.select("mesh", "vid", *xyz("p", ["x", "y", "z"]), r6("value", "value"))
+
+
 def q_packed_atlas(spark, d):
     """The valid cells of the height grids as charts of ten sheets, packed, stored in chunks and read back: pixels and sums of each chart."""
     g = grids(spark, d).where("valid").select((F.col("grid") % 10).alias("sheet"), F.col("grid").alias("chart"), F.col("r").alias("row"), F.col("c").alias("col"), "p")
@@ -140,6 +170,12 @@ def q_winners(spark, d):
     return got.select("candidate_id", "status", "error", "cells", *[r6(k, k) for k in ("coverage", "adherence", "jump_fraction", "folded_fraction")])
 
 
+#: Unit eigenvectors w (vol, n, nx, ny, nz) of the least values of the matrices ev: the longest cross product of two rows.
+LEAST = """m AS (SELECT vol, v AS n, axx - e3 AS r00, axy AS r01, axz AS r02, ayy - e3 AS r11, ayz AS r12, azz - e3 AS r22 FROM ev),
+k AS (SELECT *, r01 * r12 - r02 * r11 AS a_x, r02 * r01 - r00 * r12 AS a_y, r00 * r11 - r01 * r01 AS a_z, r01 * r22 - r02 * r12 AS b_x, r02 * r02 - r00 * r22 AS b_y, r00 * r12 - r01 * r02 AS b_z,
+  r11 * r22 - r12 * r12 AS c_x, r12 * r02 - r01 * r22 AS c_y, r01 * r12 - r11 * r02 AS c_z FROM m),
+l AS (SELECT *, sqrt(a_x * a_x + a_y * a_y + a_z * a_z) AS la, sqrt(b_x * b_x + b_y * b_y + b_z * b_z) AS lb, sqrt(c_x * c_x + c_y * c_y + c_z * c_z) AS lc FROM k),
+w AS (SELECT vol, n, """ + ", ".join(f"CASE WHEN la >= lb AND la >= lc THEN a_{x} / la WHEN lb >= lc THEN b_{x} / lb ELSE c_{x} / lc END AS n{x}" for x in "xyz") + """ FROM l)"""
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 SQL = {
     "q_zarr_box": with_sql("vox") + " SELECT vol, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM vox WHERE y IN (1, 2) AND x < 2 AND v <> 0 GROUP BY vol",
@@ -154,12 +190,7 @@ SELECT candidate_id, site, round(d, 6) + 0.0 AS distance FROM (SELECT *, row_num
     "q_estimate_frame": with_sql("sheet") + """, q AS (SELECT vol, greatest(0.35, max(v) * 0.55) AS lim FROM sheet WHERE z BETWEEN 1 AND 7 AND y BETWEEN 1 AND 7 AND x BETWEEN 1 AND 7 GROUP BY vol),
 near AS (SELECT s.* FROM sheet s JOIN q ON q.vol = s.vol WHERE v > lim AND sqrt((z - 4) * (z - 4) + (y - 4) * (y - 4) + (x - 4) * (x - 4)) <= 3),
 s AS (SELECT vol, 0 AS z, 0 AS y, 0 AS x, count(*) AS v, """ + ", ".join(f"covar_pop({a}, {b}) AS a{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + """, (axx + ayy + azz) / 3 AS q FROM near GROUP BY vol HAVING count(*) >= 12),
-t AS""" + HESSIAN.split("t AS", 1)[1].replace("ev AS (SELECT vol, z, y, x, v,", "ev AS (SELECT *,") + """,
-m AS (SELECT vol, v AS n, axx - e3 AS r00, axy AS r01, axz AS r02, ayy - e3 AS r11, ayz AS r12, azz - e3 AS r22 FROM ev),
-k AS (SELECT *, r01 * r12 - r02 * r11 AS a_x, r02 * r01 - r00 * r12 AS a_y, r00 * r11 - r01 * r01 AS a_z, r01 * r22 - r02 * r12 AS b_x, r02 * r02 - r00 * r22 AS b_y, r00 * r12 - r01 * r02 AS b_z,
-  r11 * r22 - r12 * r12 AS c_x, r12 * r02 - r01 * r22 AS c_y, r01 * r12 - r11 * r02 AS c_z FROM m),
-l AS (SELECT *, sqrt(a_x * a_x + a_y * a_y + a_z * a_z) AS la, sqrt(b_x * b_x + b_y * b_y + b_z * b_z) AS lb, sqrt(c_x * c_x + c_y * c_y + c_z * c_z) AS lc FROM k),
-w AS (SELECT vol, n, """ + ", ".join(f"CASE WHEN la >= lb AND la >= lc THEN a_{x} / la WHEN lb >= lc THEN b_{x} / lb ELSE c_{x} / lc END AS n{x}" for x in "xyz") + """ FROM l)
+t AS""" + HESSIAN.split("t AS", 1)[1].replace("ev AS (SELECT vol, z, y, x, v,", "ev AS (SELECT *,") + ",\n" + LEAST + """
 SELECT i.vol, n, CASE WHEN n IS NULL THEN 'not enough local surface support' END AS error, """ + ", ".join(f"round(n{x} * CASE WHEN nx <> 0 THEN sign(nx) WHEN ny <> 0 THEN sign(ny) ELSE sign(nz) END, 5) + 0.0 AS n{x}" for x in "xyz") + """
 FROM (SELECT vec_id AS vol FROM embeddings) i LEFT JOIN w ON w.vol = i.vol""",
     "q_final_score": with_sql("tile") + """, m AS (SELECT tile, avg((v > 0)::INT::DOUBLE) AS nz, coalesce(stddev_pop(CASE WHEN v > 0 THEN v END), 0.0) AS sd, stddev_pop(v / 255) AS ik, avg(v / 255) AS mean, quantile_cont(v / 255, 0.99) AS p FROM tile GROUP BY tile),
@@ -167,6 +198,27 @@ c AS (SELECT *, 1.5 * (nz / 2) + 2 * nz + 0.02 * sd + 0.5 * (nz / 3) AS s FROM m
     "q_packed_atlas": with_sql("grid") + """, g AS (SELECT grid % 10 AS sheet, grid AS chart, r, c, px, py FROM grid WHERE valid),
 k AS (SELECT sheet, chart, row_number() OVER (PARTITION BY sheet ORDER BY chart) - 1 AS k FROM (SELECT DISTINCT sheet, chart FROM g))
 SELECT g.sheet, g.chart, count(*) AS n, min(r) + 32 + (any_value(k) // 3) * 40 AS first_row, min(c) + 32 + (any_value(k) % 3) * 40 AS first_col, round(sum(px), 3) + 0.0 AS sx, round(sum(py), 3) + 0.0 AS sy FROM g JOIN k ON k.chart = g.chart GROUP BY g.sheet, g.chart""",
+    "q_rank_ids": with_sql("cand") + " SELECT candidate_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, candidate_id) - 1 AS number FROM cand",
+    "q_seed_layer": with_sql("sheet") + """, pts AS (SELECT * FROM sheet WHERE v > 0.5),
+s AS (SELECT vol, 0 AS z, 0 AS y, 0 AS x, count(*) AS v, """ + ", ".join(f"covar_pop({a}, {b}) AS a{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + """, (axx + ayy + azz) / 3 AS q FROM pts GROUP BY vol),
+t AS""" + HESSIAN.split("t AS", 1)[1].replace("ev AS (SELECT vol, z, y, x, v,", "ev AS (SELECT *,") + ",\n" + LEAST + """,
+near AS (SELECT p.* FROM pts p JOIN w ON w.vol = p.vol WHERE abs((p.x - 4) * nx + (p.y - 4) * ny + (p.z - 4) * nz) <= 1),
+n AS (SELECT vol, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM near GROUP BY vol)
+SELECT i.vol, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 48 THEN 'the seed''s layer has only ' || coalesce(n, 0) || ' points' END AS error, """ + ", ".join(f"CASE WHEN n >= 48 THEN round(s{k}::DOUBLE, 6) END AS s{k}" for k in "xyz") + """
+FROM (SELECT vec_id AS vol FROM embeddings) i LEFT JOIN n ON n.vol = i.vol""",
+    "q_ridge_gates": MESH_R + ",\n" + N_ + """, vx AS (SELECT mesh, count(DISTINCT x) AS vertices, count(DISTINCT fid) AS faces FROM (SELECT mesh, fid, unnest([a, b, c]) AS x FROM f) GROUP BY mesh), ex AS (SELECT mesh, count(*) AS edges FROM ec GROUP BY mesh),
+ag AS (SELECT s.mesh, quantile_cont(abs(n.x * o.x + n.y * o.y + n.z * o.z), 0.01) AS q FROM fe s JOIN fe t ON s.mesh = t.mesh AND s.lo = t.lo AND s.hi = t.hi AND s.fid < t.fid JOIN fnr n ON n.mesh = s.mesh AND n.fid = s.fid JOIN fnr o ON o.mesh = t.mesh AND o.fid = t.fid GROUP BY s.mesh),
+lim AS (SELECT mesh, 2.5 * quantile_cont(w, 0.5) AS lim FROM el GROUP BY mesh), ou AS (SELECT el.mesh, avg((w > lim)::INT::DOUBLE) AS o FROM el JOIN lim ON el.mesh = lim.mesh GROUP BY el.mesh),
+bb AS (SELECT mesh, lo AS s, hi AS t FROM ec WHERE n = 1 UNION ALL SELECT mesh, hi, lo FROM ec WHERE n = 1), r(mesh, s, m) AS (SELECT DISTINCT mesh, s, s FROM bb UNION SELECT r.mesh, r.s, bb.t FROM r JOIN bb ON bb.mesh = r.mesh AND bb.s = r.m),
+lp AS (SELECT mesh, count(DISTINCT loop) AS loops FROM (SELECT mesh, s, min(m) AS loop FROM r GROUP BY mesh, s) GROUP BY mesh),
+aw AS (SELECT v.mesh, min(sqrt((px - 3.5) * (px - 3.5) + (py - 3.5) * (py - 3.5) + pz * pz)) AS d FROM v JOIN (SELECT DISTINCT mesh, unnest([a, b, c]) AS vid FROM f) k ON k.mesh = v.mesh AND k.vid = v.vid GROUP BY v.mesh)
+SELECT vx.mesh, vertices, vertices - edges + faces AS euler, loops, round(d, 6) + 0.0 AS seed_distance, round(q, 6) + 0.0 AS normal_p01, round(o, 6) + 0.0 AS edge_outliers,
+  coalesce(d <= 5 AND q >= cos(radians(50)) AND o <= 0.01 AND loops = 1 AND vertices - edges + faces = 1 AND vertices >= 8, false) AS passed
+FROM vx JOIN ex ON ex.mesh = vx.mesh JOIN aw ON aw.mesh = vx.mesh JOIN lp ON lp.mesh = vx.mesh JOIN ou ON ou.mesh = vx.mesh LEFT JOIN ag ON ag.mesh = vx.mesh""",
+    "q_refine": MESH + ",\n" + with_sql("sheet").removeprefix("WITH ") + """, u AS (SELECT DISTINCT mesh, unnest([a, b, c]) AS vid FROM f), o AS (SELECT mesh, vid, k, 4 + (-4 + k * 0.5::DOUBLE) AS z FROM u, range(17) s(k)),
+s AS (SELECT o.mesh, o.vid, k, o.z, round(sum(CASE WHEN t.z = floor(o.z) THEN (1 - (o.z - floor(o.z))) * t.v ELSE (o.z - floor(o.z)) * t.v END), 9) AS r, sum(CASE WHEN t.z = floor(o.z) THEN (1 - (o.z - floor(o.z))) * t.v ELSE (o.z - floor(o.z)) * t.v END) AS s
+  FROM o JOIN sheet t ON t.vol = o.mesh AND t.y = o.vid // 8 AND t.x = o.vid % 8 AND t.z BETWEEN floor(o.z) AND floor(o.z) + 1 GROUP BY ALL)
+SELECT mesh, vid, (vid % 8)::DOUBLE AS x, (vid // 8)::DOUBLE AS y, round(z, 6) + 0.0 AS z, round(s, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY mesh, vid ORDER BY r DESC, k) AS i FROM s) WHERE i = 1""",
     "q_bands": with_sql("sheet").replace("sheet AS (", "vox AS MATERIALIZED (", 1) + ",\n" + isosurface.triangles_sql(0.5, SHEET) + """,
 v AS (SELECT vol, q.lo AS lo, q.hi AS hi, any_value(q.px) AS px, any_value(q.py) AS py, any_value(q.pz) AS pz FROM (SELECT vol, unnest([a, b, c]) AS q FROM mface) GROUP BY ALL)
 SELECT vol, count(*) AS n, round(sum(px), 6) + 0.0 AS sx, round(sum(py), 6) + 0.0 AS sy, round(sum(pz), 6) + 0.0 AS sz FROM v GROUP BY vol""",
