@@ -132,8 +132,11 @@ def test_geodesic_disk_takes_the_largest_radius_that_is_a_disk(spark):
     v, f = M.grid_vertices(g, 9), M.grid_faces(g, 9)
     e = M.edge_lengths(f, v).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w")
     d = G.shortest_paths(spark.createDataFrame([(0,)], "node long"), e).select(F.lit(0).cast("long").alias("mesh"), F.col("node").alias("vid"), "distance")
-    got = M.geodesic_disk(f, d, [20.0, 4.2, 2.1], 4).collect()
-    assert {r.radius for r in got} == {4.2}
+    from surfacelab.operators import parameterise as P
+
+    # The hole is too long to be filled, so it must lie outside; were longer ones allowed the first radius would be a disk.
+    assert [tuple(r) for r in P.disks(f, v, d, [20.0, 4.2, 2.1], 4)[2].collect()] == [(0, 4.2, 0)]
+    assert [tuple(r) for r in P.disks(f, v, d, [20.0, 4.2, 2.1], 4, most=1.0)[2].collect()] == [(0, 20.0, 1)]
     uv = v.select("mesh", "vid", F.col("p.x").alias("u"), F.col("p.y").alias("v"))
     q = M.uv_quality(f, uv).first()
     assert (q.flipped, q.collapsed) == (0.0, 0.0)
