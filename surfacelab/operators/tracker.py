@@ -1,7 +1,7 @@
 """Recurrent tracking: a two-layer GRU over observations, free runs, and tiled model inference.
 
-Weights are a dictionary of arrays given by the user. Steps depend on one another, so a round is one step
-of all trajectories; the net's arithmetic is the only numpy helper.
+Weights are a dictionary of arrays given by the user. Observed trajectories stream through the net in one stage; a free run's next
+place needs the field, so there a round is one step of all runs. The net's arithmetic is the only numpy helper.
 """
 
 from __future__ import annotations
