@@ -7,9 +7,9 @@ such pairs differ in some 15 of 100 bits, which leaves segments too short to sel
 Two sets of similarity t or more share at least t of the larger one, so under any one order of all
 shingles they share a shingle among the first n - ceil(t n) + 1 of each (the prefix), and of prefixes of such lengths a
 number that grows with the sizes. Each distinct set is indexed under its prefix, members of a bucket are
-equality-joined, pairs that share too few are left out, then those of which the parities of two slots an element show that they
-differ too much (a bound, so none is lost), and the others are verified on their whole sets:
-no pair is missed and none is linked by chance.
+equality-joined where their sizes and the parities of 256 slots leave room for a similar pair (bounds that the join itself applies, so
+none is lost and no other row is made), pairs that share too few are left out, then those of which the parities of two slots an element show
+that they differ too much, and the others are verified on their whole sets: no pair is missed and none is linked by chance.
 
 The order puts shingles that are frequent in a sample last (a fixed share of the table, 5000 texts at least), so that
 shared passages (licenses, repeated lines) hardly get into prefixes. Any sample gives the same result.
@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 80
 SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 0.1, 20_000, 1_000_000
 #: Rounds of one candidate a set before all that is left meets.
 STARS = 1
+#: Longs of the parities that go with a set into its buckets.
+MARK = 4
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -90,6 +92,11 @@ def parities(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def mark(odd: bytes) -> np.ndarray:
+    """Parities of 64 * MARK slots: halves of more slots add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.int64).reshape(-1, MARK), axis=0)
+
+
 def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int = PERCENT) -> bool:
     """False where parities show that two sets differ too much: every slot of different parity holds an element of one set alone."""
     a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
@@ -116,7 +123,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (digest of the set), n, fp (fingerprint), parities and prefix of docs (doc_id, text)."""
+    """doc_id, node (digest of the set), n, fp (fingerprint), parities, mark and prefix of docs (doc_id, text)."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches):
@@ -124,10 +131,12 @@ def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             hashes = [shingle_hashes(t.as_py(), words) for t in b.column("text")]
             found = [np.unique(h) for h in hashes]
             first = pa.array([prefix(s, often.value, percent).view(np.int64) for s in found], pa.list_(pa.int64()))
-            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), pa.array([parities(s) for s in found], pa.binary()), first]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "parities", "prefix"])
+            odd = [parities(s) for s in found]
+            marks = pa.array([mark(o) for o in odd], pa.list_(pa.int64()))
+            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), pa.array(odd, pa.binary()), marks, first]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "parities", "mark", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, parities binary, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, parities binary, mark array<long>, prefix array<long>")
 
 
 def sets(docs: DataFrame, each: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -170,6 +179,12 @@ def _may_reach(x: str, y: str, percent: int) -> str:
     return f"least({x}, {y}) * 100 >= {percent} * greatest({x}, {y})"
 
 
+def _may_match(x: str, y: str, mx: str, my: str, percent: int) -> str:
+    """SQL: the marks of sets of sizes x and y leave room for a similar pair, as in may_be_similar."""
+    differ = " + ".join(f"bit_count({mx}[{k}] ^ {my}[{k}])" for k in range(MARK))
+    return f"({x} + {y} - ({differ})) * {100 + percent} >= {2 * percent} * ({x} + {y})"
+
+
 def _enough(x: str, y: str, shared: str, percent: int) -> str:
     """SQL: prefixes that share so many shingles leave room for a similar pair.
 
@@ -226,14 +241,15 @@ def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = P
             break
         if round_ < STARS:
             pairs = still.where("root <> low.root").groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        else:
-            x, y = (still.select("bucket", F.col("node").alias(side), F.col("root").alias("root" + side)) for side in "ab")
-            pairs = x.join(y, "bucket").where("a < b AND roota <> rootb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
-        if round_ < STARS:
+            sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
             chosen = sized.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         else:
-            chosen = undecided(sized.where(_enough("na", "nb", "shared", percent)), marks, percent)
+            # A pair meets in a bucket only where sizes and marks allow it; they are the same in all its buckets, so shared stays whole.
+            known = still.select("bucket", "node", "root").join(nodes.select("node", "n", "mark"), "node")
+            x, y = (known.select("bucket", F.col("node").alias(side), F.col("root").alias("root" + side), F.col("n").alias("n" + side), F.col("mark").alias("mark" + side)) for side in "ab")
+            meet = f"x.bucket = y.bucket AND a < b AND roota <> rootb AND {_may_reach('na', 'nb', percent)} AND {_may_match('na', 'nb', 'marka', 'markb', percent)}"
+            pairs = x.alias("x").join(y.alias("y"), F.expr(meet)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+            chosen = undecided(pairs.where(_enough("na", "nb", "shared", percent)), marks, percent)
         found = found.unionByName(verified(chosen, docs, each, words, percent))
     remove(spark, path)
     return found

@@ -92,3 +92,21 @@ def test_prefix_bound_leaves_no_similar_pair_out():
             y = np.unique(np.concatenate([x[: int(0.8 * len(x))], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
             out += not q.may_be_similar(q.parities(x), q.parities(y), len(x), len(y))
     assert out > 50
+
+
+def test_marks_in_the_join_follow_their_bound(spark):
+    """The SQL bound on marks never excludes a similar pair, and says the same as the parities of as many slots."""
+    rng = np.random.default_rng(11)
+    rows, said = [], []
+    for n in (1, 20, 90, 110, 400, 3000):
+        for share in (0.7, 0.85, 0.88, 0.95, 1):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[: int(np.ceil(share * len(x)))], rng.integers(0, 2**63, int((1 - share) * n)).astype(np.uint64)]))
+            mx, my = (q.mark(q.parities(s)) for s in (x, y))
+            said.append((q.may_be_similar(mx.tobytes(), my.tobytes(), len(x), len(y)), q.similar(x, y)))
+            rows.append((len(rows), len(x), len(y), mx.tolist(), my.tolist()))
+    df = spark.createDataFrame(rows, "k int, na int, nb int, ma array<long>, mb array<long>")
+    kept = {r.k for r in df.where(q._may_match("na", "nb", "ma", "mb", 80)).collect()}
+    assert all(k in kept for k, (_, similar) in enumerate(said) if similar)
+    assert all((k in kept) >= may for k, (may, _) in enumerate(said))
+    assert 5 < len(kept) < len(rows)
