@@ -21,7 +21,6 @@ columns of the input are carried under their names, except those that the operat
 from __future__ import annotations
 
 import warnings
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,11 +58,15 @@ def fit(rows: list[tuple[str, str]], rounds: int = 80, ridge: float = 1.0) -> Cl
     domains = tuple(sorted({d for d, _ in rows}))
     if len(domains) < 2:
         return Classifier(domains or ("all",), {}, np.zeros((0, 1)), np.zeros(1))
-    sets = [set(t.lower().split()) for _, t in rows]
-    often = Counter(w for s in sets for w in s)
-    chosen = sorted((w for w, n in often.items() if n >= 3), key=lambda w: (-often[w], w))[:VOCABULARY]
+    # Words are held as numbers at once: a string object for each word of each text would be many times the sample's bytes.
+    number: dict[str, int] = {}
+    held = [np.array(sorted({number.setdefault(w, len(number)) for w in t.lower().split()}), np.int64) for _, t in rows]
+    often = np.bincount(np.concatenate(held), minlength=len(number))
+    chosen = sorted((w for w, i in number.items() if often[i] >= 3), key=lambda w: (-often[number[w]], w))[:VOCABULARY]
     words = {w: i for i, w in enumerate(chosen)}
-    cols = [np.array(sorted(words[w] for w in s if w in words), np.int64) for s in sets]
+    place = np.full(len(number), -1)
+    place[np.array([number[w] for w in chosen], np.int64)] = np.arange(len(chosen))
+    cols = [np.sort(p[p >= 0]) for p in (place[h] for h in held)]
     row, col = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
     y = np.eye(len(domains))[[domains.index(d) for d, _ in rows]]
     w, b = np.zeros((len(words), len(domains))), np.log(y.mean(axis=0))
