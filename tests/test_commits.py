@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from surfacelab.functions.vec import vec
 from surfacelab.operators import raster, ridge
 from surfacelab.operators.sampling import depth_stack
 from surfacelab.streaming.commits import Parts, render_layers, until_enough
@@ -100,3 +101,17 @@ def test_frames_of_a_plane(spark):
     assert max(abs(n @ u), abs(n @ v), abs(u @ v)) < 1e-6 and abs(np.linalg.norm(v) - 1) < 1e-6
     # Around the second seed all is dim, and volume 7 doesn't exist.
     assert got[3, 2].normal is None and got[3, 2].error and got[7, 1].n is None and got[7, 1].error
+
+
+def test_a_frame_whose_normal_has_no_first_part_is_turned_by_the_next(spark):
+    # Mirrored in x, so the normal's x is zero; sums in any order leave some 1e-17 of it, whose sign is chance.
+    cells = [(z, y, x) for z in range(8) for y in range(8) for x in range(8) if abs(x - 4) + abs(y - 4) <= 3 and z == 4 + (y - 4) // 2]
+    seeds = spark.createDataFrame([(1, 0)], "vol long, seed int").select("vol", "seed", vec(F.lit(4), F.lit(4), F.lit(4)).alias("p"))
+    for way in (1, -1):
+        v = F.struct(*[F.lit(float(k)).alias(n) for n, k in zip("xyz", (way * 1e-17, -0.6, 0.8))])
+        turned = spark.range(1).select(v.alias("n")).select(ridge._first_positive("n").alias("n")).first().n
+        assert abs(turned.y - 0.6) < 1e-12 and abs(turned.z + 0.8) < 1e-12
+    for order in (cells, cells[::-1], cells[::2] + cells[1::2]):
+        volume = spark.createDataFrame([(1, *c, 1.0) for c in order], "vol long, z int, y int, x int, v double").coalesce(1)
+        n = ridge.estimate_frame(volume, seeds, 3).first().normal
+        assert abs(n.x) < 1e-9 and n.y > 0
