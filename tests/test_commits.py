@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,23 @@ def test_a_frame_whose_normal_has_no_first_part_is_turned_by_the_next(spark):
         volume = spark.createDataFrame([(1, *c, 1.0) for c in order], "vol long, z int, y int, x int, v double").coalesce(1)
         n = ridge.estimate_frame(volume, seeds, 3).first().normal
         assert abs(n.x) < 1e-9 and n.y > 0
+
+
+def test_a_task_holds_one_chunk_of_an_atlas(spark):
+    # Nine chunks of two sheets in batches of seven cells: a batch out is a chunk, wherever the batches in end.
+    cells = sorted((s, cy, cx, at) for s in (3, 5) for cy in range(3) for cx in range(3) for at in (0, 9, 700, 65535) if (s, cy) != (5, 2) and (s + cy + cx + at) % 3)
+    columns = list(zip(*[(s, cy, cx, at, 10 * s + cx, at, cy, cx, 0, 0, 1) for s, cy, cx, at in cells]))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 6]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f"c{i}" for i in range(11)])
+    got = list(raster.chunk_bytes(iter([whole.slice(0, 0), *(whole.slice(k, 7) for k in range(0, len(cells), 7))])))
+    assert len(got) == len({c[:3] for c in cells}) and all(b.num_rows <= 3 for b in got)
+    seen = set()
+    for s, cy, cx, line, chart, p, normal in (r for b in got for r in zip(*(c.to_pylist() for c in b.columns))):
+        chart, p, normal = np.frombuffer(chart, "<i8"), np.frombuffer(p, "<f4").reshape(-1, 3), np.frombuffer(normal, "<f4").reshape(-1, 3)
+        assert len(chart) == raster.CHUNK
+        for k in np.nonzero(chart >= 0)[0]:
+            at = line * raster.CHUNK + int(k)
+            assert chart[k] == 10 * s + cx and p[k].tolist() == [at, cy, cx] and normal[k].tolist() == [0, 0, 1]
+            seen.add((s, cy, cx, at))
+        assert np.isnan(p[chart < 0]).all()
+    assert seen == set(cells)
