@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surfacelab.functions.vec import dot, norm, normalize, sub
-from surfacelab.operators.rounds import cut, greedy_rounds
+from surfacelab.operators.rounds import advance, cut, greedy_rounds, shuffled
+
+
+def _near(rows: DataFrame, others: DataFrame, distance: float, similarity: float, node: str, within: str | None, own: bool) -> DataFrame:
+    """s, t of rows and others nearer than distance whose normals agree; own: both are the same rows, and each pair is met once.
+
+    Cells of the distance's size are the join key; a point meets its own and the neighbouring cells, or half of them if the rows meet
+    themselves. Only candidates of equal within (a volume) meet, if it is named.
+    """
+    cell = [F.floor(F.col("p")[k] / distance).cast("long").alias("c" + k) for k in "xyz"]
+    left, right = (x.select((F.col(within) if within else F.lit(0)).alias("w"), F.col(node).alias("id"), "p", normalize("n").alias("n"), *cell) for x in (rows, others))
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if not own or (i, j, k) >= (0, 0, 0)]
+    steps = F.array(*[F.struct((F.col("cx") + i).alias("jx"), (F.col("cy") + j).alias("jy"), (F.col("cz") + k).alias("jz"), F.lit((i, j, k) == (0, 0, 0)).alias("own")) for i, j, k in around])
+    near = left.select("w", F.col("id").alias("s"), F.col("p").alias("ps"), F.col("n").alias("ns"), F.inline(steps))
+    there = right.select("w", F.col("id").alias("t"), F.col("p").alias("pt"), F.col("n").alias("nt"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("cz").alias("jz"))
+    met = near.join(there, ["w", "jx", "jy", "jz"])
+    met = met.where((~F.col("own")) | (F.col("s") < F.col("t"))) if own else met
+    return met.where((norm(sub("ps", "pt")) < distance) & (F.abs(dot("ns", "nt")) >= similarity)).select("s", "t")
 
 
 def conflicts(points: DataFrame, distance: float, similarity: float, node: str = "candidate_id", within: str | None = None) -> DataFrame:
@@ -16,25 +33,39 @@ def conflicts(points: DataFrame, distance: float, similarity: float, node: str =
     Cells of the distance's size are the join key; a point meets its own and half of the
     neighbouring cells, so each pair of cells meets once. Only candidates of equal within (a volume) meet, if it is named.
     """
-    cell = [F.floor(F.col("p")[k] / distance).cast("long").alias("c" + k) for k in "xyz"]
-    rows = points.select((F.col(within) if within else F.lit(0)).alias("w"), F.col(node).alias("id"), "p", normalize("n").alias("n"), *cell)
-    ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
-    steps = F.array(*[F.struct((F.col("cx") + i).alias("jx"), (F.col("cy") + j).alias("jy"), (F.col("cz") + k).alias("jz"), F.lit((i, j, k) == (0, 0, 0)).alias("own")) for i, j, k in ahead])
-    near = rows.select("w", F.col("id").alias("s"), F.col("p").alias("ps"), F.col("n").alias("ns"), F.inline(steps))
-    there = rows.select("w", F.col("id").alias("t"), F.col("p").alias("pt"), F.col("n").alias("nt"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("cz").alias("jz"))
-    met = near.join(there, ["w", "jx", "jy", "jz"]).where((~F.col("own")) | (F.col("s") < F.col("t")))
-    close = met.where((norm(sub("ps", "pt")) < distance) & (F.abs(dot("ns", "nt")) >= similarity))
-    return close.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+    return _near(points, points, distance, similarity, node, within, True).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+
+
+#: Candidates of the first part that a greedy suppression decides on.
+FIRST = 4096
 
 
-def suppress(points: DataFrame, distance: float, similarity: float = 0.8, limit: int | None = None, within: str | None = None) -> DataFrame:
+def suppress(points: DataFrame, distance: float, similarity: float = 0.8, limit: int | None = None, within: str | None = None, first: int = FIRST) -> DataFrame:
     """Candidates that a greedy pass by falling score keeps; ties by candidate_id.
 
-    The rank is (score, id) itself, so no row number over all rows is needed.
+    The rank is (score, id) itself, so no row number over all rows is needed. The best are decided first, in parts that grow fourfold; what conflicts with a
+    candidate that they keep is out before it meets anything else. So where many lie close together few pairs are made: they are those of a part, and
+    those with the kept ones, of which a cell and a direction hold few.
     """
-    rank = F.struct((-F.col("score")).alias("s"), F.col("candidate_id").alias("i"))
-    kept = greedy_rounds(points.select(F.col("candidate_id").alias("node"), rank.alias("rank")), conflicts(points, distance, similarity, within=within))
-    out = points.join(kept.select(F.col("node").alias("candidate_id")), "candidate_id", "left_semi")
+    fall = -F.col("score")
+    rank = F.struct(fall.alias("s"), F.col("candidate_id").alias("i"))
+    live = cut(points.select(F.col("candidate_id").alias("node"), rank.alias("rank"), "p", "n", *([F.col(within).alias("in_")] if within else [])))
+    group, found, size = "in_" if within else None, None, first
+    while True:
+        n = live.count()
+        limit_ = None if n <= size else live.select(F.percentile_approx("rank.s", F.lit(size / n), F.lit(10_000))).first()[0]
+        # Rows of equal score are of one part; null scores come first, as they do in the rank.
+        now = F.lit(True) if limit_ is None else F.col("rank.s").isNull() | (F.col("rank.s") <= limit_)
+        part = live.where(now)
+        kept = cut(greedy_rounds(part.select("node", "rank"), conflicts(part, distance, similarity, "node", group)))
+        found = kept if found is None else found.unionByName(kept)
+        if limit_ is None:
+            break
+        taken = live.join(kept.select("node"), "node", "left_semi")
+        rest = live.where(~now)
+        out = _near(rest, taken, distance, similarity, "node", group, False).select(F.col("s").alias("node")).distinct()
+        live, size = advance(live, rest.join(out, "node", "left_anti")), 4 * size
+    out = points.join(shuffled(found.select(F.col("node").alias("candidate_id"))), "candidate_id", "left_semi")
     return out.orderBy(F.desc("score"), "candidate_id").limit(limit) if limit else out
 
 

@@ -138,3 +138,26 @@ def test_npy_zarr_metadata_and_manifest(spark, tmp_path):
     assert files.load_manifest(spark, folder).count() == 5
     doubled = files.normalized(volume(spark, (2, 2, 2), F.lit(4.0)))
     assert {r.v for r in doubled.collect()} == {1.0}
+
+
+def test_suppression_by_parts_is_the_greedy_pass_and_makes_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 900
+    p, d, score, vol = rng.normal(0, 3, (n, 3)), rng.normal(0, 1, (n, 3)), np.round(rng.normal(0, 1, n), 1), rng.integers(0, 2, n)
+    unit = d / np.linalg.norm(d, axis=1, keepdims=True)
+    kept = []
+    for i in sorted(range(n), key=lambda i: (-score[i], i)):
+        if not any(vol[i] == vol[k] and np.linalg.norm(p[i] - p[k]) < 4 and abs(unit[i] @ unit[k]) >= 0.8 for k in kept):
+            kept.append(i)
+    xyz = "struct<x: double, y: double, z: double>"
+    rows = [(i, int(vol[i]), tuple(map(float, p[i])), tuple(map(float, d[i])), float(score[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, f"candidate_id long, vol int, p {xyz}, n {xyz}, score double")
+    made, greedy = [], ranking.greedy_rounds
+
+    def counted(nodes, pairs):
+        made.append(pairs.count())
+        return greedy(nodes, pairs)
+
+    monkeypatch.setattr(ranking, "greedy_rounds", counted)
+    assert sorted(r.candidate_id for r in ranking.suppress(df, 4.0, within="vol", first=40).collect()) == sorted(kept)
+    assert len(made) >= 2 and sum(made) * 10 < ranking.conflicts(df, 4.0, 0.8, within="vol").count()
