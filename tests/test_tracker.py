@@ -85,3 +85,32 @@ def test_generated_marches_are_long_enough(spark):
     sheet = cells.withColumn("v", F.exp(-0.5 * F.pow((F.col("z") - 3.4) / 1.2, 2)))
     got = T.generate(sheet, 3, 8, 0.5, 7, step=0.5, radius=1.0, samples=5).groupBy("seed").count().collect()
     assert got and all(r["count"] >= 8 for r in got)
+
+
+def test_blocks_sample_as_joins_of_corners_do_and_a_march_moves_no_voxels(spark):
+    from surfacelab.functions.vec import normalize
+    from surfacelab.operators import sampling, stencil
+    from surfacelab.operators import trajectory as T
+
+    cells = spark.range(9 * 9 * 9).select(F.lit(3).cast("long").alias("vol"), F.floor(F.col("id") / 81).cast("int").alias("z"), (F.floor(F.col("id") / 9) % 9).cast("int").alias("y"), (F.col("id") % 9).cast("int").alias("x"))
+    v = F.when(F.col("z") * F.col("y") == 12, F.lit(None)).when(F.col("x") + F.col("y") == 15, float("nan")).otherwise(F.pmod(F.xxhash64("z", "y", "x"), F.lit(1000)) / 1000.0)
+    volume = cells.withColumn("v", v).where("(z + 2 * y + 3 * x) % 11 <> 4").cache()
+    rng = np.random.default_rng(5)
+    rows = [(3, k, tuple(map(float, rng.uniform(-3, 12, 3)))) for k in range(60)] + [(3, 60, (float("nan"), 1.0, 1.0)), (3, 61, (4.0, 3.0, 2.0)), (4, 62, (1.0, 1.0, 1.0))]
+    points = spark.createDataFrame(rows, "vol long, seed long, p struct<x:double,y:double,z:double>").withColumn("n", normalize(F.struct((F.col("seed") % 3 - 1.0).alias("x"), (F.col("seed") % 5 - 1.5).alias("y"), F.lit(1.0).alias("z")))).cache()
+    keys, field = ["vol", "seed"], T.Field(volume, 1.0, 4)
+
+    def told(df, *names):
+        return {r.seed: [x for n in names for x in (r[n] if isinstance(r[n], tuple) else [r[n]])] for r in df.collect()}
+
+    def same(a, b):
+        return a.keys() == b.keys() and all(np.allclose(np.array(a[k], float), np.array(b[k], float), atol=1e-9, equal_nan=True) for k in a)
+
+    slopes = stencil.gradient(volume, ["vol"], ["z", "y", "x"])
+    extent = volume.groupBy("vol").agg(*[(F.max(k) + 1).alias("n" + k) for k in "zyx"])
+    assert same(told(field.sample(points, keys), "probability"), told(sampling.sample(points, volume, keys, value="probability"), "probability"))
+    assert same(told(field.normal(points, keys), "normal"), told(sampling.gradient_sample(points, slopes, extent, keys), "normal"))
+    best = sampling.project(points, volume, keys, 1.0, 5)
+    assert same(told(field.project(points, keys, 1.0, 5), "probability"), told(best, "sample"))
+    plan = field.within(points.join(field.extent, "vol"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
