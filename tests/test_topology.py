@@ -163,3 +163,14 @@ def test_stencils_do_not_reach_across_gaps(spark):
     # Two runs are blurred each for itself: sums are kept.
     sums = {r.k: r.s for r in stencil.gaussian(line, ["vol"], ["z"], 0.6).groupBy((F.col("z") > 3).alias("k")).agg(F.sum("v").alias("s")).collect()}
     assert np.isclose(sums[False], 5) and np.isclose(sums[True], 210)
+
+
+def test_volumes_of_known_extent_have_the_features_of_any_and_move_no_voxels(spark):
+    cells = spark.range(2 * 6 * 6 * 6).select(F.floor(F.col("id") / 216).cast("long").alias("vol"), (F.floor(F.col("id") / 36) % 6).cast("int").alias("z"), (F.floor(F.col("id") / 6) % 6).cast("int").alias("y"), (F.col("id") % 6).cast("int").alias("x"))
+    field = cells.withColumn("v", F.exp(-0.5 * F.pow((F.col("z") - 2.3 - 0.3 * F.col("y") + 0.1 * F.col("vol")) / 1.2, 2)) + 0.01 * F.pmod(F.xxhash64("vol", "z", "y", "x"), F.lit(10))).repartition(4, "vol")
+    at = seeds(spark, {0: (3, 2, 3), 1: (0, 9, 5)})
+    columns = ["vol", "z", "y", "x", "candidate", *[F.round(k, 9).alias(k) for k in ("v", "n.x", "n.y", "n.z", "ridge", "confidence")]]
+    whole = ridge.features(field, at, extent=6)
+    assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, ridge.features(field, at).select(*columns).collect()))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(vol") <= 5 and "hashpartitioning(vol#" in plan and ", z#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
