@@ -4,18 +4,20 @@ First the operator's own method: fingerprints of the 5-word shingles are linked
 fewer bits (simhash.links) and each link is verified on the shingle sets. Near 0.8, fingerprints can't do the rest:
 such pairs differ in some 15 of 100 bits, which leaves segments too short to select anything. So an exact join follows.
 
-Two sets of similarity t or more share at least t of the larger one, so under any one order of all
+A set is cut by the first bits of its hashes into parts of some PART elements, as many as the larger set of a pair has. If two sets have
+similarity t or more, so have their parts in some place: were all parts less similar, so would be their union. Two parts of similarity t or more
+share at least t of the larger one, so under any one order of all
 shingles they share a shingle among the first n - ceil(t n) + 1 of each (the prefix), and of prefixes of such lengths a
-number that grows with the sizes. Each distinct set is indexed under its prefix, members of a bucket are
-equality-joined where their sizes and the parities of 256 slots leave room for a similar pair (bounds that the join itself applies, so
-none is lost and no other row is made), pairs that share too few are left out, then those of which the parities of two slots an element show
-that they differ too much, and the others are verified on their whole sets: no pair is missed and none is linked by chance.
+number that grows with the sizes. Each distinct set is indexed under its parts' prefixes, members of a bucket are
+equality-joined where the sizes and the parities of 256 slots leave room for a similar pair of parts (bounds that the join itself applies, so
+none is lost and no other row is made; a whole set of many elements would fill all slots), pairs that share too few are left out, then those of which the parities of two slots an element show
+that the whole sets differ too much, and the others are verified on their whole sets: no pair is missed and none is linked by chance.
 
 The order puts shingles that are frequent in a sample last (a fixed share of the table, 5000 texts at least), so that
 shared passages (licenses, repeated lines) hardly get into prefixes. Any sample gives the same result.
 
-Large groups aren't expanded into pairs: links and then stars (each set with the one set, smallest of a bucket, that it
-shares most with) are verified first, and only members of buckets that still hold several components meet, across components.
+Large groups aren't expanded into pairs: links and then stars (each set with the one set, a bucket's most typical member, that it
+shares most with) are verified first, in rounds with other members while that joins components, and only members of buckets that still hold several components meet, across components.
 
 Cases: null text counts as empty, all empty texts are copies of each other; texts of fewer words than a
 shingle are one shingle; a very long text's shingle hashes are held by one task; repeated rows, rows that share an id and equal sets are judged by their
@@ -28,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surfacelab.llm import simhash
@@ -40,10 +42,15 @@ from surfacelab.llm.survivors import bitmap, has, keep_first, slot
 WORDS, PERCENT = 5, 80
 #: The sample for the order: so many rows or so large a share, their first bytes, and the shingles kept.
 SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 0.1, 20_000, 1_000_000
-#: Rounds of one candidate a set before all that is left meets.
-STARS = 1
-#: Longs of the parities that go with a set into its buckets.
+#: Elements of a set's part, about at most.
+PART = 256
+#: Rounds of one candidate a set before all that is left meets, at most; another one follows while meetings outnumber
+#: entries FEW times and the last one left out a share of FALL of them. Those after the first look at buckets of more than CROWD entries.
+STARS, FEW, FALL, CROWD = 8, 4, 0.1, 16
+#: Longs of the parities that go with a part into its buckets.
 MARK = 4
+#: Low bits of a bucket, which hold the level (the logarithm of the number of parts) in place of the hash's own.
+LEVEL_BITS = 5
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -108,6 +115,46 @@ def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int = PERCENT)
     return both * 100 >= percent * (nx + ny - both)
 
 
+def level_of(n: int) -> int:
+    """Smallest level whose parts of a set of n elements hold PART on average at most."""
+    return max(0, (max(n, 1) - 1) // PART).bit_length()
+
+
+def parts(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> list[tuple]:
+    """(level, place, own, size, mark, buckets) of the parts of a sorted set, at its own level and at those of larger sets that it can be similar to."""
+    n, out = len(hashes), []
+    own = level_of(n)
+    for level in range(own, level_of(n * 100 // percent) + 1):
+        ends = np.searchsorted(hashes, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else []
+        for place, part in enumerate(np.split(hashes, ends)):
+            if len(part):
+                buckets = prefix(part, often, percent) & ~np.uint64((1 << LEVEL_BITS) - 1) | np.uint64(level)
+                out.append((level, place, level == own, len(part), mark(parities(part)), np.unique(buckets)))
+    return out
+
+
+def _part_of_bucket() -> list[Column]:
+    """level and place of the parts that meet in a bucket."""
+    level = F.col("bucket").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int")
+    place = F.when(level == 0, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", F.col("bucket"), 64 - level).cast("int"))
+    return [level.alias("level"), place.alias("place")]
+
+
+def _part_lists(found: list[list[tuple]]) -> pa.Array:
+    """Lists of parts as an Arrow column."""
+    flat = [p for one in found for p in one]
+    firsts = np.concatenate([np.zeros(1, np.int32), np.cumsum([len(p[5]) for p in flat], dtype=np.int32)])
+    marks = np.concatenate([p[4] for p in flat]) if flat else np.zeros(0, np.int64)
+    buckets = np.concatenate([p[5] for p in flat]).view(np.int64) if flat else np.zeros(0, np.int64)
+    fields = [
+        *[pa.array([p[k] for p in flat], kind) for k, kind in ((0, pa.int32()), (1, pa.int32()), (2, pa.bool_()), (3, pa.int32()))],
+        pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * MARK), pa.array(marks)),
+        pa.ListArray.from_arrays(pa.array(firsts), pa.array(buckets)),
+    ]
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum([len(one) for one in found], dtype=np.int32)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["level", "place", "own", "m", "mark", "buckets"]))
+
+
 def node_of(text: str | None, words: int = WORDS) -> int:
     """Digest of a text's shingle set, as a signed long."""
     return _digest(shingle_set(text, words).tobytes())
@@ -123,20 +170,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (digest of the set), n, fp (fingerprint), parities, mark and prefix of docs (doc_id, text)."""
+    """doc_id, node (digest of the set), n, fp (fingerprint), parities and parts of docs (doc_id, text)."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches):
         for b in slices(batches):
             hashes = [shingle_hashes(t.as_py(), words) for t in b.column("text")]
             found = [np.unique(h) for h in hashes]
-            first = pa.array([prefix(s, often.value, percent).view(np.int64) for s in found], pa.list_(pa.int64()))
-            odd = [parities(s) for s in found]
-            marks = pa.array([mark(o) for o in odd], pa.list_(pa.int64()))
-            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), pa.array(odd, pa.binary()), marks, first]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "parities", "mark", "prefix"])
+            columns = [pa.array([_digest(s.tobytes()) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64()), pa.array([parities(s) for s in found], pa.binary()), _part_lists([parts(s, often.value, percent) for s in found])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "parities", "parts"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, parities binary, mark array<long>, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, parities binary, parts array<struct<level int, place int, own boolean, m int, mark array<long>, buckets array<long>>>")
 
 
 def sets(docs: DataFrame, each: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -196,10 +240,26 @@ def _enough(x: str, y: str, shared: str, percent: int) -> str:
 
 
 def mixed(entries: DataFrame, path: str) -> DataFrame:
-    """bucket, node, root, low (the smallest root and node there) of the buckets that hold several roots, written to path."""
+    """bucket, node, root, n (the bucket's entries) and meets (those of other roots, its average) of the buckets that hold several roots, written to path."""
     dealt = entries.repartition("bucket")
-    low = dealt.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("low"), F.max("root").alias("high")).where("low.root < high").select("bucket", "low")
-    return written_to(dealt.join(low, "bucket"), path)
+    roots = dealt.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    n, meets = F.sum("c"), F.sum("c") - F.sum(F.col("c") * F.col("c")) / F.sum("c")
+    sizes = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), n.alias("n"), meets.alias("meets")).where("roots > 1").drop("roots")
+    return written_to(dealt.join(sizes, "bucket"), path)
+
+
+def stars(still: DataFrame, round_: int) -> DataFrame:
+    """a, b: each set of the mixed buckets with one of another root, which is some bucket's star and shares most buckets with it.
+
+    The star of a bucket is the member whose buckets hold most entries: among near copies of a text that is the one that was changed least, and
+    most are similar to it. Later rounds weigh members by luck too, so that other ones become stars.
+    """
+    luck = F.lit(1.0) if round_ == 0 else 0.75 + F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(1024)) / 4096
+    weights = still.groupBy("node").agg((F.sum("n") * luck).alias("weight"))
+    star = still.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("star"))
+    near = still.where(F.lit(round_ == 0) | (F.col("n") > CROWD)).join(star, "bucket").where(F.col("root") != F.col("star.root"))
+    shared = near.groupBy(F.col("node").alias("a"), F.col("star.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    return shared.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
 def undecided(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -226,31 +286,33 @@ def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = P
     a, b = (reps.select(F.col("fp").alias(x), F.col("node").alias("node" + x)) for x in "ab")
     same = nodes.select("node", "fp").join(reps.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
     found = verified(near.join(a, "a").join(b, "b").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).unionByName(same), docs, each, words, percent)
-    still, path = None, new_path(spark, "shingle-buckets")
+    still, path, last = None, new_path(spark, "shingle-buckets"), float("inf")
     for round_ in range(STARS + 1):
         roots = components(found)
-        if still is None:
-            named = nodes.select("node", "prefix").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("bucket"))
-        else:
-            named = still.select("bucket", "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bucket")
+        entries = nodes.select("node", F.explode(F.flatten("parts.buckets")).alias("bucket")) if still is None else still.select("node", "bucket")
         ahead = new_path(spark, "shingle-buckets")
-        still = mixed(named, ahead)
+        still = mixed(entries.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bucket"), ahead)
         remove(spark, path)
         path = ahead
-        if still.isEmpty():
+        size = still.agg(F.count(F.lit(1)).alias("entries"), F.sum("meets").alias("meets")).first()
+        if not size.entries:
             break
-        if round_ < STARS:
-            pairs = still.where("root <> low.root").groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-            sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
-            chosen = sized.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        again = round_ == 0 or (round_ < STARS and FEW * size.entries < size.meets <= (1 - FALL) * last)
+        last = size.meets
+        if again:
+            chosen = stars(still, round_).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
         else:
-            # A pair meets in a bucket only where sizes and marks allow it; they are the same in all its buckets, so shared stays whole.
-            known = still.select("bucket", "node", "root").join(nodes.select("node", "n", "mark"), "node")
-            x, y = (known.select("bucket", F.col("node").alias(side), F.col("root").alias("root" + side), F.col("n").alias("n" + side), F.col("mark").alias("mark" + side)) for side in "ab")
-            meet = f"x.bucket = y.bucket AND a < b AND roota <> rootb AND {_may_reach('na', 'nb', percent)} AND {_may_match('na', 'nb', 'marka', 'markb', percent)}"
-            pairs = x.alias("x").join(y.alias("y"), F.expr(meet)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-            chosen = undecided(pairs.where(_enough("na", "nb", "shared", percent)), marks, percent)
-        found = found.unionByName(verified(chosen, docs, each, words, percent))
+            # A pair of parts meets in a bucket only where sizes and marks allow it; they are the same in all its buckets, so shared stays whole.
+            of = nodes.select("node", "n", F.inline("parts")).drop("buckets")
+            known = still.select("bucket", "node", "root", *_part_of_bucket()).join(of, ["node", "level", "place"])
+            x, y = (known.select("bucket", "level", "place", F.col("node").alias(side), *[F.col(c).alias(c + side) for c in ("root", "n", "own", "m", "mark")]) for side in "ab")
+            bounds = [_may_reach("na", "nb", percent), _may_reach("ma", "mb", percent), _may_match("ma", "mb", "marka", "markb", percent)]
+            meet = f"x.bucket = y.bucket AND a < b AND roota <> rootb AND (owna OR ownb) AND {' AND '.join(bounds)}"
+            met = x.alias("x").join(y.drop("level", "place").alias("y"), F.expr(meet)).groupBy("a", "b", "na", "nb", "level", "place", "ma", "mb").agg(F.count(F.lit(1)).alias("shared"))
+            chosen = met.where(_enough("ma", "mb", "shared", percent)).select("a", "b", "na", "nb").distinct()
+        found = found.unionByName(verified(undecided(chosen, marks, percent), docs, each, words, percent))
+        if not again:
+            break
     remove(spark, path)
     return found
 

@@ -110,3 +110,65 @@ def test_marks_in_the_join_follow_their_bound(spark):
     assert all(k in kept for k, (_, similar) in enumerate(said) if similar)
     assert all((k in kept) >= may for k, (may, _) in enumerate(said))
     assert 5 < len(kept) < len(rows)
+
+
+def test_parts_of_similar_sets_meet():
+    """Of two similar sets of any sizes, a part at the larger one's level is similar, and its prefixes share as many buckets as the join asks for."""
+    rng = np.random.default_rng(21)
+    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    levels = set()
+    for n in (5, 200, 255, 256, 257, 300, 512, 513, 1000, 2050, 5000):
+        for share in (0.9, 0.92, 0.98, 1):
+            x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < share], rng.integers(0, 2**64, int((1 - share) * n), np.uint64)]))
+            if not q.similar(x, y):
+                continue
+            px, py = ({(level, place): (own, m, mark, set(buckets)) for level, place, own, m, mark, buckets in q.parts(s, often)} for s in (x, y))
+            met = []
+            for at in px.keys() & py.keys():
+                (ownx, mx, markx, bx), (owny, my, marky, by) = px[at], py[at]
+                need = -(-80 * (mx + my) // 180) - (-(-80 * max(mx, my) // 100) - 1)
+                ok = 100 * min(mx, my) >= 80 * max(mx, my) and q.may_be_similar(markx.tobytes(), marky.tobytes(), mx, my)
+                met.append((ownx or owny) and ok and len(bx & by) >= max(1, need))
+            assert any(met)
+            levels |= {level for level, _ in px}
+    assert len(levels) > 4 and all(sum(m for level, _, own, m, *_ in q.parts(x, often) if own) == len(x) for x in (x, y))
+
+
+def test_a_large_group_is_not_made_into_pairs(spark, monkeypatch):
+    """Near copies of one text, many of them not similar to each other, are joined by a number of verified pairs that grows with their number."""
+    rng = np.random.default_rng(17)
+    base, rows = [f"b{i}" for i in range(150)], []
+    for k in range(300):
+        t = list(base)
+        for i in rng.choice(len(t), 1 + k % 4, replace=False):
+            t[i] = f"x{rng.integers(10**6)}"
+        rows.append((k, " ".join(t)))
+    seen, old = [], q.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return old(pairs, *rest)
+
+    monkeypatch.setattr(q, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, near = brute_kept(rows)
+    assert len(near) > 10 * len(rows)
+    assert {r.doc_id for r in q.keep_one(docs).collect()} == want
+    assert sum(seen) <= 3 * len(rows)
+
+
+def test_parts_tell_large_sets_apart():
+    """Sets of some 2000 elements and similarity a half fill the slots of a whole set's mark, but not those of their parts."""
+    rng = np.random.default_rng(19)
+    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    whole = passed = places = 0
+    for _ in range(10):
+        x = np.unique(rng.integers(0, 2**64, 2000, np.uint64))
+        y = np.unique(np.concatenate([x[: int(len(x) * 2 / 3)], rng.integers(0, 2**64, len(x) // 3, np.uint64)]))
+        whole += q.may_be_similar(q.mark(q.parities(x)).tobytes(), q.mark(q.parities(y)).tobytes(), len(x), len(y))
+        px, py = ({p[:2]: p for p in q.parts(s, often) if p[2]} for s in (x, y))
+        both = px.keys() & py.keys()
+        places += len(both)
+        passed += sum(q.may_be_similar(px[k][4].tobytes(), py[k][4].tobytes(), px[k][3], py[k][3]) for k in both)
+    assert whole == 10 and places >= 60 and passed <= places // 20
