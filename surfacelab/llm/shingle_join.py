@@ -17,7 +17,7 @@ The order puts shingles that are frequent in a sample last (a fixed share of the
 shared passages (licenses, repeated lines) hardly get into prefixes. Any sample gives the same result.
 
 Large groups aren't expanded into pairs: links and then stars (each set with the one set, a bucket's most typical member, that it
-shares most with) are verified first, in rounds with other members while that joins components, and only members of buckets that still hold several components meet, across components.
+shares most with) are verified first, and only members of buckets that still hold several components meet, across components.
 
 Cases: null text counts as empty, all empty texts are copies of each other; texts of fewer words than a
 shingle are one shingle; a very long text's shingle hashes are held by one task; repeated rows, rows that share an id and equal sets are judged by their
@@ -44,9 +44,8 @@ WORDS, PERCENT = 5, 80
 SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_SHINGLES = 5000, 0.1, 20_000, 1_000_000
 #: Elements of a set's part, about at most.
 PART = 256
-#: Rounds of one candidate a set before all that is left meets, at most; another one follows while meetings outnumber
-#: entries FEW times and the last one left out a share of FALL of them. Those after the first look at buckets of more than CROWD entries.
-STARS, FEW, FALL, CROWD = 8, 4, 0.1, 16
+#: Rounds of one candidate a set before all that is left meets.
+STARS = 1
 #: Longs of the parities that go with a part into its buckets.
 MARK = 4
 #: Low bits of a bucket, which hold the level (the logarithm of the number of parts) in place of the hash's own.
@@ -240,24 +239,21 @@ def _enough(x: str, y: str, shared: str, percent: int) -> str:
 
 
 def mixed(entries: DataFrame, path: str) -> DataFrame:
-    """bucket, node, root, n (the bucket's entries) and meets (those of other roots, its average) of the buckets that hold several roots, written to path."""
+    """bucket, node, root and n (the bucket's entries) of the buckets that hold several roots, written to path."""
     dealt = entries.repartition("bucket")
-    roots = dealt.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    n, meets = F.sum("c"), F.sum("c") - F.sum(F.col("c") * F.col("c")) / F.sum("c")
-    sizes = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), n.alias("n"), meets.alias("meets")).where("roots > 1").drop("roots")
+    sizes = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("bucket", "n")
     return written_to(dealt.join(sizes, "bucket"), path)
 
 
-def stars(still: DataFrame, round_: int) -> DataFrame:
+def stars(still: DataFrame) -> DataFrame:
     """a, b: each set of the mixed buckets with one of another root, which is some bucket's star and shares most buckets with it.
 
     The star of a bucket is the member whose buckets hold most entries: among near copies of a text that is the one that was changed least, and
-    most are similar to it. Later rounds weigh members by luck too, so that other ones become stars.
+    most are similar to it.
     """
-    luck = F.lit(1.0) if round_ == 0 else 0.75 + F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(1024)) / 4096
-    weights = still.groupBy("node").agg((F.sum("n") * luck).alias("weight"))
+    weights = still.groupBy("node").agg(F.sum("n").alias("weight"))
     star = still.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("star"))
-    near = still.where(F.lit(round_ == 0) | (F.col("n") > CROWD)).join(star, "bucket").where(F.col("root") != F.col("star.root"))
+    near = still.join(star, "bucket").where(F.col("root") != F.col("star.root"))
     shared = near.groupBy(F.col("node").alias("a"), F.col("star.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     return shared.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
@@ -286,7 +282,7 @@ def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = P
     a, b = (reps.select(F.col("fp").alias(x), F.col("node").alias("node" + x)) for x in "ab")
     same = nodes.select("node", "fp").join(reps.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
     found = verified(near.join(a, "a").join(b, "b").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).unionByName(same), docs, each, words, percent)
-    still, path, last = None, new_path(spark, "shingle-buckets"), float("inf")
+    still, path = None, new_path(spark, "shingle-buckets")
     for round_ in range(STARS + 1):
         roots = components(found)
         entries = nodes.select("node", F.explode(F.flatten("parts.buckets")).alias("bucket")) if still is None else still.select("node", "bucket")
@@ -294,13 +290,10 @@ def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = P
         still = mixed(entries.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bucket"), ahead)
         remove(spark, path)
         path = ahead
-        size = still.agg(F.count(F.lit(1)).alias("entries"), F.sum("meets").alias("meets")).first()
-        if not size.entries:
+        if still.isEmpty():
             break
-        again = round_ == 0 or (round_ < STARS and FEW * size.entries < size.meets <= (1 - FALL) * last)
-        last = size.meets
-        if again:
-            chosen = stars(still, round_).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
+        if round_ < STARS:
+            chosen = stars(still).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_may_reach("na", "nb", percent))
         else:
             # A pair of parts meets in a bucket only where sizes and marks allow it; they are the same in all its buckets, so shared stays whole.
             of = nodes.select("node", "n", F.inline("parts")).drop("buckets")
@@ -311,8 +304,6 @@ def links(each: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = P
             met = x.alias("x").join(y.drop("level", "place").alias("y"), F.expr(meet)).groupBy("a", "b", "na", "nb", "level", "place", "ma", "mb").agg(F.count(F.lit(1)).alias("shared"))
             chosen = met.where(_enough("ma", "mb", "shared", percent)).select("a", "b", "na", "nb").distinct()
         found = found.unionByName(verified(undecided(chosen, marks, percent), docs, each, words, percent))
-        if not again:
-            break
     remove(spark, path)
     return found
 
