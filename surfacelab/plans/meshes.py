@@ -65,19 +65,19 @@ def q_continuity(spark, d):
 
 
 def q_face_components(spark, d):
-    got = M.face_components(parts(spark, d)[1])
+    got = M.face_components(parts(spark, d)[1], "mesh")
     return got.groupBy("mesh", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_boundary_loops(spark, d):
     v, f = parts(spark, d)
-    return M.boundary_loops(f, v).select("mesh", "loop", "n", r6("perimeter", "perimeter"), "simple")
+    return M.boundary_loops(f, v, "mesh").select("mesh", "loop", "n", r6("perimeter", "perimeter"), "simple")
 
 
 def q_seed_component(spark, d):
     v, f = parts(spark, d)
     seeds = v.select("mesh").distinct().select("mesh", V.vec(F.lit(3.5), F.lit(3.5), F.lit(0)).alias("seed"))
-    return M.seed_component(f, v, seeds).groupBy("mesh").agg(F.count(F.lit(1)).alias("n"))
+    return M.seed_component(f, v, seeds, "mesh").groupBy("mesh").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_geodesic(spark, d):
@@ -85,7 +85,7 @@ def q_geodesic(spark, d):
     v, f = parts(spark, d)
     e = M.edge_lengths(f, v).select(F.struct("mesh", F.col("lo").alias("vid")).alias("a"), F.struct("mesh", F.col("hi").alias("vid")).alias("b"), "w")
     start = M.corners(f).groupBy("mesh").agg(F.min("vid").alias("vid")).select(F.struct("mesh", "vid").alias("node"))
-    got = G.shortest_paths(start, e)
+    got = G.shortest_paths(start, e, key="mesh")
     return got.groupBy(F.col("node.mesh").alias("mesh")).agg(F.count(F.lit(1)).alias("n"), r6(F.max("distance"), "furthest"), r6(F.sum("distance"), "total"))
 
 
@@ -110,7 +110,7 @@ def q_geodesic_disk(spark, d):
     near = F.round(V.norm(V.sub(F.col("p"), V.vec(F.lit(3.5), F.lit(3.5), F.col("p.z")))), 9)
     start = used.groupBy("mesh").agg(F.min_by("vid", F.struct(near, "vid")).alias("vid")).select(F.struct("mesh", "vid").alias("node"))
     e = M.edge_lengths(f, v).select(F.struct("mesh", F.col("lo").alias("vid")).alias("a"), F.struct("mesh", F.col("hi").alias("vid")).alias("b"), "w")
-    distance = G.shortest_paths(start, e, RADII[0]).select("node.mesh", "node.vid", "distance")
+    distance = G.shortest_paths(start, e, RADII[0], "mesh").select("node.mesh", "node.vid", "distance")
     faces, points, told = P.disks(f, v, distance, RADII, 8)
     n = faces.groupBy("mesh").agg(F.count(F.lit(1)).alias("faces")).join(points.groupBy("mesh").agg(F.count(F.lit(1)).alias("vertices")), "mesh")
     return told.join(n, "mesh").select("mesh", r6("radius", "radius"), "filled", "faces", "vertices")

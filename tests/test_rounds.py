@@ -49,3 +49,16 @@ def test_paths_stop_at_a_distance_and_leave_one_round(spark, writes):
     assert got == {k: float(k) for k in range(6)}
     # The edges and the last round.
     assert len(left(writes)) == 2
+
+
+def test_rounds_dealt_by_a_key_move_nothing_and_equal_others(spark):
+    """Paths of ten nodes each in five meshes: labels and distances are those of undealt rounds, and a dealt round's joins need no exchange."""
+    node = lambda x: F.struct("mesh", x.cast("long").alias("vid"))
+    rows = spark.range(50).select((F.col("id") % 5).alias("mesh"), F.floor(F.col("id") / 5).alias("k"))
+    nodes = rows.select(node(F.col("k")).alias("node"))
+    edges = rows.where("k < 9 AND k <> 4").select(node(F.col("k")).alias("a"), node(F.col("k") + 1).alias("b"), (F.col("k") + 1.0).alias("w"))
+    for make in (lambda key: G.component_labels(nodes, edges, key), lambda key: G.shortest_paths(nodes.where("node.vid = 2"), edges, key=key)):
+        assert sorted(make("mesh").collect()) == sorted(make(None).collect())
+    one = G.cut(rows, "mesh")
+    two = one.groupBy("mesh", "k").agg(F.count(F.lit(1)).alias("n")).join(one.select("mesh", "k"), ["mesh", "k"])
+    assert "Exchange" not in two._jdf.queryExecution().executedPlan().toString()
