@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surfacelab.functions.vec import add, cross, dot, is_finite, norm, normalize, scale, sub, vec
 from surfacelab.operators.rounds import cut
@@ -258,15 +259,31 @@ def infer_tiles(pixels: DataFrame, keys: list[str], size: int, stride: int, mode
     dealt = placed.select("*", F.explode(starts("row")).alias("i")).select("*", F.explode(starts("col")).alias("j"))
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        layers = np.sort(tile.k.unique())
-        stack = np.zeros((len(layers), size, size))
-        stack[np.searchsorted(layers, tile.k), tile.row - tile.i, tile.col - tile.j] = np.clip(tile.v, 0, clip) / divisor
-        got = 1 / (1 + np.exp(-upsampled(model(stack[::-1] if reverse_depth else stack), size)))
-        spots = tile[[*keys, "i", "j", "row", "col"]].drop_duplicates(["row", "col"])
-        return spots[[*keys, "row", "col"]].assign(p=got[spots.row - spots.i, spots.col - spots.j])
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", row {kinds['row']}, col {kinds['col']}, p double"
-    seen = dealt.groupBy(*keys, "i", "j").applyInPandas(run, schema).groupBy(*keys, "row", "col").agg(F.avg("p").alias("v"), F.count(F.lit(1)).alias("n"))
+    def run(batches):
+        for b in batches:
+            cells = b.column("cells")
+            ends, flat = cells.offsets.to_numpy() - cells.offsets[0].as_py(), cells.flatten()
+            k, row, col, v = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("k", "row", "col", "v"))
+            spot, v = row * size + col, np.clip(v, 0, clip) / divisor
+            spots, found = [], []
+            for first, stop in zip(ends, ends[1:]):
+                layers, layer = np.unique(k[first:stop], return_inverse=True)
+                stack = np.zeros((len(layers), size * size))
+                stack[layer, spot[first:stop]] = v[first:stop]
+                stack = stack.reshape(len(layers), size, size)
+                got = 1 / (1 + np.exp(-upsampled(model(stack[::-1] if reverse_depth else stack), size)))
+                spots.append(np.unique(spot[first:stop]))
+                found.append(got.ravel()[spots[-1]])
+            counts = np.cumsum([0, *map(len, spots)])
+            rows = pa.StructArray.from_arrays([pa.array(np.concatenate(spots or [[]]), pa.int64()), pa.array(np.concatenate(found or [[]]), pa.float64())], ["spot", "p"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows)], [*b.schema.names[:-1], "spots"])
+
+    # Spark makes a row of each tile, so a task's batch holds many tiles and Python is called once for all of them.
+    offset = [(F.col(x) - F.col(o)).cast("long").alias(x) for x, o in (("row", "i"), ("col", "j"))]
+    lists = dealt.groupBy(*keys, "i", "j").agg(F.collect_list(F.struct("k", *offset, F.col("v").cast("double").alias("v"))).alias("cells"))
+    schema = T.StructType([*lists.drop("cells").schema.fields, T.StructField("spots", T.ArrayType(T.StructType([T.StructField("spot", T.LongType()), T.StructField("p", T.DoubleType())])))])
+    seen = lists.mapInArrow(run, schema).select(*keys, "i", "j", F.inline("spots"))
+    place = [(F.col(o) + e).cast(kinds[x]).alias(x) for x, o, e in (("row", "i", F.floor(F.col("spot") / size)), ("col", "j", F.col("spot") % size))]
+    seen = seen.select(*keys, *place, "p").groupBy(*keys, "row", "col").agg(F.avg("p").alias("v"), F.count(F.lit(1)).alias("n"))
     every = pixels.select(*keys, "row", "col").distinct()
     return every.join(seen, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
