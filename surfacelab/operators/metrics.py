@@ -7,7 +7,7 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,24 +180,44 @@ def sheet_normals(grid: DataFrame) -> DataFrame:
     n = normalize(cross(vec("dxc", "dyc", "dzc"), vec("dxr", "dyr", "dzr")))
     rows = rows.select("grid", *axes, "valid", n.alias("n")).select("grid", *axes, "valid", *[F.col("n")[k].alias(k) for k in "xyz"])
 
-    def turn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.reset_index(drop=True)
-        normal = np.zeros((int(part.r.max()) + 1, int(part.c.max()) + 1, 3))
-        valid = np.zeros(normal.shape[:2], bool)
-        valid[part.r, part.c] = part.valid
-        normal[part.r, part.c] = part[["x", "y", "z"]].to_numpy() * part.valid.to_numpy(bool)[:, None]
-        for i in range(len(normal)):
-            above = valid[i] & valid[i - 1] & ((normal[i] * normal[i - 1]).sum(axis=1) < 0) if i else np.zeros(normal.shape[1], bool)
-            normal[i][above] *= -1
-            for j in range(1, normal.shape[1]):
-                if not above[j] and valid[i, j] and valid[i, j - 1] and normal[i, j] @ normal[i, j - 1] < 0:
-                    normal[i, j] *= -1
-        got = normal[part.r, part.c]
-        return part[["grid", "r", "c"]].assign(x=got[:, 0], y=got[:, 1], z=got[:, 2])
-
+    def turned(normal: np.ndarray, valid: np.ndarray) -> None:
+        """Turns the normals (grid, row, column, axis) of grids of one shape, all grids at once."""
+        for i in range(normal.shape[1]):
+            above = np.zeros(valid[:, i].shape, bool)
+            if i:
+                above = valid[:, i] & valid[:, i - 1] & ((normal[:, i] * normal[:, i - 1]).sum(axis=2) < 0)
+                normal[:, i][above] *= -1
+            for j in range(1, normal.shape[2]):
+                flip = ~above[:, j] & valid[:, i, j] & valid[:, i, j - 1] & ((normal[:, i, j] * normal[:, i, j - 1]).sum(axis=1) < 0)
+                normal[flip, i, j] *= -1
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("cells")
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            r, c, valid = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("r", "c", "valid"))
+            valid = np.where(valid == True, True, False)  # noqa: E712 (null counts as not valid)
+            place = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in "xyz"], 1) * valid[:, None]
+            grid, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            shapes = np.stack([np.maximum.reduceat(x, starts) + 1 for x in (r, c)], 1) if len(sizes) else np.zeros((0, 2), int)
+            kinds, kind = np.unique(shapes, axis=0, return_inverse=True)
+            for k, (height, width) in enumerate(kinds):
+                own = kind.ravel() == k
+                rows, number = own[grid], (np.cumsum(own) - 1)[grid]
+                at = number[rows], r[rows], c[rows]
+                normal, mask = np.zeros((int(own.sum()), height, width, 3)), np.zeros((int(own.sum()), height, width), bool)
+                normal[at], mask[at] = place[rows], valid[rows]
+                turned(normal, mask)
+                place[rows] = normal[at]
+            fields = [flat.field("r"), flat.field("c"), *[pa.array(place[:, k]) for k in range(3)]]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("grid"), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["r", "c", *"xyz"]))], ["grid", "cells"])
+
+    # Spark makes a row of each grid, so Python is called for batches of grids; a batch's grids of one shape take a step together.
+    lists = rows.groupBy("grid").agg(F.collect_list(F.struct("r", "c", "valid", *"xyz")).alias("cells"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in ("grid", "r", "c")) + ", x double, y double, z double"
-    return rows.groupBy("grid").applyInPandas(turn, schema).select("grid", "r", "c", vec("x", "y", "z").alias("normal"))
+    got = lists.mapInArrow(run, f"grid {kinds['grid']}, cells array<struct<r: {kinds['r']}, c: {kinds['c']}, x: double, y: double, z: double>>")
+    return got.select("grid", F.inline("cells")).select("grid", "r", "c", vec("x", "y", "z").alias("normal"))
 
 
 def gap_summary(errors: DataFrame, recovered: float = 3.0) -> DataFrame:
