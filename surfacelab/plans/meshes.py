@@ -91,12 +91,12 @@ def q_geodesic(spark, d):
 
 def q_tutte(spark, d):
     """The solved map of each mesh's largest component, its small holes filled."""
-    _, _, uv = P.parameterised(*reversed(parts(spark, d)), 1e-8)
+    _, _, uv = P.parameterised(*reversed(parts(spark, d)), 1e-8, "mesh")
     return uv.select("mesh", "vid", r6("u", "u"), r6("v", "v"))
 
 
 def q_uv_quality(spark, d):
-    faces, _, uv = P.parameterised(*reversed(parts(spark, d)), 1e-8)
+    faces, _, uv = P.parameterised(*reversed(parts(spark, d)), 1e-8, "mesh")
     return M.uv_quality(faces, uv).select("mesh", r6("flipped", "flipped"), r6("collapsed", "collapsed"))
 
 
@@ -111,7 +111,7 @@ def q_geodesic_disk(spark, d):
     start = used.groupBy("mesh").agg(F.min_by("vid", F.struct(near, "vid")).alias("vid")).select(F.struct("mesh", "vid").alias("node"))
     e = M.edge_lengths(f, v).select(F.struct("mesh", F.col("lo").alias("vid")).alias("a"), F.struct("mesh", F.col("hi").alias("vid")).alias("b"), "w")
     distance = G.shortest_paths(start, e, RADII[0], "mesh").select("node.mesh", "node.vid", "distance")
-    faces, points, told = P.disks(f, v, distance, RADII, 8)
+    faces, points, told = P.disks(f, v, distance, RADII, 8, key="mesh")
     n = faces.groupBy("mesh").agg(F.count(F.lit(1)).alias("faces")).join(points.groupBy("mesh").agg(F.count(F.lit(1)).alias("vertices")), "mesh")
     return told.join(n, "mesh").select("mesh", r6("radius", "radius"), "filled", "faces", "vertices")
 
