@@ -62,3 +62,36 @@ def test_rounds_dealt_by_a_key_move_nothing_and_equal_others(spark):
     one = G.cut(rows, "mesh")
     two = one.groupBy("mesh", "k").agg(F.count(F.lit(1)).alias("n")).join(one.select("mesh", "k"), ["mesh", "k"])
     assert "Exchange" not in two._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_keys_are_worked_out_in_tasks_as_rounds_do(spark, monkeypatch):
+    from surfacelab.operators import intask
+
+    at = [F.struct(F.col("k").alias("mesh"), F.col(n).alias("vid")).alias(n) for n in "ab"]
+    edges = spark.range(300).select((F.col("id") % 7).alias("k"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)).alias(n) for i, n in enumerate("ab")])
+    edges = edges.select(*at, ((F.abs(F.col("a") - F.col("b")) % 5 + 1) / 3).alias("w")).cache()
+    nodes = spark.range(7 * 45).select(F.struct((F.col("id") % 7).alias("mesh"), F.floor(F.col("id") / 7).alias("vid")).alias("node"))
+    start = nodes.where("node.vid IN (3, 44)")
+    written, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, *a: written.append(df) or cut(df, *a))
+
+    def told(key):
+        written.clear()
+        got = [sorted((tuple(r[0]), r[1] if isinstance(r[1], float) else tuple(r[1])) for r in df.collect()) for df in (G.component_labels(nodes, edges, key), G.shortest_paths(start, edges, 2.5, key))]
+        return got, len(written)
+
+    want, _ = told(None)
+    assert told("mesh") == (want, 2)  # the links and the edges, and no rounds
+    monkeypatch.setattr(intask, "IN_TASK", 10)
+    got, n = told("mesh")
+    assert got == want and n > 2
+
+
+def test_loops_of_small_meshes_have_the_places_of_doubling(spark):
+    from surfacelab.operators import mesh as M
+    from surfacelab.operators import parameterise as P
+
+    grid = spark.range(3 * 36).select((F.col("id") % 3).alias("grid"), (F.floor(F.col("id") / 3) % 6).alias("r"), F.floor(F.col("id") / 18).alias("c"))
+    grid = grid.withColumn("valid", ~((F.col("r") == 2 + F.col("grid") % 2) & (F.col("c") == 2))).withColumn("p", F.struct(*[F.col(k).cast("double").alias(n) for k, n in zip("crc", "xyz")]))
+    faces = M.grid_faces(grid, 6)
+    assert sorted(P.ordered_loops(faces, "mesh").collect()) == sorted(P.ordered_loops(faces).collect())
